@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, line_dedup, near_dup, packing, quality
+from lexloom.llm import decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, suffix_dedup
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _removed() -> list:
+    return [F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.begin)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", *_removed(), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,15 +47,22 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long"), F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _removed()[0], F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
