@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, html_main, licenses, line_dedup, near_dup, packing, quality, substring_dedup, suffix_dedup
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_texts(table(spark, sf_dir, "pages"))
+
+
 def _removed() -> list:
     return [F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.begin)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans")]
 
@@ -57,7 +65,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -84,4 +94,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op8_line_dedup": OP8_SQL}
