@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, html_main, licenses, line_dedup, near_dup, packing, quality, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, html_main, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
