@@ -1,0 +1,555 @@
+"""Queries of inventories, rules, graphs, changes, ledgers, structure, streams and sinks, with their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexloom.operators import changes, classify, graph, inventory, rules, structural
+from lexloom.operators.search import SearchSpec, lines, search
+from lexloom.plans.base import LINES, query, table
+from lexloom.plans.search_queries import docs
+from lexloom.sources import sinks
+from lexloom.streaming import streams
+
+PATH = F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
+PATH_SQL = "regexp_extract(url, '//[^/]+/([^?#]*)', 1)"
+
+
+# Inventories
+
+
+@query("q_agg7_inventory", """SELECT 'lang' AS dimension, lang AS value, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, count(*), sum(strlen(text))::BIGINT FROM documents GROUP BY source
+UNION ALL SELECT 'total', '', count(*), sum(strlen(text))::BIGINT FROM documents""")
+def agg7(spark, sf_dir):
+    files = docs(spark, sf_dir).select("lang", "source", F.octet_length("text").alias("size"))
+    return inventory.inventory(files, ["lang", "source"])
+
+
+@query("q_agg7_largest", "SELECT doc_id, strlen(text)::INTEGER AS size FROM documents ORDER BY size DESC, doc_id LIMIT 10")
+def agg7_largest(spark, sf_dir):
+    return inventory.largest(docs(spark, sf_dir).select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+
+
+_MENTIONS = "m AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS mention FROM documents)"
+_NAMES = "f AS (SELECT DISTINCT regexp_replace(list_extract(string_split(u, '/'), -1), '[?#].*$', '') AS name FROM (SELECT unnest(regexp_extract_all(html, 'href=\"/[^\"]*')) AS u FROM pages))"
+
+
+def _names(spark, sf_dir):
+    links = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/[^"]*'), F.lit(0))).alias("u"))
+    return links.select(F.regexp_replace(F.element_at(F.split("u", "/"), -1), "[?#].*$", "").alias("name")).distinct()
+
+
+@query("q_agg8_docs_coverage", f"WITH {_MENTIONS}, {_NAMES} SELECT name, name IN (SELECT mention FROM m) AS covered FROM f")
+def agg8(spark, sf_dir):
+    return inventory.coverage(_names(spark, sf_dir), inventory.mentions(docs(spark, sf_dir), "[a-z]{6,}"), "name")
+
+
+@query("q_agg9_stale_references", f"WITH {_MENTIONS}, {_NAMES} SELECT mention FROM m WHERE mention NOT IN (SELECT name FROM f)")
+def agg9(spark, sf_dir):
+    return inventory.stale_references(inventory.mentions(docs(spark, sf_dir), "[a-z]{6,}"), _names(spark, sf_dir), "name")
+
+
+# Rules
+
+CORPUS_RULES = (
+    rules.Rule("token-literal", (r"\btoken = \"[0-9a-f]{16,}\"",), "high", invalid=('token = "0123456789abcdef01"',), valid=('token = ""',)),
+    rules.Rule("mail-address", (r"[a-z]+[.][0-9]+@mail[0-9]+[.]example[.]com", r"[a-z]+@example[.]org"), "medium", invalid=("ab.1@mail2.example.com",), valid=("ab at example",)),
+    rules.Rule("insult", (r"\bstupid\b", r"\bworthless\b"), "low", invalid=("a stupid thing",), valid=("stupidity",)),
+)
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT '{r.id}' AS rule_id, '{r.severity}' AS severity, doc_id, line_no, line FROM lines WHERE " + " OR ".join(f"regexp_matches(line, '{p}')" for p in r.patterns) for r in CORPUS_RULES
+)
+MATCHED = f"{LINES}, hits AS ({_RULES_SQL})"
+_PRINT = """sha256('{"file": "' || doc_id || '", "rule_id": "' || rule_id || '", "snippet": "' || trim(line) || '"}')"""
+
+
+def _hits(spark, sf_dir):
+    return rules.match_rules(docs(spark, sf_dir), CORPUS_RULES)
+
+
+@query("q_rul1_pack_rules", f"WITH {LINES} SELECT '{{0}}' AS rule_id, doc_id, line_no FROM lines WHERE regexp_matches(line, '\\btoken\\s*=\\s*[\"''][^\"'']+[\"'']')".replace("{0}", "hardcoded-token"))
+def rul1(spark, sf_dir):
+    return rules.match_rules(docs(spark, sf_dir), rules.pack("secrets")).select("rule_id", "doc_id", "line_no")
+
+
+@query("q_rul2_scan", f"WITH {MATCHED} SELECT rule_id, severity, doc_id, line_no, line FROM hits")
+def rul2(spark, sf_dir):
+    return _hits(spark, sf_dir)
+
+
+@query("q_agg11_findings", f"WITH {MATCHED}, t AS (SELECT rule_id, severity, count(*) AS matches, count(DISTINCT doc_id) AS files FROM hits GROUP BY ALL), e AS (SELECT rule_id, doc_id FROM (SELECT DISTINCT rule_id, doc_id FROM hits) QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY doc_id) <= 3) SELECT t.*, list(doc_id ORDER BY doc_id) AS evidence FROM t JOIN e USING (rule_id) GROUP BY ALL")
+def agg11(spark, sf_dir):
+    return rules.findings(_hits(spark, sf_dir))
+
+
+@query("q_rul3_any_of", f"WITH {MATCHED} SELECT DISTINCT doc_id, line_no FROM hits WHERE rule_id = 'insult'")
+def rul3(spark, sf_dir):
+    return rules.match_rules(docs(spark, sf_dir), CORPUS_RULES[2:]).select("doc_id", "line_no").distinct()
+
+
+@query("q_rul4_rule_tests", " UNION ALL ".join(f"SELECT '{r.id}' AS rule_id, '{kind}' AS kind, '{s}' AS snippet, ({' OR '.join(f'''regexp_matches('{s}', '{p}')''' for p in r.patterns)}) = {str(kind == 'invalid').lower()} AS ok" for r in CORPUS_RULES for kind, ss in (("valid", r.valid), ("invalid", r.invalid)) for s in ss))
+def rul4(spark, sf_dir):
+    return rules.test_rules(spark, CORPUS_RULES)
+
+
+_BASELINE = f"{MATCHED}, p AS (SELECT DISTINCT {_PRINT} AS fingerprint, doc_id FROM hits), now AS (SELECT fingerprint FROM p WHERE doc_id % 3 <> 0), base AS (SELECT fingerprint FROM p WHERE doc_id % 4 <> 0)"
+
+
+def _versions(spark, sf_dir):
+    """Findings of two versions of the corpus: one without every third document, one without every fourth."""
+    found = rules.with_fingerprint(_hits(spark, sf_dir))
+    return found.filter("doc_id % 3 <> 0"), found.filter("doc_id % 4 <> 0")
+
+
+@query("q_rul5_baseline", f"WITH {_BASELINE} SELECT coalesce(now.fingerprint, base.fingerprint) AS fingerprint, CASE WHEN base.fingerprint IS NULL THEN 'new' WHEN now.fingerprint IS NULL THEN 'resolved' ELSE 'existing' END AS status FROM (SELECT DISTINCT * FROM now) now FULL JOIN (SELECT DISTINCT * FROM base) base ON now.fingerprint = base.fingerprint")
+def rul5(spark, sf_dir):
+    return rules.status(*_versions(spark, sf_dir))
+
+
+@query("q_jn5_new_findings", f"WITH {_BASELINE} SELECT DISTINCT fingerprint FROM now WHERE fingerprint NOT IN (SELECT fingerprint FROM base)")
+def jn5(spark, sf_dir):
+    now, base = _versions(spark, sf_dir)
+    return now.select("fingerprint").distinct().join(base.select("fingerprint"), "fingerprint", "left_anti")
+
+
+@query("q_set3_resolved", f"WITH {_BASELINE} SELECT DISTINCT fingerprint FROM base EXCEPT SELECT fingerprint FROM now")
+def set3(spark, sf_dir):
+    now, base = _versions(spark, sf_dir)
+    return base.select("fingerprint").subtract(now.select("fingerprint"))
+
+
+@query("q_jn6_suppressions", f"""WITH {MATCHED}, p AS (SELECT *, {_PRINT} AS fingerprint FROM hits), s AS (SELECT fingerprint, CASE WHEN doc_id % 2 = 0 THEN rule_id END AS rule_id, NULL::BIGINT AS file, CASE WHEN doc_id % 5 = 0 THEN line_no + 1 END AS line FROM p)
+SELECT rule_id, doc_id, line_no FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.fingerprint = p.fingerprint AND (s.rule_id IS NULL OR s.rule_id = p.rule_id) AND (s.file IS NULL OR s.file = p.doc_id) AND (s.line IS NULL OR s.line = p.line_no))""")
+def jn6(spark, sf_dir):
+    found = rules.with_fingerprint(_hits(spark, sf_dir))
+    given = found.select("fingerprint", F.expr("if(doc_id % 2 = 0, rule_id, null)").alias("rule_id"), F.lit(None).cast("long").alias("file"), F.expr("if(doc_id % 5 = 0, line_no + 1, null)").alias("line"))
+    return rules.unsuppressed(found, given).select("rule_id", "doc_id", "line_no")
+
+
+@query("q_fn12_inline_ignore", f"""WITH {MATCHED}, k AS (SELECT doc_id, line_no, regexp_extract(line, 'note:\\s*([A-Za-z0-9_*, -]+)', 1) AS note FROM lines)
+SELECT DISTINCT rule_id, h.doc_id, h.line_no FROM hits h JOIN k ON k.doc_id = h.doc_id AND h.line_no IN (k.line_no, k.line_no + 1) WHERE note <> '' AND list_has_any(string_split_regex(trim(note), '\\s*,\\s*'), ['*', rule_id])""")
+def fn12(spark, sf_dir):
+    return rules.inline_ignored(docs(spark, sf_dir), _hits(spark, sf_dir), "note")
+
+
+@query("q_rul6_sarif")
+def rul6(spark, sf_dir):
+    return spark.createDataFrame([(rules.sarif(rules.findings(_hits(spark, sf_dir))),)], "sarif string")
+
+
+@query("q_rul7_gate", f"WITH {MATCHED} SELECT count(*) FILTER (WHERE severity = 'high') = 0 AS passed, count(*) AS matches FROM hits")
+def rul7(spark, sf_dir):
+    return rules.gate(rules.findings(_hits(spark, sf_dir)))
+
+
+# Graphs: orders stand for files, parts for modules, suppliers for directories.
+
+EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 97 + 1)::BIGINT AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 97 + 1)"
+
+
+def _edges(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97 + 1).alias("dst"))
+    return found.filter("src <> dst").distinct()
+
+
+@query("q_grf8_importers", f"WITH {EDGES_SQL} SELECT DISTINCT src AS file, 'importer' AS side FROM edges WHERE dst = 5 UNION ALL SELECT DISTINCT dst, 'imported' FROM edges WHERE src = 5")
+def grf8(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return graph.importers(e, 5).withColumn("side", F.lit("importer")).unionByName(graph.imported(e, 5).withColumn("side", F.lit("imported")))
+
+
+_SPARSE_SQL = "sparse AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 97 + 1)::BIGINT AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 97 + 1 AND l_linenumber = 1 AND l_quantity = 50)"
+
+
+def _sparse(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity = 50").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97 + 1).alias("dst"))
+    return found.filter("src <> dst").distinct()
+
+
+@query("q_grf10_blast_radius", f"WITH RECURSIVE {_SPARSE_SQL}, r(file, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN sparse ON dst = file WHERE depth < 3) SELECT file, min(depth)::INTEGER AS depth FROM r GROUP BY file")
+def grf10(spark, sf_dir):
+    seeds = spark.range(5, 6).select(F.col("id").alias("file"))
+    return graph.blast_radius(_sparse(spark, sf_dir), seeds, 3)
+
+
+def _pagerank_sql(iterations: int = 12) -> str:
+    steps = [f"{EDGES_SQL}, nodes AS (SELECT s_suppkey AS node FROM supplier), b AS (SELECT dst AS node, src AS importer FROM edges WHERE dst IN (SELECT node FROM nodes)), o AS (SELECT node, count(*) AS n FROM b GROUP BY node)"]
+    steps.append("r0 AS (SELECT node, coalesce(n, 0) AS n, CASE WHEN node IN (1, 2) THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS p, CASE WHEN node IN (1, 2) THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS rank FROM nodes LEFT JOIN o USING (node))")
+    for i in range(1, iterations + 1):
+        q = f"r{i - 1}"
+        steps.append(f"f{i} AS (SELECT importer AS node, sum(0.85 * rank / n) AS inflow FROM {q} JOIN b USING (node) WHERE n > 0 GROUP BY importer), s{i} AS (SELECT coalesce(sum(rank) FILTER (WHERE n = 0), 0) AS spill FROM {q})")
+        steps.append(f"r{i} AS MATERIALIZED (SELECT node, n, p, 0.15 * p + coalesce(inflow, 0) + 0.85 * spill * p AS rank FROM {q} LEFT JOIN f{i} USING (node), s{i})")
+    return f"WITH {', '.join(steps)} SELECT node, round(rank, 6) AS rank FROM r{iterations} WHERE rank > 0"
+
+
+@query("q_grf11_pagerank", _pagerank_sql())
+def grf11(spark, sf_dir):
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    back = _edges(spark, sf_dir).select(F.col("dst").alias("node"), F.col("src").alias("importer")).join(nodes, "node", "left_semi")
+    return graph.personalized_pagerank(nodes, back, [1, 2])
+
+
+_CENTRAL_SQL = f"""WITH {_SPARSE_SQL}, a AS (SELECT dst AS file, count(*) AS a FROM sparse GROUP BY ALL), b AS (SELECT src AS file, count(*) AS b FROM sparse GROUP BY ALL), c AS (SELECT o_custkey AS file, count(*) AS c FROM orders GROUP BY ALL),
+central AS (SELECT s_suppkey AS file, s_nationkey AS dir, ((least(coalesce(a, 0), 12) + coalesce(b, 0) + least(coalesce(c, 0), 25))::DOUBLE * CASE WHEN s_nationkey = 3 THEN 0.25 ELSE 1.0 END)::DOUBLE AS score FROM supplier s LEFT JOIN a ON a.file = s_suppkey LEFT JOIN b ON b.file = s_suppkey LEFT JOIN c ON c.file = s_suppkey)"""
+
+
+def _central(spark, sf_dir):
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("dir"))
+    symbols = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("n"))
+    vendored = nodes.filter("dir = 3").select("file", F.lit(True).alias("v"))
+    plain = graph.centrality(nodes.select("file"), _sparse(spark, sf_dir), symbols)
+    scored = plain.join(vendored, "file", "left").select("file", (F.col("score") * F.when(F.col("v"), 0.25).otherwise(1.0)).alias("score"))
+    return scored.join(nodes, "file")
+
+
+@query("q_grf12_centrality", f"{_CENTRAL_SQL} SELECT file, score FROM central ORDER BY score DESC, file LIMIT 20")
+def grf12(spark, sf_dir):
+    return _central(spark, sf_dir).select("file", "score").orderBy(F.desc("score"), "file").limit(20)
+
+
+@query("q_grf13_scope", f"{_CENTRAL_SQL}, d AS (SELECT dir, sum(score) AS score, row_number() OVER (ORDER BY sum(score) DESC, dir) AS r FROM central GROUP BY dir) SELECT x.dir, x.score FROM d x LEFT JOIN d y ON y.r = 2 WHERE x.r = 1 AND (y.score IS NULL OR x.score >= 1.01 * y.score)")
+def grf13(spark, sf_dir):
+    return graph.suggested_scope(_central(spark, sf_dir), 1.01)
+
+
+@query("q_grf14_vendored")
+def grf14(spark, sf_dir):
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("string").alias("dir"))
+    return graph.vendored_trees(files, _sparse(spark, sf_dir))
+
+
+@query("q_grf15_entry_points", f"SELECT page_id, {PATH_SQL} AS path FROM pages WHERE list_extract(string_split({PATH_SQL}, '/'), -1) IN ('25', '474.html', '519')")
+def grf15(spark, sf_dir):
+    return graph.entry_points(table(spark, sf_dir, "pages").select("page_id", PATH.alias("path")), names=("25", "474.html", "519"))
+
+
+@query("q_grf17_confidence", "SELECT doc_id, least(CASE WHEN lang = 'de' OR source = 'src1' THEN 0.55 WHEN n_chars > 5000 THEN 0.72 ELSE 0.9 END, CASE WHEN n_chars > 5000 THEN 0.94 ELSE 1.0 END, CASE WHEN n_chars < 100 THEN 0.55 ELSE 1.0 END)::DOUBLE AS confidence FROM documents")
+def grf17(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", graph.confidence(F.col("lang") != "de", F.col("source") != "src1", F.col("n_chars") > 5000, F.when(F.col("n_chars") < 100, 0).otherwise(1)).alias("confidence"))
+
+
+@query("q_grf18_manifest")
+def grf18(spark, sf_dir):
+    return graph.manifest_digest(docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("d")), "doc_id", "d")
+
+
+@query("q_grf18_stale_files", "SELECT doc_id::VARCHAR AS path, 'modified' AS change FROM documents WHERE n_chars <> length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END")
+def grf18_stale(spark, sf_dir):
+    recorded = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("mtime"), F.col("n_chars").alias("size"))
+    current = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("mtime"), (F.length("text") + F.expr("if(doc_id % 7 = 0, 1, 0)")).cast("long").alias("size"))
+    return changes.changeset(recorded, current)
+
+
+_REFS_SQL = f"WITH {LINES}, c AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(line, '\"[^\"]*\"', '\"\"', 'g'), '(//|#).*$', '') AS clean FROM lines) SELECT doc_id, line_no, regexp_matches(clean, '(\\b|\\.|::)token\\s*\\(') AS is_call FROM c WHERE regexp_matches(clean, '\\btoken\\b')"
+
+
+@query("q_grf4_references", _REFS_SQL)
+def grf4(spark, sf_dir):
+    return graph.references(lines(docs(spark, sf_dir)), "token").select("doc_id", "line_no", "is_call")
+
+
+@query("q_grf9_callers", "WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_]+)\\([^)]*\\);', 1)) AS name FROM pages) SELECT name, count(*) AS n, count(DISTINCT page_id) AS files FROM s GROUP BY name")
+def grf9(spark, sf_dir):
+    calls = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"([A-Za-z_]+)\([^)]*\);"), F.lit(1))).alias("name"))
+    return calls.groupBy("name", "page_id").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+@query("q_jn9_symbols_references", f"WITH {LINES}, s AS (SELECT DISTINCT p_brand AS name FROM part), w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS name FROM lines), d AS (SELECT lower(regexp_extract(line, '^([A-Z][a-z]{{3,}})', 1)) AS name, min(doc_id) AS doc_id FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]{{3,}}') GROUP BY ALL) SELECT d.name, d.doc_id AS defined_in, count(*) AS n FROM d JOIN w ON w.name = d.name GROUP BY ALL")
+def jn9(spark, sf_dir):
+    own = lines(docs(spark, sf_dir))
+    defined = own.select(F.lower(F.regexp_extract("line", "^([A-Z][a-z]{3,})", 1)).alias("name"), "doc_id").filter("name <> ''").groupBy("name").agg(F.min("doc_id").alias("defined_in"))
+    used = own.select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return defined.join(used, "name")
+
+
+@query("q_grf2_js_symbols", f"WITH {LINES.replace('FROM documents', 'FROM (SELECT page_id AS doc_id, url AS lang, url AS source, html AS text FROM pages)')} SELECT doc_id, line_no, 'function' AS kind, regexp_extract(line, '^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?function\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM lines WHERE regexp_matches(line, '^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?function\\s+([A-Za-z_][A-Za-z0-9_]*)')")
+def grf2(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return graph.extract(lines(pages), "javascript")
+
+
+@query("q_jn4_stem_resolution", f"""WITH f AS (SELECT {PATH_SQL} AS file FROM pages), st AS (SELECT regexp_replace(list_extract(string_split(file, '/'), -1), '^(.+)\\.[^.]*$', '\\1') AS stem, min(file) AS dst FROM f GROUP BY ALL),
+i AS (SELECT {PATH_SQL} AS src, 'pages/' || (page_id % 300)::VARCHAR AS module FROM pages) SELECT DISTINCT src, coalesce(a.dst, b.dst) AS dst FROM i LEFT JOIN st a ON a.stem = module LEFT JOIN st b ON b.stem = list_extract(string_split_regex(module, '[./]'), -1) WHERE coalesce(a.dst, b.dst) <> src""")
+def jn4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    imports = pages.select(PATH.alias("src"), F.concat(F.lit("pages/"), (F.col("page_id") % 300).cast("string")).alias("module"))
+    return graph.resolve_by_stem(imports, pages.select(PATH.alias("file")))
+
+
+# Changes and ledgers: events stand for claims.
+
+_SNAPSHOTS = "a AS (SELECT doc_id::VARCHAR AS path, 1 AS mtime, n_chars AS size FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS mtime, n_chars AS size FROM documents WHERE doc_id % 6 <> 0)"
+_CHANGES = f"WITH {_SNAPSHOTS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime <> b.mtime OR a.size <> b.size"
+
+
+def _snapshots(spark, sf_dir):
+    """Two states of one table of files."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"))
+    a = d.filter("doc_id % 5 <> 0").select("path", F.lit(1).alias("mtime"), "size")
+    return a, d.filter("doc_id % 6 <> 0").select("path", F.expr("if(doc_id % 7 = 0, 2, 1)").alias("mtime"), "size")
+
+
+@query("q_jn7_snapshot_diff", _CHANGES)
+def jn7(spark, sf_dir):
+    return changes.changeset(*_snapshots(spark, sf_dir))
+
+
+@query("q_str4_changeset", f"SELECT change, count(*) AS n FROM ({_CHANGES}) GROUP BY change")
+def str4(spark, sf_dir):
+    return changes.changeset(*_snapshots(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("q_str5_refresh", f"WITH {_SNAPSHOTS} SELECT path, mtime, size FROM b")
+def str5(spark, sf_dir):
+    a, b = _snapshots(spark, sf_dir)
+    found = changes.changeset(a, b)
+    return changes.refreshed(a, found, b.join(found.filter("change <> 'removed'"), "path", "left_semi"), "path")
+
+
+_EVENTS = "e AS (SELECT user_id AS claim_id, (user_id % 7) AS agent_id, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'submit' END AS kind, ts AS at, ts + INTERVAL 3 DAY AS expires_at, event_id FROM events)"
+
+
+def _claims(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "release").otherwise("submit")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim_id"), (F.col("user_id") % 7).alias("agent_id"), kind.alias("kind"), F.col("ts").alias("at"), F.expr("ts + interval 3 day").alias("expires_at"))
+
+
+@query("q_str6_live_claims", f"WITH {_EVENTS}, n AS (SELECT max(at) - INTERVAL 1 DAY AS now FROM e), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY at DESC, kind DESC) = 1) SELECT claim_id, agent_id, kind, at, expires_at FROM l, n WHERE kind <> 'release' AND expires_at > now")
+def str6(spark, sf_dir):
+    events = _claims(spark, sf_dir)
+    now = events.agg(F.expr("max(at) - interval 1 day").alias("now"))
+    return changes.live_claims(events.crossJoin(F.broadcast(now)).drop("now"), F.lit(now.first()[0]))
+
+
+@query("q_jn8_claim_overlap", "WITH c AS (SELECT DISTINCT o_orderkey AS claim_id, o_custkey % 5 AS agent_id, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') SELECT a.claim_id AS a_id, b.claim_id AS b_id, count(*) AS n_shared, min(a.symbol) AS first_shared FROM c a JOIN c b ON a.symbol = b.symbol AND a.claim_id < b.claim_id AND a.agent_id <> b.agent_id GROUP BY ALL")
+def jn8(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    claims = held.groupBy(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 5).alias("agent_id")).agg(F.collect_set("l_partkey").alias("symbols"))
+    return changes.claim_overlaps(claims)
+
+
+@query("q_str7_fresh_findings", "SELECT l_orderkey AS finding_id, l_partkey AS symbol, coalesce(l_suppkey % 3 = p_size % 3, false) AS fresh FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1")
+def str7(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("finding_id"), F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 3).cast("int").alias("revision"))
+    return changes.fresh_findings(found, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 3).cast("int").alias("revision")))
+
+
+@query("q_str9_chain", "WITH e AS (SELECT user_id AS chain, event_id AS seq, sha256(event_id::VARCHAR) AS digest, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE lag(sha256(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY event_id) END AS prev FROM events) SELECT chain, seq FROM e WHERE prev IS DISTINCT FROM lag(digest) OVER (PARTITION BY chain ORDER BY seq)".replace("SELECT chain, seq FROM e WHERE prev IS DISTINCT FROM lag(digest) OVER (PARTITION BY chain ORDER BY seq)", "SELECT chain, seq FROM e QUALIFY prev IS DISTINCT FROM lag(digest) OVER (PARTITION BY chain ORDER BY seq)"))
+def str9(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("digest"))
+    before = F.lag("digest").over(Window.partitionBy("chain").orderBy("seq"))
+    return changes.chain_breaks(e.withColumn("prev", F.when(F.col("seq") % 11 == 0, "x").otherwise(before)))
+
+
+@query("q_str10_verified_bodies", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def str10(spark, sf_dir):
+    return changes.verified(docs(spark, sf_dir).select("doc_id", "text", F.sha2("text", 256).alias("digest")), "text", "digest").select("doc_id", "digest")
+
+
+@query("q_set5_json_diff", """WITH p AS (SELECT event_id AS id, json_extract_string(props, '$.' || k) AS value, k AS path FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events))
+SELECT id, path, 'removed' AS change, value AS before, NULL::VARCHAR AS after FROM p WHERE id % 3 = 0 UNION ALL SELECT event_id, 'extra.n', 'added', NULL, '1' FROM events WHERE event_id % 3 = 0""")
+def set5(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("json"))
+    return changes.json_diff(e, e.withColumn("json", F.when(F.col("id") % 3 == 0, '{"extra": {"n": 1}}').otherwise(F.col("json"))))
+
+
+@query("q_str8_checkpoints")
+def str8(spark, sf_dir):
+    from lexloom.operators import versions
+
+    root = tempfile.mkdtemp() if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared}/{uuid.uuid4().hex}"
+    d = docs(spark, sf_dir).select("doc_id", "n_chars")
+    first = versions.create(d, root, "first")
+    versions.create(d.filter("n_chars > 100"), root, "second")
+    versions.undo(spark, root, first)
+    return versions.current(spark, root)
+
+
+# Classification
+
+_LABEL = "CASE WHEN regexp_matches(lower(text), '\\b(error|fail(ed|ure)?|fatal|exception)\\b') THEN 'error' WHEN regexp_matches(lower(text), '\\b(warn(ing)?|degraded|slow)\\b') THEN 'warn' WHEN regexp_matches(lower(text), '\\btrace\\b') THEN 'trace' WHEN regexp_matches(lower(text), '\\bdebug\\b') THEN 'debug' ELSE 'info' END"
+
+
+def _logs(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
+
+
+@query("q_cls1_classify", f"SELECT label, count(*) AS n FROM (SELECT {_LABEL} AS label FROM conversations) GROUP BY label")
+def cls1(spark, sf_dir):
+    return classify.classify(_logs(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("q_cls2_rendered", f"SELECT conv_id, turn, '[' || label || ' ' || CASE label WHEN 'error' THEN '0.950' WHEN 'warn' THEN '0.850' ELSE '0.800' END || '] ' || text AS shown FROM (SELECT *, {_LABEL} AS label FROM conversations)")
+def cls2(spark, sf_dir):
+    return classify.rendered(classify.classify(_logs(spark, sf_dir)), 0.5).select("conv_id", "turn", "shown")
+
+
+@query("q_cls3_budget", f"SELECT conv_id, turn, label, (SELECT count(*) FROM conversations) > 100 AS truncated FROM (SELECT *, {_LABEL} AS label FROM conversations ORDER BY conv_id, turn LIMIT 100)")
+def cls3(spark, sf_dir):
+    return classify.classify(classify.budgeted(_logs(spark, sf_dir), 100, ["conv_id", "turn"])).select("conv_id", "turn", "label", "truncated")
+
+
+# Structure: lines of documents that are Python are few, so code is made of the parts table.
+
+_CODE = "'import os' || chr(10) || 'def f' || p_partkey || '(a):' || chr(10) || '    x = eval(a)' || chr(10) || '    return os.path.join(\"' || p_brand || '\", x, a)' || chr(10)"
+
+
+def _code(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("import os\ndef f"), F.col("p_partkey").cast("string"), F.lit("(a):\n    x = eval(a)\n    return os.path.join(\""), "p_brand", F.lit('", x, a)\n'))
+    return part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+@query("q_ast1_search")
+def ast1(spark, sf_dir):
+    return structural.ast_search(_code(spark, sf_dir), "eval($X)").select("doc_id", "start", "end", "line", "text")
+
+
+@query("q_ast2_prefilter", f"SELECT p_partkey AS doc_id FROM part WHERE contains({_CODE}, 'eval')")
+def ast2(spark, sf_dir):
+    return _code(spark, sf_dir).filter(F.col("text").contains(structural.literal_of("eval($X)"))).select("doc_id")
+
+
+@query("q_ast3_metavariables", "SELECT p_partkey AS doc_id, '\"' || p_brand || '\"' AS first, 2 AS n_rest FROM part")
+def ast3(spark, sf_dir):
+    found = structural.ast_search(_code(spark, sf_dir), "os.path.join($A, $$$REST)")
+    return found.select("doc_id", F.col("single")["A"].alias("first"), F.size(F.col("multi")["REST"]).alias("n_rest"))
+
+
+@query("q_ast5_rewrite_plan", "SELECT p_partkey AS doc_id, 'literal_eval(a)' AS replacement FROM part")
+def ast5(spark, sf_dir):
+    return structural.plan_rewrites(structural.ast_search(_code(spark, sf_dir), "eval($X)"), "literal_eval($X)").select("doc_id", "replacement")
+
+
+def _edits(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    start = F.col("l_partkey").cast("long")
+    return li.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.lit("x").alias("replacement"))
+
+
+@query("q_ast6_overlaps", "WITH e AS (SELECT l_orderkey AS doc_id, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e FROM lineitem) SELECT DISTINCT doc_id FROM e QUALIFY max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s")
+def ast6(spark, sf_dir):
+    return structural.overlapping_files(_edits(spark, sf_dir))
+
+
+@query("q_ast6_accepted")
+def ast6_accepted(spark, sf_dir):
+    return structural.accepted_edits(_edits(spark, sf_dir))
+
+
+@query("q_ast7_apply", f"SELECT p_partkey AS doc_id, replace({_CODE}, 'eval(a)', 'literal_eval(a)') AS text FROM part")
+def ast7(spark, sf_dir):
+    code = _code(spark, sf_dir)
+    edits = structural.plan_rewrites(structural.ast_search(code, "eval($X)"), "literal_eval($X)")
+    return structural.apply_edits(code, structural.accepted_edits(edits)).select("doc_id", "text")
+
+
+@query("q_ast8_verify", "SELECT p_partkey AS doc_id, true AS ok FROM part")
+def ast8(spark, sf_dir):
+    code = _code(spark, sf_dir)
+    edits = structural.plan_rewrites(structural.ast_search(code, "eval($X)"), "literal_eval($X)")
+    return structural.verify_edits(code, structural.apply_edits(code, edits), edits)
+
+
+@query("q_ast9_node_types", "SELECT unnest(['Import', 'alias', 'FunctionDef', 'arg', 'Assign', 'Name', 'Call', 'Return', 'Attribute', 'Constant']) AS node_type, unnest([1, 1, 1, 1, 1, 6, 2, 1, 2, 1]) * (SELECT count(*) FROM part) AS n")
+def ast9(spark, sf_dir):
+    return structural.node_types(_code(spark, sf_dir)).groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@query("q_ast10_selector", "SELECT p_partkey AS doc_id FROM part")
+def ast10(spark, sf_dir):
+    return structural.ast_search(_code(spark, sf_dir), "eval($X)", "Call").select("doc_id")
+
+
+@query("q_ast_tokens", "SELECT p_partkey AS doc_id FROM part")
+def ast_tokens(spark, sf_dir):
+    return structural.token_search(_code(spark, sf_dir), "join($$$ARGS)").select("doc_id")
+
+
+@query("q_win6_structural_chunks")
+def win6(spark, sf_dir):
+    return structural.structural_chunks(_code(spark, sf_dir))
+
+
+@query("q_grf1_python_symbols", "SELECT p_partkey AS doc_id, 'import' AS kind, 'os' AS name, 1 AS line FROM part UNION ALL SELECT p_partkey, 'function', 'f' || p_partkey, 2 FROM part")
+def grf1(spark, sf_dir):
+    return structural.python_symbols(_code(spark, sf_dir))
+
+
+@query("q_fn16_reference_kinds", "SELECT p_partkey AS doc_id, 3 AS line, 'call' AS kind FROM part")
+def fn16(spark, sf_dir):
+    return structural.python_references(_code(spark, sf_dir), "eval")
+
+
+@query("q_grf3_line_symbols", "SELECT p_partkey AS doc_id, unnest([1, 2])::INTEGER AS line_no, unnest(['import', 'function']) AS kind, unnest(['std::io', 'f' || p_partkey]) AS name FROM part")
+def grf3(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    code = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("use std::io;\npub fn f"), F.col("p_partkey").cast("string"), F.lit("(a: u8) {}\n")).alias("text"))
+    return graph.extract(lines(code), "rust")
+
+
+@query("q_grf16_capsule")
+def grf16(spark, sf_dir):
+    """The tabular part of an orientation: central files with their directory, importers and confidence."""
+    top = _central(spark, sf_dir).orderBy(F.desc("score"), "file").limit(10)
+    fan = _sparse(spark, sf_dir).groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("importers"))
+    return top.join(fan, "file", "left").select("file", "dir", "score", F.coalesce("importers", F.lit(0)).alias("importers"))
+
+
+# Streams, drained: the same rows as in batch.
+
+
+def _drained(spark, stream, mode="append"):
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    at = f"{root}/stream-{uuid.uuid4().hex}"
+    streams.drain(stream, f"{at}/out", f"{at}/state", mode)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("q_str1_match_stream", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'License')")
+def str1(spark, sf_dir):
+    return _drained(spark, streams.match_stream(streams.read_table(spark, sf_dir, "documents"), SearchSpec(["License"], fixed=True)))
+
+
+_COUNTS = "SELECT time_bucket(INTERVAL {0}, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+@query("q_str11_tumbling", _COUNTS.format("1 HOUR"))
+def str11(spark, sf_dir):
+    return streams.counts(table(spark, sf_dir, "events"), "1 hour")
+
+
+@query("q_str11_sliding", "SELECT b - INTERVAL 30 MINUTE * k AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) AS b, unnest([0, 1]) AS k FROM events) GROUP BY ALL")
+def str11_sliding(spark, sf_dir):
+    return streams.counts(table(spark, sf_dir, "events"), "1 hour", "30 minutes")
+
+
+@query("q_str11_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
+def str11_sessions(spark, sf_dir):
+    return streams.sessions(table(spark, sf_dir, "events"), "2 hours")
+
+
+@query("q_agg12_demand", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS worst FROM events GROUP BY event_type")
+def agg12(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("worst"))
+
+
+# Sinks
+
+
+@query("q_snk5_grep_text", f"WITH {LINES} SELECT doc_id || ':' || line_no || ':' || line AS shown FROM lines WHERE contains(line, 'License')")
+def snk5(spark, sf_dir):
+    found = search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True))
+    return found.select(sinks.grep_text(F.col("doc_id"), F.col("line_no"), F.col("line")).alias("shown"))
+
+
+@query("q_snk1_envelope")
+def snk1(spark, sf_dir):
+    found = search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True))
+    return spark.createDataFrame([(sinks.envelope(found, "License"),)], "json string")

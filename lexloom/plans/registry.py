@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.plans import search_queries
+from lexloom.plans import corpus_queries, ranking_queries, search_queries
 from lexloom.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus_queries", "flagship", "ranking_queries"]
 
 
 def flagship(spark, sf_dir):
