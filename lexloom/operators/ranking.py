@@ -19,6 +19,15 @@ def terms_of(query: str) -> list[str]:
     return [t.lower() for t in re.findall("[A-Za-z0-9]+", spaced)]
 
 
+def _is(word: str):
+    """A function of one argument: Spark passes an index to lambdas of two."""
+    return lambda t: t == F.lit(word)
+
+
+def _dot_with(vector: Column):
+    return lambda t: F.aggregate(F.zip_with(t, vector, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+
+
 def bm25(chunks: DataFrame, query: str, id_cols: Sequence[str], text: str = "text") -> DataFrame:
     """id columns and score of chunks that have a query term. Term counts are taken in the row; only statistics of the query's few terms are joined.
 
@@ -26,7 +35,7 @@ def bm25(chunks: DataFrame, query: str, id_cols: Sequence[str], text: str = "tex
     """
     words = list(dict.fromkeys(terms_of(query)))
     own = chunks.select(*id_cols, split_terms(F.col(text)).alias("_terms"))
-    counts = F.array(*[F.size(F.filter("_terms", lambda t, w=w: t == F.lit(w))) for w in words])
+    counts = F.array(*[F.size(F.filter("_terms", _is(w))) for w in words])
     own = own.select(*id_cols, F.size("_terms").alias("_len"), counts.alias("_tf"))
     stats = own.agg(
         F.count("*").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(words))]).alias("_df")
@@ -72,7 +81,7 @@ def dense_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64)
     rows: list = []
 
     def flush(part: list) -> DataFrame:
-        qs = F.array(*[F.struct(F.lit(r[0]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("q")) for r in part])
+        qs = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("q")) for r in part])
         hits = vectors.select("vec_id", "embedding", F.explode(qs).alias("x"))
         hits = hits.select("vec_id", F.col("x.query_id"), F.round(cosine(F.col("embedding"), F.col("x.q")), 6).alias("score"))
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
@@ -115,7 +124,7 @@ def max_sim(head: DataFrame, query_tokens: Sequence[Sequence[float]], id_col: st
     total = F.lit(0.0)
     for q in query_tokens:
         vector = F.array(*[F.lit(float(x)) for x in q])
-        total = total + F.array_max(F.transform(column, lambda t, v=vector: F.aggregate(F.zip_with(t, v, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)))
+        total = total + F.array_max(F.transform(column, _dot_with(vector)))
     return head.select(id_col, F.round(total, 6).alias("score"))
 
 

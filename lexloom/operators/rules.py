@@ -113,7 +113,7 @@ def test_rules(spark, rules: tuple[Rule, ...]) -> DataFrame:
     """rule_id, kind, snippet and whether the rule does what its snippet expects."""
     rows = [(r.id, kind, s, kind == "invalid", list(r.patterns)) for r in rules for kind, snippets in (("valid", r.valid), ("invalid", r.invalid)) for s in snippets]
     own = spark.createDataFrame(rows, "rule_id string, kind string, snippet string, expected boolean, patterns array<string>")
-    matched = F.exists("patterns", lambda p: F.col("snippet").rlike(p))
+    matched = F.exists("patterns", lambda p: F.rlike("snippet", p))
     return own.select("rule_id", "kind", "snippet", (matched == F.col("expected")).alias("ok"))
 
 

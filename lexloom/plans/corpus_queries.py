@@ -310,7 +310,7 @@ def str5(spark, sf_dir):
     return changes.refreshed(a, found, b.join(found.filter("change <> 'removed'"), "path", "left_semi"), "path")
 
 
-_EVENTS = "e AS (SELECT user_id AS claim_id, (user_id % 7) AS agent_id, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'submit' END AS kind, ts AS at, ts + INTERVAL 3 DAY AS expires_at, event_id FROM events)"
+_EVENTS = "e AS (SELECT user_id AS claim_id, (user_id % 7) AS agent_id, CASE WHEN event_type = 'purchase' THEN 'release' ELSE 'submit' END AS kind, ts, ts + INTERVAL 3 DAY AS expires_at, event_id FROM events)"
 
 
 def _claims(spark, sf_dir):
@@ -318,11 +318,11 @@ def _claims(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim_id"), (F.col("user_id") % 7).alias("agent_id"), kind.alias("kind"), F.col("ts").alias("at"), F.expr("ts + interval 3 day").alias("expires_at"))
 
 
-@query("q_str6_live_claims", f"WITH {_EVENTS}, n AS (SELECT max(at) - INTERVAL 1 DAY AS now FROM e), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY at DESC, kind DESC) = 1) SELECT claim_id, agent_id, kind, at, expires_at FROM l, n WHERE kind <> 'release' AND expires_at > now")
+@query("q_str6_live_claims", f"WITH {_EVENTS}, n AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM e), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY ts DESC, kind DESC) = 1) SELECT claim_id, agent_id, kind, ts AS \"at\", expires_at FROM l, n WHERE kind <> 'release' AND expires_at > t")
 def str6(spark, sf_dir):
     events = _claims(spark, sf_dir)
-    now = events.agg(F.expr("max(at) - interval 1 day").alias("now"))
-    return changes.live_claims(events.crossJoin(F.broadcast(now)).drop("now"), F.lit(now.first()[0]))
+    now = events.agg(F.expr("max(at) - interval 1 day")).first()[0]
+    return changes.live_claims(events, F.lit(now))
 
 
 @query("q_jn8_claim_overlap", "WITH c AS (SELECT DISTINCT o_orderkey AS claim_id, o_custkey % 5 AS agent_id, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') SELECT a.claim_id AS a_id, b.claim_id AS b_id, count(*) AS n_shared, min(a.symbol) AS first_shared FROM c a JOIN c b ON a.symbol = b.symbol AND a.claim_id < b.claim_id AND a.agent_id <> b.agent_id GROUP BY ALL")
