@@ -14,7 +14,10 @@ from lexloom.plans.search_queries import docs
 from lexloom.sources import sinks
 from lexloom.streaming import streams
 
-PATH = F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
+def _path():
+    return F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
+
+
 PATH_SQL = "regexp_extract(url, '//[^/]+/([^?#]*)', 1)"
 
 
@@ -224,7 +227,7 @@ def grf14(spark, sf_dir):
 
 @query("q_grf15_entry_points", f"SELECT page_id, {PATH_SQL} AS path FROM pages WHERE list_extract(string_split({PATH_SQL}, '/'), -1) IN ('25', '474.html', '519')")
 def grf15(spark, sf_dir):
-    return graph.entry_points(table(spark, sf_dir, "pages").select("page_id", PATH.alias("path")), names=("25", "474.html", "519"))
+    return graph.entry_points(table(spark, sf_dir, "pages").select("page_id", _path().alias("path")), names=("25", "474.html", "519"))
 
 
 @query("q_grf17_confidence", "SELECT doc_id, least(CASE WHEN lang = 'de' OR source = 'src1' THEN 0.55 WHEN n_chars > 5000 THEN 0.72 ELSE 0.9 END, CASE WHEN n_chars > 5000 THEN 0.94 ELSE 1.0 END, CASE WHEN n_chars < 100 THEN 0.55 ELSE 1.0 END)::DOUBLE AS confidence FROM documents")
@@ -276,8 +279,8 @@ def grf2(spark, sf_dir):
 i AS (SELECT {PATH_SQL} AS src, 'pages/' || (page_id % 300)::VARCHAR AS module FROM pages) SELECT DISTINCT src, coalesce(a.dst, b.dst) AS dst FROM i LEFT JOIN st a ON a.stem = module LEFT JOIN st b ON b.stem = list_extract(string_split_regex(module, '[./]'), -1) WHERE coalesce(a.dst, b.dst) <> src""")
 def jn4(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    imports = pages.select(PATH.alias("src"), F.concat(F.lit("pages/"), (F.col("page_id") % 300).cast("string")).alias("module"))
-    return graph.resolve_by_stem(imports, pages.select(PATH.alias("file")))
+    imports = pages.select(_path().alias("src"), F.concat(F.lit("pages/"), (F.col("page_id") % 300).cast("string")).alias("module"))
+    return graph.resolve_by_stem(imports, pages.select(_path().alias("file")))
 
 
 # Changes and ledgers: events stand for claims.
