@@ -99,4 +99,34 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op8_line_dedup": OP8_SQL}
+OP2_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS gram FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b)),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram HAVING count(*) > 1),
+hit AS (SELECT g.doc_id, g.i FROM g JOIN f USING (gram) WHERE f.first < g.doc_id),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM r UNION ALL SELECT b.doc_id, coalesce(max(z), 0), any_value(n) FROM b LEFT JOIN r USING (doc_id) GROUP BY b.doc_id),
+t AS (SELECT p.doc_id, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM p JOIN b USING (doc_id) GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM b JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM w),
+g AS (SELECT doc_id, p, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS gram FROM e),
+f AS (SELECT gram, min(doc_id) AS first FROM g WHERE p <= n - 12 GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT g.doc_id, g.p, g.word, (f.gram IS NOT NULL AND g.p <= g.n - 12 AND f.first < g.doc_id)::INT AS hit FROM g LEFT JOIN f ON g.gram = f.gram),
+c AS (SELECT doc_id, p, word, max(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, count(*) FILTER (WHERE gone = 1)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id) GROUP BY w.doc_id, ws
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(),
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
