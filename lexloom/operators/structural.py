@@ -334,41 +334,54 @@ TOKEN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?|\"(?:[^\"\\\n]|\\.)*
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
+def _group(tokens: list[str], at: int) -> int | None:
+    """Behind the bracketed group that begins at `at`."""
+    depth = 0
+    for j in range(at, len(tokens)):
+        depth += (tokens[j] in PAIRS) - (tokens[j] in PAIRS.values())
+        if depth == 0:
+            return j + 1
+    return None
+
+
+def _units(tokens: list[str], at: int) -> list[int]:
+    """Where an expression from `at` on can end, the longest first: a token or group, then calls, indexes and fields."""
+    if at >= len(tokens) or tokens[at] in PAIRS.values():
+        return []
+    end = _group(tokens, at) if tokens[at] in PAIRS else at + 1
+    ends = []
+    while end is not None:
+        ends.append(end)
+        if end < len(tokens) and tokens[end] in ("(", "["):
+            end = _group(tokens, end)
+        elif end + 1 < len(tokens) and tokens[end] == ".":
+            end += 2
+        else:
+            break
+    return ends[::-1]
+
+
 def token_match(pattern: list[str], tokens: list[str], at: int) -> int | None:
-    """Where a match of the token pattern from `at` on ends. $X is a token or a bracketed group, $$$X any balanced stretch."""
-    i, j = 0, at
+    """Where a match of the token pattern from `at` on ends. $X is an expression, $$$X any balanced stretch."""
     if not pattern:
         return at
     if pattern[0].startswith("$$$"):
-        depth = 0
-        while j <= len(tokens):
-            if depth == 0 and (end := token_match(pattern[1:], tokens, j)) is not None:
+        j: int | None = at
+        while j is not None:
+            if (end := token_match(pattern[1:], tokens, j)) is not None:
                 return end
-            if j == len(tokens):
+            if j >= len(tokens) or tokens[j] in PAIRS.values():
                 return None
-            depth += (tokens[j] in PAIRS) - (tokens[j] in PAIRS.values())
-            if depth < 0:
-                return None
-            j += 1
-        return None
-    if j >= len(tokens):
+            j = _group(tokens, j) if tokens[j] in PAIRS else j + 1
         return None
-    if pattern[i].startswith("$"):
-        if tokens[j] in PAIRS.values():
-            return None
-        depth = 0
-        while True:
-            depth += (tokens[j] in PAIRS) - (tokens[j] in PAIRS.values())
-            j += 1
-            if depth == 0 or j == len(tokens):
-                break
-        return token_match(pattern[1:], tokens, j)
-    return token_match(pattern[1:], tokens, j + 1) if tokens[j] == pattern[i] else None
+    if pattern[0].startswith("$"):
+        return next((end for j in _units(tokens, at) if (end := token_match(pattern[1:], tokens, j)) is not None), None)
+    return token_match(pattern[1:], tokens, at + 1) if at < len(tokens) and tokens[at] == pattern[0] else None
 
 
 def token_search(docs: DataFrame, pattern: str) -> DataFrame:
     """Matches of a pattern of tokens in any language: doc_id, start, end (characters)."""
-    own = TOKEN.findall(re.sub(r"\$\$\$", "$$$", pattern))
+    own = TOKEN.findall(pattern)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def make(doc_id: int, text: str) -> list[tuple]:
