@@ -80,7 +80,7 @@ def bounded_suffixes(symbols: np.ndarray, upto: int) -> np.ndarray:
     order = np.argsort(rank, kind="stable")
     while step < upto:
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
+        second[: max(n - step, 0)] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + second
         order = np.argsort(key, kind="stable")
         new = key[order]
