@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import save
 
-SPACE_SQL = "' \\t\\n\\u000B\\f\\r'"
+SPACE_SQL = "' \\t\\n\\u000B\\u000C\\r'"
 SPLIT = "[\\\\x20\\\\x09-\\\\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("_x0", "_x1", "_x2", "_x3", "_x4")
