@@ -18,10 +18,13 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", F.slice(parts, 1, 0)).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def split_terms(text: Column) -> Column:
     """Camel case, underscores and hyphens apart; runs of ASCII letters and digits; lower case."""
-    spaced = F.translate(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "_-", "  ")
-    return F.transform(F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    spaced = F.translate(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), f"_-{UPPER}", f"  {LOWER}")
+    return F.regexp_extract_all(spaced, F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def term_overlap(query_terms: Column, text_terms: Column) -> Column:
@@ -30,10 +33,12 @@ def term_overlap(query_terms: Column, text_terms: Column) -> Column:
 
 
 def trigrams(line: Column) -> Column:
-    """Distinct lower-case trigrams of characters."""
-    lowered = F.lower(line)
-    grams = F.transform(F.sequence(F.lit(1), F.length(lowered) - 2), lambda i: F.substring(lowered, i, F.lit(3)))
-    return F.when(F.length(lowered) >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct lower-case trigrams of characters. Characters are split once: taking substrings would read the line anew for each."""
+    chars = F.split(F.lower(line), "")
+    count = F.length(F.lower(line))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), count), lambda a, b: F.concat(a, b))
+    grams = F.zip_with(pairs, F.slice(chars, F.lit(3), count), lambda ab, c: F.concat(ab, c))
+    return F.when(count >= 3, F.array_distinct(F.slice(grams, F.lit(1), count - 2))).otherwise(F.array().cast("array<string>"))
 
 
 def byte_column(line: Column, at: Column) -> Column:

@@ -26,3 +26,13 @@ def budgeted(rows: DataFrame, budget: int, order: list[str]) -> DataFrame:
     top = rows.orderBy(*order).limit(budget + 1)
     n = top.agg(F.count("*").alias("_n"))
     return top.orderBy(*order).limit(budget).crossJoin(F.broadcast(n)).withColumn("truncated", F.col("_n") > budget).drop("_n")
+
+
+# Words that make a query a question to a model rather than a pattern.
+QUESTION_WORDS = ("classify", "detect", "extract entities", "anomaly")
+
+
+def query_kind(query: str) -> str:
+    """NLP for a query that asks for understanding, FAST for one that is a pattern."""
+    low = query.lower()
+    return "NLP" if any(w in low for w in QUESTION_WORDS) else "FAST"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,11 @@ def usable(spec: SearchSpec) -> list[str] | None:
 
 
 def candidate_lines(postings: DataFrame, literals: Sequence[str]) -> DataFrame:
-    """An OR of literals."""
-    out = candidates(postings, literals[0])
-    for x in literals[1:]:
-        out = out.unionByName(candidates(postings, x))
-    return out.distinct() if len(literals) > 1 else out
+    """Lines that have all trigrams of any of the literals, in one pass over the postings."""
+    grams = [grams_of(x) for x in literals]
+    counts = [F.count_if(F.col("tri").isin(g)).alias(f"_n{i}") for i, g in enumerate(grams)]
+    hit = postings.filter(F.col("tri").isin(sorted({x for g in grams for x in g}))).groupBy("doc_id", "line_no").agg(*counts)
+    return hit.filter(functools.reduce(operator.or_, (F.col(f"_n{i}") == len(g) for i, g in enumerate(grams)))).select("doc_id", "line_no")
 
 
 def index_search(docs: DataFrame, postings: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -78,14 +80,33 @@ def stale_reason(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def save_index(postings: DataFrame, path: str) -> None:
     """Sorted by trigram within files, so that a query reads few row groups."""
-    spark = postings.sparkSession
-    postings.repartitionByRange("tri").sortWithinPartitions("tri", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    meta = json.dumps({"format": FORMAT, "columns": postings.columns})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    _save(postings.repartitionByRange("tri").sortWithinPartitions("tri", "doc_id"), path, {"kind": "trigrams"})
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return _load(spark, path, {"kind": "trigrams"})
+
+
+def save_chunks(chunks: DataFrame, path: str, size: int, overlap: int) -> None:
+    """Chunks to rank, with how they were cut."""
+    _save(chunks, path, {"kind": "chunks", "size": size, "overlap": overlap})
+
+
+def load_chunks(spark: SparkSession, path: str, size: int, overlap: int) -> DataFrame:
+    return _load(spark, path, {"kind": "chunks", "size": size, "overlap": overlap})
+
+
+def _save(table: DataFrame, path: str, about: dict) -> None:
+    table.write.mode("overwrite").parquet(f"{path}/postings")
+    meta = json.dumps({"format": FORMAT, **about}, sort_keys=True)
+    table.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def _load(spark: SparkSession, path: str, about: dict) -> DataFrame:
+    """What was saved, if it is of this format and made the way that is asked for; else an error, never a wrong answer."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if meta["format"] != FORMAT:
-        raise ValueError(f"index of format {meta['format']}; this reads {FORMAT}")
+    if meta.get("format") != FORMAT:
+        raise ValueError(f"index of format {meta.get('format')}; this reads {FORMAT}")
+    if {k: v for k, v in meta.items() if k != "format"} != about:
+        raise ValueError(f"index is of {meta}, not {about}")
     return spark.read.parquet(f"{path}/postings")

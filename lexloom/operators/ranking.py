@@ -34,9 +34,10 @@ def bm25(chunks: DataFrame, query: str, id_cols: Sequence[str], text: str = "tex
     score = sum over distinct query terms of ln(1 + (n - df + .5) / (df + .5)) * tf * 2.5 / (tf + 1.5 * (.25 + .75 * length / mean length)).
     """
     words = list(dict.fromkeys(terms_of(query)))
-    own = chunks.select(*id_cols, split_terms(F.col(text)).alias("_terms"))
-    counts = F.array(*[F.size(F.filter("_terms", _is(w))) for w in words])
-    own = own.select(*id_cols, F.size("_terms").alias("_len"), counts.alias("_tf"))
+    # Terms are split once: what a lambda binds isn't computed again, and nothing is merged through an explode.
+    found = F.transform(F.array(split_terms(F.col(text))), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*words)).alias("hits")))
+    own = chunks.select(*id_cols, F.explode(found).alias("_t")).select(*id_cols, F.col("_t.len").alias("_len"), F.col("_t.hits").alias("_hits"))
+    own = own.select(*id_cols, "_len", F.array(*[F.size(F.filter("_hits", _is(w))) for w in words]).alias("_tf"))
     stats = own.agg(
         F.count("*").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(words))]).alias("_df")
     )
