@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import small_batches
+from lexloom.llm.common import save, small_batches
 
 #: A subtree recurs if so many distinct pages of its host have it, and so large a share of them.
 MIN_PAGES = 4
@@ -34,6 +34,10 @@ MIN_SHARE = 0.2
 TEXT_MIN_PAGES = 12
 TEXT_MIN_SHARE = 0.8
 
+#: A template table of so many digests (about 20 MB) is broadcast, and pages aren't moved at all; a larger one is joined by host and salt.
+BROADCAST_DIGESTS = 400_000
+SALTS = 16
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
@@ -181,7 +185,7 @@ def prepare(root: Node) -> None:
 
 
 def main_of(root: Node) -> Node:
-    """The article or main element with most text, else the deepest element that holds nearly all of it."""
+    """The article or main element with most text; without one, the page."""
     best, todo = None, [root]
     while todo:
         node = todo.pop()
@@ -193,9 +197,14 @@ def main_of(root: Node) -> Node:
             if best is None or rank > best[0]:
                 best = (rank, node)
         todo += [x for x in node.children if isinstance(x, Node)]
-    if best is not None:
-        return best[1]
-    node = root
+    return root if best is None else best[1]
+
+
+def content_of(root: Node) -> Node:
+    """Where running text is taken for the author's: the main element, or the deepest element that holds most of the page."""
+    node = main_of(root)
+    if node is not root:
+        return node
     while True:
         inner = max((x for x in node.children if isinstance(x, Node) and not x.dropped and x.tag in ("html", "body", "div", "section", "td", "table", "tbody", "tr", "center")), key=lambda x: x.size, default=None)
         if inner is None or inner.size < 0.6 * node.size or not inner.size:
@@ -204,38 +213,40 @@ def main_of(root: Node) -> Node:
 
 
 def subtrees(root: Node) -> Iterator[tuple[bytes, bool]]:
-    """(digest, is running text of the main element) of each subtree with text, furniture left out: it goes anyway."""
-    main = main_of(root)
-    todo = [(root, False)]
+    """(digest, is running text of the content) of each subtree with text, furniture left out: it goes anyway."""
+    main, content = main_of(root), content_of(root)
+    todo = [(root, root is content)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node is main
         for x in node.children:
             if isinstance(x, Node) and not x.dropped and x.tag != "br":
-                if x.size and x is not main:
+                if x.size and x is not main and x is not content:
                     yield x.digest, inside and x.tag in RUNNING
-                todo.append((x, inside))
+                todo.append((x, inside or x is content))
 
 
 def text_of(root: Node, template: set[bytes], in_text: set[bytes]) -> str:
-    main = main_of(root)
+    main, content = main_of(root), content_of(root)
     out: list[list[str]] = [[]]
-    # Work items: a node to open, or a mark that a block ends.
-    todo: list[Node | str | None] = [main]
+    # Work items: a node to open with whether it lies in the content, text, or a mark that a block ends.
+    todo: list[tuple[Node, bool] | str | None] = [(main, main is content)]
     while todo:
-        x = todo.pop()
-        if x is None:
+        item = todo.pop()
+        if item is None:
             out.append([])
-        elif isinstance(x, str):
-            out[-1].append(x)
-        elif x.tag == "br":
+            continue
+        if isinstance(item, str):
+            out[-1].append(item)
+            continue
+        x, inside = item
+        if x.tag == "br":
             out[-1].append(" ")
-        elif x is main or not (x.dropped or x.digest in (in_text if x.tag in RUNNING else template)):
-            block = x.tag in BLOCKS
-            if block:
+        elif x is main or x is content or not (x.dropped or x.digest in (in_text if inside and x.tag in RUNNING else template)):
+            inside = inside or x is content
+            if x.tag in BLOCKS:
                 out.append([])
                 todo.append(None)
-            todo += reversed(x.children)
+            todo += [y if isinstance(y, str) else (y, inside) for y in reversed(x.children)]
     blocks = (SPACES.sub(" ", "".join(parts)).strip() for parts in out)
     return "\n".join(b for b in blocks if b)
 
@@ -251,12 +262,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
             prepare(root)
-            own = dict(subtrees(root))
+            own = list(dict.fromkeys(subtrees(root)))
             host = host_of(url)
             hosts += [host] * (len(own) + 1)
             pages += [root.digest] * (len(own) + 1)
-            digests += [b"", *own]
-            running += [False, *own.values()]
+            digests += [b"", *(d for d, _ in own)]
+            running += [False, *(r for _, r in own)]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary()), pa.array(digests, pa.binary()), pa.array(running, pa.bool_())], ["host", "page", "digest", "running"])
 
 
@@ -281,13 +292,21 @@ def main_texts(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 500)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     seen = source.select("url", "html").mapInArrow(_subtrees, "host string, page binary, digest binary, running boolean")
-    seen = seen.groupBy("host", "digest", "page").agg(F.min("running").alias("running"))
-    counts = seen.groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("running").alias("running"))
+    seen = seen.groupBy("host", "digest", "running", "page").agg(F.lit(1).alias("one"))
+    counts = seen.groupBy("host", "digest", "running").agg(F.count("*").alias("n"))
     total = counts.filter("digest = X''").select(F.col("host").alias("_host"), F.col("n").alias("total"))
     often = counts.filter(F.col("digest") != F.lit(b"")).filter(f"n >= {MIN_PAGES}").join(total, F.col("host").eqNullSafe(F.col("_host")))
     often = often.filter(F.when(F.col("running"), (F.col("n") >= TEXT_MIN_PAGES) & (F.col("n") >= TEXT_MIN_SHARE * F.col("total"))).otherwise(F.col("n") >= MIN_SHARE * F.col("total")))
+    often = save(pages.sparkSession, often.select("host", "digest", "running"), "template")
     template = often.groupBy("host").agg(F.collect_list(F.struct("digest", "running")).alias("template"))
     template = template.select(F.col("host").alias("_host"), "template")
+    if often.count() <= BROADCAST_DIGESTS:
+        template = F.broadcast(template)
+    else:
+        # Each host's pages are dealt to several tasks, each with a copy of what the host's template holds.
+        template = template.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        source = source.withColumn("_deal", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int"))
     host = F.lower(F.nullif(F.regexp_extract("url", HOST.pattern, 1), F.lit("")))
-    joined = source.join(template, host.eqNullSafe(F.col("_host")), "left").select("page_id", "url", "html", "template")
+    same = host.eqNullSafe(F.col("_host"))
+    joined = source.join(template, same & (F.col("_deal") == F.col("_salt")) if "_salt" in template.columns else same, "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
