@@ -28,7 +28,7 @@ ODD = 0x9E3779B97F4A7C15
 WORD = 1 << 64
 #: Symbols that are looked at together; a longer document is a block of its own.
 BLOCK = 1 << 20
-#: Bytes of segments that are solved together; only one minimiser with more goes beyond.
+#: Bytes of segments that are solved together, so that the work stays in a cache; only one minimiser with more goes beyond.
 PART = 3_000_000
 NO_ID = -(1 << 63)
 
@@ -385,11 +385,12 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def least_holders(docs: DataFrame, encode: Encode, solve: Solve, finish, schema: str, names: list[str], kinds: list[pa.DataType], length: int, seed: int) -> DataFrame:
     """docs: doc_id long, text string. finish(block, mask) gives rows of schema for a block's documents."""
-    shards = shard_count(docs.sparkSession, 4)
+    # A shard sends each bucket a row at most, so their product must stay small beside the data.
+    shards, buckets = shard_count(docs.sparkSession, 2), shard_count(docs.sparkSession, 1)
     dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards))
     by_bucket = "bucket int, shard int, blob binary"
-    asked = dealt.groupBy("shard").applyInArrow(_ask(encode, length, seed, shards), by_bucket)
+    asked = dealt.groupBy("shard").applyInArrow(_ask(encode, length, seed, buckets), by_bucket)
     shared = asked.groupBy("bucket").applyInArrow(_shared, "shard int, blob binary")
-    sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(encode, length, seed, shards), by_bucket)
+    sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send(encode, length, seed, buckets), by_bucket)
     told = sent.groupBy("bucket").applyInArrow(_solve(solve, length), "shard int, blob binary")
     return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_answer(encode, finish, names, kinds, length, seed), schema)
