@@ -299,6 +299,12 @@ def test_rejections_are_of_rows_not_ids(spark):
     assert quality.keep_good(d).count() == len(good)
 
 
+def test_salted_estimates_give_the_same(spark, monkeypatch):
+    want = rows(queries.op10_quality_rules(spark, SF))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", -1)
+    assert rows(queries.op10_quality_rules(spark, SF)) == want
+
+
 def test_chi_square():
     assert math.isclose(quality.chi2_cdf(quality.chi2_quantile(0.9, 5), 5), 0.9, abs_tol=1e-9)
     assert math.isclose(quality.chi2_quantile(0.95, 1), 3.841459, abs_tol=1e-5)
