@@ -374,6 +374,8 @@ def token_match(pattern: list[str], tokens: list[str], at: int) -> int | None:
                 return None
             j = _group(tokens, j) if tokens[j] in PAIRS else j + 1
         return None
+    if pattern[0] == "$STRING":
+        return token_match(pattern[1:], tokens, at + 1) if at < len(tokens) and tokens[at][0] in "\"'`" else None
     if pattern[0].startswith("$"):
         return next((end for j in _units(tokens, at) if (end := token_match(pattern[1:], tokens, j)) is not None), None)
     return token_match(pattern[1:], tokens, at + 1) if at < len(tokens) and tokens[at] == pattern[0] else None
@@ -391,3 +393,49 @@ def token_search(docs: DataFrame, pattern: str) -> DataFrame:
         return [(doc_id, spans[i][1], spans[e - 1][2]) for i, e in ends if e is not None and e > i]
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_per_file(make, schema), "doc_id long, start long, end long")
+
+
+def structural_rules(pack: str, language: str) -> list[tuple[str, str, str]]:
+    """(id, severity, pattern) of a pack for a language."""
+    from lexloom.operators.rule_table import STRUCTURAL_RULES
+
+    return [(f"{language}-{name}", severity, pattern) for p, languages, name, severity, pattern in STRUCTURAL_RULES if p == pack and language in languages]
+
+
+def _token_pattern(pattern: str) -> list[str]:
+    """Tokens of a pattern; a quoted metavariable stands for any string literal."""
+    return ["$STRING" if META.fullmatch(t[1:-1]) and t[0] in "\"'" else t.removeprefix("$$") if t.startswith("$$$$") else t for t in TOKEN.findall(pattern)]
+
+
+def scan_structural(docs: DataFrame, rules: list[tuple[str, str, str]], language: str) -> DataFrame:
+    """(doc_id, rule_id, severity, line) of structural rules; a file is parsed, or cut into tokens, once for all of them. Findings can be rolled up as those of line rules."""
+    schema = pa.schema([("doc_id", pa.int64()), ("rule_id", pa.string()), ("severity", pa.string()), ("line_no", pa.int32()), ("line", pa.string())])
+    literals = [x for _, _, p in rules if (x := literal_of(p))]
+
+    def python(doc_id: int, text: str) -> list[tuple]:
+        try:
+            source = Source(text)
+        except (SyntaxError, ValueError):
+            return []
+        lines = text.split("\n")
+        return [(doc_id, i, s, m.line, lines[m.line - 1]) for i, s, p in rules for m in find(source, compile_pattern(p))]
+
+    def tokens(doc_id: int, text: str) -> list[tuple]:
+        spans = [(m[0], m.start()) for m in TOKEN.finditer(text)]
+        own = [t for t, _ in spans]
+        lines, out = text.split("\n"), []
+        for i, s, p in rules:
+            pattern = _token_pattern(p)
+            for at in range(len(own)):
+                if (pattern[0].startswith("$") or own[at] == pattern[0]) and token_match(pattern, own, at) is not None:
+                    line = text.count("\n", 0, spans[at][1])
+                    out.append((doc_id, i, s, line + 1, lines[line]))
+        return out
+
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    if len(literals) == len(rules):
+        hit = F.lit(False)
+        for x in sorted(set(literals)):
+            hit = hit | F.col("text").contains(x)
+        own = own.filter(hit)
+    return own.mapInArrow(_per_file(python if language == "python" else tokens, schema), "doc_id long, rule_id string, severity string, line_no int, line string")

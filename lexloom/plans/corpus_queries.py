@@ -414,6 +414,12 @@ def ast1(spark, sf_dir):
     return structural.ast_search(_code(spark, sf_dir), "eval($X)").select("doc_id", "start", "end", "line", "text")
 
 
+@query("q_rul1_structural_pack", "SELECT p_partkey AS doc_id, 'python-auth-eval' AS rule_id, 'high' AS severity, 3 AS line_no FROM part")
+def rul1_structural(spark, sf_dir):
+    found = structural.scan_structural(_code(spark, sf_dir), structural.structural_rules("auth", "python"), "python")
+    return found.select("doc_id", "rule_id", "severity", "line_no")
+
+
 @query("q_ast2_prefilter", f"SELECT p_partkey AS doc_id FROM part WHERE contains({_CODE}, 'eval')")
 def ast2(spark, sf_dir):
     return _code(spark, sf_dir).filter(F.col("text").contains(structural.literal_of("eval($X)"))).select("doc_id")

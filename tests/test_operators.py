@@ -292,3 +292,16 @@ def test_request_stream(spark, tmp_path):
     streams.serve(requests, {"range": lambda s, a: s.range(a["n"])}, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out/id=1")).count() == 3
     assert "unknown command" in spark.read.json(str(tmp_path / "out/id=2")).first()["error"]
+
+
+def test_structural_packs(spark):
+    scan = lambda pack, language, text: sorted({(r.rule_id, r.line_no) for r in structural.scan_structural(code(spark, text), structural.structural_rules(pack, language), language).collect()})
+    assert scan("auth", "python", 'x = 1\njwt.encode(p, "k")\njwt.encode(p, k)\njwt.encode(p, "k", algorithm="H")') == [("python-jwt-encode-hardcoded-secret", 2), ("python-jwt-encode-hardcoded-secret-options", 2), ("python-jwt-encode-hardcoded-secret-options", 4)]
+    assert scan("subprocess", "python", "subprocess.run(c, shell=True)\nsubprocess.run(c)") == [("python-subprocess-run-shell-true", 1)]
+    assert scan("subprocess", "javascript", 'child_process.exec(f(a, b));\nspawn("sh", ["-c", x]);') == [("javascript-child-process-exec", 1), ("javascript-exec", 1), ("javascript-spawn-sh", 2)]
+    assert scan("auth", "rust", 'let jwt_secret = "abc";\nlet jwt_secret = env();') == [("rust-hardcoded-jwt-secret", 1)]
+    assert scan("tls", "typescript", "{ rejectUnauthorized: false }") == [("typescript-reject-unauthorized-false", 1)]
+    assert len(structural.structural_rules("deserialization", "python")) == 8
+    for pack in ("auth", "crypto", "secrets", "deserialization", "subprocess", "tls"):
+        for _, _, pattern in structural.structural_rules(pack, "python"):
+            structural.compile_pattern(pattern)
