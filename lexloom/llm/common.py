@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space of the word and line rules of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

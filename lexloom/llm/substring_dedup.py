@@ -14,58 +14,50 @@ other. Extra columns are not carried. No rows in, no rows out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from lexloom.llm.common import WORD_PATTERN, id_and_text
-from lexloom.llm.repeats import NO_ID, Block, least_holders, ranges, spans_of
+from lexloom.llm.common import id_and_text
+from lexloom.llm.repeats import NO_ID, Block, Powers, least_holders, ranges, spans_of
+from lexloom.llm.suffix_dedup import BYTES
 
 LENGTH = 13
 SEED = 6
-#: Characters of text that are looked at together; a longer document is a block of its own.
-CHARS = 2_000_000
-ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-WORD = re.compile(WORD_PATTERN)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def words_of(text: str | None) -> list[str]:
-    """str.split() knows more white space than the rule; texts that have it are split by the pattern."""
-    text = text or ""
-    return WORD.findall(text) if ODD_SPACE.search(text) else text.split()
+#: Bytes of text that are looked at together; a longer document is a block of its own.
+CHARS = 1_000_000
+BLANK = 0x20
+IS_SPACE = np.isin(np.arange(256), [BLANK, *range(0x09, 0x0E)])
 
 
 def encode_words(ids: list[int], texts: list[str]) -> Iterator[Block]:
-    """Documents in blocks of about CHARS characters; raw has each word and a space behind it."""
-    table = WordHashes()
-    held: list[list[str]] = []
+    """Documents in blocks of about CHARS characters; raw has each word and a blank behind it.
+
+    All on bytes: no white space of the rule occurs within a UTF-8 sequence. A word's hash is that of its bytes.
+    """
+    powers = Powers()
+    held: list[bytes] = []
     own: list[int] = []
     size = 0
 
     def block() -> Block:
-        words = [w for ws in held for w in ws]
-        sizes = np.array([len(ws) for ws in held], np.int64)
-        ends = np.cumsum(sizes)
-        raw = np.frombuffer((" ".join(words) + " ").encode("utf-8", "surrogatepass") if words else b"", np.uint8)
-        at = np.concatenate(([0], np.flatnonzero(raw == 32) + 1)).astype(np.int64)
-        return Block(np.fromiter(map(table.__getitem__, words), np.uint64, len(words)), ends - sizes, ends, np.array(own, np.int64), raw, at)
+        every = np.frombuffer(b" ".join(held) + b" ", np.uint8)
+        space = IS_SPACE[every]
+        behind = np.concatenate(([False], ~space[:-1]))
+        last = space & behind
+        doc_ends = np.cumsum([len(x) + 1 for x in held])
+        ends = np.cumsum(last)[doc_ends - 1].astype(np.int64)
+        raw = np.where(space, np.uint8(BLANK), every)[~space | last]
+        at = np.concatenate(([0], np.flatnonzero(raw == BLANK) + 1)).astype(np.int64)
+        symbols = powers.stretches(BYTES[raw], at[:-1], np.diff(at) - 1)
+        return Block(symbols, np.concatenate(([0], ends[:-1])), ends, np.array(own, np.int64), raw, at)
 
     for doc_id, text in zip(ids, texts, strict=True):
-        held.append(words_of(text))
+        held.append((text or "").encode("utf-8", "surrogatepass"))
         own.append(doc_id)
-        size += len(text or "")
+        size += len(held[-1])
         if size >= CHARS:
             yield block()
             held, own, size = [], [], 0
@@ -160,7 +152,7 @@ def least_over(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 def solve(raw: np.ndarray, cuts: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of each string, and for each window the least doc_id of all strings that hold it."""
     words = raw.tobytes().split(b" ")[:-1]
-    ends = np.searchsorted(np.flatnonzero(raw == 32) + 1, cuts[1:], "right")
+    ends = np.searchsorted(np.flatnonzero(raw == BLANK) + 1, cuts[1:], "right")
     sizes = np.diff(np.concatenate(([0], ends)))
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int64, len(words))
