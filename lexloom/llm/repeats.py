@@ -29,7 +29,7 @@ WORD = 1 << 64
 #: Symbols that are looked at together; a longer document is a block of its own.
 BLOCK = 1 << 20
 #: Bytes of segments that are solved together, so that the work stays in a cache; only one minimiser with more goes beyond.
-PART = 3_000_000
+PART = 400_000
 NO_ID = -(1 << 63)
 
 
