@@ -83,6 +83,20 @@ def with_features(d: DataFrame) -> DataFrame:
     )
 
 
+#: Groups whose estimates are broadcast (about 250 bytes each); of more, each is copied to several tasks.
+BROADCAST_GROUPS = 40_000
+SALTS = 16
+
+
+def _beside(rows: DataFrame, found: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with what their group has in the small table found. Rows of a group are not brought together: a group may be most of a corpus."""
+    if few:
+        return rows.join(F.broadcast(found), "_group", how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["_group", "_salt"], how).drop("_salt")
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """The estimate that each language and source uses: its own, its language's, or everyone's."""
     counts = rows.filter("not base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("n"))
@@ -137,10 +151,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     found = save(spark, _cholesky(start).drop(*[f"_q{i}" for i in range(p)]), "mcd")
     # The covariance of the nearest part of a normal sample is too small by this factor.
     factor = KEEP / chi2_cdf(chi2_quantile(KEEP, p), p + 2)
+    few = found.count() <= BROADCAST_GROUPS
     for _ in range(STEPS):
-        near = _with_distance(members.join(found, "_group"))
+        near = _with_distance(_beside(members, found, few))
         limit = near.groupBy("_group").agg(F.percentile_approx("_d2", F.lit(KEEP), 2000).alias("_limit"))
-        near = near.join(limit, "_group").filter("_d2 <= _limit")
+        near = _beside(near, limit, few).filter("_d2 <= _limit")
         sums = [F.avg(x).alias(f"_m{i}") for i, x in enumerate(FEATURES)]
         sums += [(F.lit(factor) * F.covar_pop(FEATURES[i], FEATURES[j])).alias(f"_v{i}{j}") for i in range(p) for j in range(i + 1)]
         found = save(spark, _cholesky(near.groupBy("_group").agg(*sums)), "mcd")
@@ -161,7 +176,12 @@ def judge(docs: DataFrame, beyond: float = 1e-6) -> DataFrame:
     d = d.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     rows = save(spark, with_features(d), "statistics")
     found = estimates(rows)
-    judged = rows.join(_groups(rows), ["_lang", "_source"], "left").join(found, "_group", "left")
+    groups = save(spark, _groups(rows), "groups")
+    few = groups.count() <= BROADCAST_GROUPS
+    keyed = rows.withColumn("_group", F.concat_ws("\u0001", "_lang", "_source"))
+    own = groups.select(F.concat_ws("\u0001", "_lang", "_source").alias("_group"), F.col("_group").alias("_uses"))
+    judged = _beside(keyed, own, few, "left").drop("_group").withColumnRenamed("_uses", "_group")
+    judged = _beside(judged, found, few, "left")
     judged = _with_distance(judged)
     limit = chi2_quantile(1 - beyond, len(FEATURES))
     kept = F.expr("not base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= limit)
