@@ -18,6 +18,7 @@ row. Extra columns are not carried. No rows in, no rows out.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -34,7 +35,7 @@ from lexloom.llm.common import id_and_text, save, small_batches
 
 CAPACITY = 2048
 #: Words kept encoded in a worker; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -44,6 +45,19 @@ def worker_state(name: str) -> types.ModuleType:
     return sys.modules.setdefault(name, types.ModuleType(name))
 
 
+def _lean(tokenizer):
+    """The tokenizer for words of lower-case letters alone: they need no normalizer, and splitting at blanks is all that splitting by letters does to them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps = (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or "[\\p{L}]+" not in steps[0]["pattern"].get("Regex", "") or steps[1]["use_regex"]:
+        return tokenizer
+    own = Tokenizer.from_str(tokenizer.to_str())
+    own.normalizer = None
+    own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return own
+
+
 class WordEncoder:
     """Encodes text word by word; right for vocabularies whose pre-tokenizer drops white space, as checked against the library in the tests."""
 
@@ -51,6 +65,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lean = _lean(self.tokenizer)
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -58,49 +73,43 @@ class WordEncoder:
         self.cores: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         # Letters, then marks that can't join them in one token: lower-casing keeps the length of these letters.
-        self.plain = re.compile(f"([{LETTERS}]+)([.,;:!?*%&#$]*)")
+        self.plain = re.compile(f"(?m)^(?:([{LETTERS}]+)([.,;:!?*%&#$]*)|(.+))$")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-            self.cores.clear()
-        parts, new = [], {}
-        for word in words:
-            found = self.plain.fullmatch(word)
-            if found is None:
-                self.words[word] = self.encode(word)
-                continue
-            core, mark = found[1].lower(), found[2]
-            if mark not in self.marks:
-                self.marks[mark] = self.encode(mark)
-            if core not in self.cores:
-                new[core] = None
-            parts.append((word, core, mark))
+    def learn(self, words: list[str]) -> None:
+        """Words are taken apart in one pass; lower-casing the whole list changes no line breaks, and plain letters keep their number."""
+        found = self.plain.findall("\n".join(words).lower())
+        cores = [core for core, _, _ in found]
+        new = [core for core in dict.fromkeys(cores) if core and core not in self.cores]
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.lean.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(cuts) == len(new):
-                raw, begin = ids.tobytes(), 0
-                for core, end in zip(new, cuts.tolist(), strict=True):
-                    self.cores[core] = raw[begin:end]
-                    begin = end
+                raw, ends = ids.tobytes(), cuts.tolist()
+                self.cores.update(zip(new, [raw[begin:end] for begin, end in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 self.cores.update((core, self.encode(core)) for core in new)
-        for word, core, mark in parts:
-            self.words[word] = self.cores[core] + self.marks[mark]
+        for mark in {mark for _, mark, _ in found}:
+            if mark not in self.marks:
+                self.marks[mark] = self.encode(mark)
+        known, marks = self.cores, self.marks
+        self.words.update((word, known[core] + marks[mark] if mark else known[core] if core else self.encode(word)) for word, (core, mark, _) in zip(words, found, strict=True))
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """A few texts at a time, so that what is split stays small."""
         for at in range(0, len(texts), 200):
             split = [text.split() for text in texts[at : at + 200]]
-            missing = {w for ws in split for w in ws if w not in self.words}
-            if missing:
-                self.learn(missing)
-            for ws in split:
-                yield b"".join(map(self.words.__getitem__, ws))
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+                self.cores.clear()
+            found = [list(map(self.words.get, ws)) for ws in split]
+            late = [i for i, x in enumerate(found) if None in x]
+            if late:
+                self.learn(list({w for i in late for w, x in zip(split[i], found[i], strict=True) if x is None}))
+            for i, x in enumerate(found):
+                yield b"".join(map(self.words.__getitem__, split[i]) if None in x else x)
 
 
 def encoder(path: str) -> WordEncoder:
