@@ -7,9 +7,10 @@ just of a similar set of words. Texts that share a hash are candidates; a pair i
 over the words gives a similarity 1 - distance / longer length of at least 0.8.
 
 Texts with the same words are one node. Buckets are formed by each hash, and by neighbouring hashes together. In each
-the least node leads and is compared with all others; a pair meets in many buckets, under different leaders if the
-bucket holds unlike texts. Links are joined to connected components. A bucket of n nodes costs n - 1 comparisons,
-never all pairs; no partner is dropped.
+the least node leads and is compared with all others, and links are joined to connected components. Where a bucket then holds
+nodes of several components, every pair across them that did not meet before is compared too, unless lengths or word counts
+alone show that it is unlike. So each pair that shares a hash ends up in one component or was found unlike, whoever led. A bucket of n
+like nodes costs n - 1 comparisons; one of n unlike nodes, such as those that share a long passage, costs all pairs.
 
 Defined results: every row gets a class, the least doc_id in its component (null only if all are null). Texts
 without words are alike only if equal. Rows with the same doc_id are judged each by its text. Extra columns are
@@ -39,6 +40,10 @@ SIMILARITY = 0.8
 TASK_WORDS = 50_000
 #: So many leaders of large groups (about 20 bytes each) are broadcast.
 BROADCAST_LEADERS = 500_000
+#: Words are counted in so many cells, whose differences bound a distance from below.
+CELLS = 128
+#: A bucket's nodes meet in tasks of about so many nodes against the whole bucket.
+BLOCK_NODES = 500
 TOKEN = re.compile(r"\w+")
 BLOCK = 1 << 15
 
@@ -172,6 +177,70 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(heads, "bucket").filter(F.col("node") != F.col("leader")).select("leader", "node").distinct()
 
 
+def _aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, linked) for each pair (leader, node)."""
+    spark = pairs.sparkSession
+    # A leader's members are dealt to as many tasks as their words ask for, each with a copy of the leader's text.
+    sized = pairs.join(nodes.select("node", "n_words"), "node")
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("parts")).filter("parts > 1")
+    parts = save(spark, parts, "leaders")  # leaders of large groups only, so pairs need not be brought together by leader
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_LEADERS else parts
+    members = pairs.join(parts, "leader", "left").select("leader", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("leads"))
+    heads = members.select("leader", F.col("leader").alias("node"), "part", F.lit(True).alias("leads")).distinct()
+    work = members.unionByName(heads).join(texts, "node")
+    return save(spark, work.groupBy("leader", "part").applyInArrow(_align(similarity), "a binary, b binary, linked boolean"), "aligned")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, and its words counted by cell (255 at most, which only lowers differences)."""
+    table = WordHashes()
+    for batch in batches:
+        found = []
+        for text in batch.column(1).to_pylist():
+            words = tokens(text)
+            cells = np.fromiter(map(table.__getitem__, words), np.uint64, len(words)) % np.uint64(CELLS)
+            found.append(np.minimum(np.bincount(cells.astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "counts"])
+
+
+def _may_link(similarity: float):
+    """Of pairs (leader, node, longer length, counts of both), those whose counts leave room for a link. An edit adds one word at most and takes one at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (3, 4))
+            most = ((1 - similarity) * batch.column(2).to_numpy() + 1e-9).astype(np.int64)
+            apart = np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1))
+            kept = batch.filter(pa.array(apart <= most, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["leader", "node"])
+
+    return run
+
+
+def _unsettled(nodes: DataFrame, aligned: DataFrame, labels: DataFrame, texts: DataFrame, sketches: int, similarity: float) -> DataFrame:
+    """(leader, node), once each: pairs that share a bucket, lie in different components and were not compared, but for those that can't be linked."""
+    spark = nodes.sparkSession
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    met = aligned.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = met.filter(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a").distinct()
+    # All nodes of a bucket that holds several components are among the partners of such leaders.
+    near = aligned.join(open_, "a", "left_semi").select(F.col("b").alias("node")).union(open_).distinct()
+    own = nodes.join(near, "node").join(labels, "node", "left").select("node", "n_words", "sketch", F.coalesce("label", "node").alias("label"))
+    own = save(spark, own, "open")
+    buckets = _buckets(own.select("node", "sketch"), sketches).join(own.select("node", "n_words", "label"), "node")
+    mixed = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 and low != high")
+    held = buckets.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "bucket")
+    x = held.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("leader"), F.col("label").alias("lx"), F.col("n_words").alias("nx"))
+    y = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.col("label").alias("ly"), F.col("n_words").alias("ny"))
+    longer = F.greatest("nx", "ny")
+    pairs = x.join(y, ["bucket", "block"]).filter((F.col("leader") < F.col("node")) & (F.col("lx") != F.col("ly")) & (F.abs(F.col("nx") - F.col("ny")) <= F.floor((1 - similarity) * longer + 1e-9)))
+    pairs = pairs.select("leader", "node", longer.alias("longer")).distinct()
+    pairs = pairs.join(aligned.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
+    counts = save(spark, texts.join(near, "node").select("node", "text").mapInArrow(_counted, "node binary, counts binary"), "counts")
+    pairs = pairs.join(counts.select(F.col("node").alias("leader"), F.col("counts").alias("cx")), "leader").join(counts.select("node", F.col("counts").alias("cy")), "node")
+    return save(spark, pairs.select("leader", "node", "longer", "cx", "cy").mapInArrow(_may_link(similarity), "leader binary, node binary"), "unsettled")
+
+
 def components(spark, edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b): label is the least node that can be reached."""
     both = save(spark, edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
@@ -198,17 +267,15 @@ def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int =
     asked = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes.select("node", "least"), "node")
     texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "node").mapInArrow(_with_node, "node binary, text string")
     texts = save(spark, texts.dropDuplicates(["node"]), "texts")
-    # A leader's members are dealt to as many tasks as their words ask for, each with a copy of the leader's text.
-    sized = pairs.join(nodes.select("node", "n_words"), "node")
-    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("parts")).filter("parts > 1")
-    parts = save(spark, parts, "leaders")  # leaders of large groups only, so pairs need not be brought together by leader
-    parts = F.broadcast(parts) if parts.count() <= BROADCAST_LEADERS else parts
-    members = pairs.join(parts, "leader", "left").select("leader", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("leads"))
-    heads = members.select("leader", F.col("leader").alias("node"), "part", F.lit(True).alias("leads")).distinct()
-    work = members.unionByName(heads).join(texts, "node")
-    edges = work.groupBy("leader", "part").applyInArrow(_align(similarity), "a binary, b binary, linked boolean")
-    linked = edges.filter("linked").select("a", "b")
-    labels = components(spark, linked)
+    aligned = _aligned(pairs, nodes, texts, similarity)
+    labels = components(spark, aligned.filter("linked").select("a", "b"))
+    rest = _aligned(_unsettled(nodes, aligned, labels, texts, sketches, similarity), nodes, texts, similarity).filter("linked")
+    # Components that these links join: their least label is their least node.
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    joins = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(spark, joins).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    labels = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("old"))
+    labels = labels.join(joined, "old", "left").select("node", F.coalesce("new", "old").alias("label"))
     rows = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     found = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(found, "label").select("doc_id", "node", "class_id", "class_size")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,36 @@ def test_near_dedup_on_whole_table(spark):
     assert found == {d: root(d) for d, _ in docs}
 
 
+def test_near_copies_among_strangers_with_a_passage(spark):
+    """All share a long passage, so unlike texts lead the buckets in which near copies meet."""
+    own = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = own("shared", 237)
+    docs = [(i, f"{passage} {own(f's{i}x', 63)}") for i in range(60)]
+    for i in range(100, 108):
+        text = own(f"p{i}x", 63)
+        docs += [(i, f"{passage} {text}"), (i + 100, f"{passage} {changed(text, 4, i)}")]
+    words = [near_dup.tokens(t) for _, t in docs]
+    assert all(edit.banded(a, b, 60) is None for i, a in enumerate(words[:60]) for b in words[:i])
+    found = {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, docs)).collect()}
+    assert found == {d: d - 100 if d >= 200 else d for d, _ in docs}
+
+
+def test_word_counts_bound_distances():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    [counted] = near_dup._counted([pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts]), pa.array(texts)], ["node", "text"])])
+    counts = dict(zip(texts, counted.column(1).to_pylist(), strict=True))
+    pairs = [(a, b) for a in texts for b in texts]
+    split = [(a.split(), b.split()) for a, b in pairs]
+    columns = [pa.array([a.encode() for a, _ in pairs]), pa.array([b.encode() for _, b in pairs]), pa.array([max(len(a), len(b)) for a, b in split]), pa.array([counts[a] for a, _ in pairs]), pa.array([counts[b] for _, b in pairs])]
+    [kept] = near_dup._may_link(0.5)([pa.RecordBatch.from_arrays(columns, ["leader", "node", "longer", "cx", "cy"])])
+    left = set(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True))
+    assert len(left) < len(set(pairs))
+    for (a, b), (x, y) in zip(pairs, split, strict=True):
+        if brute.distance(x, y) <= int(0.5 * max(len(x), len(y)) + 1e-9):
+            assert (a.encode(), b.encode()) in left
+
+
 def test_repeated_kmers_are_labelled():
     h = np.array([1, 2, 3, 1, 2, 3, 1, 2], np.uint64)
     once, twice = near_dup.kmers(h[:5], 2), near_dup.kmers(h, 2)
