@@ -2,7 +2,7 @@
 
 Symbols are the training words, one end per document, and one unknown word for all others. States are contexts
 of none, one or two preceding words. A context is a candidate if it makes up `least_share` of all tokens, which bounds the
-candidates to 1 / least_share for each length. It is retained if what follows it diverges from what follows its
+candidates to 1 / least_share for each length: groups of texts name what is common in them, then these names are counted over all. It is retained if what follows it diverges from what follows its
 suffix: the sum of count * ln(P(next | context) / P(next | suffix)) must exceed a penalty for the number of different
 next symbols. Suffixes of retained contexts stay. Distributions are smoothed with that of the suffix (Witten-Bell); the
 root gives the unknown word the weight of the words seen once. A token is scored in its longest retained suffix state.
@@ -35,6 +35,8 @@ from lexloom.llm.repeats import find, ranges
 LEAST_SHARE = 1e-4
 #: Divergence, in nats, that a context needs beside the penalty for its next symbols.
 LEAST_GAIN = 10.0
+#: Candidates are named in groups of so many training tokens.
+GROUP_TOKENS = 1_000_000
 #: Stands for the beginning of a document in contexts.
 BEGIN = b""
 
@@ -61,39 +63,85 @@ def _table(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(columns.items(), parts, strict=True)})
 
 
-def _common(least_share: float):
-    """Contexts that are common in a batch of training texts. One that is common in all is common in some."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            words: list[bytes] = []
-            for text in texts:
+def _groups(batches: Iterator[pa.RecordBatch], least_tokens: int) -> Iterator[list[bytes]]:
+    """The words of training texts, each text begun by BEGIN, in groups of so many tokens or a little more."""
+    words: list[bytes] = []
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not held_out(i):
                 words.append(BEGIN)
                 words += words_of(text)
-            least = max(2, least_share * len(words))
+                if len(words) >= least_tokens:
+                    yield words
+                    words = []
+    if words:
+        yield words
+
+
+def _pair_codes(ids: np.ndarray, begin: int) -> np.ndarray:
+    """Neighbours that both have a number, but for those that hold a BEGIN: what begins a text has a context of one."""
+    return (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0) & (ids[:-1] != begin) & (ids[1:] != begin)]
+
+
+def _contexts(names: list[bytes], n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["context", "n"])
+
+
+def _named(least_share: float, group_tokens: int):
+    """Contexts that have the share in a group of training texts: one that has it in all has it in some. No name: the group's tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _groups(batches, group_tokens):
+            least = least_share * len(words)
             # A common pair is one of common words, so only these are paired.
             common = [w for w, c in Counter(words).items() if c >= least]
             number = {w: i + 1 for i, w in enumerate(common)}
             ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
-            ones = np.bincount(ids, minlength=len(common) + 1).tolist()
-            second = number.get(BEGIN, -1)
-            pairs = (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0) & (ids[1:] != second)]
-            code, n = np.unique(pairs, return_counts=True)
-            often = n >= least
-            rows = [(b"\n" + w, ones[i]) for w, i in number.items()]
-            rows += [(common[(c >> 32) - 1] + b"\n" + common[(c & 0xFFFFFFFF) - 1], k) for c, k in zip(code[often].tolist(), n[often].tolist(), strict=True)]
-            rows.append((b"", len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["context", "n"])
+            code, n = np.unique(_pair_codes(ids, number.get(BEGIN, -1)), return_counts=True)
+            code = code[n >= least].tolist()
+            names = [b"\n" + w for w in common] + [common[(c >> 32) - 1] + b"\n" + common[(c & 0xFFFFFFFF) - 1] for c in code]
+            yield _contexts([*names, b""], [0] * len(names) + [len(words)])
+
+    return run
+
+
+def _counted(names, group_tokens: int):
+    """How often each named context occurs in all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        ones = np.array([number.setdefault(x[1:], len(number) + 1) for x in names.value if x.startswith(b"\n")], np.int64)
+        ones_of = [x for x in names.value if x.startswith(b"\n")]
+        twos_of = [x for x in names.value if not x.startswith(b"\n")]
+        twos = np.array([number[a] << 32 | number[b] for a, b in (x.split(b"\n") for x in twos_of)], np.int64)
+        order = np.argsort(twos)
+        twos, twos_of = twos[order], [twos_of[i] for i in order.tolist()]
+        for words in _groups(batches, group_tokens):
+            ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
+            one = np.bincount(ids, minlength=len(number) + 1)[ones]
+            at, ok = find(twos, _pair_codes(ids, number.get(BEGIN, -1)))
+            two = np.bincount(at[ok], minlength=len(twos))
+            a, b = np.flatnonzero(one), np.flatnonzero(two)
+            yield _contexts([ones_of[i] for i in a.tolist()] + [twos_of[i] for i in b.tolist()], one[a].tolist() + two[b].tolist())
 
     return run
 
 
+def candidates(source: DataFrame, least_share: float, group_tokens: int = GROUP_TOKENS) -> list[bytes]:
+    """Contexts that make up the share of all training tokens, counted in full: at most 2 / least_share."""
+    spark = source.sparkSession
+    named = source.mapInArrow(_named(least_share, group_tokens), "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    found = {bytes(c): n for c, n in named.collect()}
+    tokens = found.pop(b"", 0)
+    names = spark.sparkContext.broadcast(sorted(found))
+    counted = source.mapInArrow(_counted(names, group_tokens), "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return [bytes(r[0]) for r in counted.filter(F.col("n") >= max(2.0, least_share * tokens)).select("context").collect()]
+
+
 class Contexts:
     """Candidate contexts by number, from 1 on; 0 is the root. parent: the number of the suffix."""
 
     def __init__(self, found: list[bytes]):
-        # A pair that begins with the document's beginning is written like one word, and counts as that.
         ones = sorted(x[1:] for x in found if x.startswith(b"\n"))
         self.one = {w: i + 1 for i, w in enumerate(ones)}
         pairs = (tuple(x.split(b"\n")) for x in found if not x.startswith(b"\n"))
@@ -343,11 +391,7 @@ def score(docs: DataFrame, least_share: float = LEAST_SHARE, least_gain: float =
     small_batches(spark)
     shards, buckets = shard_count(spark, 2), shard_count(spark, 1)
     source = id_and_text(docs)
-    common = source.mapInArrow(_common(least_share), "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    common = save(spark, common, "contexts")
-    tokens = int(common.filter("context = X''").agg(F.sum("n")).first()[0] or 0)
-    found = common.filter((F.col("n") >= max(2.0, least_share * tokens)) & (F.col("context") != F.lit(b"")))
-    names = [bytes(r[0]) for r in found.select("context").collect()]  # at most 2 / least_share
+    names = candidates(source, least_share)
     contexts = spark.sparkContext.broadcast(Contexts(names))
     dealt = source.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards))
     asked = dealt.groupBy("shard").applyInArrow(_ask(contexts, buckets), "bucket int, shard int, words binary, counts binary, sizes binary, contexts binary, pairs binary")

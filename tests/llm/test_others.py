@@ -223,6 +223,33 @@ def test_contexts_help_on_held_out_text(spark):
     assert own / n > base / n + 0.3
 
 
+def test_candidates_are_counted_in_full(spark):
+    """Whatever is read at once, a context is judged by its count in all texts."""
+    rng = random.Random(13)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40)))) for i in range(400)]
+    own = [[b"", *lm_score.words_of(t)] for i, t in docs if not lm_score.held_out(i)]
+    total = sum(map(len, own))
+    n = Counter(b"\n" + w for ws in own for w in ws) + Counter(a + b"\n" + b for ws in own for a, b in zip(ws[1:], ws[2:], strict=False))
+    want = sorted(c for c, k in n.items() if k >= max(2, 0.002 * total))
+    source = frame(spark, docs).select("doc_id", "text").repartition(5, "doc_id")
+    for tokens in (1, 300, 10**6):
+        assert sorted(lm_score.candidates(source, 0.002, tokens)) == want
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rng = random.Random(17)
+    docs = [(i, " ".join(f"k{k} v{k}x{rng.randrange(2)}" for k in (rng.randrange(180) for _ in range(30)))) for i in range(600)]
+    before, found = spark.conf.get(key), []
+    try:
+        for n in (3, 1000):
+            spark.conf.set(key, str(n))
+            found.append(sorted((r.doc_id, round(r.score, 6)) for r in lm_score.score(frame(spark, docs), least_share=1e-3).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1]
+
+
 def test_distributions_add_up_to_one():
     contexts = lm_score.Contexts([b"\n", b"\na", b"\nb", b"a\nb"])
     words = [b"", b"", b"a", b"b", b"a", b"b", b"c", b"a", b"\n"]
