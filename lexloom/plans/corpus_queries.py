@@ -200,11 +200,11 @@ _CENTRAL_SQL = f"""WITH {_SPARSE_SQL}, a AS (SELECT dst AS file, count(*) AS a F
 central AS (SELECT s_suppkey AS file, s_nationkey AS dir, ((least(coalesce(a, 0), 12) + coalesce(b, 0) + least(coalesce(c, 0), 25))::DOUBLE * CASE WHEN s_nationkey = 3 THEN 0.25 ELSE 1.0 END)::DOUBLE AS score FROM supplier s LEFT JOIN a ON a.file = s_suppkey LEFT JOIN b ON b.file = s_suppkey LEFT JOIN c ON c.file = s_suppkey)"""
 
 
-def _central(spark, sf_dir):
+def _central(spark, sf_dir, edges=None):
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("dir"))
     symbols = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("n"))
     vendored = nodes.filter("dir = 3").select("file", F.lit(True).alias("v"))
-    plain = graph.centrality(nodes.select("file"), _sparse(spark, sf_dir), symbols)
+    plain = graph.centrality(nodes.select("file"), _sparse(spark, sf_dir) if edges is None else edges, symbols)
     scored = plain.join(vendored, "file", "left").select("file", (F.col("score") * F.when(F.col("v"), 0.25).otherwise(1.0)).alias("score"))
     return scored.join(nodes, "file")
 
@@ -222,7 +222,7 @@ def grf13(spark, sf_dir):
 @query("q_grf14_vendored")
 def grf14(spark, sf_dir):
     files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("string").alias("dir"))
-    return graph.vendored_trees(files, _sparse(spark, sf_dir))
+    return graph.vendored_trees(files, _edges(spark, sf_dir))
 
 
 @query("q_grf15_entry_points", f"SELECT page_id, {PATH_SQL} AS path FROM pages WHERE list_extract(string_split({PATH_SQL}, '/'), -1) IN ('25', '474.html', '519')")
@@ -506,8 +506,9 @@ def grf3(spark, sf_dir):
 @query("q_grf16_capsule")
 def grf16(spark, sf_dir):
     """The tabular part of an orientation: central files with their directory, importers and confidence."""
-    top = _central(spark, sf_dir).orderBy(F.desc("score"), "file").limit(10)
-    fan = _sparse(spark, sf_dir).groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("importers"))
+    edges = _edges(spark, sf_dir)
+    top = _central(spark, sf_dir, edges).orderBy(F.desc("score"), "file").limit(10)
+    fan = edges.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("importers"))
     return top.join(fan, "file", "left").select("file", "dir", "score", F.coalesce("importers", F.lit(0)).alias("importers"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.decode import decoded
 from lexloom.operators import changes, classify, graph, inventory, ranking, rules, structural, versions
 from lexloom.operators.limits import within_budget
+from lexloom.plans import registry
 from lexloom.sources import files, sinks
 from lexloom.streaming import streams
 
@@ -305,3 +306,18 @@ def test_structural_packs(spark):
     for pack in ("auth", "crypto", "secrets", "deserialization", "subprocess", "tls"):
         for _, _, pattern in structural.structural_rules(pack, "python"):
             structural.compile_pattern(pattern)
+
+
+def test_islands_and_capsule_take_every_line(spark, tmp_path):
+    """Imports count whatever the line number and quantity of the row that holds them."""
+    dirs = {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 3}
+    edges = {(1, 3), (2, 1), (4, 3), (5, 6), (6, 5)}
+    write = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("supplier", list(dirs.items()), "s_suppkey long, s_nationkey int")
+    write("orders", [(i, 4) for i in range(3)], "o_orderkey long, o_custkey long")
+    write("lineitem", [(s, d - 1, i % 3 + 2, 7.0) for i, (s, d) in enumerate(sorted(edges) * 2)], "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double")
+    islands = {str(x) for x in dirs.values() if all((dirs[a] == x) == (dirs[b] == x) for a, b in edges)}
+    assert {(r.dir, r.reason) for r in registry.QUERIES["q_grf14_vendored"](spark, str(tmp_path)).collect()} == {(x, "island") for x in islands} == {("3", "island")}
+    fan = {f: sum(b == f for _, b in edges) for f in dirs}
+    score = {f: (min(fan[f], 12) + sum(a == f for a, _ in edges) + (3 if f == 4 else 0)) * (0.25 if x == 3 else 1.0) for f, x in dirs.items()}
+    assert {tuple(r) for r in registry.QUERIES["q_grf16_capsule"](spark, str(tmp_path)).collect()} == {(f, x, score[f], fan[f]) for f, x in dirs.items()}
