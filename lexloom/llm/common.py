@@ -1,15 +1,22 @@
-"""What the operators of this package share: tables, the shared folder, batch bounds."""
+"""What the operators of this package share: tables, the shared folder, batch bounds, dealing of whole documents."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word and line rules of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
+#: Stands for a null doc_id: smaller than any other.
+NO_ID = -(1 << 63)
+#: Bytes of files that one group of documents holds at most, about: what a Python worker has in memory at once is a multiple of it.
+SHARD_BYTES = 16 << 20
+#: Bytes of text that a task collects before it sends them to their shards.
+DEAL_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,32 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    import tempfile
+
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One process: its own folder is shared.
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def save(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors don't repeat what led to it."""
+    import uuid
+
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts holds; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, so that what Python holds of whole texts stays small whatever the session's setting."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files under df, from the plan's statistics; 0 where it is not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
-def shard_count(spark: SparkSession, factor: int = 2) -> int:
-    """Groups that work is dealt to: a multiple of the session's shuffle partitions, the knob that is sized with the data."""
-    return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shard_count(docs: DataFrame, factor: int = 2) -> int:
+    """Groups that work is dealt to: a multiple of the session's shuffle partitions, and more where these would hold too much each."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, factor * partitions, -(-input_bytes(docs) // SHARD_BYTES))
 
 
 def shard_of(doc_id: Column, text: Column, shards: int) -> Column:
@@ -53,3 +74,86 @@ def shard_of(doc_id: Column, text: Column, shards: int) -> Column:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that most operators need; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+class Blob:
+    """Named arrays as compressed bytes."""
+
+    codec = "zstd"
+
+    @classmethod
+    def pack(cls, *arrays: np.ndarray) -> bytes:
+        head = np.array([x.nbytes for x in arrays], np.int64).tobytes()
+        raw = head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+        return np.int64(len(raw)).tobytes() + pa.compress(raw, cls.codec, asbytes=True)
+
+    @classmethod
+    def unpack(cls, blob: bytes, *kinds) -> list[np.ndarray]:
+        raw = pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), cls.codec, asbytes=True)
+        sizes = np.frombuffer(raw[: 8 * len(kinds)], np.int64)
+        out, at = [], 8 * len(kinds)
+        for size, kind in zip(sizes.tolist(), kinds, strict=True):
+            out.append(np.frombuffer(raw[at : at + size], kind))
+            at += size
+        return out
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on as bytes: how many bytes each takes, then all lowest bytes, all second ones, and so on, which compresses well."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return np.concatenate([np.array([width], np.uint8), x.view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()])
+
+
+def unplanes(raw: np.ndarray) -> np.ndarray:
+    width = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
+def rows_of(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    parts = list(zip(*rows, strict=True)) or [[]] * len(columns)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(columns.items(), parts, strict=True)})
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        shards, blobs = [], []
+        for shard, (ids, texts) in sorted(held.items()):
+            shards.append(shard)
+            blobs.append(Blob.pack(np.array(ids, np.int64), np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    for batch in few_rows(batches):
+        for doc_id, text, shard in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            ids, texts = held.setdefault(shard, ([], []))
+            ids.append(NO_ID if doc_id is None else doc_id)
+            texts.append(text)
+            size += len(text)
+            if size >= DEAL_BYTES:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def deal(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, blob): whole documents, dealt to shards and compressed by task and shard, which halves what is moved."""
+    d = id_and_text(docs)
+    return d.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards)).mapInArrow(_deal, "shard int, blob binary")
+
+
+def documents(blobs: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """A shard's ids and texts (UTF-8), always in the same order, whatever order its blobs came in."""
+    ids, texts = [], []
+    for blob in sorted(blobs):
+        own, sizes, raw = Blob.unpack(blob, np.int64, np.int64, np.uint8)
+        ids += own.tolist()
+        text, ends = raw.tobytes(), np.cumsum(sizes).tolist()
+        texts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return ids, texts

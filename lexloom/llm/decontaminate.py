@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_and_text, small_batches
+from lexloom.llm.common import few_rows, id_and_text
 from lexloom.llm.edit import best_in
 
 RATE = 0.15
@@ -83,7 +83,7 @@ def _search(items: list[tuple[int, str]], rate: float):
             automaton.add_word(piece, where)
         if hits:
             automaton.make_automaton()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if hits and (words := tokens(text)):
@@ -110,7 +110,6 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, distance, start_word, end_word, item_words."""
-    small_batches(docs.sparkSession)
     source = id_and_text(docs)
     out: DataFrame | None = None
     for block in _blocks(benchmark, block_chars):
@@ -125,7 +124,7 @@ def _flag(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in few_rows(batches):
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(batch.schema.get_field_index("text"))], ["doc_id", "text"])
             found = {i for part in search(iter([numbered])) for i in part.column(0).to_pylist()}
             yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
@@ -135,7 +134,6 @@ def _flag(items: list[tuple[int, str]], rate: float):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no item, with their columns; nothing is shuffled."""
-    small_batches(docs.sparkSession)
     for block in _blocks(benchmark, block_chars):
         docs = docs.mapInArrow(_flag(block, rate), docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import save, small_batches
+from lexloom.llm.common import few_rows, save
 
 #: A subtree recurs if so many distinct pages of its host have it, and so large a share of them.
 MIN_PAGES = 4
@@ -257,7 +257,7 @@ def host_of(url: str | None) -> str | None:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches, 500):
         hosts, pages, digests, running = [], [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
@@ -272,7 +272,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches, 500):
         ids, urls, pages, found = (batch.column(n).to_pylist() for n in ("page_id", "url", "html", "template"))
         texts = []
         for page, own in zip(pages, found, strict=True):
@@ -289,7 +289,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
     A subtree's hash is counted once for each distinct page and host, with partial counts before the shuffle. A
     host's recurring subtrees reach its pages by page digest, so a hot host is not gathered anywhere.
     """
-    small_batches(pages.sparkSession, 500)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     seen = source.select("url", "html").mapInArrow(_subtrees, "host string, page binary, digest binary, running boolean")
     seen = seen.groupBy("host", "digest", "running", "page").agg(F.lit(1).alias("one"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, small_batches
+from lexloom.llm.common import SPACE, few_rows
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -36,7 +36,7 @@ def key_hash(key: str) -> bytes:
 
 def _hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = {k for line in (text or "").split("\n") if len(k := line_key(line)) >= min_chars}
@@ -50,7 +50,7 @@ def _hashes(min_chars: int):
 
 def _rewrite(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             text_at, drop_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("_ld_drop")
             texts, lines_n, dropped_n = [], [], []
             for text, drop in zip(batch.column(text_at).to_pylist(), batch.column(drop_at).to_pylist(), strict=True):
@@ -75,7 +75,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Only 16-byte hashes are grouped, first per document and then per hash with partial sums, so a line that
     every document has costs one row per map task. Texts move once, by doc_id.
     """
-    small_batches(docs.sparkSession)
     held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hashes(min_chars), "_ld_id long, _ld_hash binary")
     held = held.groupBy("_ld_hash", "_ld_id").agg(F.lit(1).alias("_ld_one"))
     often = held.groupBy("_ld_hash").agg(F.count("*").alias("_ld_n"), F.max("_ld_id").alias("_ld_last"))

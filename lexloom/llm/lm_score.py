@@ -1,15 +1,20 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Symbols are the training words, one end per document, and one unknown word for all others. States are contexts
-of none, one or two preceding words. A context is a candidate if it makes up `least_share` of all tokens, which bounds the
-candidates to 1 / least_share for each length: groups of texts name what is common in them, then these names are counted over all. It is retained if what follows it diverges from what follows its
-suffix: the sum of count * ln(P(next | context) / P(next | suffix)) must exceed a penalty for the number of different
-next symbols. Suffixes of retained contexts stay. Distributions are smoothed with that of the suffix (Witten-Bell); the
-root gives the unknown word the weight of the words seen once. A token is scored in its longest retained suffix state.
-
-All training tokens are counted. A shard of documents sends each distinct word once to the word's bucket, with its count and
-the contexts it follows; there counts meet, each next symbol's part of a context's divergence is summed, and
-words get their probabilities. Only the bounded set of contexts is collected and broadcast.
+Symbols are words and one end per document. There are thought to be as many words not seen in training as there are words seen
+once, each as likely as one of those. States are contexts of
+one to three preceding words (a text is preceded by BEGINs). A context that occurs twice or more is retained if what follows
+it diverges from what its longest retained suffix expects: the sum over next symbols of n * ln(share / expected), less
+ln(1 / expected) for the first occurrence of each, which any context would show, must exceed `least_gain`. A state's distribution is
+smoothed with that of its longest retained suffix (Witten-Bell). A token is scored in its longest retained state. Probabilities are kept as logs in steps of 1/1024 bit, so that a
+score is a sum of whole numbers and depends neither on the order of work nor on how it is dealt.
+
+All training tokens are counted, and what is gathered grows with them: the tree is never in one place. Documents are dealt to
+shards. First each shard sends its distinct words to the words' buckets and gets their counts and numbers back. Then every
+occurrence goes with its context to the bucket of the context's last word: the subtree of contexts that end
+with a word lies in one bucket, which decides on its nodes level by level and answers with a probability for each occurrence.
+Equal occurrences of a shard are sent once. A word, or pair of words, that makes up more than a small part of all tokens would be too
+much for one bucket. Such contexts are named by a sample (which moves work and changes no result) and are bounded in number;
+their counts are summed by next word, and what lies deeper is dealt by one more word.
 
 Defined results: a null text is empty and has its end token alone. A null doc_id counts as an empty id text when
 held-out documents are chosen. Rows with the same doc_id are scored each. Without training documents counts are 0 and every token
@@ -18,395 +23,490 @@ is unknown, with probability 1. Extra columns are not carried. No rows in, no ro
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_and_text, save, shard_count, shard_of, small_batches
-from lexloom.llm.repeats import find, ranges
+from lexloom.llm.common import NO_ID, Blob, deal, documents, few_rows, id_and_text, planes, rows_of, save, shard_count, unplanes
 
-LEAST_SHARE = 1e-4
-#: Divergence, in nats, that a context needs beside the penalty for its next symbols.
-LEAST_GAIN = 10.0
-#: Candidates are named in groups of so many training tokens.
-GROUP_TOKENS = 1_000_000
-#: Stands for the beginning of a document in contexts.
-BEGIN = b""
+DEPTH = 3
+#: Divergence, in nats, that a context needs beyond the first occurrence of each next symbol.
+LEAST_GAIN = 3.0
+#: Documents read to name contexts that are too large for one bucket.
+SAMPLE_DOCS = 20_000
+#: Occurrences that a bucket looks at together.
+PART = 1_500_000
+#: Steps of a kept logarithm in a bit.
+STEPS = 1024
+BEGIN, END = b"", b"\n"
+U = np.uint64
+ODD, ODD2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id: int | None, folds: int = 10) -> bool:
-    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % folds == 0
+    return zlib.crc32(str("" if doc_id in (None, NO_ID) else doc_id).encode()) % folds == 0
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """bytes.lower() and bytes.split() know ASCII only, as the rule asks."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return text.lower().split()
 
 
-def pack(raw: bytes) -> bytes:
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+def code_of(p: np.ndarray) -> np.ndarray:
+    """Probabilities as whole steps of -log2."""
+    return np.minimum(np.rint(-np.log2(p) * STEPS), 65534).astype(np.int64)
 
 
-def unpack(blob: bytes) -> bytes:
-    return pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), "zstd", asbytes=True)
+def value_of(code: np.ndarray) -> np.ndarray:
+    return np.exp2(code / -STEPS)
 
 
-def _table(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
-    parts = list(zip(*rows, strict=True)) or [[]] * len(columns)
-    return pa.table({n: pa.array(c, k) for (n, k), c in zip(columns.items(), parts, strict=True)})
+def witten_bell(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The suffix's distribution weighs as much as there are different next symbols."""
+    return (n + kinds * below) / np.maximum(total + kinds, 1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], least_tokens: int) -> Iterator[list[bytes]]:
-    """The words of training texts, each text begun by BEGIN, in groups of so many tokens or a little more."""
-    words: list[bytes] = []
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not held_out(i):
-                words.append(BEGIN)
-                words += words_of(text)
-                if len(words) >= least_tokens:
-                    yield words
-                    words = []
-    if words:
-        yield words
+def gain_of(n: np.ndarray, total: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """What each next symbol adds to its context's divergence; nothing if it never follows."""
+    n, seen = np.maximum(n, 1), n > 0
+    return np.where(seen, n * np.log(n / np.maximum(total, 1)) - (n - 1) * np.log(below), 0.0)
 
 
-def _pair_codes(ids: np.ndarray, begin: int) -> np.ndarray:
-    """Neighbours that both have a number, but for those that hold a BEGIN: what begins a text has a context of one."""
-    return (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0) & (ids[:-1] != begin) & (ids[1:] != begin)]
+class Hot:
+    """Contexts of one and two words that are dealt by next word, by number from 1 on; parent: the number of the suffix, 0 is the root."""
 
+    def __init__(self, found: list[bytes]):
+        ones = sorted(x[1:] for x in found if x.startswith(END))
+        self.one = {w: i + 1 for i, w in enumerate(ones)}
+        pairs = (tuple(x.split(END)) for x in found if not x.startswith(END))
+        codes = sorted(self.one[a] << 31 | self.one[b] for a, b in pairs if a in self.one and b in self.one)
+        self.two = np.array(codes, np.int64)
+        self.parent = np.zeros(1 + len(ones) + len(codes), np.int64)
+        self.parent[1 + len(ones) :] = self.two & 0x7FFFFFFF
+        self.depth = np.concatenate([[0], np.full(len(ones), 1), np.full(len(codes), 2)]).astype(np.int64)
+
+    def before(self, words: list[bytes], at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The longest of these contexts before each of the tokens `own` of the sequence `at`."""
+        ids = np.array([self.one.get(w, 0) for w in words], np.int64)[at]
+        a, b = ids[own - 2], ids[own - 1]
+        if not len(self.two):
+            return b
+        code = a << 31 | b
+        where = np.minimum(np.searchsorted(self.two, code), len(self.two) - 1)
+        return np.where((self.two[where] == code) & (a > 0), 1 + len(self.one) + where, b)
+
+
+def hot_contexts(docs: DataFrame, buckets: int) -> Hot:
+    """Contexts that hold more than a quarter of a bucket's even share in a sample: at most 8 * buckets."""
+    source = id_and_text(docs)
+    rows = source.count()
+    if rows > SAMPLE_DOCS:
+        source = source.sample(SAMPLE_DOCS / rows, seed=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            words: list[bytes] = []
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words += (BEGIN, *words_of(text))
+            ones, twos = Counter(words), Counter(zip(words, words[1:], strict=False))
+            # Some batch has every context that is hot in all of them.
+            ones = {b"\n" + w: n for w, n in ones.items() if n * 16 * buckets > len(words)}
+            ones |= {a + b"\n" + b: n for (a, b), n in twos.items() if a and b and n * 16 * buckets > len(words)}
+            yield pa.RecordBatch.from_arrays([pa.array([*ones, b""], pa.binary()), pa.array([*ones.values(), len(words)], pa.int64())], ["context", "n"])
+
+    counted = source.select("text").mapInArrow(count, "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    found = {bytes(c): n for c, n in counted.orderBy(F.desc("n"), "context").limit(16 * buckets + 1).collect()}
+    total = found.pop(b"", 0)
+    return Hot([c for c, n in found.items() if n * 4 * buckets > total])
+
+
+class Shard:
+    """A shard's tokens: words (each once), the sequence `at` of their places with BEGINs before each document, the tokens `own` in it."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.ids, texts = documents(blobs)
+        words: list[bytes] = []
+        starts = []
+        for text in texts:
+            words += (BEGIN,) * DEPTH
+            starts.append(len(words))
+            words += words_of(text)
+            words.append(END)
+        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.words = list(place)
+        starts = np.array(starts, np.int64)
+        self.sizes = np.append(starts[1:] - DEPTH, len(words)) - starts
+        mask = np.ones(len(words), bool)
+        for i in range(1, DEPTH + 1):
+            mask[starts - i] = False
+        self.own = np.flatnonzero(mask)
+        self.train = np.repeat([not held_out(i) for i in self.ids], self.sizes)
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words' places by bucket, and where each bucket begins. BEGIN is no token."""
+        bucket = np.fromiter((zlib.crc32(w) % buckets if w else buckets for w in self.words), np.int64, len(self.words))
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def pairs(self, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's hot context; the different (place, context) with one, ascending, and which of them each such token is."""
+        context = hot.before(self.words, self.at, self.own)
+        behind = np.flatnonzero(context)
+        code, which = np.unique(self.at[self.own[behind]] * len(hot.parent) + context[behind], return_inverse=True)
+        return context, behind, code, which
+
+
+def _ask(hot, buckets: int):
+    """A shard's words, by bucket, with training counts, and the hot contexts before them, with theirs."""
+    kinds = {"bucket": pa.int32(), "shard": pa.int32(), "words": pa.binary(), "blob": pa.binary()}
 
-def _contexts(names: list[bytes], n: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["context", "n"])
+    def run(rows: pa.Table) -> pa.Table:
+        s = Shard(rows.column("blob").to_pylist())
+        n = np.bincount(s.at[s.own], s.train, len(s.words)).astype(np.int64)
+        _, behind, code, which = s.pairs(hot.value)
+        m = np.bincount(which, s.train[behind], len(code)).astype(np.int64)
+        word, context = code // len(hot.value.parent), code % len(hot.value.parent)
+        begin = np.searchsorted(word, np.arange(len(s.words) + 1))
+        order, cuts = s.dealt(buckets)
+        shard, out = rows.column("shard")[0].as_py(), []
+        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if j > i:
+                own = order[i:j]
+                sizes = begin[own + 1] - begin[own]
+                at = ranges(begin[own], sizes)
+                raw = np.frombuffer(b" ".join([s.words[k] for k in own.tolist()]), np.uint8)
+                out.append((b, shard, Blob.pack(raw), Blob.pack(planes(n[own]), planes(sizes), planes(context[at]), planes(m[at]))))
+        return rows_of(kinds, out)
 
+    return run
 
-def _named(least_share: float, group_tokens: int):
-    """Contexts that have the share in a group of training texts: one that has it in all has it in some. No name: the group's tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _groups(batches, group_tokens):
-            least = least_share * len(words)
-            # A common pair is one of common words, so only these are paired.
-            common = [w for w, c in Counter(words).items() if c >= least]
-            number = {w: i + 1 for i, w in enumerate(common)}
-            ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
-            code, n = np.unique(_pair_codes(ids, number.get(BEGIN, -1)), return_counts=True)
-            code = code[n >= least].tolist()
-            names = [b"\n" + w for w in common] + [common[(c >> 32) - 1] + b"\n" + common[(c & 0xFFFFFFFF) - 1] for c in code]
-            yield _contexts([*names, b""], [0] * len(names) + [len(words)])
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All of start .. start + length - 1, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)
 
-    return run
 
+def sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, which = np.unique(code, return_inverse=True)
+    return found, np.bincount(which, n, len(found)).astype(np.int64)
 
-def _counted(names, group_tokens: int):
-    """How often each named context occurs in all training texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        ones = np.array([number.setdefault(x[1:], len(number) + 1) for x in names.value if x.startswith(b"\n")], np.int64)
-        ones_of = [x for x in names.value if x.startswith(b"\n")]
-        twos_of = [x for x in names.value if not x.startswith(b"\n")]
-        twos = np.array([number[a] << 32 | number[b] for a, b in (x.split(b"\n") for x in twos_of)], np.int64)
-        order = np.argsort(twos)
-        twos, twos_of = twos[order], [twos_of[i] for i in order.tolist()]
-        for words in _groups(batches, group_tokens):
-            ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
-            one = np.bincount(ids, minlength=len(number) + 1)[ones]
-            at, ok = find(twos, _pair_codes(ids, number.get(BEGIN, -1)))
-            two = np.bincount(at[ok], minlength=len(twos))
-            a, b = np.flatnonzero(one), np.flatnonzero(two)
-            yield _contexts([ones_of[i] for i in a.tolist()] + [twos_of[i] for i in b.tolist()], one[a].tolist() + two[b].tolist())
+def _merge(hot):
+    """A bucket's words with the counts of all shards, and each shard's words and pairs by their places in it; one row."""
+    kinds = {"bucket": pa.int32(), "state": pa.binary(), "shards": pa.list_(pa.int32()), "asked": pa.list_(pa.binary())}
+
+    def run(rows: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        parts = []
+        width = len(hot.value.parent)
+        order = np.argsort(rows.column("shard").to_numpy(), kind="stable").tolist()
+        shards, names, blobs = (rows.column(x).to_pylist() for x in ("shard", "words", "blob"))
+        for i in order:
+            own = Blob.unpack(names[i], np.uint8)[0].tobytes().split(b" ")
+            at = np.fromiter((place.setdefault(w, len(place)) for w in own), np.int64, len(own))
+            n, sizes, context, m = map(unplanes, Blob.unpack(blobs[i], *[np.uint8] * 4))
+            parts.append((at, n, np.repeat(at, sizes) * width + context, m))
+        at, n, code, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        count = np.bincount(at, n, len(place)).astype(np.int64)
+        # Up from pairs of words to one word; every code that is asked for stays, if with 0.
+        up = hot.value.parent[code % width]
+        two = up > 0
+        code, m = sums(np.concatenate([code, code[two] // width * width + up[two]]), np.concatenate([m, m[two]]))
+        ends = place.get(END, -1) + 1
+        state = Blob.pack(planes(count), planes(code), planes(m), planes(np.array([ends])))
+        return rows_of(kinds, [(rows.column("bucket")[0].as_py(), state, [shards[i] for i in order], [Blob.pack(planes(a), planes(c)) for a, _, c, _ in parts])])
 
     return run
 
 
-def candidates(source: DataFrame, least_share: float, group_tokens: int = GROUP_TOKENS) -> list[bytes]:
-    """Contexts that make up the share of all training tokens, counted in full: at most 2 / least_share."""
-    spark = source.sparkSession
-    named = source.mapInArrow(_named(least_share, group_tokens), "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    found = {bytes(c): n for c, n in named.collect()}
-    tokens = found.pop(b"", 0)
-    names = spark.sparkContext.broadcast(sorted(found))
-    counted = source.mapInArrow(_counted(names, group_tokens), "context binary, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counted.filter(F.col("n") >= max(2.0, least_share * tokens)).select("context").collect()]
+class Bucket:
+    """The counts of a bucket's words, and by (word, hot context), parents included."""
+
+    def __init__(self, state: bytes, hot: Hot):
+        self.count, self.code, self.n, _ = map(unplanes, Blob.unpack(state, *[np.uint8] * 4))
+        self.word, self.context = self.code // len(hot.parent), self.code % len(hot.parent)
+        self.parent = hot.parent[self.context]
+        self.above = np.searchsorted(self.code, self.code - self.context + self.parent)
+
+    def below(self, model: Model, upto: int, hot: Hot) -> np.ndarray:
+        """Code of each (word, context) in its longest retained context of at most `upto` words."""
+        code = model.root(self.count)[self.word]
+        for depth in range(1, upto + 1):
+            at = np.flatnonzero((hot.depth[self.context] == depth) & model.keep[self.context])
+            up = np.flatnonzero(hot.depth[self.context] > depth - 1)
+            if depth == 2:
+                code[up] = code[self.above[up]]
+            c = self.context[at]
+            code[at] = code_of(witten_bell(self.n[at], model.n[c], model.kinds[c], value_of(code[at])))
+        if upto == 1:
+            two = np.flatnonzero(hot.depth[self.context] == 2)
+            code[two] = code[self.above[two]]
+        return code
 
 
-class Contexts:
-    """Candidate contexts by number, from 1 on; 0 is the root. parent: the number of the suffix."""
+class Model:
+    """Totals: of all tokens, of hot contexts, and which of those are retained."""
 
-    def __init__(self, found: list[bytes]):
-        ones = sorted(x[1:] for x in found if x.startswith(b"\n"))
-        self.one = {w: i + 1 for i, w in enumerate(ones)}
-        pairs = (tuple(x.split(b"\n")) for x in found if not x.startswith(b"\n"))
-        codes = sorted(self.one[a] << 20 | self.one[b] for a, b in pairs if a in self.one and b in self.one)
-        self.two = np.array(codes, np.int64)
-        self.parent = np.zeros(1 + len(ones) + len(codes), np.int64)
-        self.parent[1 + len(ones) :] = self.two & 0xFFFFF
-        if len(self.parent) >= 1 << 20:
-            raise ValueError("least_share is too small: contexts are numbered with 20 bits")
-
-    def before(self, words: list[bytes]) -> np.ndarray:
-        """The longest candidate context of each token, over documents in a row, each begun by two BEGINs. What stands at the BEGINs means nothing."""
-        ids = np.zeros(len(words) + 2, np.int64)
-        ids[2:] = np.fromiter(map(self.one.get, words, repeat(0)), np.int64, len(words))
-        a, b = ids[:-2], ids[1:-1]
-        at, ok = find(self.two, a << 20 | b)
-        return np.where(ok & (a > 0), 1 + len(self.one) + at, b)
-
-
-def tokens_of(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All tokens of documents in a row, with two BEGINs before each and an end behind; where tokens begin, and how many there are."""
-    words: list[bytes] = []
-    starts = []
-    for text in rows.column("text").to_pylist():
-        words += (BEGIN, BEGIN)
-        starts.append(len(words))
-        words += words_of(text)
-        words.append(b"\n")
-    starts = np.array(starts, np.int64)
-    return words, starts, np.append(starts[1:] - 2, len(words)) - starts
-
-
-def _ask(contexts, buckets: int):
-    """A shard's distinct tokens, by bucket, each with its training count and the contexts before it (count 0: in held-out documents only)."""
+    def __init__(self, size: int, totals: list[tuple[int, int, int]]):
+        self.n, self.kinds, self.keep = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+        self.once = 0
+        for context, n, kinds in totals:
+            if context >= 0:
+                self.n[context], self.kinds[context] = n, kinds
+            else:
+                self.once = n
 
-    def run(rows: pa.Table) -> pa.Table:
-        kinds = {"bucket": pa.int32(), "shard": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "sizes": pa.binary(), "contexts": pa.binary(), "pairs": pa.binary()}
-        if not rows.num_rows:
-            return _table(kinds, [])
-        words, starts, sizes = tokens_of(rows)
-        own = ranges(starts, sizes)
-        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        code = (at << 20 | contexts.value.before(words))[own]
-        known = np.repeat([not held_out(i) for i in rows.column("doc_id").to_pylist()], sizes)
-        order = np.argsort(code, kind="stable")
-        code, known = code[order], known[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        pair, n = code[first], np.add.reduceat(known, first)
-        word = pair >> 20
-        start_at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        # BEGIN has a place but is no token.
-        words = list(place)
-        start, sizes, counts = (_spread(x, word[start_at], len(words)) for x in (start_at, np.diff(np.append(start_at, len(pair))), np.add.reduceat(n, start_at)))
-        bucket = np.fromiter((zlib.crc32(w) % buckets if w else buckets for w in words), np.int64, len(words))
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        shard, out = rows.column("shard")[0].as_py(), []
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if j > i:
-                own = by[i:j]
-                at = ranges(start[own], sizes[own])
-                raw = b" ".join([words[k] for k in own.tolist()])
-                out.append((b, shard, pack(raw), *(pack(x.tobytes()) for x in (counts[own].astype(np.int32), sizes[own].astype(np.int32), (pair[at] & 0xFFFFF).astype(np.int32), n[at].astype(np.int32)))))
-        return _table(kinds, out)
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return code_of(np.maximum(count, 1) / (self.n[0] + max(self.once, 1)))
 
-    return run
 
+def _class(count: np.ndarray) -> np.ndarray:
+    """Words are numbered by class, most frequent first: numbers then need few bytes."""
+    return 63 - np.frexp(np.maximum(count, 0).astype(np.float64))[1]
 
-class Bucket:
-    """The words of a bucket: their counts, and counts by word and context, those of suffixes included."""
 
-    def __init__(self, rows: pa.Table, parent: np.ndarray):
-        place: dict[bytes, int] = {}
-        self.words_at, self.code_at = [], []
-        counts, codes, pairs = [], [], []
-        for words, n, sizes, context, pair in zip(*(rows.column(x).to_pylist() for x in ("words", "counts", "sizes", "contexts", "pairs")), strict=True):
-            own = unpack(words).split(b" ")
-            at = np.fromiter((place.setdefault(w, len(place)) for w in own), np.int64, len(own))
-            self.words_at.append(at)
-            counts.append(np.frombuffer(unpack(n), np.int32))
-            code = np.repeat(at, np.frombuffer(unpack(sizes), np.int32)) << 20 | np.frombuffer(unpack(context), np.int32)
-            self.code_at.append(code)
-            codes.append(code)
-            pairs.append(np.frombuffer(unpack(pair), np.int32).astype(np.int64))
-        self.words = list(place)
-        self.count = np.bincount(np.concatenate(self.words_at), np.concatenate(counts), len(place)).astype(np.int64)
-        code, n = _sums(np.concatenate(codes), np.concatenate(pairs))
-        # Up from pairs of words to one word; every code that is asked for stays, if with 0.
-        up = parent[code & 0xFFFFF]
-        two = up > 0
-        self.code, self.n = _sums(np.concatenate([code, (code[two] >> 20) << 20 | up[two]]), np.concatenate([n, n[two]]))
-        self.context, self.word = self.code & 0xFFFFF, self.code >> 20
+def _totals(hot):
+    """By context: tokens behind it and kinds. Context 0: all tokens and kinds; -1: words seen once. Also, by bucket, its words of each class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = Bucket(state, hot.value)
+                n = np.bincount(b.context, b.n, len(hot.value.parent)).astype(np.int64)
+                kinds = np.bincount(b.context[b.n > 0], minlength=len(n))
+                n[0], kinds[0] = b.count.sum(), (b.count > 0).sum()
+                at = np.flatnonzero(kinds)
+                by_class = np.bincount(_class(b.count), minlength=64)
+                some = np.flatnonzero(by_class)
+                columns = [[-1] * (len(at) + 1) + [bucket] * len(some), [*at.tolist(), -1, *some.tolist()], [*n[at].tolist(), int((b.count == 1).sum()), *by_class[some].tolist()], [*kinds[at].tolist(), 0, *([0] * len(some))]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["bucket", "context", "n", "kinds"])
 
-def _spread(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    out[where] = values
-    return out
+    return run
 
 
-def _sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(code, kind="stable")
-    ranked = code[order]
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(code) else np.zeros(0, np.int64)
-    return ranked[first], (np.add.reduceat(n[order], first) if len(first) else n[:0])
+def _gains(hot, model, depth: int):
+    """By hot context of so many words, a bucket's part of the divergence."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hot.value
+        for batch in batches:
+            for state in batch.column(1).to_pylist():
+                b = Bucket(state, own)
+                below = value_of(b.below(model.value, depth - 1, own))
+                at = np.flatnonzero((own.depth[b.context] == depth) & (b.n > 0))
+                part = gain_of(b.n[at], model.value.n[b.context[at]], below[at])
+                gain = np.bincount(b.context[at], part, len(own.parent))
+                found = np.flatnonzero(np.bincount(b.context[at], minlength=len(own.parent)))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(gain[found], pa.float64())], ["context", "gain"])
 
-def _totals(contexts):
-    """By context: tokens behind it and different ones. Context 0: all tokens and kinds; -1: words seen once."""
+    return run
 
-    def run(rows: pa.Table) -> pa.Table:
-        parent = contexts.value.parent
-        b = Bucket(rows, parent)
-        own = (b.context > 0) & (b.n > 0)
-        n = np.bincount(b.context[own], b.n[own], len(parent)).astype(np.int64)
-        kinds = np.bincount(b.context[own], minlength=len(parent))
-        n[0], kinds[0] = b.count.sum(), (b.count > 0).sum()
-        at = np.flatnonzero(kinds)
-        ends = int(b.count[b.words.index(b"\n")]) if b"\n" in b.words else 0
-        return pa.table({"context": pa.array([*at.tolist(), -1, -2], pa.int64()), "n": pa.array([*n[at].tolist(), int((b.count == 1).sum()), ends], pa.int64()), "kinds": pa.array([*kinds[at].tolist(), 0, 0], pa.int64())})
 
-    return run
+def _tell(hot, model, offsets):
+    """Back to each shard: counts and numbers of its words, and codes of its words behind hot contexts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, state, shards, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                b = Bucket(state, hot.value)
+                code = b.below(model.value, 2, hot.value)
+                kind = _class(b.count)
+                order = np.argsort(kind, kind="stable")
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                by_class = np.searchsorted(kind[order], np.arange(64))
+                number += offsets.value[bucket][kind] - by_class[kind]
+                out = []
+                for shard, blob in zip(shards, asked, strict=True):
+                    at, pairs = map(unplanes, Blob.unpack(blob, np.uint8, np.uint8))
+                    out.append((shard, bucket, 0, Blob.pack(planes(b.count[at]), planes(number[at]), planes(code[np.searchsorted(b.code, pairs)]))))
+                yield from rows_of(TOLD, out).to_batches()
 
-class Model:
-    """Totals of each context and which are retained; probabilities are worked out where the counts are."""
+    return run
 
-    def __init__(self, parent: np.ndarray, totals: list[tuple[int, int, int]]):
-        self.parent = parent
-        self.n, self.kinds = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
-        self.once = self.ends = 0
-        for context, n, kinds in totals:
-            if context == -1:
-                self.once = n
-            elif context == -2:
-                self.ends = n
-            else:
-                self.n[context], self.kinds[context] = n, kinds
-        self.keep = np.zeros(len(parent), bool)
 
-    def root(self, count: np.ndarray) -> np.ndarray:
-        # With no word seen once, the unknown word still has the weight of half a token.
-        once = max(self.once, 0.5)
-        return np.where(count > 0, count, once) / (self.n[0] + once)
-
-    def mixed(self, n: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Witten-Bell: the suffix's distribution weighs as much as there are different next symbols."""
-        kinds = self.kinds[context]
-        total = self.n[context] + kinds
-        return np.where(total > 0, (n + kinds * below) / np.maximum(total, 1), below)
-
-    def probabilities(self, b: Bucket) -> np.ndarray:
-        """Of each (word, context) of a bucket, in the longest retained suffix state."""
-        root = self.root(b.count)[b.word]
-        out = root.copy()
-        one = np.flatnonzero((self.parent[b.context] == 0) & (b.context > 0) & self.keep[b.context])
-        out[one] = self.mixed(b.n[one], b.context[one], root[one])
-        two = np.flatnonzero(self.parent[b.context] > 0)
-        at = np.searchsorted(b.code, b.word[two] << 20 | self.parent[b.context[two]])
-        below = out[at]
-        out[two] = np.where(self.keep[b.context[two]], self.mixed(b.n[two], b.context[two], below), below)
-        return out
-
-
-def _gains(contexts, model):
-    """By context, a bucket's part of the divergence from the suffix."""
+TOLD = {"shard": pa.int32(), "bucket": pa.int32(), "step": pa.int32(), "blob": pa.binary()}
+TOLD_SQL = "shard int, bucket int, step int, blob binary"
+
+
+class Occurrences:
+    """A shard's tokens with their contexts of DEPTH words, equal ones once, in the order in which they are sent."""
+
+    def __init__(self, blobs: list[bytes], told: list[tuple[int, bytes]], hot: Hot, model: Model, word_buckets: int, buckets: int):
+        s = self.shard = Shard(blobs)
+        order, cuts = s.dealt(word_buckets)
+        self.count, number = np.zeros(len(s.words), np.int64), np.zeros(len(s.words), np.int64)
+        context, behind, code, which = s.pairs(hot)
+        begin = np.searchsorted(code // len(hot.parent), np.arange(len(s.words) + 1))
+        known = np.zeros(len(code), np.int64)
+        for b, blob in told:
+            own = order[cuts[b] : cuts[b + 1]]
+            self.count[own], number[own], codes = map(unplanes, Blob.unpack(blob, *[np.uint8] * 3))
+            known[ranges(begin[own], begin[own + 1] - begin[own])] = codes
+        # 0 is BEGIN.
+        number[order[: cuts[-1]]] += 1
+        token = s.at[s.own]
+        below = model.root(self.count)[token]
+        below[behind] = known[which]
+        path = [s.at[s.own - i] for i in range(1, DEPTH + 1)]
+        depth = hot.depth[context]
+        # What is dealt together: the hot context and one word more.
+        key = mix(number[path[0]].astype(U))
+        for i in (1, 2):
+            deeper = depth >= i
+            key[deeper] = mix(key[deeper] * ODD2 + number[path[i][deeper]].astype(U))
+        bucket = (key >> U(20)) % U(buckets)
+        rest = mix(mix(number[path[1]].astype(U) * ODD + number[path[2]].astype(U)) * ODD2 + number[token].astype(U))
+        route = bucket << U(44) | (number[path[0]].astype(U) & U(0xFFFFF)) << U(24) | rest >> U(40)
+        order = np.argsort(route, kind="stable")
+        columns = [x[order] for x in (token, *path)]
+        new = np.ones(len(order), bool)
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for x in columns[1:]:
+            new[1:] |= x[1:] != x[:-1]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.n = np.bincount(self.which, s.train, len(first)).astype(np.int64)
+        self.next, self.path, self.depth, self.below, self.key = number[token[first]], [number[p[first]] for p in path], depth[first], below[first], key[first]
+        self.cuts = np.searchsorted(bucket[first], np.arange(buckets + 1).astype(U))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(31))
+    x = x * ODD
+    return x ^ x >> U(29)
+
+
+def _split(told: pa.Table, step: int) -> list[tuple[int, bytes]]:
+    rows = zip(*(told.column(x).to_pylist() for x in ("bucket", "step", "blob")), strict=True)
+    return sorted((b, blob) for b, s, blob in rows if s == step)
+
+
+def _send(hot, model, word_buckets: int, buckets: int):
+    """Occurrences to their buckets."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        own, parent = model.value, contexts.value.parent
-        b = Bucket(rows, parent)
-        at = np.flatnonzero((b.context > 0) & (b.n > 0))
-        up = parent[b.context[at]]
-        above = np.searchsorted(b.code, b.word[at] << 20 | up)
-        above = np.minimum(above, len(b.code) - 1)
-        share = np.where(up > 0, b.n[above] / np.maximum(own.n[up], 1), b.count[b.word[at]] / max(own.n[0], 1))
-        gain = np.bincount(b.context[at], b.n[at] * np.log(b.n[at] / own.n[b.context[at]] / share), len(parent))
-        found = np.flatnonzero(np.bincount(b.context[at], minlength=len(parent)))
-        return pa.table({"context": pa.array(found, pa.int64()), "gain": pa.array(gain[found], pa.float64())})
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows:
+            o = Occurrences(rows.column("blob").to_pylist(), _split(told, 0), hot.value, model.value, word_buckets, buckets)
+            shard = rows.column("shard")[0].as_py()
+            for b, (i, j) in enumerate(zip(o.cuts[:-1].tolist(), o.cuts[1:].tolist(), strict=True)):
+                if j > i:
+                    out.append((b, shard, Blob.pack(*(planes(x[i:j]) for x in (*o.path, o.next, o.n, o.depth, o.below)))))
+        return rows_of({"bucket": pa.int32(), "shard": pa.int32(), "blob": pa.binary()}, out)
 
     return run
 
 
-def _tell(contexts, model):
-    """Back to each shard: counts of its words and, for its words behind retained contexts, log10 probabilities."""
+def subtree(path: list[np.ndarray], following: np.ndarray, n: np.ndarray, depth: np.ndarray, below: np.ndarray, least_gain: float) -> np.ndarray:
+    """Codes of occurrences in their longest retained context; below: their codes in the context of `depth` words."""
+    order = np.lexsort((following, *path[::-1]))
+    path, following, n, depth, code = [x[order] for x in path], following[order], n[order], depth[order], below[order].copy()
+    new = np.ones(len(order), bool)
+    for level in range(1, DEPTH + 1):
+        new[1:] = (path[0][1:] != path[0][:-1]) if level == 1 else new[1:] | (path[level - 1][1:] != path[level - 1][:-1])
+        group = np.cumsum(new) - 1
+        own = np.flatnonzero(depth < level)
+        total = np.bincount(group, n)
+        own = own[total[group[own]] >= 2]
+        if not len(own):
+            continue
+        g, f = group[own], following[own]
+        if level < DEPTH:
+            by = np.lexsort((f, g))
+            own, g, f = own[by], g[by], f[by]
+        edge = np.concatenate(([True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])))
+        first = np.flatnonzero(edge)
+        count = np.add.reduceat(n[own], first)
+        of = g[first]
+        kinds = np.bincount(of[count > 0], minlength=len(total))
+        gain = np.bincount(of, gain_of(count, total[of], value_of(code[own[first]])), len(total))
+        kept = gain[of] > least_gain
+        better = code_of(witten_bell(count, total[of], kinds[of], value_of(code[own[first]])))
+        code[own] = np.repeat(np.where(kept, better, code[own[first]]), np.diff(np.append(first, len(own))))
+    out = np.empty(len(order), np.int64)
+    out[order] = code
+    return out
+
+
+def _solve(least_gain: float):
+    """The bucket's answer to each shard, occurrence by occurrence."""
 
     def run(rows: pa.Table) -> pa.Table:
-        own = model.value
-        b = Bucket(rows, contexts.value.parent)
-        log = np.log10(own.probabilities(b))
-        used = own.keep | own.keep[contexts.value.parent]
-        out = []
-        for shard, words, at, code in zip(rows.column("shard").to_pylist(), rows.column("words").to_pylist(), b.words_at, b.code_at, strict=True):
-            # Codes for the shard have its own word numbers, which are places in its list of words.
-            local = np.empty(len(b.words), np.int64)
-            local[at] = np.arange(len(at))
-            behind = used[code & 0xFFFFF]
-            code = code[behind]
-            asked = local[code >> 20] << 20 | code & 0xFFFFF
-            out.append((shard, words, pack(b.count[at].tobytes()), pack(asked.tobytes()), pack(log[np.searchsorted(b.code, code)].tobytes())))
-        return _table({"shard": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "codes": pa.binary(), "logs": pa.binary()}, out)
+        bucket, shards = rows.column("bucket")[0].as_py(), rows.column("shard").to_pylist()
+        parts = [list(map(unplanes, Blob.unpack(x, *[np.uint8] * (DEPTH + 4)))) for x in rows.column("blob").to_pylist()]
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        path, (following, n, depth, below) = columns[:DEPTH], columns[DEPTH:]
+        key = mix(path[0].astype(U))
+        for i in (1, 2):
+            deeper = depth >= i
+            key[deeper] = mix(key[deeper] * ODD2 + path[i][deeper].astype(U))
+        several = len(n) // PART + 1
+        part = (key >> U(5)) % U(several)
+        code = np.empty(len(n), np.int64)
+        for p in range(several):
+            at = np.flatnonzero(part == p) if several > 1 else slice(None)
+            code[at] = subtree([x[at] for x in path], following[at], n[at], depth[at], below[at], least_gain)
+        out, at = [], 0
+        for shard, x in zip(shards, parts, strict=True):
+            out.append((shard, bucket, 1, Blob.pack(planes(code[at : at + len(x[0])]))))
+            at += len(x[0])
+        return rows_of(TOLD, out)
 
     return run
 
 
-def _score(contexts, model):
+def _score(hot, model, word_buckets: int, buckets: int):
+    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        own, look = model.value, contexts.value
-        place: dict[bytes, int] = {}
-        counts, codes, logs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for words, n, code, log in zip(*(told.column(x).to_pylist() for x in ("words", "counts", "codes", "logs")), strict=True):
-            begin = len(place)
-            for w in unpack(words).split(b" "):
-                place[w] = len(place)
-            counts.append(np.frombuffer(unpack(n), np.int64))
-            codes.append(np.frombuffer(unpack(code), np.int64) + (begin << 20))
-            logs.append(np.frombuffer(unpack(log), np.float64))
-        count, code, log = np.concatenate(counts), np.concatenate(codes), np.concatenate(logs)
-        order = np.argsort(code)
-        code, log = code[order], log[order]
-        base = np.log10((count + 0.1) / (own.n[0] + 0.1 * (own.kinds[0] + 1)))
-        root = np.log10(own.root(count))
-        used = own.keep | own.keep[look.parent]
-        out = []
-        if rows.num_rows:
-            words, starts, sizes = tokens_of(rows)
-            every = ranges(starts, sizes)
-            at = np.fromiter(map(place.get, words, repeat(0)), np.int64, len(words))[every]
-            score = root[at]
-            if len(code):
-                context = look.before(words)[every]
-                behind = np.flatnonzero(used[context])
-                score[behind] = log[np.searchsorted(code, at[behind] << 20 | context[behind])]
-            first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, first).tolist() for x in ((count[at] > 0).astype(np.int64), base[at], score)]
-            ids = rows.column("doc_id").to_pylist()
-            out = [(i, held_out(i), n, known, int(own.n[0]), b, s) for i, n, known, b, s in zip(ids, sizes.tolist(), *sums, strict=True)]
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return _table(kinds, out)
+        if not rows.num_rows:
+            return rows_of(kinds, [])
+        own = model.value
+        o = Occurrences(rows.column("blob").to_pylist(), _split(told, 0), hot.value, own, word_buckets, buckets)
+        code = np.concatenate([unplanes(Blob.unpack(blob, np.uint8)[0]) for _, blob in _split(told, 1)])[o.which]
+        s = o.shard
+        count = o.count[s.at[s.own]]
+        base = np.log10((o.count + 0.1) / (own.n[0] + 0.1 * (own.kinds[0] + 1)))[s.at[s.own]]
+        first = np.cumsum(s.sizes) - s.sizes
+        known, base, score = (np.add.reduceat(x, first).tolist() for x in ((count > 0).astype(np.int64), base, code))
+        ids = [None if i == NO_ID else i for i in s.ids]
+        return rows_of(kinds, [(i, held_out(i), n, k, int(own.n[0]), b, c * (-np.log10(2) / STEPS)) for i, n, k, b, c in zip(ids, s.sizes.tolist(), known, base, score, strict=True)])
 
     return run
 
 
-def score(docs: DataFrame, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> DataFrame:
+def score(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
-    small_batches(spark)
-    shards, buckets = shard_count(spark, 2), shard_count(spark, 1)
-    source = id_and_text(docs)
-    names = candidates(source, least_share)
-    contexts = spark.sparkContext.broadcast(Contexts(names))
-    dealt = source.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards))
-    asked = dealt.groupBy("shard").applyInArrow(_ask(contexts, buckets), "bucket int, shard int, words binary, counts binary, sizes binary, contexts binary, pairs binary")
-    asked = save(spark, asked, "words")
-    by_bucket = asked.groupBy("bucket")
-    totals = by_bucket.applyInArrow(_totals(contexts), "context long, n long, kinds long").groupBy("context").agg(F.sum("n"), F.sum("kinds")).collect()
-    own = Model(contexts.value.parent, [tuple(r) for r in totals])
-    first = spark.sparkContext.broadcast(own)
-    gains = by_bucket.applyInArrow(_gains(contexts, first), "context long, gain double").groupBy("context").agg(F.sum("gain")).collect()
-    for context, gain in gains:
-        # Chance alone gives each next symbol about half a nat.
-        own.keep[context] = gain > least_gain + own.kinds[context] * (0.5 + math.log(max(1.0, own.n[0] / max(1, own.n[context])))) if own.n[context] else False
-    own.keep[own.parent[own.keep]] = True
-    own.keep[0] = False
-    model = spark.sparkContext.broadcast(own)
-    told = by_bucket.applyInArrow(_tell(contexts, model), "shard int, words binary, counts binary, codes binary, logs binary")
+    shards, buckets = shard_count(docs, 2), shard_count(docs, 1)
+    share = spark.sparkContext.broadcast
+    hot = share(hot_contexts(docs, buckets))
+    dealt = deal(docs, shards)
+    asked = dealt.groupBy("shard").applyInArrow(_ask(hot, buckets), "bucket int, shard int, words binary, blob binary")
+    merged = save(spark, asked.groupBy("bucket").applyInArrow(_merge(hot), "bucket int, state binary, shards array<int>, asked array<binary>"), "words")
+    totals = merged.mapInArrow(_totals(hot), "bucket int, context long, n long, kinds long").groupBy("bucket", "context").agg(F.sum("n"), F.sum("kinds")).collect()
+    own = Model(len(hot.value.parent), [tuple(r)[1:] for r in totals if r[0] < 0])
+    by_class = np.zeros((64, buckets), np.int64)
+    for bucket, kind, n, _ in totals:
+        if bucket >= 0:
+            by_class[kind, bucket] = n
+    offsets = share((np.cumsum(by_class).reshape(by_class.shape) - by_class).T.copy())
+    for depth in (1, 2):
+        gains = merged.mapInArrow(_gains(hot, share(own), depth), "context long, gain double").groupBy("context").agg(F.sum("gain")).collect()
+        for context, gain in gains:
+            own.keep[context] = own.n[context] >= 2 and gain > least_gain
+    model = share(own)
+    told = merged.mapInArrow(_tell(hot, model, offsets), TOLD_SQL)
+    sent = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_send(hot, model, buckets, buckets), "bucket int, shard int, blob binary")
+    answers = sent.groupBy("bucket").applyInArrow(_solve(least_gain), TOLD_SQL)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_score(contexts, model), out)
+    return dealt.groupBy("shard").cogroup(told.unionByName(answers).groupBy("shard")).applyInArrow(_score(hot, model, buckets, buckets), out)

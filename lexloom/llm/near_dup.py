@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import save, small_batches
+from lexloom.llm.common import few_rows, save
 from lexloom.llm.edit import banded
 
 K = 5
@@ -123,7 +123,7 @@ def seeds_of(n: int) -> np.ndarray:
 def _sketches(k: int, count: int, picks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, table = seeds_of(count), WordHashes()
-        for batch in batches:
+        for batch in few_rows(batches):
             nodes, sizes, found = [], [], []
             for text in batch.column(1).to_pylist():
                 words = tokens(text)
@@ -137,7 +137,7 @@ def _sketches(k: int, count: int, picks: int):
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts joined by doc_id, those whose node is the one asked for."""
-    for batch in batches:
+    for batch in few_rows(batches):
         texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         same = [node_of(t, tokens(t)) == n for t, n in zip(texts, wanted, strict=True)]
         kept = batch.filter(pa.array(same, pa.bool_()))
@@ -194,7 +194,7 @@ def _aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, and its words counted by cell (255 at most, which only lowers differences)."""
     table = WordHashes()
-    for batch in batches:
+    for batch in few_rows(batches):
         found = []
         for text in batch.column(1).to_pylist():
             words = tokens(text)
@@ -258,7 +258,6 @@ def components(spark, edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, node (the words' hash), class_id and class_size (documents)."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = save(spark, source.mapInArrow(_sketches(k, sketches, picks), "doc_id long, node binary, n_words long, sketch array<long>"), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
@@ -291,7 +290,7 @@ def drop_near(docs: DataFrame, **how) -> DataFrame:
     text = joined.schema.names.index("text")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, wanted = batch.column(text).to_pylist(), batch.column(at).to_pylist()
             yield batch.filter(pa.array([node_of(t, tokens(t)) == n for t, n in zip(texts, wanted, strict=True)], pa.bool_()))
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import id_and_text, save, small_batches
+from lexloom.llm.common import few_rows, id_and_text, save
 
 CAPACITY = 2048
 #: Words kept encoded in a worker; beyond it the table starts anew.
@@ -126,7 +126,7 @@ def _pieces(path: str, capacity: int):
         own = encoder(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
                 ids += b"\0\0\0\0"
@@ -260,7 +260,6 @@ def _place(table: dict[str, np.ndarray]):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = save(spark, id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

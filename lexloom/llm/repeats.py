@@ -19,9 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lexloom.llm.common import shard_count, shard_of
+from lexloom.llm.common import NO_ID, Blob, deal, documents, shard_count
 
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -30,7 +29,6 @@ WORD = 1 << 64
 BLOCK = 1 << 20
 #: Bytes of segments that are solved together, so that the work stays in a cache; only one minimiser with more goes beyond.
 PART = 400_000
-NO_ID = -(1 << 63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -154,29 +152,7 @@ def _cuts(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(bucket.dtype))
 
 
-class Blob:
-    """Named arrays as compressed bytes."""
-
-    codec = "zstd"
-
-    @classmethod
-    def pack(cls, *arrays: np.ndarray) -> bytes:
-        head = np.array([x.nbytes for x in arrays], np.int64).tobytes()
-        raw = head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
-        return np.int64(len(raw)).tobytes() + pa.compress(raw, cls.codec, asbytes=True)
-
-    @classmethod
-    def unpack(cls, blob: bytes, *kinds) -> list[np.ndarray]:
-        raw = pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), cls.codec, asbytes=True)
-        sizes = np.frombuffer(raw[: 8 * len(kinds)], np.int64)
-        out, at = [], 8 * len(kinds)
-        for size, kind in zip(sizes.tolist(), kinds, strict=True):
-            out.append(np.frombuffer(raw[at : at + size], kind))
-            at += size
-        return out
-
-
-Encode = Callable[[list[int], list[str]], Iterator[Block]]
+Encode = Callable[[list[int], list[bytes]], Iterator[Block]]
 #: From strings (bytes and cuts), the least doc_id of each and the window length: windows of each string, and the least doc_id for each window.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
@@ -186,18 +162,13 @@ def _rows(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(columns.items(), parts, strict=True)})
 
 
-def _documents(rows: pa.Table) -> tuple[list[int], list[str]]:
-    ids = [NO_ID if x is None else x for x in rows.column("doc_id").to_pylist()]
-    return ids, rows.column("text").to_pylist()
-
-
 def _ask(encode: Encode, length: int, seed: int, buckets: int):
     """A shard's minimisers, by bucket, and whether two of its documents have them."""
 
     def run(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
         keys, ids = [], []
-        for block in encode(*_documents(rows)):
+        for block in encode(*documents(rows.column("blob").to_pylist())):
             s = segments(block, length, seed)
             keys.append(s.key)
             ids.append(block.ids[s.doc])
@@ -243,7 +214,7 @@ def _send(encode: Encode, length: int, seed: int, buckets: int):
             shard = rows.column("shard")[0].as_py()
             table = np.sort(np.concatenate([Blob.unpack(x, U)[0] for x in shared.column("blob").to_pylist()]))
             powers, found = Powers(), []
-            for block in encode(*_documents(rows)):
+            for block in encode(*documents(rows.column("blob").to_pylist())):
                 s = segments(block, length, seed)
                 keep = np.flatnonzero(find(table, s.key)[1])
                 if not len(keep):
@@ -371,7 +342,7 @@ def _answer(encode: Encode, finish, names: list[str], kinds: list[pa.DataType],
         first_run = np.cumsum(run_n) - run_n
         table = (name[order], first_run[order], run_n[order], run_len, run_min)
         powers, out = Powers(), []
-        for block in encode(*_documents(rows)) if rows.num_rows else ():
+        for block in encode(*documents(rows.column("blob").to_pylist())) if rows.num_rows else ():
             out += finish(block, covered(block, table, powers, length, seed))
         return _rows(dict(zip(names, kinds, strict=True)), out)
 
@@ -386,8 +357,8 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 def least_holders(docs: DataFrame, encode: Encode, solve: Solve, finish, schema: str, names: list[str], kinds: list[pa.DataType], length: int, seed: int) -> DataFrame:
     """docs: doc_id long, text string. finish(block, mask) gives rows of schema for a block's documents."""
     # A shard sends each bucket a row at most, so their product must stay small beside the data.
-    shards, buckets = shard_count(docs.sparkSession, 2), shard_count(docs.sparkSession, 1)
-    dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), F.col("text"), shards))
+    shards, buckets = shard_count(docs, 2), shard_count(docs, 1)
+    dealt = deal(docs, shards)
     by_bucket = "bucket int, shard int, blob binary"
     asked = dealt.groupBy("shard").applyInArrow(_ask(encode, length, seed, buckets), by_bucket)
     shared = asked.groupBy("bucket").applyInArrow(_shared, "shard int, blob binary")

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm.common import id_and_text
-from lexloom.llm.repeats import NO_ID, Block, Powers, least_holders, ranges, spans_of
+from lexloom.llm.common import NO_ID
+from lexloom.llm.repeats import Block, Powers, least_holders, ranges, spans_of
 from lexloom.llm.suffix_dedup import BYTES
 
 LENGTH = 13
@@ -32,7 +32,7 @@ BLANK = 0x20
 IS_SPACE = np.isin(np.arange(256), [BLANK, *range(0x09, 0x0E)])
 
 
-def encode_words(ids: list[int], texts: list[str]) -> Iterator[Block]:
+def encode_words(ids: list[int], texts: list[bytes]) -> Iterator[Block]:
     """Documents in blocks of about CHARS characters; raw has each word and a blank behind it.
 
     All on bytes: no white space of the rule occurs within a UTF-8 sequence. A word's hash is that of its bytes.
@@ -55,7 +55,7 @@ def encode_words(ids: list[int], texts: list[str]) -> Iterator[Block]:
         return Block(symbols, np.concatenate(([0], ends[:-1])), ends, np.array(own, np.int64), raw, at)
 
     for doc_id, text in zip(ids, texts, strict=True):
-        held.append((text or "").encode("utf-8", "surrogatepass"))
+        held.append(text)
         own.append(doc_id)
         size += len(held[-1])
         if size >= CHARS:
@@ -185,4 +185,4 @@ def dedup_words(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     """doc_id, n_words, spans (removed words, as begin and end), kept (the remaining words, joined by a space)."""
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     schema = "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, kept string"
-    return least_holders(id_and_text(docs), encode_words, solve, _finish, schema, ["doc_id", "n_words", "spans", "kept"], [pa.int64(), pa.int64(), pa.list_(span), pa.string()], length, seed)
+    return least_holders(docs, encode_words, solve, _finish, schema, ["doc_id", "n_words", "spans", "kept"], [pa.int64(), pa.int64(), pa.list_(span), pa.string()], length, seed)

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm.common import id_and_text
-from lexloom.llm.repeats import BLOCK, NO_ID, Block, Powers, least_holders, mix, ranges, spans_of
+from lexloom.llm.common import NO_ID
+from lexloom.llm.repeats import BLOCK, Block, Powers, least_holders, mix, ranges, spans_of
 
 LENGTH = 50
 SEED = 20
@@ -31,7 +31,7 @@ EVERY = 16
 BYTES = mix(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def encode_bytes(ids: list[int], texts: list[str]) -> Iterator[Block]:
+def encode_bytes(ids: list[int], texts: list[bytes]) -> Iterator[Block]:
     """Documents in blocks of about BLOCK bytes."""
     held: list[bytes] = []
     own: list[int] = []
@@ -44,7 +44,7 @@ def encode_bytes(ids: list[int], texts: list[str]) -> Iterator[Block]:
         return Block(BYTES[raw], ends - sizes, ends, np.array(own, np.int64), raw)
 
     for doc_id, text in zip(ids, texts, strict=True):
-        held.append((text or "").encode("utf-8", "surrogatepass"))
+        held.append(text)
         own.append(doc_id)
         size += len(held[-1])
         if size >= BLOCK:
@@ -166,4 +166,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     """doc_id, n_bytes, spans (removed, as begin and end), kept (the remaining bytes)."""
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     schema = "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-    return least_holders(id_and_text(docs), encode_bytes, solve, _finish, schema, ["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), pa.list_(span), pa.binary()], length, seed)
+    return least_holders(docs, encode_bytes, solve, _finish, schema, ["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), pa.list_(span), pa.binary()], length, seed)

@@ -122,3 +122,35 @@ def classes(docs, tokens, similarity=0.8):
     for i, (d, _) in enumerate(docs):
         least.setdefault(root(i), []).append(d)
     return [(d, min((x for x in least[root(i)] if x is not None), default=None)) for i, (d, _) in enumerate(docs)]
+
+
+def tree_scores(docs, depth=3, least_gain=3.0):
+    """Of a suffix tree that is all in one place; logs in steps of 1/1024 bit."""
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 10 == 0
+    split = [(d, [""] * depth + [*WORD.findall(lower(t or "")), "\n"]) for d, t in docs]
+    after = {}
+    for d, ws in split:
+        if not held(d):
+            for i in range(depth, len(ws)):
+                for k in range(depth + 1):
+                    after.setdefault(tuple(ws[i - k : i]), Counter())[ws[i]] += 1
+    root = after.get((), Counter())
+    once = max(sum(n == 1 for n in root.values()), 1)
+    steps = lambda p: min(round(-math.log2(p) * 1024), 65534)
+    kept = {}
+
+    def code(context, symbol):
+        if not context:
+            return steps((root[symbol] or 1) / (root.total() + once))
+        below = code(context[1:], symbol)
+        own = after.get(context)
+        if not own or own.total() < 2:
+            return below
+        if context not in kept:
+            share = {x: 2 ** (-code(context[1:], x) / 1024) for x in own}
+            kept[context] = sum(n * math.log(n / own.total()) - (n - 1) * math.log(share[x]) for x, n in own.items()) > least_gain
+        if not kept[context]:
+            return below
+        return steps((own[symbol] + len(own) * 2 ** (-below / 1024)) / (own.total() + len(own)))
+
+    return [(d, len(ws) - depth, sum(code(tuple(ws[i - depth : i]), ws[i]) for i in range(depth, len(ws))) * -math.log10(2) / 1024) for d, ws in split]

@@ -218,68 +218,47 @@ def test_contexts_help_on_held_out_text(spark):
     rng = random.Random(7)
     after = {f"k{i}": [f"v{i}a", f"v{i}b"] for i in range(6)}
     make = lambda: " ".join(w for _ in range(60) for k in [rng.choice(sorted(after))] for w in (k, rng.choice(after[k])))
-    found = lm_score.score(frame(spark, [(i, make()) for i in range(60)]), least_share=1e-3).filter("held_out")
+    found = lm_score.score(frame(spark, [(i, make()) for i in range(60)])).filter("held_out")
     n, base, own = found.agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
     assert own / n > base / n + 0.3
 
 
-def test_candidates_are_counted_in_full(spark):
-    """Whatever is read at once, a context is judged by its count in all texts."""
-    rng = random.Random(13)
-    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40)))) for i in range(400)]
-    own = [[b"", *lm_score.words_of(t)] for i, t in docs if not lm_score.held_out(i)]
-    total = sum(map(len, own))
-    n = Counter(b"\n" + w for ws in own for w in ws) + Counter(a + b"\n" + b for ws in own for a, b in zip(ws[1:], ws[2:], strict=False))
-    want = sorted(c for c, k in n.items() if k >= max(2, 0.002 * total))
-    source = frame(spark, docs).select("doc_id", "text").repartition(5, "doc_id")
-    for tokens in (1, 300, 10**6):
-        assert sorted(lm_score.candidates(source, 0.002, tokens)) == want
+def tree_docs():
+    """A few very common words and pairs, rare ones, repeats, and texts that occur twice."""
+    rng = random.Random(17)
+    word = lambda: "the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.7))}"
+    docs = [(i, " ".join("of the" if rng.random() < 0.1 else word() for _ in range(rng.randrange(60)))) for i in range(150)]
+    docs += [(1000 + i, docs[i][1]) for i in range(20)]
+    return [*docs, (2000, None), (2001, "THE The the"), (2002, "never seen before"), (2001, "of the of the of"), (None, "of the")]
 
 
-def test_scores_do_not_depend_on_batches(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rng = random.Random(17)
-    docs = [(i, " ".join(f"k{k} v{k}x{rng.randrange(2)}" for k in (rng.randrange(180) for _ in range(30)))) for i in range(600)]
-    before, found = spark.conf.get(key), []
+def test_scores_like_a_plain_suffix_tree(spark):
+    docs = tree_docs()
+    found = sorted(((r.doc_id, r.n_tokens, r.score) for r in lm_score.score(frame(spark, docs)).collect()), key=repr)
+    for a, b in zip(found, sorted(brute.tree_scores(docs), key=repr), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_scores_do_not_depend_on_how_work_is_dealt(spark, monkeypatch):
+    docs, key = tree_docs(), "spark.sql.shuffle.partitions"
+    want = [(r, c) for r, c, in sorted(((d, s) for d, _, s in brute.tree_scores(docs)), key=repr)]
+    monkeypatch.setattr(lm_score, "PART", 500)
     try:
-        for n in (3, 1000):
+        for n in (1, 7, 211):
             spark.conf.set(key, str(n))
-            found.append(sorted((r.doc_id, round(r.score, 6)) for r in lm_score.score(frame(spark, docs), least_share=1e-3).collect()))
+            found = sorted(((r.doc_id, r.score) for r in lm_score.score(frame(spark, docs).repartition(n)).collect()), key=repr)
+            assert [d for d, _ in found] == [d for d, _ in want]
+            assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for (_, a), (_, b) in zip(found, want, strict=True))
     finally:
-        spark.conf.set(key, before)
-    assert found[0] == found[1]
-
-
-def test_distributions_add_up_to_one():
-    contexts = lm_score.Contexts([b"\n", b"\na", b"\nb", b"a\nb"])
-    words = [b"", b"", b"a", b"b", b"a", b"b", b"c", b"a", b"\n"]
-    assert contexts.before(words)[2:].tolist() == [1, 2, 4, 2, 4, 0, 2]
-    pairs = Counter(zip(words[2:], contexts.before(words)[2:].tolist(), strict=True))
-    vocabulary = sorted({w for w, _ in pairs})
-    asked = [(w, c) for w in vocabulary for c in range(5)]
-    pack = lambda x, k: lm_score.pack(np.array(x, k).tobytes())
-    counts = Counter(words[2:])
-    rows_ = pa.table({
-        "words": [lm_score.pack(b" ".join(vocabulary))], "counts": [pack([counts[w] for w in vocabulary], np.int32)], "sizes": [pack([5] * len(vocabulary), np.int32)],
-        "contexts": [pack([c for _, c in asked], np.int32)], "pairs": [pack([pairs[x] for x in asked], np.int32)],
-    })
-    totals = lm_score._totals(type("B", (), {"value": contexts})())(rows_)
-    model = lm_score.Model(contexts.parent, [tuple(r.values()) for r in totals.to_pylist()])
-    model.keep[1:] = True
-    bucket = lm_score.Bucket(rows_, contexts.parent)
-    p = model.probabilities(bucket)
-    unknown = float(model.root(np.array([0]))[0])
-    assert math.isclose(model.root(bucket.count).sum() + unknown, 1.0)
-    for c in range(1, 5):
-        own = p[bucket.context == c].sum()
-        below, k = unknown, c
-        chain = []
-        while k:
-            chain.append(k)
-            k = int(contexts.parent[k])
-        for k in reversed(chain):
-            below = float(model.mixed(np.array([0]), np.array([k]), np.array([below]))[0])
-        assert math.isclose(own + below, 1.0)
+        spark.conf.set(key, "4")
+
+
+def test_texts_that_occur_twice_are_expected(spark):
+    docs = [(i, " ".join(f"x{random.Random(i * 1000 + j).randrange(10**6)}" for j in range(80))) for i in range(40)]
+    train = [i for i in range(100, 140) if not lm_score.held_out(i)][:2]
+    docs += [(i, docs[0][1]) for i in train]
+    found = {r.doc_id: r.score / r.n_tokens for r in lm_score.score(frame(spark, docs)).collect()}
+    assert min(found[i] for i in train) > max(v for i, v in found.items() if i not in (0, *train)) + 1
 
 
 def test_scores_of_the_table_beat_the_base(spark):
