@@ -16,7 +16,7 @@ NO_ID = -(1 << 63)
 #: Bytes of files that one group of documents holds at most, about: what a Python worker has in memory at once is a multiple of it.
 SHARD_BYTES = 16 << 20
 #: Bytes of text that a task collects before it sends them to their shards.
-DEAL_BYTES = 32 << 20
+DEAL_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ LEAST_GAIN = 3.0
 #: Documents read to name contexts that are too large for one bucket.
 SAMPLE_DOCS = 20_000
 #: Occurrences that a bucket looks at together.
-PART = 1_500_000
+PART = 300_000
 #: Steps of a kept logarithm in a bit.
 STEPS = 1024
 BEGIN, END = b"", b"\n"
@@ -158,8 +159,11 @@ class Shard:
         """Each token's hot context; the different (place, context) with one, ascending, and which of them each such token is."""
         context = hot.before(self.words, self.at, self.own)
         behind = np.flatnonzero(context)
-        code, which = np.unique(self.at[self.own[behind]] * len(hot.parent) + context[behind], return_inverse=True)
-        return context, behind, code, which
+        which, code = pd.factorize(self.at[self.own[behind]] * len(hot.parent) + context[behind])
+        order = np.argsort(code)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return context, behind, code[order], place[which]
 
 
 def _ask(hot, buckets: int):
@@ -194,8 +198,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, which = np.unique(code, return_inverse=True)
-    return found, np.bincount(which, n, len(found)).astype(np.int64)
+    which, found = pd.factorize(code)
+    order = np.argsort(found)
+    return found[order], np.bincount(which, n, len(found)).astype(np.int64)[order]
 
 
 def _merge(hot):
@@ -337,7 +342,7 @@ TOLD_SQL = "shard int, bucket int, step int, blob binary"
 
 
 class Occurrences:
-    """A shard's tokens with their contexts of DEPTH words, equal ones once, in the order in which they are sent."""
+    """A shard's tokens with their contexts of DEPTH words, in the order in which they are sent; behind hot pairs equal ones once."""
 
     def __init__(self, blobs: list[bytes], told: list[tuple[int, bytes]], hot: Hot, model: Model, word_buckets: int, buckets: int):
         s = self.shard = Shard(blobs)
@@ -352,31 +357,42 @@ class Occurrences:
             known[ranges(begin[own], begin[own + 1] - begin[own])] = codes
         # 0 is BEGIN.
         number[order[: cuts[-1]]] += 1
-        token = s.at[s.own]
-        below = model.root(self.count)[token]
+        below = model.root(self.count)[s.at[s.own]]
         below[behind] = known[which]
-        path = [s.at[s.own - i] for i in range(1, DEPTH + 1)]
         depth = hot.depth[context]
-        # What is dealt together: the hot context and one word more.
-        key = mix(number[path[0]].astype(U))
-        for i in (1, 2):
-            deeper = depth >= i
-            key[deeper] = mix(key[deeper] * ODD2 + number[path[i][deeper]].astype(U))
-        bucket = (key >> U(20)) % U(buckets)
-        rest = mix(mix(number[path[1]].astype(U) * ODD + number[path[2]].astype(U)) * ODD2 + number[token].astype(U))
-        route = bucket << U(44) | (number[path[0]].astype(U) & U(0xFFFFF)) << U(24) | rest >> U(40)
-        order = np.argsort(route, kind="stable")
-        columns = [x[order] for x in (token, *path)]
-        new = np.ones(len(order), bool)
-        new[1:] = columns[0][1:] != columns[0][:-1]
-        for x in columns[1:]:
-            new[1:] |= x[1:] != x[:-1]
-        self.which = np.empty(len(order), np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        first = order[new]
+        deep = depth == 2
+        flat = np.flatnonzero(~deep)
+        deep = np.flatnonzero(deep)
+        # Behind a hot pair a passage that very many texts share would meet itself; a shard sends it once.
+        same, first = np.zeros(0, np.int64), deep
+        if len(deep):
+            at = s.own[deep]
+            same, _ = pd.factorize(context[deep] * len(s.words) + s.at[at - DEPTH])
+            same, kinds = pd.factorize(same * len(s.words) + s.at[at])
+            first = np.empty(len(kinds), np.int64)
+            first[same[::-1]] = deep[::-1]
+        first = np.concatenate([flat, first])
+        self.which = np.empty(len(s.own), np.int64)
+        self.which[flat], self.which[deep] = np.arange(len(flat)), len(flat) + same
+        at, self.depth, self.below = s.own[first], depth[first], below[first]
+        self.next, self.path = number[s.at[at]], [number[s.at[at - i]] for i in range(1, DEPTH + 1)]
+        bucket = (dealt_key(self.path, self.depth) >> U(20)) % U(buckets)
+        order = np.argsort(bucket << U(40) | self.path[0].astype(U) & U(0xFFFFFFFFFF), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place[self.which]
         self.n = np.bincount(self.which, s.train, len(first)).astype(np.int64)
-        self.next, self.path, self.depth, self.below, self.key = number[token[first]], [number[p[first]] for p in path], depth[first], below[first], key[first]
-        self.cuts = np.searchsorted(bucket[first], np.arange(buckets + 1).astype(U))
+        self.next, self.depth, self.below, self.path = self.next[order], self.depth[order], self.below[order], [x[order] for x in self.path]
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U))
+
+
+def dealt_key(path: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
+    """What is dealt together: contexts that share the hot context, of `depth` words, and one word more."""
+    key = mix(path[0].astype(U))
+    for i in (1, 2):
+        deeper = np.flatnonzero(depth >= i)
+        key[deeper] = mix(key[deeper] * ODD2 + path[i][deeper].astype(U))
+    return key
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -408,57 +424,53 @@ def _send(hot, model, word_buckets: int, buckets: int):
 
 def subtree(path: list[np.ndarray], following: np.ndarray, n: np.ndarray, depth: np.ndarray, below: np.ndarray, least_gain: float) -> np.ndarray:
     """Codes of occurrences in their longest retained context; below: their codes in the context of `depth` words."""
-    order = np.lexsort((following, *path[::-1]))
-    path, following, n, depth, code = [x[order] for x in path], following[order], n[order], depth[order], below[order].copy()
-    new = np.ones(len(order), bool)
+    code, alive = below.copy(), np.arange(len(n))
+    context = np.zeros(len(n), np.int64)
     for level in range(1, DEPTH + 1):
-        new[1:] = (path[0][1:] != path[0][:-1]) if level == 1 else new[1:] | (path[level - 1][1:] != path[level - 1][:-1])
-        group = np.cumsum(new) - 1
-        own = np.flatnonzero(depth < level)
-        total = np.bincount(group, n)
-        own = own[total[group[own]] >= 2]
+        context, _ = pd.factorize(context << 32 | path[level - 1][alive])
+        total = np.bincount(context, n[alive])
+        # A context that occurs once has no deeper one that occurs twice.
+        stay = np.flatnonzero((total[context] >= 2) | (depth[alive] >= level))
+        alive, context = alive[stay], context[stay]
+        at = np.flatnonzero(depth[alive] < level)
+        own = alive[at]
         if not len(own):
             continue
-        g, f = group[own], following[own]
-        if level < DEPTH:
-            by = np.lexsort((f, g))
-            own, g, f = own[by], g[by], f[by]
-        edge = np.concatenate(([True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])))
-        first = np.flatnonzero(edge)
-        count = np.add.reduceat(n[own], first)
-        of = g[first]
+        pair, pairs = pd.factorize(context[at] << 32 | following[own])
+        of = pairs >> 32
+        count = np.bincount(pair, n[own])
+        old = np.empty(len(pairs), np.int64)
+        old[pair] = code[own]
+        expected = value_of(old)
         kinds = np.bincount(of[count > 0], minlength=len(total))
-        gain = np.bincount(of, gain_of(count, total[of], value_of(code[own[first]])), len(total))
-        kept = gain[of] > least_gain
-        better = code_of(witten_bell(count, total[of], kinds[of], value_of(code[own[first]])))
-        code[own] = np.repeat(np.where(kept, better, code[own[first]]), np.diff(np.append(first, len(own))))
-    out = np.empty(len(order), np.int64)
-    out[order] = code
-    return out
+        gain = np.bincount(of, gain_of(count, total[of], expected), len(total))
+        better = code_of(witten_bell(count, total[of], kinds[of], expected))
+        code[own] = np.where(gain[of] > least_gain, better, old)[pair]
+    return code
 
 
 def _solve(least_gain: float):
     """The bucket's answer to each shard, occurrence by occurrence."""
 
     def run(rows: pa.Table) -> pa.Table:
-        bucket, shards = rows.column("bucket")[0].as_py(), rows.column("shard").to_pylist()
-        parts = [list(map(unplanes, Blob.unpack(x, *[np.uint8] * (DEPTH + 4)))) for x in rows.column("blob").to_pylist()]
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        path, (following, n, depth, below) = columns[:DEPTH], columns[DEPTH:]
-        key = mix(path[0].astype(U))
-        for i in (1, 2):
-            deeper = depth >= i
-            key[deeper] = mix(key[deeper] * ODD2 + path[i][deeper].astype(U))
+        bucket, shards, blobs = rows.column("bucket")[0].as_py(), rows.column("shard").to_pylist(), rows.column("blob").to_pylist()
+        columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 4)]
+        for x in blobs:
+            for column, part in zip(columns, Blob.unpack(x, *[np.uint8] * (DEPTH + 4)), strict=True):
+                column.append(unplanes(part).astype(np.uint32))
+        sizes = [len(x) for x in columns[0]]
+        del blobs, rows
+        *path, following, n, depth, below = (np.concatenate(columns.pop(0)) for _ in range(DEPTH + 4))
         several = len(n) // PART + 1
-        part = (key >> U(5)) % U(several)
+        part = (dealt_key(path, depth) >> U(5)) % U(several)
         code = np.empty(len(n), np.int64)
         for p in range(several):
-            at = np.flatnonzero(part == p) if several > 1 else slice(None)
-            code[at] = subtree([x[at] for x in path], following[at], n[at], depth[at], below[at], least_gain)
+            at = np.flatnonzero(part == p)
+            code[at] = subtree([x[at].astype(np.int64) for x in path], following[at].astype(np.int64), n[at].astype(np.int64), depth[at], below[at].astype(np.int64), least_gain)
         out, at = [], 0
-        for shard, x in zip(shards, parts, strict=True):
-            out.append((shard, bucket, 1, Blob.pack(planes(code[at : at + len(x[0])]))))
-            at += len(x[0])
+        for shard, size in zip(shards, sizes, strict=True):
+            out.append((shard, bucket, 1, Blob.pack(planes(code[at : at + size]))))
+            at += size
         return rows_of(TOLD, out)
 
     return run
@@ -495,6 +507,8 @@ def score(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     merged = save(spark, asked.groupBy("bucket").applyInArrow(_merge(hot), "bucket int, state binary, shards array<int>, asked array<binary>"), "words")
     totals = merged.mapInArrow(_totals(hot), "bucket int, context long, n long, kinds long").groupBy("bucket", "context").agg(F.sum("n"), F.sum("kinds")).collect()
     own = Model(len(hot.value.parent), [tuple(r)[1:] for r in totals if r[0] < 0])
+    if sum(r[2] for r in totals if r[0] >= 0) >= (1 << 32) - 1:
+        raise ValueError("words are numbered with 32 bits")
     by_class = np.zeros((64, buckets), np.int64)
     for bucket, kind, n, _ in totals:
         if bucket >= 0:
