@@ -3,26 +3,29 @@
 The lengths of all pieces form a histogram of at most `capacity` rows, whatever the corpus. Over it stands the
 configuration linear program: choose how often to use each multiset of lengths that fits a sequence, so that
 every piece is covered and the number of sequences is least. It is solved by multiplicative weights: each
-length has a price, a knapsack dynamic program finds the configuration of greatest value at these prices, and
-the price of what a configuration covers falls by a factor. Configurations are taken in whole multiples of
-what is still to be covered, which rounds the fractional solution as it is built; the last few pieces are
-placed by best fit.
+length has a price; a knapsack dynamic program values configurations at these prices; the price of each length is multiplied
+by a factor that falls with how much of it the configurations near the greatest value cover; and again. Scaled prices solve the dual program, so
+the value of all pieces at any round's prices is a number of sequences that no packing is below. The fractional
+solution, the mean of the last rounds, is rounded to configurations drawn from it in proportion; what rounding leaves or runs short of
+is placed by best fit.
 
 The plan is a table of (length, rank) ranges, bounded by the capacity and the number of pricing rounds. A piece finds its
 place from its length and its rank among the pieces of that length; ranks come from counts per task, so no
 length is gathered in one place.
 
-Defined results: a null or empty text is one piece holding the end id alone. Repeated rows are packed once per
+Defined results: a null or empty text is one piece holding the end id alone. A null doc_id stays null. Repeated rows are packed once per
 row. Extra columns are not carried. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import sys
 import types
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,86 +145,144 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
-    """Lengths, each any number of times, of greatest value within room; lengths ascend."""
+def knapsack(values: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """For each room up to this, the greatest value of lengths within it, each any number of times; lengths ascend."""
     best = np.zeros(room + 1)
-    pick = np.full(room + 1, -1)
     fits = np.searchsorted(lengths, np.arange(room + 1), "right")
-    for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            worth = best[c - lengths[:n]] + values[:n]
-            i = int(worth.argmax())
-            if worth[i] > best[c]:
-                best[c], pick[c] = worth[i], i
-    found, c = [], room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            found.append(int(lengths[pick[c]]))
-            c -= found[-1]
-    return found
-
-
-def plan(counts: dict[int, int], capacity: int, rate: float = 0.5, share: float = 0.34, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
-    """(length -> copies, sequences that hold just this) for all pieces counted.
-
-    rate: how strongly a length that lags behind gains price. share: the part of what limits a configuration
-    that one round may take. rounds: pricing rounds before best fit places the rest.
+    for c in range(int(lengths[0]), room + 1):
+        n = fits[c]
+        best[c] = max(best[c - 1], (best[c - lengths[:n]] + values[:n]).max())
+    return best
+
+
+class Program:
+    """A fractional solution of the configuration program, as the mean of rounds.
+
+    A round prices configurations by a knapsack: `best` value for each room at the round's prices. It then uses all
+    configurations of nearly the greatest value: pieces are chosen one after another, a length by how many pieces
+    have it and by exp(-what the choice loses against the best / heat). Then the price of each length is multiplied by
+    a factor that falls with how much of its demand these cover. Scaled by the best configuration, each round's prices solve the
+    dual program, so their value is a number of sequences that no packing is below.
+    """
+
+    def __init__(self, n: np.ndarray, lengths: np.ndarray, capacity: int, rate: float, rounds: int, heat: float, cold: float):
+        self.n, self.lengths, self.capacity = n, lengths, capacity
+        self.fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+        self.bound, self.rounds, self.covered = 0.0, [], np.zeros(len(n))
+        price = lengths / capacity
+        for i in range(rounds):
+            best = knapsack(price, lengths, capacity)
+            price, best = price / best[capacity], best / best[capacity]
+            self.bound = max(self.bound, float(n @ price))
+            self.heat = heat * (cold / heat) ** min(1.0, max(0.0, 3 * i / rounds - 1))
+            share = self.usage(price, best) * (n @ price) / n
+            if i >= rounds * 2 // 3:
+                self.rounds.append((price, best))
+                self.covered += share
+            price = price * np.exp(rate / (1 + i / 10) * np.clip(1 - share, -2, 1))
+        self.covered /= len(self.rounds)
+
+    def chances(self, price: np.ndarray, best: np.ndarray, room: int) -> np.ndarray:
+        """How likely each length that fits is the next piece."""
+        k = self.fits[room]
+        x = self.n[:k] * np.exp((price[:k] + best[room - self.lengths[:k]] - best[room]) / self.heat)
+        return x / x.sum()
+
+    def usage(self, price: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Pieces of each length in a sequence of the round, on the average: what flows from the whole room down."""
+        flow, used = np.zeros(self.capacity + 1), np.zeros(len(self.n))
+        flow[self.capacity] = 1
+        for room in range(self.capacity, int(self.lengths[0]) - 1, -1):
+            if flow[room] > 1e-12:
+                part = flow[room] * self.chances(price, best, room)
+                used[: len(part)] += part
+                flow[room - self.lengths[: len(part)]] += part
+        return used
+
+    def draw(self, rng: np.random.Generator, some: int) -> list[list[int]]:
+        """Configurations, as places in lengths, in turn from all rounds."""
+        out: list[list[int]] = [[] for _ in range(some)]
+        for r, (price, best) in enumerate(self.rounds):
+            own = np.arange(r, some, len(self.rounds))
+            room = np.full(len(own), self.capacity)
+            while len(own):
+                stay = []
+                for c in np.unique(room).tolist():
+                    at = np.flatnonzero(room == c)
+                    if not self.fits[c]:
+                        continue
+                    picks = np.searchsorted(np.cumsum(self.chances(price, best, c)), rng.random(len(at)) * (1 - 1e-12))
+                    for i, pick in zip(own[at].tolist(), picks.tolist(), strict=True):
+                        out[i].append(pick)
+                    room[at] -= self.lengths[picks]
+                    stay.append(at)
+                stay = np.sort(np.concatenate(stay)) if stay else np.zeros(0, np.int64)
+                own, room = own[stay], room[stay]
+        return out
+
+
+def plan(counts: dict[int, int], capacity: int, rate: float = 0.3, rounds: int = 60, heat: float = 0.05, cold: float = 0.0001, part: float = 0.95, most: int = 20_000) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(length -> copies, sequences that hold just this) for all pieces counted, and a number of sequences that no packing is below.
+
+    rate: how strongly prices answer to what is covered. rounds: pricing rounds. heat: how near the best value
+    configurations are, in sequences, in the first rounds; cold: in the last. part: of the sequences, those rounded from
+    the solution; the rest takes what rounding leaves. most: configurations that the solution is rounded to.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
     out: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    total = np.maximum(left, 1).astype(float)
-    size = np.arange(capacity + 1)
-    for _ in range(rounds):
-        if not left.any():
-            break
-        lengths = np.flatnonzero(left)
-        largest = int(lengths[-1])
-        weight = np.exp(rate * (left[lengths] / total[lengths]))
-        # Long pieces have fewer partners: their price per token is a little higher.
-        value = lengths * (1 + 0.05 * lengths / capacity) * (1 + 0.02 * weight)
-        config: dict[int, int] = {largest: 1}
-        for length in knapsack(value, lengths, capacity - largest):
-            if config.get(length, 0) < left[length]:
-                config[length] = config.get(length, 0) + 1
-        room = capacity - sum(k * n for k, n in config.items())
-        while room > 0:  # what the counts forbade is filled by the longest that fits
-            free = left.copy()
-            for k, n in config.items():
-                free[k] -= n
-            fit = np.flatnonzero(free[: room + 1])
-            if not len(fit):
+    full = counts.get(capacity, 0)
+    if full:
+        out.append(({capacity: 1}, full))
+    lengths = np.array(sorted(k for k, n in counts.items() if n and k < capacity), np.int64)
+    if not len(lengths):
+        return out, full
+    size = lengths.tolist()
+    left = [counts[k] for k in size]
+    solution = Program(np.array(left, float), lengths, capacity, rate, rounds, heat, cold)
+    total = math.ceil(solution.bound - 1e-6)
+    some = min(most, int(total * part))
+    # Rounded by running totals; where a length runs out, the rest of the configuration stays.
+    cuts = [int(total * part) * i // max(some, 1) for i in range(some + 1)]
+    for picks, times in zip(solution.draw(np.random.default_rng(1), some), np.diff(cuts).tolist(), strict=True):
+        config = Counter(picks)
+        while times > 0:
+            own = {i: min(c, left[i]) for i, c in config.items() if left[i]}
+            if not own:
                 break
-            config[int(fit[-1])] = config.get(int(fit[-1]), 0) + 1
-            room -= int(fit[-1])
-        most = min(int(left[k]) // n for k, n in config.items())
-        times = max(1, int(most * share))
-        if most <= 3:
-            times = most
-        out.append((config, times))
-        for k, n in config.items():
-            left[k] -= n * times
-    while left.any():
-        config, room = {}, capacity
-        while room > 0 and len(fit := np.flatnonzero(left[: room + 1])):
-            k = int(fit[-1])
-            n = min(int(left[k]), room // k)
-            config[k] = config.get(k, 0) + n
-            left[k] -= n
-            room -= n * k
-        again = min((int(left[k]) // n for k, n in config.items()), default=0)
-        for k, n in config.items():
-            left[k] -= n * again
-        out.append((config, 1 + again))
-    assert int(size[-1]) == capacity
-    return out
+            now = min(times, *(left[i] // c for i, c in own.items()))
+            for i, c in own.items():
+                left[i] -= c * now
+            out.append(({size[i]: c for i, c in own.items()}, now))
+            times -= now
+    return best_fit(out, {k: n for k, n in zip(size, left, strict=True) if n}, capacity), full + total
+
+
+def best_fit(begun: list[tuple[dict[int, int], int]], left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The sequences begun and new ones with the pieces left: longest first, each where it leaves least room; equal sequences together."""
+    holes: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for config, times in begun:
+        holes.setdefault(capacity - sum(k * c for k, c in config.items()), []).append((config, times))
+    some_room = np.zeros(capacity + 1, bool)
+    some_room[list(holes)] = True
+    for k in sorted(left, reverse=True):
+        n = left[k]
+        while n:
+            at = np.flatnonzero(some_room[k:])
+            if len(at):
+                room = k + int(at[0])
+                config, times = holes[room].pop()
+                some_room[room] = bool(holes[room])
+            else:
+                room, config, times = capacity, {}, -(-n // (capacity // k))
+            copies = max(1, min(room // k, n // times))
+            some = min(times, n // copies)
+            if times > some and config:
+                holes.setdefault(room, []).append((config, times - some))
+                some_room[room] = True
+            rest = room - k * copies
+            holes.setdefault(rest, []).append((config | {k: config.get(k, 0) + copies}, some))
+            some_room[rest] = True
+            n -= copies * some
+    return [x for _, group in sorted(holes.items()) for x in group]
 
 
 def slots(chosen: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -267,4 +328,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranked = pieces.join(by_task.drop("n"), ["length", "task"]).withColumn("_rank", F.col("_base") + F.col("rank_in_task"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(_place(slots(plan(counts, capacity))), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(_place(slots(plan(counts, capacity)[0])), out)

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -177,14 +179,52 @@ def test_plans_cover_and_fit(seed):
     rng = random.Random(seed)
     capacity = 200
     counts = Counter(min(capacity, 1 + int(rng.expovariate(1 / 60))) for _ in range(3000))
-    chosen = packing.plan(dict(counts), capacity)
+    chosen, bound = packing.plan(dict(counts), capacity)
     placed = Counter()
     for config, times in chosen:
         assert sum(k * n for k, n in config.items()) <= capacity
         for k, n in config.items():
             placed[k] += n * times
     assert placed == counts
-    assert sum(t for _, t in chosen) <= math.ceil(sum(k * n for k, n in counts.items()) / capacity * 1.02)
+    volume = sum(k * n for k, n in counts.items()) / capacity
+    assert math.ceil(volume) <= bound <= sum(t for _, t in chosen) <= bound * 1.02
+
+
+@pytest.mark.parametrize(("counts", "best"), [
+    ({}, 0), ({100: 3}, 3), ({60: 10}, 10), ({51: 7}, 7), ({50: 7}, 4), ({34: 10, 66: 4}, 7), ({60: 20, 20: 10}, 20), ({70: 1000, 31: 500}, 1334), ({1: 1}, 1), ({1: 101}, 2), ({40: 30, 35: 30, 25: 30}, 30),
+])
+def test_plans_against_known_optima(counts, best):
+    chosen, bound = packing.plan(counts, 100)
+    assert bound <= best
+    assert sum(t for _, t in chosen) <= best + max(1, best // 50)
+
+
+def test_prices_find_what_volume_does_not():
+    """Long pieces need a sequence each, so short ones are worth nothing: only the dual's prices show it."""
+    rng = random.Random(1)
+    counts = Counter(rng.randrange(110, 130) if rng.random() < 0.7 else rng.randrange(20, 40) for _ in range(20_000))
+    long = sum(n for k, n in counts.items() if k > 100)
+    chosen, bound = packing.plan(dict(counts), 200)
+    assert sum(t for _, t in chosen) == long
+    assert sum(k * n for k, n in counts.items()) / 200 < 0.85 * long < bound <= long
+
+
+def test_prices_matter():
+    rng = random.Random(2)
+    counts = Counter(1 + int(rng.expovariate(1 / 60)) % 199 for _ in range(20_000))
+    n = [sum(t for _, t in packing.plan(dict(counts), 200, rate=rate)[0]) for rate in (0.0, 0.3)]
+    assert n[1] < n[0]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.floats(0, 5)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.integers(12, 30))
+def test_knapsack(items, room):
+    items.sort()
+    best = packing.knapsack(np.array([v for _, v in items]), np.array([k for k, _ in items]), room)
+    want = [0.0] * (room + 1)
+    for c in range(1, room + 1):
+        want[c] = max([want[c - 1], *(want[c - k] + v for k, v in items if k <= c)])
+    assert np.allclose(best, want)
 
 
 def test_words_are_encoded_as_texts_are():
