@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +158,7 @@ class Shard:
         """Each token's hot context; the different (place, context) with one, ascending, and which of them each such token is."""
         context = hot.before(self.words, self.at, self.own)
         behind = np.flatnonzero(context)
-        which, code = pd.factorize(self.at[self.own[behind]] * len(hot.parent) + context[behind])
+        which, code = factorize(self.at[self.own[behind]] * len(hot.parent) + context[behind])
         order = np.argsort(code)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -197,8 +196,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def factorize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values in the order of their first occurrence, and the values."""
+    found = pa.array(x).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
 def sums(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    which, found = pd.factorize(code)
+    which, found = factorize(code)
     order = np.argsort(found)
     return found[order], np.bincount(which, n, len(found)).astype(np.int64)[order]
 
@@ -367,8 +372,8 @@ class Occurrences:
         same, first = np.zeros(0, np.int64), deep
         if len(deep):
             at = s.own[deep]
-            same, _ = pd.factorize(context[deep] * len(s.words) + s.at[at - DEPTH])
-            same, kinds = pd.factorize(same * len(s.words) + s.at[at])
+            same, _ = factorize(context[deep] * len(s.words) + s.at[at - DEPTH])
+            same, kinds = factorize(same * len(s.words) + s.at[at])
             first = np.empty(len(kinds), np.int64)
             first[same[::-1]] = deep[::-1]
         first = np.concatenate([flat, first])
@@ -427,7 +432,7 @@ def subtree(path: list[np.ndarray], following: np.ndarray, n: np.ndarray, depth:
     code, alive = below.copy(), np.arange(len(n))
     context = np.zeros(len(n), np.int64)
     for level in range(1, DEPTH + 1):
-        context, _ = pd.factorize(context << 32 | path[level - 1][alive])
+        context, _ = factorize(context << 32 | path[level - 1][alive])
         total = np.bincount(context, n[alive])
         # A context that occurs once has no deeper one that occurs twice.
         stay = np.flatnonzero((total[context] >= 2) | (depth[alive] >= level))
@@ -436,7 +441,7 @@ def subtree(path: list[np.ndarray], following: np.ndarray, n: np.ndarray, depth:
         own = alive[at]
         if not len(own):
             continue
-        pair, pairs = pd.factorize(context[at] << 32 | following[own])
+        pair, pairs = factorize(context[at] << 32 | following[own])
         of = pairs >> 32
         count = np.bincount(pair, n[own])
         old = np.empty(len(pairs), np.int64)

@@ -1,12 +1,15 @@
 """Quality rules: plain statistics of a text, base limits on them, and robust multivariate outliers.
 
-Everything is DataFrame functions. Per language and source, a minimum covariance determinant estimate is found by
-concentration steps: start from medians and interquartile ranges, keep the three quarters of rows that lie
-nearest, take their mean and covariance, and repeat. A row is rejected if the Mahalanobis distance of its transformed statistics
-is beyond a chi-square quantile. Groups with few rows use the estimate of their language, or of all rows.
+Everything is DataFrame functions. For each language and source, each language, and all rows, a minimum covariance
+determinant estimate is found by concentration steps: from a first estimate, keep the three quarters of rows that lie
+nearest, take their mean and covariance, and repeat until the determinant stays. Of two starts (medians and
+interquartile ranges; the moments of all rows) the one that ends with the least determinant counts. An estimate is put together with that of the
+next larger group, which weighs as 60 rows, so that groups of any size are judged alike. A row is rejected if the Mahalanobis
+distance of its transformed statistics is beyond a chi-square quantile.
 
 Defined results: a null text has no words and fails the base limits. Null languages and sources are groups of
-their own. Repeated rows are judged alike. Estimates use rows that pass the base limits. No rows in, no rows out.
+their own, apart from empty ones. Repeated rows are judged alike. Estimates use rows that pass the base limits. Extra columns stay in `keep_good`.
+No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ FEATURES = ("_x0", "_x1", "_x2", "_x3", "_x4")
 #: Least standard deviation of each feature: differences below it are never unusual, and it keeps covariances regular.
 LEAST_SD = (0.35, 0.08, 0.1, 0.15, 0.15)
 KEEP = 0.75
-STEPS = 3
-MIN_GROUP = 60
+#: Concentration steps at most; they settle in about ten.
+STEPS = 30
+#: Rows that the estimate of the larger group counts as, in that of a smaller one.
+PRIOR = 60.0
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -88,29 +93,24 @@ BROADCAST_GROUPS = 40_000
 SALTS = 16
 
 
-def _beside(rows: DataFrame, found: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+def _beside(rows: DataFrame, found: DataFrame, few: bool, how: str = "inner", on: tuple[str, ...] = ("_group",)) -> DataFrame:
     """rows with what their group has in the small table found. Rows of a group are not brought together: a group may be most of a corpus."""
     if few:
-        return rows.join(F.broadcast(found), "_group", how)
+        return rows.join(F.broadcast(found), list(on), how)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int"))
     copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, ["_group", "_salt"], how).drop("_salt")
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """The estimate that each language and source uses: its own, its language's, or everyone's."""
-    counts = rows.filter("not base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    by_lang = counts.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
-    every = rows.select("_lang", "_source").distinct()
-    found = every.join(counts, ["_lang", "_source"], "left").join(by_lang, "_lang", "left")
-    group = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\u0001", "_lang", "_source")).when(F.col("n_lang") >= MIN_GROUP, F.col("_lang")).otherwise("")
-    return found.select("_lang", "_source", group.alias("_group"))
+def _keys() -> list:
+    """Names of a row's groups: all rows, its language, its language and source. Lengths keep names apart, whatever they hold."""
+    part = lambda x: F.when(F.col(x).isNull(), "-").otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), F.col(x)))
+    return [F.lit("0"), F.concat(F.lit("1"), part("_lang")), F.concat(F.lit("2"), part("_lang"), part("_source"))]
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Rows once for each estimate that can use them: own group, language, all."""
-    keys = F.array(F.concat_ws("\u0001", "_lang", "_source"), F.col("_lang"), F.lit(""))
-    return rows.filter("not base_failed").select(F.explode(keys).alias("_group"), *FEATURES)
+    """Rows that pass the base limits, once for each of their groups."""
+    return rows.filter("not base_failed").select(F.explode(F.array(*_keys())).alias("_group"), *FEATURES)
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
@@ -138,28 +138,90 @@ def _cholesky(found: DataFrame) -> DataFrame:
     return found.drop(*[f"_v{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Center and Cholesky factor for each group; a row for each group, with sums taken before anything is shuffled."""
-    spark, p = rows.sparkSession, len(FEATURES)
-    members = _members(rows)
+TRIANGLE = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+MEANS = [f"_m{i}" for i in range(len(FEATURES))]
+COVARIANCES = [f"_v{i}{j}" for i, j in TRIANGLE]
+
+
+def _with_factor(found: DataFrame) -> DataFrame:
+    """found with the Cholesky factor of its covariances and the logarithm of their determinant."""
+    kept = found.select("_group", "_start", *COVARIANCES)
+    factors = _cholesky(found)
+    det = F.lit(0.0)
+    for i in range(len(FEATURES)):
+        det = det + F.log(f"_l{i}{i}")
+    return factors.withColumn("_det", 2 * det).join(kept.hint("broadcast"), ["_group", "_start"])
+
+
+def _moments() -> list:
+    return [F.avg(x).alias(m) for x, m in zip(FEATURES, MEANS, strict=True)] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"_v{i}{j}") for i, j in TRIANGLE]
+
+
+def _starts(members: DataFrame) -> DataFrame:
+    """Two first estimates for each group: medians and interquartile ranges, and the moments of all rows."""
     quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"_q{i}") for i, x in enumerate(FEATURES)]
-    start = members.groupBy("_group").agg(*quarters)
-    for i in range(p):
-        start = start.withColumn(f"_m{i}", F.col(f"_q{i}")[1])
-        for j in range(i + 1):
-            start = start.withColumn(f"_v{i}{j}", F.pow((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, F.lit(2)) if i == j else F.lit(0.0))
-    found = save(spark, _cholesky(start).drop(*[f"_q{i}" for i in range(p)]), "mcd")
+    found = members.groupBy("_group").agg(F.count("*").alias("_n"), *quarters, *_moments())
+    spread = {(i, j): F.pow((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, F.lit(2)) if i == j else F.lit(0.0) for i, j in TRIANGLE}
+    robust = [F.col(f"_q{i}")[1].alias(m) for i, m in enumerate(MEANS)] + [spread[i, j].alias(f"_v{i}{j}") for i, j in TRIANGLE]
+    return found.select("_group", F.lit(0).alias("_start"), "_n", *robust).unionByName(found.select("_group", F.lit(1).alias("_start"), "_n", *MEANS, *COVARIANCES))
+
+
+def mcd(members: DataFrame) -> DataFrame:
+    """A row for each group: the means and covariances of the part of its rows with the least determinant, found by
+    concentration steps from each start until the determinant stays; sums are taken before anything is shuffled.
+    """
+    spark, p = members.sparkSession, len(FEATURES)
     # The covariance of the nearest part of a normal sample is too small by this factor.
     factor = KEEP / chi2_cdf(chi2_quantile(KEEP, p), p + 2)
-    few = found.count() <= BROADCAST_GROUPS
-    for _ in range(STEPS):
-        near = _with_distance(_beside(members, found, few))
-        limit = near.groupBy("_group").agg(F.percentile_approx("_d2", F.lit(KEEP), 2000).alias("_limit"))
-        near = _beside(near, limit, few).filter("_d2 <= _limit")
-        sums = [F.avg(x).alias(f"_m{i}") for i, x in enumerate(FEATURES)]
-        sums += [(F.lit(factor) * F.covar_pop(FEATURES[i], FEATURES[j])).alias(f"_v{i}{j}") for i in range(p) for j in range(i + 1)]
-        found = save(spark, _cholesky(near.groupBy("_group").agg(*sums)), "mcd")
-    return found
+    open_ = save(spark, _with_factor(_starts(members)), "mcd")
+    few = open_.count() <= 2 * BROADCAST_GROUPS
+    settled = []
+    for step in range(STEPS):
+        near = _with_distance(_beside(members, open_.select("_group", "_start", *MEANS, *[f"_l{i}{j}" for i, j in TRIANGLE]), few))
+        near = near.select("_group", "_start", "_d2", *FEATURES)
+        limit = near.groupBy("_group", "_start").agg(F.percentile_approx("_d2", F.lit(KEEP), 2000).alias("_limit"))
+        near = _beside(near, limit, few, on=("_group", "_start")).filter("_d2 <= _limit")
+        found = near.groupBy("_group", "_start").agg(F.count("*").alias("_n"), *_moments())
+        found = found.select("_group", "_start", "_n", *MEANS, *[(F.lit(factor) * F.col(x)).alias(x) for x in COVARIANCES])
+        before = open_.select("_group", "_start", F.col("_det").alias("_before")).hint("broadcast")
+        found = save(spark, _with_factor(found).join(before, ["_group", "_start"]), "mcd")
+        stays = (F.abs(F.col("_det") - F.col("_before")) <= 1e-9) | F.lit(step + 1 == STEPS)
+        settled.append(found.filter(stays))
+        open_ = found.filter(~stays)
+        if open_.isEmpty():
+            break
+    every = settled[0]
+    for x in settled[1:]:
+        every = every.unionByName(x)
+    least = every.groupBy("_group").agg(F.min(F.struct("_det", "_start", "_n", *MEANS, *COVARIANCES)).alias("x"))
+    return least.select("_group", *[F.col(f"x.{c}").alias(c) for c in ("_n", *MEANS, *COVARIANCES)])
+
+
+def _pooled(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """own's estimates (if any) put together with the parent's, which counts as PRIOR rows. Both have _group and _up's group."""
+    renamed = parent.select(F.col("_group").alias("_up"), *[F.col(x).alias(f"_p{x}") for x in (*MEANS, *COVARIANCES)])
+    both = own.join(renamed, "_up")
+    n = F.coalesce(F.col("_n"), F.lit(0)).cast("double")
+    mine = lambda x: F.coalesce(F.col(x), F.col(f"_p{x}"))
+    means = [((n * mine(x) + PRIOR * F.col(f"_p{x}")) / (n + PRIOR)).alias(x) for x in MEANS]
+    gap = lambda i: mine(f"_m{i}") - F.col(f"_p_m{i}")
+    spread = [((n * mine(f"_v{i}{j}") + PRIOR * F.col(f"_p_v{i}{j}")) / (n + PRIOR) + n * PRIOR / (n + PRIOR) / (n + PRIOR) * gap(i) * gap(j)).alias(f"_v{i}{j}") for i, j in TRIANGLE]
+    return both.select("_group", *means, *spread)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Center and Cholesky factor for each language and source: its own minimum covariance determinant, put together with its language's, and that with that of all rows."""
+    spark = rows.sparkSession
+    found = save(spark, mcd(_members(rows)), "mcd")
+    groups = save(spark, rows.select(*[k.alias(f"_k{i}") for i, k in enumerate(_keys())]).distinct(), "groups")
+    none = [F.lit(0.0).alias(x) for x in (*MEANS, *COVARIANCES)]
+    # Without any row that passes, estimates are 0; the floors on deviations are left.
+    base = groups.select(F.col("_k0").alias("_group")).distinct().join(found, "_group", "left")
+    base = base.select("_group", *[F.coalesce(F.col(x), n).alias(x) for x, n in zip((*MEANS, *COVARIANCES), none, strict=True)])
+    for i in (1, 2):
+        own = groups.select(F.col(f"_k{i}").alias("_group"), F.col(f"_k{i - 1}").alias("_up")).distinct().join(found, "_group", "left")
+        base = save(spark, _pooled(own, base), "pooled")
+    return save(spark, _with_factor(base.withColumn("_start", F.lit(0))).select("_group", *MEANS, *[f"_l{i}{j}" for i, j in TRIANGLE]), "estimates")
 
 
 def judge(docs: DataFrame, beyond: float = 1e-6) -> DataFrame:
@@ -169,28 +231,22 @@ def judge(docs: DataFrame, beyond: float = 1e-6) -> DataFrame:
     ones, so it is small and what it rejects is far out. The statistics are written once; every later step reads that small table.
     """
     spark = docs.sparkSession
-    d = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("\u0002")).alias("_lang"), F.coalesce(F.col("source"), F.lit("\u0002")).alias("_source"), F.xxhash64("text").alias("_text_hash")
-    )
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), F.xxhash64("text").alias("_text_hash"))
     d = with_stats(d).drop("text")
     d = d.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     rows = save(spark, with_features(d), "statistics")
     found = estimates(rows)
-    groups = save(spark, _groups(rows), "groups")
-    few = groups.count() <= BROADCAST_GROUPS
-    keyed = rows.withColumn("_group", F.concat_ws("\u0001", "_lang", "_source"))
-    own = groups.select(F.concat_ws("\u0001", "_lang", "_source").alias("_group"), F.col("_group").alias("_uses"))
-    judged = _beside(keyed, own, few, "left").drop("_group").withColumnRenamed("_uses", "_group")
-    judged = _beside(judged, found, few, "left")
-    judged = _with_distance(judged)
+    judged = _with_distance(_beside(rows.withColumn("_group", _keys()[2]), found, found.count() <= BROADCAST_GROUPS, "left"))
     limit = chi2_quantile(1 - beyond, len(FEATURES))
     kept = F.expr("not base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= limit)
     return judged.select("doc_id", "_text_hash", "_lang", "_source", *STATS, "base_failed", F.col("_d2").alias("distance"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, beyond: float = 1e-6) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    good = judge(docs, beyond).filter("kept").select(F.col("doc_id").alias("_id"), "_text_hash", "_lang", "_source").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text_hash"))
-    same = same & (F.coalesce(F.col("lang"), F.lit("\u0002")) == F.col("_lang")) & (F.coalesce(F.col("source"), F.lit("\u0002")) == F.col("_source"))
+    """The documents that are kept, with their columns; names that begin with "_qr_" are reserved."""
+    good = judge(docs, beyond).filter("kept").select(F.col("doc_id").alias("_qr_id"), F.col("_text_hash").alias("_qr_hash"), F.col("_lang").alias("_qr_lang"), F.col("_source").alias("_qr_source")).distinct()
+    pairs = {"_qr_id": F.col("doc_id").cast("long"), "_qr_lang": F.col("lang").cast("string"), "_qr_source": F.col("source").cast("string")}
+    same = F.xxhash64("text") == F.col("_qr_hash")
+    for name, own in pairs.items():
+        same = same & own.eqNullSafe(F.col(name))
     return docs.join(good, same, "left_semi")

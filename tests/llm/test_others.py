@@ -339,6 +339,87 @@ def test_statistics_cases(spark, t):
     assert tuple(quality.with_stats(d).select(*quality.STATS).first()) == brute.statistics(t)
 
 
+def plain_verdicts(rows, beyond=1e-6):
+    """kept, by numpy: rows are (lang, source, statistics, base_failed)."""
+    p, sd = 5, np.array(quality.LEAST_SD)
+
+    def factor(v):
+        low = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                rest = v[i, j] + (sd[i] ** 2 if i == j else 0) - low[i, :j] @ low[j, :j]
+                low[i, j] = math.sqrt(max(rest, sd[i] ** 2 / 4)) if i == j else rest / low[j, j]
+        return low
+
+    def distances(x, m, v):
+        z = np.linalg.solve(factor(v), (x - m).T)
+        return (z**2).sum(axis=0)
+
+    def least(x):
+        if not len(x):
+            return 0, np.zeros(p), np.zeros((p, p))
+        rank = lambda y, q: np.sort(y, axis=0)[max(math.ceil(q * len(y)) - 1, 0)]
+        c = quality.KEEP / quality.chi2_cdf(quality.chi2_quantile(quality.KEEP, p), p + 2)
+        found = []
+        for m, v in ((rank(x, 0.5), np.diag(((rank(x, 0.75) - rank(x, 0.25)) / 1.349) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
+            det = 2 * np.log(np.diag(factor(v))).sum()
+            for _ in range(quality.STEPS):
+                d = distances(x, m, v)
+                near = x[d <= rank(d, quality.KEEP)]
+                m, v, before = near.mean(axis=0), c * np.cov(near.T, bias=True).reshape(p, p), det
+                det = 2 * np.log(np.diag(factor(v))).sum()
+                if abs(det - before) <= 1e-9:
+                    break
+            found.append((det, len(near), m, v))
+        return min(found, key=lambda f: round(f[0], 7))[1:]
+
+    def pooled(own, parent):
+        (n, m, v), (pm, pv), k = own, parent, quality.PRIOR
+        return (n * m + k * pm) / (n + k), (n * v + k * pv) / (n + k) + n * k / (n + k) ** 2 * np.outer(m - pm, m - pm)
+
+    x = np.array([[math.log(max(s[0], 1)), math.log(max(s[1], 1) / max(s[0], 1)), math.sqrt(s[2] / max(s[0], 1)), math.sqrt(s[3] / (s[3] + 5 + max(s[0], 1) / 50)), math.sqrt(s[4] / max(s[0], 1))] for _, _, s, _ in rows])
+    good = np.array([not f for *_, f in rows])
+    of = lambda *want: x[[i for i, r in enumerate(rows) if good[i] and r[: len(want)] == want]]
+    top = least(of())[1:]
+    out = []
+    cache = {}
+    for i, (lang, source, _, failed) in enumerate(rows):
+        if (lang, source) not in cache:
+            cache[lang, source] = pooled(least(of(lang, source)), pooled(least(of(lang)), top))
+        out.append(not failed and distances(x[i : i + 1], *cache[lang, source])[0] <= quality.chi2_quantile(1 - beyond, p))
+    return out
+
+
+def test_verdicts_of_the_table_like_plain_ones(spark):
+    docs = table(spark, SF, "documents").collect()
+    found = {r.doc_id: r.kept for r in queries.op10_quality_rules(spark, SF).collect()}
+    rows_ = [(r.lang, r.source, s, s[0] < 20 or 100 * s[4] > 30 * s[0]) for r in docs for s in [brute.statistics(r.text)]]
+    assert [found[r.doc_id] for r in docs] == plain_verdicts(rows_)
+
+
+def test_groups_of_any_size_and_name(spark):
+    """One row, few rows, empty and null names: groups of their own, judged as the plain version does."""
+    good, junk, _ = quality_docs()
+    langs = ["", None, "-", "1:x", "en"]
+    docs = [(i, t, langs[i % 5], langs[i % 3] if i % 7 else None, 0) for i, t in good + junk] + [(5000, good[0][1], "solo", "solo", 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.kept for r in quality.judge(d).collect()}
+    rows_ = [(r[2], r[3], s, s[0] < 20 or 100 * s[4] > 30 * s[0]) for r in docs for s in [brute.statistics(r[1])]]
+    assert [found[r[0]] for r in docs] == plain_verdicts(rows_)
+    assert not any(found[i] for i, _ in junk)
+
+
+def test_clashing_columns_stay(spark):
+    good, junk, _ = quality_docs()
+    names = ["_id", "_text_hash", "_lang", "_source", "_group", "_x0", "kept", "n_words", "_nd", "_ld"]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, *names) for i, t in good + junk], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = quality.keep_good(d)
+    assert kept.columns == d.columns and kept.count() == len(good)
+    assert [r[5:] for r in kept.limit(2).collect()] == [tuple(names)] * 2
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, SF).columns == d.columns
+
+
 def test_rejections_are_of_rows_not_ids(spark):
     good, junk, _ = quality_docs()
     d = spark.createDataFrame([(7, t, "en", "s", 0) for _, t in good + junk], "doc_id long, text string, lang string, source string, n_chars long")
