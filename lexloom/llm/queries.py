@@ -51,7 +51,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size")
+    return found.select("doc_id", "class_id", "class_size", "n_links")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,15 +224,55 @@ def test_word_counts_bound_distances():
     texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     [counted] = near_dup._counted([pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts]), pa.array(texts)], ["node", "text"])])
     counts = dict(zip(texts, counted.column(1).to_pylist(), strict=True))
-    pairs = [(a, b) for a in texts for b in texts]
-    split = [(a.split(), b.split()) for a, b in pairs]
-    columns = [pa.array([a.encode() for a, _ in pairs]), pa.array([b.encode() for _, b in pairs]), pa.array([max(len(a), len(b)) for a, b in split]), pa.array([counts[a] for a, _ in pairs]), pa.array([counts[b] for _, b in pairs])]
-    [kept] = near_dup._may_link(0.5)([pa.RecordBatch.from_arrays(columns, ["leader", "node", "longer", "cx", "cy"])])
+    every = sorted(set(texts))
+    row = lambda t, leads: {"node": t.encode(), "n_words": len(t.split()), "label": t.encode(), "counts": counts[t], "leads": leads}
+    kept = near_dup._may_link(0.5)(pa.Table.from_pylist([row(t, x) for t in every for x in (True, False)]))
     left = set(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True))
-    assert len(left) < len(set(pairs))
-    for (a, b), (x, y) in zip(pairs, split, strict=True):
-        if brute.distance(x, y) <= int(0.5 * max(len(x), len(y)) + 1e-9):
-            assert (a.encode(), b.encode()) in left
+    assert len(left) < len(every) * (len(every) - 1) / 2
+    for a in every:
+        for b in every:
+            x, y = a.split(), b.split()
+            if a < b and brute.distance(x, y) <= int(0.5 * max(len(x), len(y)) + 1e-9):
+                assert (a.encode(), b.encode()) in left
+
+
+def test_recall_at_the_limit():
+    """Spread substitutions, up to a fifth of all words."""
+    rng, seeds, table_ = random.Random(5), near_dup.seeds_of(near_dup.ORDERS), near_dup.WordHashes()
+    hashes = lambda words: np.array([table_[w] for w in words], np.uint64)
+    make = lambda words: set(near_dup.sketch(hashes(words), seeds, near_dup.K, near_dup.SAMPLE, near_dup.PICKS).tolist())
+    for n in (60, 150, 500):
+        found = 0
+        for _ in range(100):
+            a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            b = list(a)
+            for i in rng.sample(range(n), n // 5):
+                b[i] = f"z{rng.randrange(10**9)}"
+            found += bool(make(a) & make(b))
+        assert found >= 90
+
+
+def test_one_row_of_equal_ones_stays(spark):
+    base = prose(11, 200)
+    docs = [(1, base), (1, base), (1, base), (2, changed(base, 25, 1)), (3, prose(12, 50)), (None, "x"), (None, "x")]
+    kept = near_dup.drop_near(frame(spark, docs))
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(1, base), (3, prose(12, 50))]
+    assert kept.count() == 3
+
+
+def test_links_are_counted(spark):
+    base = prose(11, 200)
+    docs = [(1, base), (2, changed(base, 25, 1)), (3, prose(12, 50)), (4, base)]
+    found = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in near_dup.classes(frame(spark, docs)).collect()}
+    assert found == {1: (1, 3, 1), 2: (1, 3, 1), 3: (3, 1, 0), 4: (1, 3, 1)}
+
+
+def test_hot_groups_are_dealt(spark, monkeypatch):
+    docs = [(i, t) for i, t in enumerate([PASSAGE] * 40 + [changed(prose(11, 200), 30, i) for i in range(30)] + [prose(100 + i, 40) for i in range(10)])]
+    want = rows(near_dup.classes(frame(spark, docs)).drop("n_links"))
+    monkeypatch.setattr(near_dup, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 4)
+    assert rows(near_dup.classes(frame(spark, docs)).drop("n_links")) == want
 
 
 def test_repeated_kmers_are_labelled():
