@@ -76,6 +76,26 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: So many rows of a table that is about 20 bytes wide are broadcast.
+BROADCAST_ROWS = 500_000
+#: Tasks to which the rows of a hot key are dealt.
+SALTS = 32
+
+
+def beside(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame, deal: Column, how: str = "inner") -> DataFrame:
+    """rows joined with found by keys. The keys in hot have many rows: these are dealt by `deal` to several tasks, each with a copy of what found has."""
+    hot = save(rows.sparkSession, hot.select(*keys), "hot")
+    n = hot.count()
+    if not n:
+        return rows.join(found, keys, how)
+    mark = hot.withColumn("_nd_hot", F.lit(True))
+    mark = F.broadcast(mark) if n <= BROADCAST_ROWS else mark
+    is_hot = F.coalesce("_nd_hot", F.lit(False))
+    rows = rows.join(mark, keys, "left").withColumn("_nd_salt", F.when(is_hot, F.pmod(deal, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_nd_hot")
+    found = found.join(mark, keys, "left").withColumn("_nd_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_nd_hot")
+    return rows.join(found, [*keys, "_nd_salt"], how).drop("_nd_salt")
+
+
 class Blob:
     """Named arrays as compressed bytes."""
 

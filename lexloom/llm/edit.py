@@ -32,6 +32,31 @@ def best_in(pattern: Sequence[Hashable], text: Sequence[Hashable], most: int) ->
     return best if best[0] <= most else None
 
 
+def start_of(pattern: Sequence[Hashable], text: Sequence[Hashable], end: int, distance: int) -> int:
+    """Where the shortest stretch of text begins that ends at `end` and is at this (least) distance from the whole pattern."""
+    m = len(pattern)
+    where: dict[Hashable, int] = {}
+    for i, c in enumerate(reversed(pattern)):
+        where[c] = where.get(c, 0) | (1 << i)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for n in range(0, min(end, m + distance) + 1):
+        if score == distance:
+            return end - n
+        if n == end:
+            break
+        eq = where.get(text[end - 1 - n], 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        plus = down | (full & ~(xh | up))
+        minus = up & xh
+        score += bool(plus & top) - bool(minus & top)
+        # Every word of the stretch counts, so the first row rises.
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(xv | plus)), plus & xv
+    return max(0, end - m)
+
+
 def banded(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
     """Edit distance of a and b if it is at most `most`, else None. Only the band of diagonals that such a distance can touch is held."""
     if len(a) > len(b):

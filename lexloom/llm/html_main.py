@@ -1,13 +1,17 @@
 """HTML extraction: the main text of a page, without its site's template.
 
-A page is parsed once into a flat table of elements. Every element subtree is hashed, and Spark counts for each
-host and hash how many distinct pages have it; a page's copies count once. Subtrees that recur on many pages of
-their host are deleted, and so is what its tag, role or class names as furniture: navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments. What is left of the main element (article, main, or
-the element that holds most of the text) is split into blocks of text.
+A page is parsed into a tree of elements. Every element subtree is hashed twice: as it is, and as a shape (tags, classes and roles, with
+text masked and equal neighbours as one). Spark counts for each host how many distinct pages have each hash; a page's copies
+count once. Subtrees that recur on many pages of their host are deleted: equal ones wherever they stand, and outside the
+running text also those of a recurring shape that holds, on the average, only a small part of a page's text, which is
+what menus, notices, adverts and footers are when their words differ from page to page.
 
-Recurring subtrees are deleted outside the running text only: a heading, paragraph, list or table inside the main element
-is the author's even if it is on many pages, unless it recurs on nearly all of a large host.
+What is left by then and is named as furniture by its tag, role or class (navigation, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) goes too; on hosts with few pages this is all there is to go by. The rest of
+the main element (article, main, or the element that holds most of the text) is split into blocks of text.
+
+Inside the main element a heading, paragraph, list or table is the author's even if it is on many pages, unless it
+recurs on nearly all of a large host.
 
 Defined results: a null html has no text. A null url, or one without a host, is a host of its own. Unclosed elements end with
 their parent, unknown end tags are skipped, truncated pages end where they end. Repeated rows give the same row again.
@@ -16,12 +20,12 @@ Extra columns are not carried. No rows in, no rows out.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,13 @@ MIN_SHARE = 0.2
 TEXT_MIN_PAGES = 12
 TEXT_MIN_SHARE = 0.8
 
+#: The same for shapes, and the part of a page's text that they may hold.
+SHAPE_MIN_PAGES = 4
+SHAPE_MIN_SHARE = 0.5
+SHAPE_MAX_TEXT = 0.35
+#: An element with so much of its text in links is a menu whatever its tag.
+LINKS = 0.6
+
 #: A template table of so many digests (about 20 MB) is broadcast, and pages aren't moved at all; a larger one is joined by host and salt.
 BROADCAST_DIGESTS = 400_000
 SALTS = 16
@@ -70,18 +81,21 @@ RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table thead tbody tr
 PARTS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
+#: Names of classes and roles in a shape; numbers in them differ from page to page.
+CLASSES = re.compile(rb"(?:class|role)\s*=\s*[\"']?([a-z][a-z _-]*)")
 SPACES = re.compile(r"\s+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "digest", "size", "dropped")
+    __slots__ = ("tag", "attrs", "children", "digest", "shape", "size", "total", "links", "dropped")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs = tag, attrs
         self.children: list[Node | str] = []
-        self.digest = b""
-        self.size = 0
+        self.digest = self.shape = b""
+        #: Characters of text: outside furniture, all, and in links.
+        self.size = self.total = self.links = 0
         self.dropped = False
 
 
@@ -164,40 +178,59 @@ def furniture(node: Node) -> bool:
 
 
 def prepare(root: Node) -> None:
-    """Digest and text size of every subtree, from the leaves up, and what is furniture; no recursion, for deep pages."""
+    """Hashes and text sizes of every subtree, from the leaves up, and what is furniture; no recursion, for deep pages."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [x for x in node.children if isinstance(x, Node)]
     for node in reversed(order):
-        h = hashlib.blake2b(node.tag.encode("utf-8", "surrogatepass"), digest_size=12)
+        name = node.tag.encode("utf-8", "surrogatepass")
+        exact, shape = [name], [name, b" ".join(sorted(CLASSES.findall(node.attrs.lower().encode("utf-8", "surrogatepass"))))]
         node.dropped = furniture(node)
         for x in node.children:
             if isinstance(x, Node):
-                h.update(b"\1" + x.digest)
+                exact.append(b"\1" + x.digest)
+                if shape[-1] != x.shape:
+                    shape.append(x.shape)
                 node.size += 0 if x.dropped else x.size
-            else:
-                text = SPACES.sub(" ", x).strip()
-                h.update(b"\2" + text.encode("utf-8", "surrogatepass"))
+                node.total += x.total
+                node.links += x.total if x.tag == "a" else x.links
+            elif text := SPACES.sub(" ", x).strip():
+                exact.append(b"\2" + text.encode("utf-8", "surrogatepass"))
+                if shape[-1] != b"\2":
+                    shape.append(b"\2")
                 node.size += len(text)
-        node.digest = h.digest()
+                node.total += len(text)
+        node.digest = xxhash.xxh3_128_digest(b"\0".join(exact))
+        node.shape = xxhash.xxh3_128_digest(b"\0".join(shape))
 
 
 def main_of(root: Node) -> Node:
-    """The article or main element with most text; without one, the page."""
-    best, todo = None, [root]
+    """The article or main element with most text, or their parent if its articles hold more together; without any, the page."""
+    best, todo, parents = None, [(root, root)], {}
     while todo:
-        node = todo.pop()
+        node, parent = todo.pop()
         if node.dropped:
             continue
         role = 'role="main"' in node.attrs or "role=main" in node.attrs or 'itemprop="articleBody"' in node.attrs
         if node.tag in ("article", "main") or role:
-            rank = (node.tag == "article", node.size)
+            # A main element with much text outside its articles is the better one.
+            held = sum(x.size for x in node.children if isinstance(x, Node) and x.tag == "article" and not x.dropped)
+            rank = (node.tag == "article" or held < 0.5 * node.size, node.size)
+            if node.tag == "article":
+                parents.setdefault(id(parent), (parent, []))[1].append(node)
             if best is None or rank > best[0]:
                 best = (rank, node)
-        todo += [x for x in node.children if isinstance(x, Node)]
-    return root if best is None else best[1]
+        todo += [(x, node) for x in node.children if isinstance(x, Node)]
+    if best is None:
+        return root
+    # A story in several articles side by side, none of which is most of it.
+    for parent, parts in parents.values():
+        sizes = [x.size for x in parts]
+        if len(parts) > 1 and parent is not root and best[1] in parts and max(sizes) < 0.6 * sum(sizes) and sum(sizes) > 0.8 * parent.size:
+            return parent
+    return best[1]
 
 
 def content_of(root: Node) -> Node:
@@ -212,21 +245,56 @@ def content_of(root: Node) -> Node:
         node = inner
 
 
-def subtrees(root: Node) -> Iterator[tuple[bytes, bool]]:
-    """(digest, is running text of the content) of each subtree with text, furniture left out: it goes anyway."""
-    main, content = main_of(root), content_of(root)
+#: How a subtree is counted: as it is, as it is inside running text, by its shape.
+EQUAL, RUNNING_EQUAL, SHAPE = 0, 1, 2
+
+
+def _may_go_by_shape(node: Node) -> bool:
+    return node.tag not in RUNNING or node.links >= LINKS * node.total
+
+
+def _path(root: Node, inner: Node) -> set[int]:
+    """The elements that hold inner, and itself."""
+    above, todo = {id(root): None}, [root]
+    while todo:
+        node = todo.pop()
+        if node is inner:
+            break
+        for x in node.children:
+            if isinstance(x, Node):
+                above[id(x)] = node
+                todo.append(x)
+    found, node = set(), inner
+    while node is not None:
+        found.add(id(node))
+        node = above[id(node)]
+    return found
+
+
+def subtrees(root: Node) -> dict[tuple[bytes, int], int]:
+    """(digest, kind) of each subtree with text, but for those that hold the content, and the characters of all that are equal in this."""
+    content = content_of(root)
+    holds = _path(root, main_of(root)) | _path(root, content)
+    found: dict[tuple[bytes, int], int] = {}
     todo = [(root, root is content)]
     while todo:
         node, inside = todo.pop()
         for x in node.children:
-            if isinstance(x, Node) and not x.dropped and x.tag != "br":
-                if x.size and x is not main and x is not content:
-                    yield x.digest, inside and x.tag in RUNNING
+            if isinstance(x, Node) and x.total and x.tag != "br":
+                if id(x) not in holds:
+                    key = (x.digest, RUNNING_EQUAL if inside and x.tag in RUNNING else EQUAL)
+                    found[key] = found.get(key, 0) + x.total
+                    if not inside and _may_go_by_shape(x):
+                        found[x.shape, SHAPE] = found.get((x.shape, SHAPE), 0) + x.total
                 todo.append((x, inside or x is content))
+    return found
 
 
-def text_of(root: Node, template: set[bytes], in_text: set[bytes]) -> str:
-    main, content = main_of(root), content_of(root)
+def text_of(root: Node, template: Collection[bytes], in_text: Collection[bytes], shapes: Collection[bytes] = (), lists: bool = True) -> str:
+    """The text left on a page. lists: whether furniture goes by its names and only the main element counts, beside what recurs."""
+    content = content_of(root)
+    main = main_of(root) if lists else root
+    holds = _path(root, main_of(root)) | _path(root, content) if shapes or template else {id(main), id(content)}
     out: list[list[str]] = [[]]
     # Work items: a node to open with whether it lies in the content, text, or a mark that a block ends.
     todo: list[tuple[Node, bool] | str | None] = [(main, main is content)]
@@ -241,12 +309,17 @@ def text_of(root: Node, template: set[bytes], in_text: set[bytes]) -> str:
         x, inside = item
         if x.tag == "br":
             out[-1].append(" ")
-        elif x is main or x is content or not (x.dropped or x.digest in (in_text if inside and x.tag in RUNNING else template)):
-            inside = inside or x is content
-            if x.tag in BLOCKS:
-                out.append([])
-                todo.append(None)
-            todo += [y if isinstance(y, str) else (y, inside) for y in reversed(x.children)]
+            continue
+        if id(x) not in holds:
+            if x.digest in (in_text if inside and x.tag in RUNNING else template) or not inside and x.shape in shapes and _may_go_by_shape(x):
+                continue
+            if lists and x.dropped and x is not main:
+                continue
+        inside = inside or x is content
+        if x.tag in BLOCKS:
+            out.append([])
+            todo.append(None)
+        todo += [y if isinstance(y, str) else (y, inside) for y in reversed(x.children)]
     blocks = (SPACES.sub(" ", "".join(parts)).strip() for parts in out)
     return "\n".join(b for b in blocks if b)
 
@@ -258,46 +331,55 @@ def host_of(url: str | None) -> str | None:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in few_rows(batches, 500):
-        hosts, pages, digests, running = [], [], [], []
+        hosts, pages, digests, kinds, shares = [], [], [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page or "")
             prepare(root)
-            own = list(dict.fromkeys(subtrees(root)))
-            host = host_of(url)
-            hosts += [host] * (len(own) + 1)
-            pages += [root.digest] * (len(own) + 1)
+            own = subtrees(root)
+            n = len(own) + 1
+            hosts += [host_of(url)] * n
+            pages += [root.digest] * n
             digests += [b"", *(d for d, _ in own)]
-            running += [False, *(r for _, r in own)]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary()), pa.array(digests, pa.binary()), pa.array(running, pa.bool_())], ["host", "page", "digest", "running"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in few_rows(batches, 500):
-        ids, urls, pages, found = (batch.column(n).to_pylist() for n in ("page_id", "url", "html", "template"))
-        texts = []
-        for page, own in zip(pages, found, strict=True):
-            root = parse(page or "")
-            prepare(root)
-            template = {x["digest"] for x in own or () if not x["running"]}
-            texts.append(text_of(root, template, {x["digest"] for x in own or () if x["running"]}))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            kinds += [EQUAL, *(k for _, k in own)]
+            shares += [0.0, *(size / root.total for size in own.values())]
+        columns = [pa.array(x, k) for x, k in zip((hosts, pages, digests, kinds, shares), (pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.float64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "digest", "kind", "share"])
+
+
+def _extract(lists: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 500):
+            ids, urls, pages, found = (batch.column(n).to_pylist() for n in ("page_id", "url", "html", "template"))
+            texts = []
+            for page, own in zip(pages, found, strict=True):
+                root = parse(page or "")
+                prepare(root)
+                texts.append(text_of(root, *({x["digest"] for x in own or () if x["kind"] == kind} for kind in (EQUAL, RUNNING_EQUAL, SHAPE)), lists))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def recurring(source: DataFrame) -> DataFrame:
+    """(host, digest, kind): what goes on all pages of a host. A page with the same elements counts once, with partial counts before the shuffle."""
+    seen = source.select("url", "html").mapInArrow(_subtrees, "host string, page binary, digest binary, kind int, share double")
+    seen = seen.groupBy("host", "digest", "kind", "page").agg(F.max("share").alias("share"))
+    counts = seen.groupBy("host", "digest", "kind").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
+    total = counts.filter("digest = X''").select(F.col("host").alias("_host"), F.col("n").alias("total"))
+    often = counts.filter(F.col("digest") != F.lit(b"")).filter(f"n >= {min(MIN_PAGES, SHAPE_MIN_PAGES)}").join(total, F.col("host").eqNullSafe(F.col("_host")))
+    enough = lambda pages, share: (F.col("n") >= pages) & (F.col("n") >= share * F.col("total"))
+    rule = F.when(F.col("kind") == RUNNING_EQUAL, enough(TEXT_MIN_PAGES, TEXT_MIN_SHARE)).when(F.col("kind") == SHAPE, enough(SHAPE_MIN_PAGES, SHAPE_MIN_SHARE) & (F.col("share") <= SHAPE_MAX_TEXT))
+    return often.filter(rule.otherwise(enough(MIN_PAGES, MIN_SHARE))).select("host", "digest", "kind")
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page.
+def main_texts(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each page. lists: see text_of.
 
-    A subtree's hash is counted once for each distinct page and host, with partial counts before the shuffle. A
-    host's recurring subtrees reach its pages by page digest, so a hot host is not gathered anywhere.
+    A host's recurring subtrees reach its pages by a broadcast or, where there are many, by host and salt, so a hot host is not gathered anywhere.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    seen = source.select("url", "html").mapInArrow(_subtrees, "host string, page binary, digest binary, running boolean")
-    seen = seen.groupBy("host", "digest", "running", "page").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "digest", "running").agg(F.count("*").alias("n"))
-    total = counts.filter("digest = X''").select(F.col("host").alias("_host"), F.col("n").alias("total"))
-    often = counts.filter(F.col("digest") != F.lit(b"")).filter(f"n >= {MIN_PAGES}").join(total, F.col("host").eqNullSafe(F.col("_host")))
-    often = often.filter(F.when(F.col("running"), (F.col("n") >= TEXT_MIN_PAGES) & (F.col("n") >= TEXT_MIN_SHARE * F.col("total"))).otherwise(F.col("n") >= MIN_SHARE * F.col("total")))
-    often = save(pages.sparkSession, often.select("host", "digest", "running"), "template")
-    template = often.groupBy("host").agg(F.collect_list(F.struct("digest", "running")).alias("template"))
+    often = save(pages.sparkSession, recurring(source), "template")
+    template = often.groupBy("host").agg(F.collect_list(F.struct("digest", "kind")).alias("template"))
     template = template.select(F.col("host").alias("_host"), "template")
     if often.count() <= BROADCAST_DIGESTS:
         template = F.broadcast(template)
@@ -308,4 +390,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.nullif(F.regexp_extract("url", HOST.pattern, 1), F.lit("")))
     same = host.eqNullSafe(F.col("_host"))
     joined = source.join(template, same & (F.col("_deal") == F.col("_salt")) if "_salt" in template.columns else same, "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(_extract(lists), "page_id long, url string, text string, n_chars long")

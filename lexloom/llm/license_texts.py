@@ -1,4 +1,9 @@
-"""Licence templates: fixed values, the published wordings."""
+"""Licence templates: fixed values, the published wordings. Long texts are files beside this module."""
+
+from pathlib import Path
+
+_FILES = Path(__file__).parent / "license_files"
+
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -67,4 +72,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("MPL-2.0", "header", _MPL),
     ("Unlicense", "text", _UNLICENSE),
     ("Zlib", "text", _ZLIB),
-]
+    *((name, "full", (_FILES / f"{file}.txt").read_text(encoding="utf-8")) for name, file in [
+        ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
+    ]),
+]

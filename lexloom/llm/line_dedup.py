@@ -1,8 +1,11 @@
 """Line dedup: lines found in many documents stay in one of them.
 
-Each document's lines are exploded as hashes of their normalised form; distinct documents are counted per
+Each document's lines are exploded with their positions as hashes of their normalised form; distinct documents are counted per
 hash; a document then loses every line whose hash is over the threshold, except in the largest doc_id that
-holds it. Lines are put together again in their order.
+holds it. The lines left are put together again by position. DataFrame functions only.
+
+Only lines long enough are exploded, and of them only 16-byte hashes and positions move. A line that very many documents have is
+counted with partial sums, and the rows that have it are dealt to several tasks in the join. Texts move once, by doc_id and a hash of the text.
 
 Defined results: a null or empty text is one empty line and stays. A line occurring many times in a document
 counts once and goes (or stays) everywhere in it. Rows with the same doc_id count as one document and are
@@ -12,75 +15,41 @@ are kept; names starting with "_ld_" are reserved. No rows in, no rows out.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, few_rows
+from lexloom.llm.common import beside, save
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Lines in more documents than this are dealt to several tasks in the join.
+HOT_DOCS = 2_000
+SPACE_SQL = "' \\t\\n\\u000B\\u000C\\r'"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LINES = "split(coalesce(text, ''), '\\n')"
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE)
-
-
-def key_hash(key: str) -> bytes:
-    """128 bits of the key with A-Z in lower case; bytes.lower() changes ASCII letters only."""
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass").lower(), digest_size=16).digest()
-
-
-def _hashes(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            ids, out = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {k for line in (text or "").split("\n") if len(k := line_key(line)) >= min_chars}
-                hashes = {key_hash(k) for k in seen}
-                out += hashes
-                ids += [doc_id] * len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["_ld_id", "_ld_hash"])
-
-    return run
-
-
-def _rewrite(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            text_at, drop_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("_ld_drop")
-            texts, lines_n, dropped_n = [], [], []
-            for text, drop in zip(batch.column(text_at).to_pylist(), batch.column(drop_at).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                kept = lines
-                if drop:
-                    gone = set(drop)
-                    kept = [x for x in lines if len(k := line_key(x)) < min_chars or key_hash(k) not in gone]
-                texts.append("\n".join(kept) if drop else text or "")
-                lines_n.append(len(lines))
-                dropped_n.append(len(lines) - len(kept))
-            arrays = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns) if i != drop_at]
-            names = [x for i, x in enumerate(batch.schema.names) if i != drop_at]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines_n, pa.int64()), pa.array(dropped_n, pa.int64())], [*names, "_ld_lines", "_ld_dropped"])
-
-    return run
+def _held(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(_ld_id, _ld_text: a hash, _ld_at, _ld_a, _ld_b: the key's hash) of each line that is long enough."""
+    keys = f"transform({LINES}, x -> trim(BOTH {SPACE_SQL} FROM x))"
+    # Two hashes, of the key and of the key turned round, make 128 bits.
+    hashed = f"transform(transform({keys}, k -> if(length(k) >= {min_chars}, translate(k, '{UPPER}', '{LOWER}'), null)), (k, i) -> if(k is null, null, named_struct('at', i, 'a', xxhash64(k), 'b', xxhash64(xxhash64(k), length(k), reverse(k)))))"
+    found = docs.select(F.col("doc_id").cast("long").alias("_ld_id"), F.xxhash64("text").alias("_ld_text"), F.explode(F.expr(f"filter({hashed}, x -> x is not null)")).alias("x"))
+    return found.select("_ld_id", "_ld_text", F.col("x.at").alias("_ld_at"), F.col("x.a").alias("_ld_a"), F.col("x.b").alias("_ld_b"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text rewritten, plus _ld_lines (before) and _ld_dropped.
-
-    Only 16-byte hashes are grouped, first per document and then per hash with partial sums, so a line that
-    every document has costs one row per map task. Texts move once, by doc_id.
-    """
-    held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hashes(min_chars), "_ld_id long, _ld_hash binary")
-    held = held.groupBy("_ld_hash", "_ld_id").agg(F.lit(1).alias("_ld_one"))
-    often = held.groupBy("_ld_hash").agg(F.count("*").alias("_ld_n"), F.max("_ld_id").alias("_ld_last"))
-    often = often.filter(F.col("_ld_n") >= min_docs).select("_ld_hash", "_ld_last")
-    drops = held.join(often, "_ld_hash").filter(~F.col("_ld_id").eqNullSafe(F.col("_ld_last")))
-    drops = drops.groupBy("_ld_id").agg(F.collect_list("_ld_hash").alias("_ld_drop"))
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return joined.mapInArrow(_rewrite(min_chars), f"{kinds}, _ld_lines long, _ld_dropped long")
+    """docs with text rewritten, plus _ld_lines (before) and _ld_dropped."""
+    held = _held(docs, min_chars)
+    often = held.groupBy("_ld_a", "_ld_b", "_ld_id").agg(F.lit(1).alias("_ld_one")).groupBy("_ld_a", "_ld_b").agg(F.count("*").alias("_ld_n"), F.max("_ld_id").alias("_ld_last"))
+    often = save(docs.sparkSession, often.filter(F.col("_ld_n") >= min_docs), "lines")
+    drops = beside(held, often.drop("_ld_n"), ["_ld_a", "_ld_b"], often.filter(F.col("_ld_n") > HOT_DOCS), F.xxhash64("_ld_id", "_ld_text"))
+    drops = drops.filter(~F.col("_ld_id").eqNullSafe(F.col("_ld_last"))).groupBy("_ld_id", "_ld_text").agg(F.collect_set("_ld_at").alias("_ld_drop"))
+    # A hash of a null text is that of no value, so texts are never null here.
+    drops = drops.select(F.col("_ld_id").alias("_ld_doc"), F.col("_ld_text").alias("_ld_same"), "_ld_drop")
+    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_same")), "left")
+    joined = joined.withColumn("_ld_split", F.expr(LINES))
+    kept = "transform(array_except(sequence(0, size(_ld_split) - 1), _ld_drop), i -> _ld_split[i])"
+    text = F.expr(f"if(_ld_drop is null, coalesce(text, ''), array_join({kept}, '\\n'))")
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, F.size("_ld_split").cast("long").alias("_ld_lines"), F.expr("if(_ld_drop is null, 0, size(_ld_drop))").cast("long").alias("_ld_dropped"))

@@ -8,9 +8,10 @@ over the words gives a similarity 1 - distance / longer length of at least 0.8.
 
 Texts with the same words are one node. Buckets are formed by each hash. In each
 the least node leads and is compared with all others, and links are joined to connected components. Where a bucket then holds
-nodes of several components, blocks of its nodes meet the whole bucket in a task, which looks at every pair across components and passes on those that
-lengths and word counts don't show to be unlike; these are aligned too. So each pair that shares a hash ends up in one component or was found
-unlike, whoever led, and only pairs that may be links leave a task.
+nodes of several components, blocks of its nodes meet the whole bucket in a task, which looks at every pair across components and lists, node by node, those that
+lengths and word counts don't show to be unlike. These are aligned where two tiles of nodes meet, unless links found there have joined
+them already. So each pair that shares a hash ends up in one component or was found unlike, whoever led; no pair is a row unless it is
+compared with a leader or linked.
 
 Defined results: every row gets a class, the least doc_id in its component (null only if all are null), with the class's size and
 the links found from the row's words to other words (enough to connect the class, not all there are). Texts
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import few_rows, save
+from lexloom.llm.common import BROADCAST_ROWS, beside, few_rows, rows_of, save
 from lexloom.llm.edit import banded
 
 K = 5
@@ -42,15 +43,14 @@ PICKS = 2
 SIMILARITY = 0.8
 #: Words of members that one alignment task takes on beside the leader's.
 TASK_WORDS = 50_000
-#: So many leaders of large groups (about 20 bytes each) are broadcast.
-BROADCAST_LEADERS = 500_000
 #: Words are counted in so many cells, whose differences bound a distance from below.
 CELLS = 128
 #: A bucket's nodes meet in tasks of about so many nodes against the whole bucket.
 BLOCK_NODES = 500
-#: What more rows than this share is dealt to SALTS tasks in a join.
+#: What may be linked is aligned in tasks of two tiles of about so many nodes.
+TILE_NODES = 150
+#: What more rows than this share is dealt to several tasks in a join.
 HOT_ROWS = 2_000
-SALTS = 32
 TOKEN = re.compile(r"\w+")
 BLOCK = 1 << 15
 
@@ -174,30 +174,24 @@ def _align(similarity: float):
     return run
 
 
-def _beside(rows: DataFrame, found: DataFrame, key: str, hot: DataFrame, deal: str, how: str = "inner") -> DataFrame:
-    """rows joined with found by key. What is in hot (a column named as key) has many rows: these are dealt by `deal` to several tasks, each with a copy."""
-    hot = save(rows.sparkSession, hot.select(key), "hot")
-    if hot.isEmpty():
-        return rows.join(found, key, how)
-    mark = hot.withColumn("_nd_hot", F.lit(True))
-    mark = F.broadcast(mark) if hot.count() <= BROADCAST_LEADERS else mark
-    is_hot = F.coalesce("_nd_hot", F.lit(False))
-    rows = rows.join(mark, key, "left").withColumn("_nd_salt", F.when(is_hot, F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_nd_hot")
-    found = found.join(mark, key, "left").withColumn("_nd_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_nd_hot")
-    return rows.join(found, [key, "_nd_salt"], how).drop("_nd_salt")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, nid): a bucket for each hash. Half a node's hash stands for it here; two nodes that share it are both taken in the end."""
+    return nodes.select("nid", F.explode("sketch").alias("bucket"))
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): a bucket for each hash."""
-    return nodes.select("node", F.explode("sketch").alias("bucket"))
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(leader, node) for (lead, nid)."""
+    of = nodes.select("nid", "node")
+    return pairs.join(of, "nid").join(of.select(F.col("nid").alias("lead"), F.col("node").alias("leader")), "lead").select("leader", "node")
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
+def _pairs(nodes: DataFrame) -> DataFrame:
     """(leader, node), once each: in each bucket of two nodes or more the least node leads."""
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n")).filter("leader != last").drop("last")
-    heads = save(buckets.sparkSession, heads, "heads")
-    met = _beside(buckets, heads.drop("n"), "bucket", heads.filter(F.col("n") > HOT_ROWS), "node")
-    return met.filter(F.col("node") != F.col("leader")).select("leader", "node").distinct()
+    buckets = _buckets(nodes)
+    heads = buckets.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("last"), F.count("*").alias("n")).filter("lead != last").drop("last")
+    heads = save(nodes.sparkSession, heads, "heads")
+    met = beside(buckets, heads.drop("n"), ["bucket"], heads.filter(F.col("n") > HOT_ROWS), F.xxhash64("nid"))
+    return _named(met.filter(F.col("nid") != F.col("lead")).select("lead", "nid").distinct(), nodes)
 
 
 def _aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -207,7 +201,7 @@ def _aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     sized = pairs.join(nodes.select("node", "n_words"), "node")
     parts = sized.groupBy("leader").agg(F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("parts")).filter("parts > 1")
     parts = save(spark, parts, "leaders")  # leaders of large groups only, so pairs need not be brought together by leader
-    parts = F.broadcast(parts) if parts.count() <= BROADCAST_LEADERS else parts
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
     members = pairs.join(parts, "leader", "left").select("leader", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("leads"))
     heads = members.select("leader", F.col("leader").alias("node"), "part", F.lit(True).alias("leads")).distinct()
     work = members.unionByName(heads).join(texts, "node")
@@ -227,48 +221,152 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(similarity: float):
-    """Of a bucket's nodes, pairs of one that leads and another in a different component whose lengths and counts leave room for a link. An edit adds one word at most and takes one at most."""
+    """Of a bucket's nodes, those of a block with the nodes of other components whose lengths and counts leave room for a link, as a list.
+
+    An edit adds one word at most and takes one at most. A pair that shares several buckets is told in the one with the least hash.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        leads, n = rows.column("leads").to_numpy(), rows.column("n_words").to_numpy()
+        leads, n, bucket = rows.column("leads").to_numpy(), rows.column("n_words").to_numpy(), rows.column("bucket")[0].as_py()
         nodes, labels = np.array(rows.column("node").to_pylist(), object), np.array(rows.column("label").to_pylist(), object)
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        own, out_a, out_b = np.flatnonzero(~leads), [], []
+        sketches = rows.column("sketch").to_pylist()
+        own, found = np.flatnonzero(~leads), []
         for i in np.flatnonzero(leads).tolist():
-            most = ((1 - similarity) * np.maximum(n[own], n[i]) + 1e-9).astype(np.int64)
-            near = own[(np.abs(n[own] - n[i]) <= most) & (nodes[own] > nodes[i]) & (labels[own] != labels[i])]
+            most = lambda some: ((1 - similarity) * np.maximum(n[some], n[i]) + 1e-9).astype(np.int64)  # noqa: B023, E731
+            near = own[(np.abs(n[own] - n[i]) <= most(own)) & (nodes[own] > nodes[i]) & (labels[own] != labels[i])]
+            kept: list[bytes] = []
             for at in range(0, len(near), 10_000):
                 some = near[at : at + 10_000]
                 gap = counts[some] - counts[i]
                 apart = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
-                some = some[apart <= ((1 - similarity) * np.maximum(n[some], n[i]) + 1e-9).astype(np.int64)]
-                out_a += [nodes[i]] * len(some)
-                out_b += nodes[some].tolist()
-        return pa.table({"leader": pa.array(out_a, pa.binary()), "node": pa.array(out_b, pa.binary())})
+                lower = {x for x in sketches[i] if x < bucket}
+                kept += [nodes[j] for j in some[apart <= most(some)].tolist() if lower.isdisjoint(sketches[j])]
+            if kept:
+                found.append((nodes[i], b"".join(kept)))
+        return rows_of({"leader": pa.binary(), "partners": pa.binary()}, found)
+
+    return run
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every = {x for p in batch.column("partners").to_pylist() for x in _split(p)} | set(batch.column("leader").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(every), pa.binary())], ["node"])
+
+
+def _split(partners: bytes) -> list[bytes]:
+    return [partners[i : i + 16] for i in range(0, len(partners), 16)]
+
+
+def _tile(node: bytes, tiles: int) -> int:
+    return int.from_bytes(node[8:16], "little") % tiles
+
+
+def _tiled(tiles: int):
+    """Lists dealt to pairs of tiles of nodes: (x, y, node, text: none, label: none, partners)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for leader, partners in zip(batch.column("leader").to_pylist(), batch.column("partners").to_pylist(), strict=True):
+                x, by = _tile(leader, tiles), {}
+                for p in _split(partners):
+                    by.setdefault(_tile(p, tiles), []).append(p)
+                rows += [(min(x, y), max(x, y), leader, None, None, b"".join(own)) for y, own in by.items()]
+            yield from rows_of(TILED, rows).to_batches()
+
+    return run
+
+
+def _copies(tiles: int):
+    """Texts dealt to the pairs of tiles that hold their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 100):
+            rows = []
+            for node, text, label in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "label")), strict=True):
+                x = _tile(node, tiles)
+                rows += [(min(x, y), max(x, y), node, text, label, None) for y in range(tiles)]
+            yield from rows_of(TILED, rows).to_batches()
 
     return run
 
 
-def _unsettled(nodes: DataFrame, aligned: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(leader, node), once each: pairs that share a bucket, lie in different components and were not compared, but for those that can't be linked."""
-    spark = nodes.sparkSession
+TILED = {"x": pa.int32(), "y": pa.int32(), "node": pa.binary(), "text": pa.string(), "label": pa.binary(), "partners": pa.binary()}
+TILED_SQL = "x int, y int, node binary, text string, label binary, partners binary"
+
+
+def _settle(similarity: float):
+    """Links between the nodes of two tiles; pairs that are joined by then are passed over."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words, up, lists = {}, {}, []
+        for node, text, label, partners in zip(*(rows.column(c).to_pylist() for c in ("node", "text", "label", "partners")), strict=True):
+            if partners is None:
+                words[node], up[node] = tokens(text), label
+            else:
+                lists.append((node, partners))
+
+        def root(x: bytes) -> bytes:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        found = []
+        for leader, partners in sorted(lists):
+            for p in _split(partners):
+                a, b = root(leader), root(p)
+                if a != b and banded(words[leader], words[p], int((1 - similarity) * max(len(words[leader]), len(words[p])) + 1e-9)) is not None:
+                    found.append((leader, p, True))
+                    up[max(a, b)] = min(a, b)
+        return rows_of({"a": pa.binary(), "b": pa.binary(), "linked": pa.bool_()}, found)
+
+    return run
+
+
+def _open(nodes: DataFrame, aligned: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes that can be in a bucket of several components: leaders that some node was not joined to, and all nodes they met."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    met = aligned.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_ = met.filter(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a").distinct()
-    # All nodes of a bucket that holds several components are among the partners of such leaders.
-    near = aligned.join(open_, "a", "left_semi").select(F.col("b").alias("node")).union(open_).distinct()
-    own = nodes.join(near, "node").join(labels, "node", "left").select("node", "n_words", "sketch", F.coalesce("label", "node").alias("label"))
-    own = own.join(texts.join(near, "node", "left_semi").mapInArrow(_counted, "node binary, counts binary"), "node")
-    own = save(spark, own, "open")
-    buckets = _buckets(own).join(own.drop("sketch"), "node")
-    mixed = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 and low != high")
+    apart = aligned.join(of("a"), "a").join(of("b"), "b").filter("la != lb").select("a").distinct()
+    near = aligned.join(apart, "a", "left_semi").select(F.col("b").alias("node")).union(apart).distinct()
+    return save(nodes.sparkSession, nodes.join(near, "node").select("node", "nid", "n_words", "sketch"), "open")
+
+
+def _mixed(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, blocks, n, node, nid, n_words, label) for the buckets of several components."""
+    spark = near.sparkSession
+    own = near.join(labels, "node").withColumn("lid", F.xxhash64("label"))
+    buckets = _buckets(own).join(own.drop("sketch"), "nid")
+    mixed = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("low"), F.max("lid").alias("high")).filter("n > 2 and low != high")
     mixed = save(spark, mixed.select("bucket", "n", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "mixed")
-    held = _beside(buckets, mixed.drop("n"), "bucket", mixed.filter(F.col("n") > HOT_ROWS), "node")
-    columns = ["bucket", "block", "node", "n_words", "label", "counts"]
+    return beside(buckets, mixed, ["bucket"], mixed.filter(F.col("n") > HOT_ROWS), F.xxhash64("nid")).drop("lid")
+
+
+def _unsettled(near: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, linked) of nodes that share a bucket and lie in different components, enough to join all components that any joins."""
+    spark = near.sparkSession
+    counts = save(spark, texts.join(near.select("node"), "node", "left_semi").mapInArrow(_counted, "node binary, counts binary"), "counts")
+    held = _mixed(near, labels).join(counts.join(near.select("node", "sketch"), "node"), "node")
+    columns = ["bucket", "block", "node", "n_words", "label", "counts", "sketch"]
     x = held.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select(*columns, F.lit(True).alias("leads"))
     y = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(False).alias("leads"))
-    pairs = x.union(y).groupBy("bucket", "block").applyInArrow(_may_link(similarity), "leader binary, node binary").distinct()
-    return save(spark, pairs.join(aligned.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti"), "unsettled")
+    lists = save(spark, x.union(y).groupBy("bucket", "block").applyInArrow(_may_link(similarity), "leader binary, partners binary"), "lists")
+    involved = save(spark, lists.mapInArrow(_involved, "node binary").distinct(), "involved")
+    tiles = involved.count() // TILE_NODES + 1
+    dealt = lists.mapInArrow(_tiled(tiles), TILED_SQL)
+    met = dealt.select("x", "y").distinct()
+    copies = texts.join(involved, "node").join(labels, "node").mapInArrow(_copies(tiles), TILED_SQL).join(F.broadcast(met) if tiles < 500 else met, ["x", "y"], "left_semi")
+    return save(spark, dealt.union(copies).groupBy("x", "y").applyInArrow(_settle(similarity), "a binary, b binary, linked boolean"), "settled")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of all nodes, with components that links (a, b) join made one. A component's least label is its least node."""
+    spark = labels.sparkSession
+    of = lambda side, name: labels.select(F.col("node").alias(side), F.col("label").alias(name))
+    edges = links.join(of("a", "la"), "a").join(of("b", "lb"), "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    new = components(spark, edges).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return save(spark, labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def components(spark, edges: DataFrame) -> DataFrame:
@@ -291,27 +389,24 @@ def classes(docs: DataFrame, k: int = K, orders: int = ORDERS, sample: int = SAM
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = save(spark, source.mapInArrow(_sketches(k, orders, sample, picks), "doc_id long, node binary, n_words long, sketch array<long>"), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
-    nodes = save(spark, nodes, "nodes")
-    pairs = save(spark, _pairs(_buckets(nodes)), "pairs")
+    nodes = save(spark, nodes.withColumn("nid", F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as long)")), "nodes")
+    pairs = save(spark, _pairs(nodes), "pairs")
     asked = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes.select("node", "least"), "node")
     texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "node").mapInArrow(_with_node, "node binary, text string")
     texts = save(spark, texts.dropDuplicates(["node"]), "texts")
     aligned = _aligned(pairs, nodes, texts, similarity)
-    labels = components(spark, aligned.filter("linked").select("a", "b"))
-    rest = _aligned(_unsettled(nodes, aligned, labels, texts, similarity), nodes, texts, similarity).filter("linked")
-    # Components that these links join: their least label is their least node.
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    joins = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    joined = components(spark, joins).select(F.col("node").alias("old"), F.col("label").alias("new"))
-    labels = nodes.select("node", "least", "n_docs").join(labels, "node", "left").select("node", "least", "n_docs", F.coalesce("label", "node").alias("old"))
-    labels = labels.join(joined, "old", "left").select("node", "least", "n_docs", F.coalesce("new", "old").alias("label"))
-    links = aligned.filter("linked").union(rest)
+    labels = _joined(nodes.select("node", F.col("node").alias("label")), aligned.filter("linked"))
+    near = _open(nodes, aligned, labels)
+    rest = _unsettled(near, labels, texts, similarity)
+    aligned, labels = aligned.union(rest), _joined(labels, rest)
+    labels = nodes.select("node", "least", "n_docs").join(labels, "node")
+    links = aligned.filter("linked")
     links = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     labels = save(spark, labels.join(links, "node", "left"), "labelled")
     found = save(spark, labels.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count("*").alias("n_nodes")), "classes")
-    labels = _beside(labels, found, "label", found.filter(F.col("n_nodes") > HOT_ROWS), "node")
+    labels = beside(labels, found, ["label"], found.filter(F.col("n_nodes") > HOT_ROWS), F.xxhash64("node"))
     labels = save(spark, labels.select("node", "n_docs", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "node_classes")
-    return _beside(rows.select("doc_id", "node"), labels.drop("n_docs"), "node", labels.filter(F.col("n_docs") > HOT_ROWS), "doc_id").select("doc_id", "node", "class_id", "class_size", "n_links")
+    return beside(rows.select("doc_id", "node"), labels.drop("n_docs"), ["node"], labels.filter(F.col("n_docs") > HOT_ROWS), F.xxhash64("doc_id")).select("doc_id", "node", "class_id", "class_size", "n_links")
 
 
 def drop_near(docs: DataFrame, **how) -> DataFrame:

@@ -225,13 +225,16 @@ def test_word_counts_bound_distances():
     [counted] = near_dup._counted([pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts]), pa.array(texts)], ["node", "text"])])
     counts = dict(zip(texts, counted.column(1).to_pylist(), strict=True))
     every = sorted(set(texts))
-    row = lambda t, leads: {"node": t.encode(), "n_words": len(t.split()), "label": t.encode(), "counts": counts[t], "leads": leads}
+    row = lambda t, leads: {"node": t.encode(), "n_words": len(t.rstrip("\0").split()), "label": t.encode(), "counts": counts[t], "sketch": [7, 9], "bucket": 7, "leads": leads}
+    every = [t.ljust(16, "\0")[:16] for t in every if len(t) <= 16]
+    counts = {t: counts[t.rstrip("\0")] for t in every}
     kept = near_dup._may_link(0.5)(pa.Table.from_pylist([row(t, x) for t in every for x in (True, False)]))
-    left = set(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True))
+    left = {(a, b) for a, p in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True) for b in near_dup._split(p)}
+    assert not near_dup._may_link(0.5)(pa.Table.from_pylist([{**row(t, x), "bucket": 9} for t in every for x in (True, False)])).num_rows
     assert len(left) < len(every) * (len(every) - 1) / 2
     for a in every:
         for b in every:
-            x, y = a.split(), b.split()
+            x, y = a.strip("\0").split(), b.strip("\0").split()
             if a < b and brute.distance(x, y) <= int(0.5 * max(len(x), len(y)) + 1e-9):
                 assert (a.encode(), b.encode()) in left
 
@@ -272,6 +275,7 @@ def test_hot_groups_are_dealt(spark, monkeypatch):
     want = rows(near_dup.classes(frame(spark, docs)).drop("n_links"))
     monkeypatch.setattr(near_dup, "HOT_ROWS", 5)
     monkeypatch.setattr(near_dup, "BLOCK_NODES", 4)
+    monkeypatch.setattr(near_dup, "TILE_NODES", 3)
     assert rows(near_dup.classes(frame(spark, docs)).drop("n_links")) == want
 
 
