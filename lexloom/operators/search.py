@@ -63,11 +63,16 @@ def predicate(spec: SearchSpec, column: Column) -> Column:
 
 def prefilter(spec: SearchSpec, text: Column) -> Column | None:
     """What whole documents must hold to have a matching line; the optimizer can't derive this through the split into lines."""
-    if spec.invert or spec.folds:
+    if spec.invert:
         return None
     literals = [p if spec.fixed else required_literal(p) for p in spec.patterns]
-    if not literals or any(not x or "\n" in x for x in literals):
+    if not literals or any(not x or "\n" in x or (spec.folds and not x.isascii()) for x in literals):
         return None
+    if spec.folds:
+        # Two letters beyond ASCII fold to k and s; for literals with these only the lower case of the text is not enough.
+        if any(c in "kKsS" for x in literals for c in x):
+            return None
+        text, literals = F.lower(text), [x.lower() for x in literals]
     return functools.reduce(operator.or_, (text.contains(x) for x in literals))
 
 
@@ -79,6 +84,8 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
 
 def search(docs: DataFrame, spec: SearchSpec, *keep: str) -> DataFrame:
     """Matching lines; with max_count the first of each document."""
+    for pattern in () if spec.fixed else spec.patterns:
+        check_regex(docs.sparkSession, pattern)
     early = prefilter(spec, F.col("text"))
     found = lines(docs.filter(early) if early is not None else docs, *keep).filter(predicate(spec, F.col("line")))
     if spec.max_count is not None:
@@ -186,10 +193,23 @@ def passthru(docs: DataFrame, spec: SearchSpec) -> DataFrame:
     return lines(docs).select("doc_id", "line_no", predicate(spec, F.col("line")).alias("matched"))
 
 
+def _locate(part: Column, text: Column, begin: Column) -> Column:
+    return F.call_function("locate", part, text, begin)
+
+
 def multiline(docs: DataFrame, pattern: str) -> DataFrame:
-    """Matches over whole texts, with the line on which each begins. Same texts in one document are found by splitting at each match in turn."""
+    """Matches over whole texts, with the line on which each begins and its line breaks.
+
+    Behind each match what is left is looked through for the next one's first place, so equal matches keep their own lines.
+    """
     found = docs.filter(F.col("text").rlike(pattern)).withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    return found.select("doc_id", F.posexplode("_m").alias("nth", "match")).select("doc_id", "nth", "match", F.regexp_count("match", F.lit("\n")).alias("breaks"))
+    # Each match is the first place of its text behind the match before: (next character, starts).
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, m: F.struct((_locate(m, F.col("text"), s["next"]) + F.greatest(F.length(m), F.lit(1))).alias("next"), F.concat(s["starts"], F.array(_locate(m, F.col("text"), s["next"]))).alias("starts"))
+    found = found.withColumn("_s", F.aggregate("_m", none, step, lambda s: s["starts"]))
+    found = found.select("doc_id", "text", F.posexplode(F.arrays_zip("_m", "_s")).alias("nth", "x"))
+    start = F.regexp_count(F.substring(F.col("text"), F.lit(1), F.col("x._s") - 1), F.lit("\n")) + 1
+    return found.select("doc_id", "nth", F.col("x._m").alias("match"), start.cast("int").alias("start_line"), F.regexp_count("x._m", F.lit("\n")).alias("breaks"))
 
 
 def records(docs: DataFrame, separator: str) -> DataFrame:

@@ -76,6 +76,16 @@ def _name(node: object, prefix: str) -> str | None:
     return name[len(prefix) :] if name and name.startswith(prefix) else None
 
 
+def _equal(a: str, b: str) -> bool:
+    """The same code, whatever the spaces in it."""
+    if a == b or a.split() != b.split() and "".join(a.split()) != "".join(b.split()):
+        return a == b
+    try:
+        return ast.dump(ast.parse(a.strip())) == ast.dump(ast.parse(b.strip()))
+    except SyntaxError:
+        return False
+
+
 def _same(p: object, n: object, source: Source, single: dict[str, str], multi: dict[str, list[str]]) -> bool:
     if isinstance(p, ast.AST):
         if (name := _name(p, ONE)) is not None:
@@ -87,7 +97,7 @@ def _same(p: object, n: object, source: Source, single: dict[str, str], multi: d
                 return False
             else:
                 text = source.text(n)
-            return single.setdefault(name, text) == text
+            return _equal(single.setdefault(name, text), text)
         if type(p) is not type(n):
             return False
         skip = ("ctx", "type_comment", "kind")
@@ -179,6 +189,81 @@ def node_types(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_per_file(make, schema), "doc_id long, node_type string, start long, end long, line int")
 
 
+def compile_query(query: str) -> tuple:
+    """A tree query `(Type field: value ...)`: a value is a query, `$name` (captured), `_` (anything) or a word that the field must equal. Nested queries without a field may lie anywhere below."""
+    tokens = re.findall(r"[()]|[A-Za-z_$*][\w$*]*:?", query)
+    if "".join(tokens) != re.sub(r"\s+", "", query):
+        raise ValueError(f"not a tree query: {query}")
+    at = 0
+
+    def one() -> tuple:
+        nonlocal at
+        if at >= len(tokens) or tokens[at] != "(" or at + 1 >= len(tokens):
+            raise ValueError(f"not a tree query: {query}")
+        kind, fields, below = tokens[at + 1], [], []
+        at += 2
+        while at < len(tokens) and tokens[at] != ")":
+            if tokens[at].endswith(":"):
+                name = tokens[at][:-1]
+                at += 1
+                if at >= len(tokens) or tokens[at] == ")":
+                    raise ValueError(f"not a tree query: {query}")
+                if tokens[at] == "(":
+                    fields.append((name, one()))
+                else:
+                    fields.append((name, tokens[at]))
+                    at += 1
+            else:
+                below.append(one())
+        if at >= len(tokens):
+            raise ValueError(f"not a tree query: {query}")
+        at += 1
+        return kind, tuple(fields), tuple(below)
+
+    found = one()
+    if at != len(tokens):
+        raise ValueError(f"not a tree query: {query}")
+    return found
+
+
+def _fits(query: tuple, node: object, source: Source, captures: dict[str, str]) -> bool:
+    kind, fields, below = query
+    if not isinstance(node, ast.AST) or kind != "_" and type(node).__name__ != kind:
+        return False
+    for name, want in fields:
+        value = getattr(node, name, None)
+        if value is None:
+            return False
+        if isinstance(want, tuple):
+            if not any(_fits(want, x, source, captures) for x in (value if isinstance(value, list) else [value])):
+                return False
+        elif want.startswith("$"):
+            captures[want[1:]] = value if isinstance(value, str) else ast.unparse(value) if isinstance(value, ast.AST) else str(value)
+        elif want != "_" and str(value) != want:
+            return False
+    return all(any(x is not node and _fits(b, x, source, captures) for x in ast.walk(node)) for b in below)
+
+
+def tree_query(docs: DataFrame, query: str) -> DataFrame:
+    """(doc_id, line, node_type, captures) of the nodes that fit a tree query. Files that don't parse have none."""
+    wanted = compile_query(query)
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("node_type", pa.string()), ("captures", pa.map_(pa.string(), pa.string()))])
+
+    def make(doc_id: int, text: str) -> list[tuple]:
+        try:
+            source = Source(text)
+        except (SyntaxError, ValueError):
+            return []
+        out = []
+        for node in ast.walk(source.tree):
+            captures: dict[str, str] = {}
+            if _fits(wanted, node, source, captures):
+                out.append((doc_id, getattr(node, "lineno", 1), type(node).__name__, list(captures.items())))
+        return sorted(out, key=lambda r: r[1])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_per_file(make, schema), "doc_id long, line int, node_type string, captures map<string,string>")
+
+
 def plan_rewrites(matches: DataFrame, template: str) -> DataFrame:
     """Edits (doc_id, start, end, replacement) from matches; $X and $$$X in the template stand for what they matched."""
     out = F.lit("")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from lexloom.operators import changes, classify, graph, inventory, rules, structural
+from lexloom.operators import changes, classify, graph, inventory, resolve, rules, structural
 from lexloom.operators.search import SearchSpec, lines, search
+from lexloom.operators.shared import new_path
 from lexloom.plans.base import LINES, query, table
 from lexloom.plans.search_queries import docs
 from lexloom.sources import sinks
@@ -165,18 +163,10 @@ def grf8(spark, sf_dir):
     return graph.importers(e, 5).withColumn("side", F.lit("importer")).unionByName(graph.imported(e, 5).withColumn("side", F.lit("imported")))
 
 
-_SPARSE_SQL = "sparse AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 97 + 1)::BIGINT AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 97 + 1 AND l_linenumber = 1 AND l_quantity = 50)"
-
-
-def _sparse(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity = 50").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97 + 1).alias("dst"))
-    return found.filter("src <> dst").distinct()
-
-
-@query("q_grf10_blast_radius", f"WITH RECURSIVE {_SPARSE_SQL}, r(file, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN sparse ON dst = file WHERE depth < 3) SELECT file, min(depth)::INTEGER AS depth FROM r GROUP BY file")
+@query("q_grf10_blast_radius", f"WITH RECURSIVE {EDGES_SQL}, r(file, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = file WHERE depth < 3) SELECT file, min(depth)::INTEGER AS depth FROM r GROUP BY file")
 def grf10(spark, sf_dir):
     seeds = spark.range(5, 6).select(F.col("id").alias("file"))
-    return graph.blast_radius(_sparse(spark, sf_dir), seeds, 3)
+    return graph.blast_radius(_edges(spark, sf_dir), seeds, 3)
 
 
 def _pagerank_sql(iterations: int = 12) -> str:
@@ -196,7 +186,7 @@ def grf11(spark, sf_dir):
     return graph.personalized_pagerank(nodes, back, [1, 2])
 
 
-_CENTRAL_SQL = f"""WITH {_SPARSE_SQL}, a AS (SELECT dst AS file, count(*) AS a FROM sparse GROUP BY ALL), b AS (SELECT src AS file, count(*) AS b FROM sparse GROUP BY ALL), c AS (SELECT o_custkey AS file, count(*) AS c FROM orders GROUP BY ALL),
+_CENTRAL_SQL = f"""WITH {EDGES_SQL}, a AS (SELECT dst AS file, count(*) AS a FROM edges GROUP BY ALL), b AS (SELECT src AS file, count(*) AS b FROM edges GROUP BY ALL), c AS (SELECT o_custkey AS file, count(*) AS c FROM orders GROUP BY ALL),
 central AS (SELECT s_suppkey AS file, s_nationkey AS dir, ((least(coalesce(a, 0), 12) + coalesce(b, 0) + least(coalesce(c, 0), 25))::DOUBLE * CASE WHEN s_nationkey = 3 THEN 0.25 ELSE 1.0 END)::DOUBLE AS score FROM supplier s LEFT JOIN a ON a.file = s_suppkey LEFT JOIN b ON b.file = s_suppkey LEFT JOIN c ON c.file = s_suppkey)"""
 
 
@@ -204,7 +194,7 @@ def _central(spark, sf_dir, edges=None):
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("dir"))
     symbols = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("n"))
     vendored = nodes.filter("dir = 3").select("file", F.lit(True).alias("v"))
-    plain = graph.centrality(nodes.select("file"), _sparse(spark, sf_dir) if edges is None else edges, symbols)
+    plain = graph.centrality(nodes.select("file"), _edges(spark, sf_dir) if edges is None else edges, symbols)
     scored = plain.join(vendored, "file", "left").select("file", (F.col("score") * F.when(F.col("v"), 0.25).otherwise(1.0)).alias("score"))
     return scored.join(nodes, "file")
 
@@ -219,7 +209,9 @@ def grf13(spark, sf_dir):
     return graph.suggested_scope(_central(spark, sf_dir), 1.01)
 
 
-@query("q_grf14_vendored")
+@query("q_grf14_vendored", f"""WITH {EDGES_SQL}, ends AS (SELECT a.s_nationkey AS sd, b.s_nationkey AS dd FROM edges JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst WHERE a.s_nationkey <> b.s_nationkey),
+c AS (SELECT dir, count(*) AS crossing FROM (SELECT sd AS dir FROM ends UNION ALL SELECT dd FROM ends) GROUP BY dir)
+SELECT s_nationkey::VARCHAR AS dir, count(*) AS files, coalesce(any_value(crossing), 0) AS crossing, 'island' AS reason FROM supplier LEFT JOIN c ON dir = s_nationkey GROUP BY s_nationkey HAVING count(*) >= 2 AND coalesce(any_value(crossing), 0) = 0""")
 def grf14(spark, sf_dir):
     files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("string").alias("dir"))
     return graph.vendored_trees(files, _edges(spark, sf_dir))
@@ -328,16 +320,16 @@ def str6(spark, sf_dir):
     return changes.live_claims(events, F.lit(now))
 
 
-@query("q_jn8_claim_overlap", "WITH c AS (SELECT DISTINCT o_orderkey AS claim_id, o_custkey % 5 AS agent_id, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') SELECT a.claim_id AS a_id, b.claim_id AS b_id, count(*) AS n_shared, min(a.symbol) AS first_shared FROM c a JOIN c b ON a.symbol = b.symbol AND a.claim_id < b.claim_id AND a.agent_id <> b.agent_id GROUP BY ALL")
+@query("q_jn8_claim_overlap", "WITH c AS (SELECT DISTINCT o_orderkey AS claim_id, o_custkey % 5 AS agent_id, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey ) SELECT a.claim_id AS a_id, b.claim_id AS b_id, count(*) AS n_shared, min(a.symbol) AS first_shared FROM c a JOIN c b ON a.symbol = b.symbol AND a.claim_id < b.claim_id AND a.agent_id <> b.agent_id GROUP BY ALL")
 def jn8(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    held = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     claims = held.groupBy(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 5).alias("agent_id")).agg(F.collect_set("l_partkey").alias("symbols"))
     return changes.claim_overlaps(claims)
 
 
-@query("q_str7_fresh_findings", "SELECT l_orderkey AS finding_id, l_partkey AS symbol, coalesce(l_suppkey % 3 = p_size % 3, false) AS fresh FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1")
+@query("q_str7_fresh_findings", "SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_partkey AS symbol, coalesce(l_suppkey % 3 = p_size % 3, false) AS fresh FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def str7(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("finding_id"), F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 3).cast("int").alias("revision"))
+    found = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("finding_id"), F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 3).cast("int").alias("revision"))
     return changes.fresh_findings(found, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 3).cast("int").alias("revision")))
 
 
@@ -362,11 +354,11 @@ def set5(spark, sf_dir):
     return changes.json_diff(e, e.withColumn("json", F.when(F.col("id") % 3 == 0, '{"extra": {"n": 1}}').otherwise(F.col("json"))))
 
 
-@query("q_str8_checkpoints")
+@query("q_str8_checkpoints", "SELECT doc_id, n_chars FROM documents")
 def str8(spark, sf_dir):
     from lexloom.operators import versions
 
-    root = tempfile.mkdtemp() if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared}/{uuid.uuid4().hex}"
+    root = new_path(spark, "versions")
     d = docs(spark, sf_dir).select("doc_id", "n_chars")
     first = versions.create(d, root, "first")
     versions.create(d.filter("n_chars > 100"), root, "second")
@@ -398,40 +390,79 @@ def cls3(spark, sf_dir):
     return classify.classify(classify.budgeted(_logs(spark, sf_dir), 100, ["conv_id", "turn"])).select("conv_id", "turn", "label", "truncated")
 
 
-# Structure: lines of documents that are Python are few, so code is made of the parts table.
+# Structure: documents that are code are few, so code is made of the parts table, in six variants: a match, none but in a string and a
+# comment, a match in a match, a syntax error, several matches beside names that only look alike, and names without calls.
 
-_CODE = "'import os' || chr(10) || 'def f' || p_partkey || '(a):' || chr(10) || '    x = eval(a)' || chr(10) || '    return os.path.join(\"' || p_brand || '\", x, a)' || chr(10)"
+_VARIANTS = (
+    'import os\ndef f{n}(a):\n    x = eval(a)\n    return os.path.join("{brand}", x, a)\n',
+    "import sys\nclass C{n}:\n    def g(self):\n        return 'eval(a)'  # eval(b)\n",
+    "def f{n}(a, b):\n    return eval(eval(a) + b)\n",
+    "def f{n}(:\n    eval(a)\n",
+    "é = eval( a )\nfor i in range(3):\n    print(eval(i), other.eval(i))\n",
+    "from pkg.mod{n} import thing as t\nasync def h{n}():\n    await t(eval)\n",
+)
 
 
-def _code(spark, sf_dir):
+def _code(spark, sf_dir, variants=_VARIANTS):
     part = table(spark, sf_dir, "part")
-    text = F.concat(F.lit("import os\ndef f"), F.col("p_partkey").cast("string"), F.lit("(a):\n    x = eval(a)\n    return os.path.join(\""), "p_brand", F.lit('", x, a)\n'))
+    text = F.lit(None).cast("string")
+    for i, v in enumerate(variants):
+        pieces = [F.col("p_partkey").cast("string") if x == "{n}" else F.col("p_brand") if x == "{brand}" else F.lit(x) for x in _pieces(v)]
+        text = F.when(F.col("p_partkey") % len(variants) == i, F.concat(*pieces)).otherwise(text)
     return part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
-@query("q_ast1_search")
+def _pieces(variant):
+    import re
+
+    return [x for x in re.split(r"(\{n\}|\{brand\})", variant) if x]
+
+
+def _filled(text):
+    """A variant as an SQL expression."""
+    names = {"{n}": "p_partkey::VARCHAR", "{brand}": "p_brand"}
+    return " || ".join(names.get(x) or "'" + x.replace("'", "''") + "'" for x in _pieces(text)) or "''"
+
+
+def _by_variant(columns, rows, k=len(_VARIANTS)):
+    """SQL with a row for each part of a variant: rows are (variant, values)."""
+    one = lambda v: _filled(v) if isinstance(v, str) else str(v)
+    return " UNION ALL ".join(f"SELECT p_partkey AS doc_id, {', '.join(f'{one(v)} AS {c}' for c, v in zip(columns, values, strict=True))} FROM part WHERE p_partkey % {k} = {i}" if columns else f"SELECT p_partkey AS doc_id FROM part WHERE p_partkey % {k} = {i}" for i, *values in rows)
+
+
+_EVALS = [(0, 3, "eval(a)"), (2, 2, "eval(eval(a) + b)"), (2, 2, "eval(a)"), (4, 1, "eval( a )"), (4, 3, "eval(i)")]
+
+
+@query("q_ast1_search", _by_variant(["line", "text"], _EVALS))
 def ast1(spark, sf_dir):
-    return structural.ast_search(_code(spark, sf_dir), "eval($X)").select("doc_id", "start", "end", "line", "text")
+    return structural.ast_search(_code(spark, sf_dir), "eval($X)").select("doc_id", "line", "text")
 
 
-@query("q_rul1_structural_pack", "SELECT p_partkey AS doc_id, 'python-auth-eval' AS rule_id, 'high' AS severity, 3 AS line_no FROM part")
+@query("q_rul1_structural_pack", _by_variant(["rule_id", "severity", "line_no"], [(i, "python-auth-eval", "high", n) for i, n, _ in _EVALS]))
 def rul1_structural(spark, sf_dir):
     found = structural.scan_structural(_code(spark, sf_dir), structural.structural_rules("auth", "python"), "python")
-    return found.select("doc_id", "rule_id", "severity", "line_no")
+    return found.filter("rule_id = 'python-auth-eval'").select("doc_id", "rule_id", "severity", "line_no")
 
 
-@query("q_ast2_prefilter", f"SELECT p_partkey AS doc_id FROM part WHERE contains({_CODE}, 'eval')")
+@query("q_ast2_prefilter", "SELECT p_partkey AS doc_id FROM part")
 def ast2(spark, sf_dir):
     return _code(spark, sf_dir).filter(F.col("text").contains(structural.literal_of("eval($X)"))).select("doc_id")
 
 
-@query("q_ast3_metavariables", "SELECT p_partkey AS doc_id, '\"' || p_brand || '\"' AS first, 2 AS n_rest FROM part")
+@query("q_ast3_metavariables", _by_variant(["first", "n_rest"], [(0, '"{brand}"', 2)]))
 def ast3(spark, sf_dir):
     found = structural.ast_search(_code(spark, sf_dir), "os.path.join($A, $$$REST)")
     return found.select("doc_id", F.col("single")["A"].alias("first"), F.size(F.col("multi")["REST"]).alias("n_rest"))
 
 
-@query("q_ast5_rewrite_plan", "SELECT p_partkey AS doc_id, 'literal_eval(a)' AS replacement FROM part")
+@query("q_ast3_same_metavariable", _by_variant(["line"], [(1, 2), (3, 1)], 4))
+def ast3_same(spark, sf_dir):
+    """Equal metavariables must match equal code."""
+    variants = ("x = f(a{n}, b{n})\n", "y = 1\nx = f(a{n}, a{n})\n", "x = g(a, a)\n", "x = f(b[{n}], b[ {n} ])\n")
+    return structural.ast_search(_code(spark, sf_dir, variants), "f($X, $X)").select("doc_id", "line")
+
+
+@query("q_ast5_rewrite_plan", _by_variant(["replacement"], [(0, "literal_eval(a)"), (2, "literal_eval(eval(a) + b)"), (2, "literal_eval(a)"), (4, "literal_eval(a)"), (4, "literal_eval(i)")]))
 def ast5(spark, sf_dir):
     return structural.plan_rewrites(structural.ast_search(_code(spark, sf_dir), "eval($X)"), "literal_eval($X)").select("doc_id", "replacement")
 
@@ -452,58 +483,153 @@ def ast6_accepted(spark, sf_dir):
     return structural.accepted_edits(_edits(spark, sf_dir))
 
 
-@query("q_ast7_apply", f"SELECT p_partkey AS doc_id, replace({_CODE}, 'eval(a)', 'literal_eval(a)') AS text FROM part")
+_REWRITTEN = [(0, _VARIANTS[0].replace("eval(a)", "literal_eval(a)")), (2, _VARIANTS[2].replace("eval(eval(a) + b)", "literal_eval(eval(a) + b)")), (4, _VARIANTS[4].replace(" eval( a )", " literal_eval(a)").replace("(eval(i)", "(literal_eval(i)"))]
+
+
+@query("q_ast7_apply", _by_variant(["text"], _REWRITTEN))
 def ast7(spark, sf_dir):
+    """Of two edits that overlap the earlier stays: the outer call."""
     code = _code(spark, sf_dir)
     edits = structural.plan_rewrites(structural.ast_search(code, "eval($X)"), "literal_eval($X)")
     return structural.apply_edits(code, structural.accepted_edits(edits)).select("doc_id", "text")
 
 
-@query("q_ast8_verify", "SELECT p_partkey AS doc_id, true AS ok FROM part")
+@query("q_ast8_verify", _by_variant(["ok"], [(0, 1), (2, 0), (4, 1)]).replace("1 AS ok", "true AS ok").replace("0 AS ok", "false AS ok"))
 def ast8(spark, sf_dir):
+    """One variant's files were changed since they were rewritten."""
     code = _code(spark, sf_dir)
-    edits = structural.plan_rewrites(structural.ast_search(code, "eval($X)"), "literal_eval($X)")
-    return structural.verify_edits(code, structural.apply_edits(code, edits), edits)
+    edits = structural.accepted_edits(structural.plan_rewrites(structural.ast_search(code, "eval($X)"), "literal_eval($X)"))
+    after = structural.apply_edits(code, edits).withColumn("text", F.when(F.col("doc_id") % 6 == 2, F.concat("text", F.lit("# late"))).otherwise(F.col("text")))
+    return structural.verify_edits(code, after, edits)
 
 
-@query("q_ast9_node_types", "SELECT unnest(['Import', 'alias', 'FunctionDef', 'arg', 'Assign', 'Name', 'Call', 'Return', 'Attribute', 'Constant']) AS node_type, unnest([1, 1, 1, 1, 1, 6, 2, 1, 2, 1]) * (SELECT count(*) FROM part) AS n")
+@query("q_ast9_node_types", "SELECT doc_id, node_type, count(*) AS n FROM (" + _by_variant(["node_type"], [(0, "Call")] * 2 + [(2, "Call")] * 2 + [(4, "Call")] * 5 + [(5, "Call"), (0, "FunctionDef"), (1, "FunctionDef"), (2, "FunctionDef"), (1, "ClassDef"), (5, "AsyncFunctionDef"), (0, "Import"), (1, "Import"), (5, "ImportFrom"), (4, "For")]) + ") GROUP BY ALL")
 def ast9(spark, sf_dir):
-    return structural.node_types(_code(spark, sf_dir)).groupBy("node_type").agg(F.count("*").alias("n"))
+    found = structural.node_types(_code(spark, sf_dir)).filter(F.col("node_type").isin("Call", "FunctionDef", "AsyncFunctionDef", "ClassDef", "Import", "ImportFrom", "For"))
+    return found.groupBy("doc_id", "node_type").agg(F.count("*").alias("n"))
+
 
+@query("q_ast9_tree_query", _by_variant(["line", "capture"], [(0, 2, "f{n}"), (1, 3, "g"), (2, 1, "f{n}")]))
+def ast9_tree(spark, sf_dir):
+    return structural.tree_query(_code(spark, sf_dir), "(FunctionDef name: $name)").select("doc_id", "line", F.col("captures")["name"].alias("capture"))
 
-@query("q_ast10_selector", "SELECT p_partkey AS doc_id FROM part")
+
+@query("q_ast9_nested_tree_query", _by_variant(["line"], [(0, 3), (2, 2), (2, 2), (4, 1), (4, 3)]))
+def ast9_nested(spark, sf_dir):
+    """Calls of a plain name `eval`, in any file that parses."""
+    return structural.tree_query(_code(spark, sf_dir), "(Call func: (Name id: eval))").select("doc_id", "line")
+
+
+@query("q_ast10_selector", _by_variant(["line"], [(i, n) for i, n, _ in _EVALS]))
 def ast10(spark, sf_dir):
-    return structural.ast_search(_code(spark, sf_dir), "eval($X)", "Call").select("doc_id")
+    return structural.ast_search(_code(spark, sf_dir), "eval($X)", "Call").select("doc_id", "line")
+
 
+@query("q_ast10_strictness", _by_variant(["line"], [(0, 1), (1, 1)], 3))
+def ast10_strict(spark, sf_dir):
+    """Tokens, not characters: spaces and comments between them don't count, other tokens do."""
+    code = _code(spark, sf_dir, ("use(a{n}, b)\n", "use( a{n},  # x\n  b )\n", "use(a{n}, b, c)\n"))
+    return structural.ast_search(code, "use($A, b)").select("doc_id", "line")
 
-@query("q_ast_tokens", "SELECT p_partkey AS doc_id FROM part")
+
+@query("q_ast_tokens", _by_variant([], [(0,)]))
 def ast_tokens(spark, sf_dir):
     return structural.token_search(_code(spark, sf_dir), "join($$$ARGS)").select("doc_id")
 
 
-@query("q_win6_structural_chunks")
+@query("q_win6_structural_chunks", _by_variant(["chunk_no", "start_line", "end_line"], [(i, 0, 1, v.count("\n")) for i, v in enumerate(_VARIANTS)]))
 def win6(spark, sf_dir):
     return structural.structural_chunks(_code(spark, sf_dir))
 
 
-@query("q_grf1_python_symbols", "SELECT p_partkey AS doc_id, 'import' AS kind, 'os' AS name, 1 AS line FROM part UNION ALL SELECT p_partkey, 'function', 'f' || p_partkey, 2 FROM part")
+_LONG = "x = '{n}" + "a" * 700 + "'\n"
+
+
+@query("q_win6_split_chunks", _by_variant(["chunk_no", "start_line", "end_line"], [(0, 0, 1, 1), (0, 1, 2, 2), (1, 0, 1, 2), (1, 1, 3, 3)], 2))
+def win6_split(spark, sf_dir):
+    """Neighbours are merged up to the budget, and no further."""
+    return structural.structural_chunks(_code(spark, sf_dir, (_LONG * 2, "y = 1\n" + _LONG * 2)))
+
+
+@query("q_grf1_python_symbols", _by_variant(["kind", "name", "line"], [(0, "import", "os", 1), (0, "function", "f{n}", 2), (1, "import", "sys", 1), (1, "class", "C{n}", 2), (1, "function", "g", 3), (2, "function", "f{n}", 1), (5, "import", "pkg.mod{n}", 1), (5, "function", "h{n}", 2)]))
 def grf1(spark, sf_dir):
     return structural.python_symbols(_code(spark, sf_dir))
 
 
-@query("q_fn16_reference_kinds", "SELECT p_partkey AS doc_id, 3 AS line, 'call' AS kind FROM part")
+@query("q_fn16_reference_kinds", _by_variant(["line", "kind"], [(0, 3, "call"), (2, 2, "call"), (2, 2, "call"), (4, 1, "call"), (4, 3, "call"), (4, 3, "call"), (5, 3, "value")]))
 def fn16(spark, sf_dir):
     return structural.python_references(_code(spark, sf_dir), "eval")
 
 
-@query("q_grf3_line_symbols", "SELECT p_partkey AS doc_id, unnest([1, 2])::INTEGER AS line_no, unnest(['import', 'function']) AS kind, unnest(['std::io', 'f' || p_partkey]) AS name FROM part")
+_SOURCES = {
+    "rust": ("use std::io;\npub fn f{n}(a: u8) {}\n", "struct S{n} { a: u8 }\nimpl S{n} {\n    pub(crate) async fn g(&self) {}\n}\n", "// fn no{n}() {}\nlet x = 1;\n"),
+    "go": ('package a\nimport "fmt"\nfunc F{n}() {}\n', "type T{n} struct {}\nfunc (t *T{n}) M() {}\n", "// func no{n}() {}\nvar x = 1\n"),
+    "javascript": ('import {a, b} from "./m{n}";\nexport async function f{n}() {}\n', "class C{n} {}\nconst g = async (x) => x;\nconst h = 3;\n", "const m = require('m{n}');\n// function no() {}\n"),
+    "typescript": ("import 'side{n}';\nexport interface I{n} {}\n", "export const f{n} = (a: number): number => a;\nlet k: string = 'x';\n", "export * from './all{n}';\ntype T = string;\n"),
+    "java": ("import java.util.List;\npublic final class C{n} {}\n", "interface I{n} {}\n", "// class no{n} {}\n"),
+    "php": ("use A\\B{n};\nfunction f{n}() {}\n", "final class C{n} {}\n", "$x = 1; // {n}\n"),
+    "csharp": ("using System;\npublic class C{n} {}\n", "internal enum E{n} {}\n", "var x = {n};\n"),
+    "c": ('#include "a{n}.h"\nint f{n}(int a) {\n', "struct S{n} {\n", "x = {n};\n"),
+}
+_SOURCE_SYMBOLS = {
+    "rust": [(0, 1, "import", "std::io"), (0, 2, "function", "f{n}"), (1, 1, "class", "S{n}"), (1, 3, "function", "g")],
+    "go": [(0, 2, "import", "fmt"), (0, 3, "function", "F{n}"), (1, 1, "class", "T{n}"), (1, 2, "function", "M")],
+    "javascript": [(0, 1, "import", "./m{n}"), (0, 2, "function", "f{n}"), (1, 1, "class", "C{n}"), (1, 2, "function", "g"), (2, 1, "import", "m{n}")],
+    "typescript": [(0, 1, "import", "side{n}"), (0, 2, "class", "I{n}"), (1, 1, "function", "f{n}"), (2, 1, "import", "./all{n}"), (2, 2, "class", "T")],
+    "java": [(0, 1, "import", "java.util.List"), (0, 2, "class", "C{n}"), (1, 1, "class", "I{n}")],
+    "php": [(0, 1, "import", "A\\B{n}"), (0, 2, "function", "f{n}"), (1, 1, "class", "C{n}")],
+    "csharp": [(0, 1, "import", "System"), (0, 2, "class", "C{n}"), (1, 1, "class", "E{n}")],
+    "c": [(0, 1, "import", "a{n}.h"), (0, 2, "function", "f{n}"), (1, 1, "class", "S{n}")],
+}
+
+
+@query("q_grf3_line_symbols", " UNION ALL ".join(_by_variant(["language", "line_no", "kind", "name"], [(i, k, *rest) for i, *rest in rows], 3) for k, rows in _SOURCE_SYMBOLS.items()))
 def grf3(spark, sf_dir):
+    out = None
+    for language, variants in _SOURCES.items():
+        found = graph.extract(lines(_code(spark, sf_dir, variants)), language).withColumn("language", F.lit(language))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("q_grf5_languages", "SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'cpp' END AS language FROM part")
+def grf5(spark, sf_dir):
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".py", ".tsx", ".hpp", ".zig")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), graph.language_of_file(F.concat(F.lit("a/b"), suffix)).alias("language"))
+
+
+@query("q_grf6_definitions", "SELECT p_partkey AS doc_id, 'function' AS kind, 3 AS line FROM part WHERE p_partkey % 6 = 1")
+def grf6(spark, sf_dir):
+    return resolve.definitions(structural.python_symbols(_code(spark, sf_dir)), "g").select("doc_id", "kind", "line")
+
+
+@query("q_grf6_context", f"WITH {LINES} SELECT a.doc_id, a.line_no, string_agg(b.line, chr(10) ORDER BY b.line_no) AS context FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 1 AND a.line_no + 1 WHERE regexp_matches(a.line, '\\bLicense\\b') GROUP BY ALL")
+def grf6_context(spark, sf_dir):
+    return resolve.references_with_context(lines(docs(spark, sf_dir)), "License", 1)
+
+
+#: Files are made of parts, and imports of order lines: a part's file imports another's, in the language of the importer.
+_FILE = "CASE p_partkey % 5 WHEN 0 THEN 'py/pkg' || p_size || '/mod' || p_partkey || '.py' WHEN 1 THEN 'web/' || p_size || '/m' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.ts' ELSE '/index.js' END WHEN 2 THEN 'crate/src/a' || p_size || '/m' || p_partkey || '.rs' WHEN 3 THEN 'go/p' || p_partkey || '/main.go' ELSE 'inc/h' || p_partkey || '.h' END"
+_LANGUAGE = "CASE {0} % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'rust' WHEN 3 THEN 'go' ELSE 'c' END"
+_MODULE = "CASE {0} % 5 WHEN 0 THEN 'pkg' || {1} || '.mod' || {2} WHEN 1 THEN '@/' || {1} || '/m' || {2} WHEN 2 THEN 'crate::a' || {1} || '::m' || {2} || '::Item' WHEN 3 THEN 'example.org/x/p' || {2} ELSE 'h' || {2} || '.h' END"
+_PAIRS = "SELECT DISTINCT a.p_partkey AS a, a.p_size AS a_size, b.p_partkey AS b, b.p_size AS b_size FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE a.p_partkey % 5 = b.p_partkey % 5"
+
+
+@query("q_grf7_resolution", f"""WITH f AS (SELECT p_partkey AS k, {_FILE} AS file FROM part), p AS ({_PAIRS})
+SELECT DISTINCT x.file AS src, {_MODULE.format('b', "CASE WHEN b % 7 = 0 THEN 999 ELSE b_size END", 'b')} AS module, y.file AS dst FROM p JOIN f x ON x.k = a JOIN f y ON y.k = b WHERE a <> b AND (b % 7 <> 0 OR b % 5 IN (3, 4))""")
+def grf7(spark, sf_dir):
+    """Every seventh import names a directory that isn't there (packages of Go and headers of C are found without it)."""
     part = table(spark, sf_dir, "part")
-    code = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("use std::io;\npub fn f"), F.col("p_partkey").cast("string"), F.lit("(a: u8) {}\n")).alias("text"))
-    return graph.extract(lines(code), "rust")
+    files = part.select(F.col("p_partkey").alias("k"), F.expr(_FILE.replace("p_size", "p_size")).alias("file"))
+    own = part.select("p_partkey", "p_size")
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(own.select(F.col("p_partkey").alias("a")), F.col("l_partkey") == F.col("a"))
+    pairs = pairs.join(own.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("b_size")), F.col("l_suppkey") == F.col("b")).filter("a % 5 = b % 5").select("a", "b", "b_size").distinct()
+    asked = pairs.join(files, F.col("k") == F.col("a")).select(F.col("file").alias("src"), F.expr(_LANGUAGE.format("a")).alias("language"), F.expr(_MODULE.format("b", "if(b % 7 = 0, 999, b_size)", "b")).alias("module"), F.lit(None).cast("string").alias("name"))
+    found = resolve.resolve(asked, files.select("file"), aliases={"@/": "web/"}, go_modules={"example.org/x": "go"}, includes=("inc",))
+    return found.select("src", "module", "dst").distinct()
 
 
-@query("q_grf16_capsule")
+@query("q_grf16_capsule", f"{_CENTRAL_SQL} SELECT central.file, dir, score, coalesce(a.a, 0) AS importers FROM central LEFT JOIN a ON a.file = central.file ORDER BY score DESC, central.file LIMIT 10")
 def grf16(spark, sf_dir):
     """The tabular part of an orientation: central files with their directory, importers and confidence."""
     edges = _edges(spark, sf_dir)
@@ -516,8 +642,7 @@ def grf16(spark, sf_dir):
 
 
 def _drained(spark, stream, mode="append"):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     streams.drain(stream, f"{at}/out", f"{at}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -563,3 +688,53 @@ def snk5(spark, sf_dir):
 def snk1(spark, sf_dir):
     found = search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True))
     return spark.createDataFrame([(sinks.envelope(found, "License"),)], "json string")
+
+
+def _matches(spark, sf_dir):
+    return search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True)).select("doc_id", "line_no", "line")
+
+
+@query("q_snk2_ndjson", f"WITH {LINES} SELECT 'match' AS type, count(*) AS n FROM lines WHERE contains(line, 'License') HAVING count(*) > 0 UNION ALL SELECT 'summary', 1")
+def snk2(spark, sf_dir):
+    path = new_path(spark, "ndjson")
+    sinks.ndjson(_matches(spark, sf_dir), path, "License")
+    return spark.read.schema("type string").json(path).groupBy("type").agg(F.count("*").alias("n"))
+
+
+_FOUND_SQL = f"WITH {LINES} SELECT doc_id AS {{}}, line_no AS {{}}, line AS {{}} FROM lines WHERE contains(line, 'License')"
+
+
+@query("q_snk3_csv", _FOUND_SQL.format("file", "line_number", "text"))
+def snk3(spark, sf_dir):
+    path = new_path(spark, "csv")
+    sinks.csv(_matches(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').schema("file long, line_number int, text string").csv(path)
+
+
+@query("q_snk4_tsv", _FOUND_SQL.format("doc_id", "line_no", "line"))
+def snk4(spark, sf_dir):
+    path = new_path(spark, "tsv")
+    sinks.tsv(_matches(spark, sf_dir), path)
+    return spark.read.option("header", True).option("sep", "\t").schema("doc_id long, line_no int, line string").csv(path)
+
+
+@query("q_snk6_mermaid", f"WITH {EDGES_SQL}, t AS (SELECT src, dst FROM edges ORDER BY src, dst LIMIT 500) SELECT 'graph TD' || chr(10) || string_agg('  n' || src || ' --> n' || dst, chr(10) ORDER BY src, dst) || CASE WHEN (SELECT count(*) FROM edges) > 500 THEN chr(10) || '  %% incomplete: shows the first 500 edges' ELSE '' END AS graph FROM t")
+def snk6(spark, sf_dir):
+    return spark.createDataFrame([(sinks.mermaid(_edges(spark, sf_dir)),)], "graph string")
+
+
+@query("q_str2_requests", f"WITH {LINES} SELECT 1 AS id, count(*) AS n, NULL AS error FROM lines WHERE contains(line, 'License') UNION ALL SELECT 2, count(*), NULL FROM lines WHERE contains(line, 'the') UNION ALL SELECT 3, 0, 'unknown command: fly'")
+def str2(spark, sf_dir):
+    """Three requests in a directory of JSON, answered by the loop."""
+    at = new_path(spark, "requests")
+    asked = [(1, "count", '{"pattern": "License"}'), (2, "count", '{"pattern": "the"}'), (3, "fly", None)]
+    spark.createDataFrame(asked, "id int, command string, args string").coalesce(1).write.json(f"{at}/in")
+    count = lambda s, args: search(docs(s, sf_dir), SearchSpec([args["pattern"]], fixed=True)).agg(F.count("*").alias("n"))
+    streams.serve(spark.readStream.schema("id int, command string, args string").json(f"{at}/in"), {"count": count}, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema("id int, n long, error string").json(f"{at}/out").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("q_cls4_query_kind", "SELECT * FROM (VALUES ('classify the failures', 'NLP'), ('ERROR.*timeout', 'FAST'), ('Detect anomalies', 'NLP'), ('', 'FAST')) v(query, kind)")
+def cls4(spark, sf_dir):
+    asked = ["classify the failures", "ERROR.*timeout", "Detect anomalies", ""]
+    return spark.createDataFrame([(q, classify.query_kind(q)) for q in asked], "query string, kind string")

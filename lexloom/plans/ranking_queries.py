@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import context, index, ranking
 from lexloom.operators.limits import within_budget
+from lexloom.operators.shared import new_path
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.plans.base import LINES, query, table
 from lexloom.plans.search_queries import CHUNKS, docs
@@ -44,11 +45,23 @@ def fn5(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", language_of(path).alias("language"), category_of(path).alias("category"))
 
 
-@query("q_fn6_deobfuscate")
+_PLAIN = "substring(text, 1, 30)"
+
+
+@query("q_fn6_deobfuscate", f"""WITH t AS (SELECT doc_id, {_PLAIN} AS t, to_base64(encode({_PLAIN})) AS b FROM documents)
+SELECT doc_id, 'run ' || CASE WHEN strlen(t) >= 12 AND regexp_full_match(t, '[\\x20-\\x7e\\r\\n\\t]*') THEN ' [DECODED_B64: ' || t || '] ' ELSE b END || ' A%end' AS line FROM t""")
 def fn6(spark, sf_dir):
+    """The first characters of each text in base64, which only plain ones are shown from."""
     from lexloom.functions.decode import deobfuscate
 
-    return lines(docs(spark, sf_dir)).select("doc_id", "line_no", deobfuscate(F.col("line")).alias("line"))
+    made = F.concat(F.lit("run "), F.base64(F.encode(F.substring("text", 1, 30), "utf-8")), F.lit(" %41%25end"))
+    return docs(spark, sf_dir).select("doc_id", deobfuscate(made).alias("line"))
+
+
+@query("q_fn4_required_literals", "SELECT * FROM (VALUES ('ERROR.*timeout', 'timeout'), ('a|b', NULL), ('[Ll]icensed under [A-Z]', 'icensed under '), ('colou?r', 'colo'), ('x+yz', 'yz'), ('\\.html$', '.html'), ('(abc)+de', 'de')) v(pattern, literal)")
+def fn4(spark, sf_dir):
+    patterns = ["ERROR.*timeout", "a|b", "[Ll]icensed under [A-Z]", "colou?r", "x+yz", r"\.html$", "(abc)+de"]
+    return spark.createDataFrame([(p, T.required_literal(p)) for p in patterns], "pattern string, literal string")
 
 
 _LEVEL = "CASE WHEN regexp_matches(lower(text), '\\b(error|fail(ed|ure)?|fatal|exception)\\b') THEN 'error' WHEN regexp_matches(lower(text), '\\b(warn(ing)?|degraded|slow)\\b') THEN 'warn' ELSE 'info' END"
@@ -92,7 +105,7 @@ def fn15(spark, sf_dir):
     return docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
 
 
-@query("q_fn17_symbol_score", f"WITH {LINES} SELECT doc_id, line_no, (CASE WHEN regexp_matches(line, '\\bthe\\b') THEN 3 ELSE 2 END + CASE WHEN contains(line, 'the') THEN 1 ELSE 0 END - CASE WHEN source LIKE 'src1%' THEN 1 ELSE 0 END)::INTEGER AS score FROM lines WHERE contains(line, 'the')")
+@query("q_fn17_symbol_score", f"WITH {LINES} SELECT doc_id, line_no, (CASE WHEN regexp_matches(line, '\\bthe\\b') THEN 4 ELSE 3 END - CASE WHEN source LIKE 'src1%' THEN 1 ELSE 0 END)::INTEGER AS score FROM lines WHERE contains(line, 'the')")
 def fn17(spark, sf_dir):
     from lexloom.operators.graph import symbol_score
 
@@ -100,6 +113,19 @@ def fn17(spark, sf_dir):
     return found.select("doc_id", "line_no", symbol_score(F.col("line"), "the", F.col("source").startswith("src1")).alias("score"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _saved_index(spark, sf_dir):
+    """The postings of a table's documents, built and saved once in a session and loaded from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = new_path(spark, "index")
+        index.save_index(index.build(docs(spark, sf_dir)), path)
+        _INDEXES[key] = path
+    return index.load_index(spark, _INDEXES[key])
+
+
 def _candidates_sql(literal: str, name: str) -> str:
     grams = index.grams_of(literal)
     values = ", ".join(f"'{g}'" for g in grams)
@@ -114,24 +140,35 @@ def idx1(spark, sf_dir):
 
 @query("q_idx2_candidates", f"WITH {POSTINGS}, {_candidates_sql('license', 'c')} SELECT * FROM c")
 def idx2(spark, sf_dir):
-    return index.candidates(index.build(docs(spark, sf_dir)), "license")
+    return index.candidates(_saved_index(spark, sf_dir), "license")
 
 
 @query("q_jn2_posting_intersection", f"WITH {POSTINGS}, {_candidates_sql('stupid', 'c')} SELECT * FROM c")
 def jn2(spark, sf_dir):
-    return index.candidates(index.build(docs(spark, sf_dir)), "stupid")
+    return index.candidates(_saved_index(spark, sf_dir), "stupid")
 
 
 @query("q_idx3_regex_candidates", f"WITH {POSTINGS}, {_candidates_sql('icensed under', 'a')}, {_candidates_sql('worthless ', 'b')} SELECT * FROM a UNION SELECT * FROM b")
 def idx3(spark, sf_dir):
     spec = SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"])
-    return index.candidate_lines(index.build(docs(spark, sf_dir)), index.usable(spec))
+    return index.candidate_lines(_saved_index(spark, sf_dir), index.usable(spec))
 
 
 @query("q_idx4_search", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '[Ll]icensed under [A-Z]') OR regexp_matches(line, 'worthless [a-z]+')")
 def idx4(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return index.index_search(d, index.build(d), SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"]))
+    return index.index_search(docs(spark, sf_dir), _saved_index(spark, sf_dir), SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"]))
+
+
+@query("q_idx7_saved_index", f"WITH {POSTINGS} SELECT tri, count(*) AS n_lines FROM postings GROUP BY tri")
+def idx7(spark, sf_dir):
+    return _saved_index(spark, sf_dir).groupBy("tri").agg(F.count("*").alias("n_lines"))
+
+
+@query("q_idx9_saved_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_no, start_line, end_line, text FROM chunks")
+def idx9(spark, sf_dir):
+    path = new_path(spark, "chunks")
+    index.save_chunks(context.chunks(docs(spark, sf_dir), 8, 2), path, 8, 2)
+    return index.load_chunks(spark, path, 8, 2)
 
 
 _CHANGED = "CASE WHEN doc_id % 10 = 1 THEN text || 'x' ELSE text END"
@@ -288,8 +325,8 @@ r AS (SELECT *, sum(size) OVER (ORDER BY score DESC, doc_id, chunk_no ROWS UNBOU
 def top3(spark, sf_dir):
     chunks = context.chunks(docs(spark, sf_dir), 8, 2)
     size = chunks.select(*IDS, F.ceil(F.length("text") / 3.5).alias("size"))
-    ranked = ranking.top(ranking.bm25(chunks, QUERY, IDS), 4000, IDS).join(size, IDS)
-    return within_budget(ranked, F.col("size"), 4000, [F.desc("score"), F.col("doc_id"), F.col("chunk_no")]).select(*IDS, "score", "used")
+    ranked = ranking.bm25(chunks, QUERY, IDS).join(size, IDS)
+    return within_budget(ranked, F.col("size"), 4000, [F.desc("score"), F.col("doc_id"), F.col("chunk_no")]).select(*IDS, "score", F.col("used").cast("long").alias("used"))
 
 
 _QUERIES = "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0"

@@ -70,7 +70,7 @@ def src14(spark, sf_dir):
     return docs(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("path")).distinct()
 
 
-@query("q_src16_no_paths")
+@query("q_src16_no_paths", _lines_sql("doc_id, line_no, line", "false"))
 def src16(spark, sf_dir):
     return search.search(docs(spark, sf_dir).limit(0), SearchSpec(["the"]))
 
@@ -98,7 +98,12 @@ def flt14(spark, sf_dir):
     return search.search(docs(spark, sf_dir), SearchSpec([r"(?<=the )\b(\w+)\b(?= \1)"]))
 
 
-@query("q_flt15_multiline", r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?s)License.{0,40}\n[A-Z]') AS ms FROM documents), e AS (SELECT doc_id, unnest(ms) AS match, generate_subscripts(ms, 1)::INTEGER - 1 AS nth FROM m) SELECT doc_id, nth::INTEGER AS nth, match, (length(match) - length(replace(match, chr(10), '')))::INTEGER AS breaks FROM e")
+_BREAKS = "length({0}) - length(replace({0}, chr(10), ''))"
+
+
+@query("q_flt15_multiline", rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?s)License.{{0,40}}\n[A-Z]') AS ms, string_split_regex(text, '(?s)License.{{0,40}}\n[A-Z]') AS ps FROM documents),
+e AS (SELECT doc_id, ms, ps, unnest(ms) AS match, generate_subscripts(ms, 1) AS i FROM m), b AS (SELECT doc_id, i, match, array_to_string(ps[1 : i], '') || array_to_string(ms[1 : i - 1], '') AS before FROM e)
+SELECT doc_id, (i - 1)::INTEGER AS nth, match, (1 + {_BREAKS.format('before')})::INTEGER AS start_line, ({_BREAKS.format('match')})::INTEGER AS breaks FROM b""")
 def flt15(spark, sf_dir):
     return search.multiline(docs(spark, sf_dir), r"(?s)License.{0,40}\n[A-Z]")
 
@@ -280,7 +285,7 @@ def set4(spark, sf_dir):
     return own.filter("lang = 'en'").select("line").intersect(own.filter("lang = 'de'").select("line"))
 
 
-@query("q_src12_binary")
+@query("q_src12_binary", "SELECT doc_id, contains(text, chr(0)) AS \"binary\" FROM documents")
 def src12(spark, sf_dir):
     from lexloom.sources.files import is_binary
 
@@ -294,7 +299,7 @@ def src1(spark, sf_dir):
     return scan(spark, sf_dir).select("name", "length")
 
 
-@query("q_src9_ignore_rules")
+@query("q_src9_ignore_rules", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, NOT (source = 'src1' AND lang = 'en') AND (source LIKE 'src1%' OR suffix(doc_id::VARCHAR, '9')) AS ignored FROM documents")
 def src9(spark, sf_dir):
     from lexloom.sources.files import ignored
 
@@ -309,3 +314,66 @@ def flt_linear(spark, sf_dir):
     return search_linear(docs(spark, sf_dir), r"(?:th|in)+g [a-z]+tion\b").select("doc_id", "line_no")
 
 
+
+
+@query("q_src13_broad_refusal", "SELECT (SELECT count(*) FROM documents) > 100 AS refused, false AS refused_explicit")
+def src13(spark, sf_dir):
+    """An implicit root with as many files as the table has documents."""
+    n = docs(spark, sf_dir).count()
+
+    def refused(explicit):
+        try:
+            search.refuse_broad(n, 100, explicit)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(refused(False), refused(True))], "refused boolean, refused_explicit boolean")
+
+
+@query("q_flt18_invalid_regex", "SELECT * FROM (VALUES ('a(b', true), ('[z-a]', true), ('*x', true), ('a[b]', false)) v(pattern, refused)")
+def flt18(spark, sf_dir):
+    def refused(pattern):
+        try:
+            search.search(docs(spark, sf_dir), SearchSpec([pattern]))
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(p, refused(p)) for p in ("a(b", "[z-a]", "*x", "a[b]")], "pattern string, refused boolean")
+
+
+@query("q_src15_compressed", "SELECT lang, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY lang")
+def src15(spark, sf_dir):
+    """The texts of each language written as compressed files, and read again as lines."""
+    from lexloom.operators.shared import new_path
+    from lexloom.sources.files import read_lines
+
+    path = new_path(spark, "compressed")
+    docs(spark, sf_dir).select("lang", "text").write.partitionBy("lang").option("compression", "gzip").text(path)
+    found = read_lines(spark, f"{path}/*/*.gz")
+    return found.groupBy(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg(F.count("*").alias("n_lines"))
+
+
+@query("q_src17_types", "SELECT page_id, regexp_matches(p, '(\\.html?|\\.tmpl)$') AS is_html, regexp_matches(p, '\\.(js|html?|tmpl)$') AS is_web FROM (SELECT page_id, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS p FROM pages)")
+def src17(spark, sf_dir):
+    from lexloom.sources.files import TypeTable
+
+    types = TypeTable(add=["html:*.tmpl", "web:include:html", "web:*.js"], clear=["js"])
+    path = F.regexp_extract("url", "//[^/]+/([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", types.has(path, "html").alias("is_html"), types.has(path, "web").alias("is_web"))
+
+
+@query("q_src17_type_list", "SELECT * FROM (VALUES ('go: *.go'), ('proto: *.pb, *.proto'), ('py: *.pyi')) v(entry)")
+def src17_list(spark, sf_dir):
+    from lexloom.sources.files import TypeTable
+
+    types = TypeTable(add=["proto:*.proto", "proto:*.pb", "py:*.pyi"], clear=["py"])
+    return spark.createDataFrame([(x,) for x in types.listed() if x.split(":")[0] in ("go", "proto", "py")], "entry string")
+
+
+@query("q_srt1_files")
+def srt1_files(spark, sf_dir):
+    from lexloom.sources.files import ordered, scan
+
+    return ordered(scan(spark, sf_dir), "modified").select("name", "length")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators.search import glob_regex
+from lexloom.operators.search import glob_regex, refuse_broad
 
 # Names of directories with generated files.
 GENERATED_DIRS = ("__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "build", "coverage", "dist", "node_modules", "target", "venv")
@@ -20,7 +20,70 @@ def scan(spark: SparkSession, root: str, glob: str | None = None, budget: int |
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     found = reader.load(root).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return found.limit(budget) if budget is not None else found
+    if budget is None:
+        return found
+    # One row beyond the budget tells whether files were left out; each row says so.
+    kept = found.select("path").orderBy("path").limit(budget + 1)
+    more = kept.agg((F.count("*") > budget).alias("result_incomplete"))
+    first = kept.orderBy("path").limit(budget)
+    reason = F.when(F.col("result_incomplete"), F.lit(f"scan stopped at {budget} files"))
+    return found.join(F.broadcast(first) if budget <= 500_000 else first, "path", "left_semi").crossJoin(F.broadcast(more)).withColumn("incomplete_reason", reason)  # one row
+
+
+def scan_guarded(spark: SparkSession, root: str, explicit: bool = False, ceiling: int = 1500, **how) -> DataFrame:
+    """A scan that refuses an implicit root with too many files before anything is read."""
+    found = scan(spark, root, **how)
+    refuse_broad(found.select("path").limit(ceiling + 1).count(), ceiling, explicit)
+    return found
+
+
+class TypeTable:
+    """File types by name as globs, and the changes a caller makes: add, clear, list."""
+
+    # Names of types and their globs, as search tools have them.
+    BASE = {
+        "c": ("*.c", "*.h"), "cpp": ("*.cc", "*.cpp", "*.cxx", "*.hh", "*.hpp", "*.hxx"), "csharp": ("*.cs",), "css": ("*.css", "*.scss"), "go": ("*.go",), "html": ("*.htm", "*.html"), "java": ("*.java",),
+        "js": ("*.cjs", "*.js", "*.jsx", "*.mjs"), "json": ("*.json",), "log": ("*.log",), "md": ("*.markdown", "*.md"), "php": ("*.php",), "py": ("*.py", "*.pyi"), "rust": ("*.rs",), "sh": ("*.bash", "*.sh"),
+        "sql": ("*.sql",), "toml": ("*.toml",), "ts": ("*.cts", "*.mts", "*.ts", "*.tsx"), "txt": ("*.txt",), "xml": ("*.xml",), "yaml": ("*.yaml", "*.yml"),
+    }
+
+    def __init__(self, add: Sequence[str] = (), clear: Sequence[str] = ()):
+        """add: `name:glob`, or `name:include:other,other`; clear: names whose globs go first."""
+        self.globs = {k: v for k, v in self.BASE.items() if k not in clear}
+        for entry in add:
+            name, _, glob = entry.partition(":")
+            if not name or not glob:
+                raise ValueError(f"a type is added as name:glob, not {entry}")
+            if glob.startswith("include:"):
+                new = [g for other in glob[8:].split(",") for g in self._of(other)]
+            else:
+                new = [glob]
+            self.globs[name] = tuple(dict.fromkeys((*self.globs.get(name, ()), *new)))
+
+    def _of(self, name: str) -> tuple[str, ...]:
+        if name not in self.globs:
+            raise ValueError(f"no type named {name}")
+        return self.globs[name]
+
+    def listed(self) -> list[str]:
+        return [f"{name}: {', '.join(sorted(globs))}" for name, globs in sorted(self.globs.items())]
+
+    def has(self, path: Column, *names: str) -> Column:
+        """Whether a path's name is of one of these types."""
+        name = F.element_at(F.split(path, "/"), -1)
+        found = F.lit(False)
+        for glob in dict.fromkeys(g for n in names for g in self._of(n)):
+            found = found | name.rlike(glob_regex(glob))
+        return found
+
+
+def ordered(files: DataFrame, by: str, reverse: bool = False) -> DataFrame:
+    """Scanned files by path, modified or size. Spark doesn't know when files were accessed or created, so these are refused."""
+    columns = {"path": "path", "modified": "modificationTime", "size": "length"}
+    if by not in columns:
+        raise ValueError(f"files can be sorted by {', '.join(columns)}, not by {by}")
+    key = F.col(columns[by])
+    return files.orderBy(key.desc() if reverse else key.asc(), "path")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -41,11 +41,15 @@ def grep_text(heading: Column, line_no: Column, line: Column, matched: Column |
 
 def mermaid(edges: DataFrame, limit: int = 500) -> str:
     """A caller tree of (src, dst) as a Mermaid graph; a bounded picture, not the data."""
-    rows = edges.orderBy("src", "dst").limit(limit).collect()
-    return "\n".join(["graph TD", *(f"  n{r['src']} --> n{r['dst']}" for r in rows)])
+    rows = edges.orderBy("src", "dst").limit(limit + 1).collect()
+    more = ["  %% incomplete: shows the first " + str(limit) + " edges"] if len(rows) > limit else []
+    return "\n".join(["graph TD", *(f"  n{r['src']} --> n{r['dst']}" for r in rows[:limit]), *more])
 
 
 def markdown(table: DataFrame, limit: int = 500) -> str:
-    rows = table.limit(limit).collect()
+    """The first rows in the order of all columns; says so where there are more."""
+    rows = table.orderBy(*table.columns).limit(limit + 1).collect()
+    more = ["", f"Shows the first {limit} rows."] if len(rows) > limit else []
+    rows = rows[:limit]
     head = f"| {' | '.join(table.columns)} |\n|{'|'.join(['-'] * len(table.columns))}|"
-    return "\n".join([head, *("| " + " | ".join(str(x) for x in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), *more])
