@@ -7,8 +7,9 @@ Every window has a minimiser: the least hash among the `seed`-grams in it. Equal
 so windows are dealt to buckets by it, and neighbours with the same minimiser travel as one segment. First only minimisers are
 sent; those found in a single document have no repeats and end there. For the others, segments are sent once for
 each shard of documents that has them, whatever the number of copies. A bucket's strings are solved
-together, in parts of bounded size, and each shard gets back the least doc_id for each window. Documents are moved
-once, to their shard; the later steps use the same exchange again.
+together, in parts of bounded size, and each shard gets back the least doc_id for each window: nothing is removed that the solver did not
+find. Strings are known by 64-bit names; equal names are checked byte by byte wherever strings meet. Documents are moved
+once, compressed, to their shard; the later steps use the same exchange again.
 """
 
 from __future__ import annotations
@@ -115,6 +116,24 @@ class Powers:
         return mix((sums[begin + length] - sums[begin]) * down[begin] + length.astype(U) * U(0xD6E8FEB86659FD93))
 
 
+    def names(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+        """Names of stretches of `seed` symbols or more, over mixed hashes of some symbols in a row: sums over the symbols themselves have well-known collisions."""
+        wide = min(8, seed)
+        return self.stretches(gram_hashes(symbols, wide), begin, length - wide + 1)
+
+
+def same_bytes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Of neighbours i and i + 1 in a list of stretches, whether they are equal; only where ask says so, else false."""
+    out = np.zeros(len(ask), bool)
+    at = np.flatnonzero(ask)
+    at = at[size[at] == size[at + 1]]
+    if len(at):
+        own = size[at]
+        differ = raw[ranges(begin[at], own)] != raw[ranges(begin[at + 1], own)]
+        out[at] = np.add.reduceat(differ, np.cumsum(own) - own, dtype=np.int64) == 0
+    return out
+
+
 def segments(block: Block, length: int, seed: int) -> Segments:
     sizes = np.maximum(block.ends - block.starts - length + 1, 0)
     none = np.zeros(0, np.int64)
@@ -220,10 +239,13 @@ def _send(encode: Encode, length: int, seed: int, buckets: int):
                 if not len(keep):
                     continue
                 size = s.windows[keep] + length - 1
-                name = powers.stretches(block.symbols, s.begin[keep], size)
+                name = powers.names(block.symbols, s.begin[keep], size, seed)
                 ids = block.ids[s.doc[keep]]
                 order = np.argsort(name, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+                new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+                if not same_bytes(block.symbols, s.begin[keep][order], size[order], ~new[1:])[~new[1:]].all():
+                    raise ValueError("two strings of a shard have the same 64-bit name")
+                first = np.flatnonzero(new)
                 low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
                 pick = order[first]
                 begin, size = s.begin[keep][pick], size[pick]
@@ -234,7 +256,10 @@ def _send(encode: Encode, length: int, seed: int, buckets: int):
                 name, key, low, high, size, raw = (np.concatenate(x) for x in zip(*found, strict=True))
                 begin = np.cumsum(size) - size
                 order = np.argsort(name, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+                new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+                if not same_bytes(raw, begin[order], size[order], ~new[1:])[~new[1:]].all():
+                    raise ValueError("two strings of a shard have the same 64-bit name")
+                first = np.flatnonzero(new)
                 low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
                 pick = order[first]
                 fine = fine_of(key[pick])
@@ -261,34 +286,29 @@ def _solve(solve: Solve, length: int):
         # The same segment from several shards is one string; strings with the same minimiser stand together.
         order = np.lexsort((name, fine))
         new = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (fine[order][1:] != fine[order][:-1])))
+        # Strings of the same name are one string if their bytes are equal, and only then.
+        new[1:] |= ~same_bytes(raw, begin[order], size[order], ~new[1:])
         first = np.flatnonzero(new)
         string_of = np.empty(len(name), np.int64)
         string_of[order] = np.cumsum(new) - 1
         pick, least = order[first], np.minimum.reduceat(low[order], first)
         group = fine[pick]
-        # A string that is alone under its minimiser meets no other; windows of it have its own least doc_id.
-        edge = np.concatenate(([True], group[1:] != group[:-1]))
-        alone = edge & np.append(edge[1:], True)
         n = len(pick)
         run_n = np.ones(n, np.int64)
         pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if alone.any():
-            at = np.flatnonzero(alone)
-            pieces.append((at, np.ones(len(at), np.int64), np.full(len(at), -1, np.int64), least[at]))
-        rest = np.flatnonzero(~alone)
-        if len(rest):
-            ends = np.cumsum(size[pick[rest]])
-            part = (ends - 1) // PART
-            head = np.concatenate(([True], group[rest][1:] != group[rest][:-1]))
-            part = part[np.maximum.accumulate(np.where(head, np.arange(len(rest)), 0))]  # a minimiser stays in one part
-            for p in np.unique(part):
-                at = rest[part == p]
-                own = size[pick[at]]
-                windows, mins = solve(raw[ranges(begin[pick[at]], own)], np.concatenate(([0], np.cumsum(own))), least[at], length)
-                where = np.repeat(np.arange(len(at)), windows)
-                starts = np.flatnonzero(np.concatenate(([True], (mins[1:] != mins[:-1]) | (where[1:] != where[:-1]))))
-                lengths = np.diff(np.append(starts, len(mins)))
-                pieces.append((at, np.bincount(where[starts], minlength=len(at)), lengths, mins[starts]))
+        # Each string goes through the solver, one that is alone under its minimiser too: what repeats is what it finds.
+        ends = np.cumsum(size[pick])
+        part = (ends - 1) // PART
+        head = np.concatenate(([True], group[1:] != group[:-1]))
+        part = part[np.maximum.accumulate(np.where(head, np.arange(n), 0))]  # a minimiser stays in one part
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [n]))
+        for at in (np.arange(i, j) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            own = size[pick[at]]
+            windows, mins = solve(raw[ranges(begin[pick[at]], own)], np.concatenate(([0], np.cumsum(own))), least[at], length)
+            where = np.repeat(np.arange(len(at)), windows)
+            starts = np.flatnonzero(np.concatenate(([True], (mins[1:] != mins[:-1]) | (where[1:] != where[:-1]))))
+            lengths = np.diff(np.append(starts, len(mins)))
+            pieces.append((at, np.bincount(where[starts], minlength=len(at)), lengths, mins[starts]))
         index = np.concatenate([x[0] for x in pieces])
         counts, run_len, run_min = (np.concatenate([x[i] for x in pieces]) for i in (1, 2, 3))
         run_at = np.empty(n, np.int64)
@@ -316,7 +336,7 @@ def covered(block: Block, told: tuple[np.ndarray, ...], powers: Powers, length:
     s = segments(block, length, seed)
     mark = np.zeros(len(block.symbols) + 1, np.int64)
     if len(s.key) and len(names):
-        at, ok = find(names, powers.stretches(block.symbols, s.begin, s.windows + length - 1))
+        at, ok = find(names, powers.names(block.symbols, s.begin, s.windows + length - 1, seed))
         hit = np.flatnonzero(ok)
         if len(hit):
             at = at[hit]

@@ -124,6 +124,8 @@ def solve(raw: np.ndarray, cuts: np.ndarray, least: np.ndarray, length: int) ->
     word_size = (stop - begin)[pick]
     word_at = np.cumsum(word_size) - word_size
     letters = raw[ranges(begin[pick], word_size)]
+    if not np.array_equal(word_size[phrase], stop - begin) or not np.array_equal(letters[ranges(word_at[phrase], stop - begin)], raw[ranges(begin, stop - begin)]):
+        raise ValueError("two phrases have the same 64-bit name")
     left = np.repeat(word_at + word_size, word_size) - np.arange(len(letters))
     suffix = dictionary_ranks(letters, left, length)
     # The parse, ordered by the ranks of whole phrases; a phrase brings a byte or more, so `length` phrases are enough.

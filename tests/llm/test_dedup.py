@@ -74,6 +74,41 @@ def test_whole_tables(spark):
     assert rows(queries.op8_line_dedup(spark, SF)) == sorted(brute.line_dedup(docs), key=repr)
 
 
+def test_nothing_goes_unless_the_solver_finds_it(spark, monkeypatch):
+    """With a solver that knows no repeats, none is removed: neither step decides by hashes."""
+    from lexloom.llm import repeats
+
+    def silent(solve):
+        def run(raw, cuts, least, length):
+            windows, mins = solve(raw, cuts, least, length)
+            return windows, np.full(len(mins), np.iinfo(np.int64).max)
+
+        return run
+
+    for encode, solver, finish, args in ((suffix_dedup.encode_bytes, suffix_dedup.solve, suffix_dedup._finish, (50, 20)), (substring_dedup.encode_words, substring_dedup.solve, substring_dedup._finish, (13, 6))):
+        held = []
+        monkeypatch.setattr(repeats, "covered", lambda block, told, powers, length, seed, own=repeats.covered, held=held: held.append(own(block, told, powers, length, seed)) or held[-1])
+        ids, texts = [d or 0 for d, _ in EDGES], [(t or "").encode() for _, t in EDGES]
+        shard = pa.table({"shard": pa.array([0], pa.int32()), "blob": pa.array([repeats.Blob.pack(np.array(ids, np.int64), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))])})
+        asked = repeats._ask(encode, *args, 1)(shard)
+        sent = repeats._send(encode, *args, 1)(shard, repeats._shared(asked))
+        for how, want in ((solver, True), (silent(solver), False)):
+            held.clear()
+            told = repeats._solve(how, args[0])(sent)
+            repeats._answer(encode, lambda *_: [], ["x"], [pa.int64()], *args)(shard, told)
+            assert any(m.any() for m in held) == want
+        monkeypatch.undo()
+
+
+def test_strings_with_the_same_name_are_compared():
+    from lexloom.llm import repeats
+
+    raw = np.frombuffer(b"abcabcabdab", np.uint8)
+    begin, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    assert repeats.same_bytes(raw, begin, size, np.array([True, True, True])).tolist() == [True, False, False]
+    assert repeats.same_bytes(raw, begin, size, np.array([False, True, False])).tolist() == [False, False, False]
+
+
 def _cut(strings):
     return np.frombuffer(b"".join(strings), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in strings])))
 
