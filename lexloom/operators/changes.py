@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators.shared import joined_hot
+
 
 def changeset(before: DataFrame, after: DataFrame) -> DataFrame:
     """path and change (added, removed, modified) between snapshots (path, mtime, size)."""
@@ -27,11 +29,11 @@ def live_claims(events: DataFrame, now: Column) -> DataFrame:
 
 
 def claim_overlaps(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of different agents with what both hold: claim_id, agent_id, symbols. Symbols are joined, so only pairs that share one meet."""
+    """Pairs of claims of different agents with what both hold: claim_id, agent_id, symbols. Symbols are joined, so only pairs that share one meet; the rows of a symbol that very many hold are dealt to several tasks."""
     own = claims.select("claim_id", "agent_id", F.explode(F.array_distinct("symbols")).alias("symbol"))
     a = own.select(F.col("claim_id").alias("a_id"), F.col("agent_id").alias("a_agent"), "symbol")
     b = own.select(F.col("claim_id").alias("b_id"), F.col("agent_id").alias("b_agent"), "symbol")
-    pairs = a.join(b, "symbol").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent")))
+    pairs = joined_hot(a, b, "symbol", "a_id").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent")))
     return pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared"), F.min("symbol").alias("first_shared"))
 
 

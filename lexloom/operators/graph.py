@@ -74,6 +74,15 @@ def centrality(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, vendored:
     return joined.select("file", (score * F.when(vendored, 0.25).otherwise(1.0) if vendored is not None else score).alias("score"))
 
 
+def codemap(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A row for each file: how many it imports and the first of them, its importers, its symbols. symbols: file, symbols."""
+    out = edges.groupBy(F.col("src").alias("file")).agg(F.count("*").alias("imports"), F.min("dst").alias("first_import"))
+    back = edges.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("importers"))
+    every = files.join(out, "file", "left").join(back, "file", "left").join(symbols, "file", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return every.select("file", zero("imports"), "first_import", zero("importers"), zero("symbols"))
+
+
 def suggested_scope(scores: DataFrame, least: float = 1.5) -> DataFrame:
     """The directory with the highest sum, if it has `least` times that of the next: zero or one row. scores: dir, score."""
     two = scores.groupBy("dir").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "dir").limit(2)

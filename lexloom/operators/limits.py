@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.shared import checkpointed
+from lexloom.operators.shared import running
 
 
 def capped(found: DataFrame, max_files: int, max_results: int) -> DataFrame:
@@ -17,13 +17,7 @@ def capped(found: DataFrame, max_files: int, max_results: int) -> DataFrame:
 def within_budget(ranked: DataFrame, size: Column, budget: float, order: list[Column]) -> DataFrame:
     """The longest prefix of a ranking whose running size is within a budget: the closed form of a greedy loop. Sizes are not negative.
 
-    Rows are sorted over all tasks; what stands before each task's rows is a sum per task, so no task ranks all rows.
+    No task ranks all rows.
     """
-    ordered = ranked.withColumn("_size", size.cast("double")).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    ordered = checkpointed(ordered)
-    parts = ordered.groupBy("_part").agg(F.sum("_size").alias("_sum"))
-    before = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    few = before.filter(F.col("_before") <= budget).select("_part", "_before")
-    inside = F.sum("_size").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = ordered.join(F.broadcast(few), "_part").withColumn("used", F.col("_before") + inside).filter(F.col("used") <= budget)
-    return found.drop("_size", "_part", "_row", "_before")
+    found = running(ranked.withColumn("_size", size.cast("double")), order, F.col("_size"), "used")
+    return found.filter(F.col("used") <= budget).drop("_size")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import split_terms
+from lexloom.operators.shared import checkpointed, running
 
 K1, B = 1.5, 0.75
 
@@ -88,10 +89,11 @@ def dense_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64)
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
     for row in queries.select("query_id", "embedding").toLocalIterator():
-        rows.append(row)
         if len(rows) == block:
-            out = flush(rows) if out is None else out.unionByName(flush(rows))
-            rows = []
+            # More than one block: each is worked off and written, so that the driver and the plan hold one at a time.
+            done = checkpointed(flush(rows))
+            out, rows = done if out is None else out.unionByName(done), []
+        rows.append(row)
     if rows:
         out = flush(rows) if out is None else out.unionByName(flush(rows))
     return out
@@ -100,12 +102,15 @@ def dense_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64)
 def fuse(legs: Sequence[DataFrame], ids: Sequence[str], k: int = 60, weights: Sequence[float] | None = None, combine: str = "max", depth: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of legs (ids, score): weight / (k + rank), combined by max or sum.
 
-    depth: how far down a leg ranks matter. Without it all rows of a leg are ranked, which is one sort.
+    depth: how far down a leg ranks matter. Without it all rows of a leg are ranked, over all tasks.
     """
     out: DataFrame | None = None
     for leg, weight in zip(legs, weights or [1.0] * len(legs), strict=True):
-        own = top(leg, depth, ids) if depth else leg
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), *ids))
+        order = [F.desc("score"), *ids]
+        if depth:
+            own, rank = top(leg, depth, ids), F.row_number().over(Window.orderBy(*order))  # a top-k
+        else:
+            own, rank = running(leg, order, F.lit(1), "_rank"), F.col("_rank")
         own = own.select(*ids, (F.lit(float(weight)) / (k + rank)).alias("part"))
         out = own if out is None else out.unionByName(own)
     combined = F.max("part") if combine == "max" else F.sum("part")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def running(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """df with the running sum of an amount in an order over all rows, this row included. Rows are sorted over all tasks; what stands
+    before each task's rows is a sum per task, so no task holds or ranks all rows.
+    """
+    ordered = df.withColumn("_amount", amount).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ordered = checkpointed(ordered)
+    parts = ordered.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per task
+    inside = F.sum("_amount").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ordered.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + inside).drop("_amount", "_part", "_row", "_before")
+
+
+#: Keys with more rows than this are dealt to several tasks where both sides of a join may have many.
+HOT_ROWS = 1_000
+SALTS = 16
+
+
+def joined_hot(a: DataFrame, b: DataFrame, key: str, deal: str) -> DataFrame:
+    """a joined with b by key; rows of a with a hot key are dealt by another column to several tasks, each with a copy of b's."""
+    hot = a.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(key, F.lit(True).alias("_hot"))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    a = a.join(hot, key, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    b = b.join(hot, key, "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return a.join(b, [key, "_salt"]).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import changes, classify, graph, inventory, resolve, rules, structural
+from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
 from lexloom.plans.base import LINES, query, table
@@ -638,6 +639,33 @@ def grf16(spark, sf_dir):
     return top.join(fan, "file", "left").select("file", "dir", "score", F.coalesce("importers", F.lit(0)).alias("importers"))
 
 
+@query("q_grf16_context_pack", f"{_CENTRAL_SQL}, r AS (SELECT file, score, sum(dir + 1) OVER (ORDER BY score DESC, file ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM central) SELECT file, score, used FROM r WHERE used <= 200")
+def grf16_pack(spark, sf_dir):
+    """The most central files that fit a budget; a file's size here is its directory's number and one."""
+    found = within_budget(_central(spark, sf_dir), F.col("dir") + 1, 200, [F.desc("score"), F.col("file")])
+    return found.select("file", "score", F.col("used").cast("long").alias("used"))
+
+
+@query("q_grf16_codemap", f"WITH {EDGES_SQL}, i AS (SELECT src AS file, count(*) AS imports, min(dst) AS first_import FROM edges GROUP BY ALL), b AS (SELECT dst AS file, count(*) AS importers FROM edges GROUP BY ALL), s AS (SELECT o_custkey AS file, count(*) AS symbols FROM orders GROUP BY ALL) SELECT s_suppkey AS file, coalesce(imports, 0) AS imports, first_import, coalesce(importers, 0) AS importers, coalesce(symbols, 0) AS symbols FROM supplier LEFT JOIN i ON i.file = s_suppkey LEFT JOIN b ON b.file = s_suppkey LEFT JOIN s ON s.file = s_suppkey")
+def grf16_codemap(spark, sf_dir):
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"))
+    symbols = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("symbols"))
+    return graph.codemap(files, _edges(spark, sf_dir), symbols)
+
+
+@query("q_str3_answers", "SELECT * FROM (VALUES (1, 'miss'), (2, 'hit'), (3, 'miss'), (4, 'miss')) v(asked, found)")
+def str3(spark, sf_dir):
+    """The same request twice, another one, and the first again after the corpus has changed."""
+    files = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.col("n_chars").alias("size"))
+    before, after = streams.fingerprint(files), streams.fingerprint(files.withColumn("mtime", F.when(F.col("path") == "7", 2).otherwise(1)))
+    answers, out = streams.Answers(), []
+    for i, (request, state) in enumerate([("count License", before), ("count License", before), ("count the", before), ("count License", after)], 1):
+        misses = answers.misses
+        answers.get(request, state, lambda: [request])  # noqa: B023
+        out.append((i, "miss" if answers.misses > misses else "hit"))
+    return spark.createDataFrame(out, "asked int, found string")
+
+
 # Streams, drained: the same rows as in batch.
 
 

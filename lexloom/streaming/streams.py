@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,6 +69,33 @@ def changes(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("path").applyInPandasWithState(run, "path string, change string", "mtime long, size long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Answers:
+    """Answers by request and state of the corpus, the least recently used one first to go. A change of the corpus changes its fingerprint, so old answers are never given again."""
+
+    def __init__(self, most: int = 128):
+        self.most, self.hits, self.misses = most, 0, 0
+        self.held: OrderedDict[tuple[str, str], list[str]] = OrderedDict()
+
+    def get(self, request: str, fingerprint: str, make: Callable[[], list[str]]) -> list[str]:
+        key = (request, fingerprint)
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+            return self.held[key]
+        self.misses += 1
+        found = self.held[key] = make()
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return found
+
+
+def fingerprint(files: DataFrame) -> str:
+    """One digest of the paths, times and sizes of a corpus: path, mtime, size. Sums of hashes, so no row order matters and nothing is gathered."""
+    h = F.xxhash64("path", "mtime", "size")
+    row = files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")).first()
+    return f"{row['n']}-{row['x'] or 0:x}-{row['s'] or 0:x}"
+
+
 def serve(requests: DataFrame, handlers: dict[str, Callable[[SparkSession, dict], DataFrame]], out_dir: str, checkpoint: str) -> StreamingQuery:
     """Answers a stream of requests (id, command, args as JSON). Each answer is written under its id; a repeated batch writes the same again."""
     import json

@@ -129,3 +129,36 @@ def test_tree_queries(spark):
 def test_equal_metavariables_whatever_the_spaces(spark):
     d = spark.createDataFrame([(1, "f(a[0], a[ 0 ])"), (2, "f('a b', 'ab')"), (3, "f(a, b)")], "doc_id long, text string")
     assert [r.doc_id for r in structural.ast_search(d, "f($X, $X)").collect()] == [1]
+
+
+def test_ranks_over_all_tasks(spark):
+    from lexloom.operators.ranking import fuse
+
+    legs = [spark.createDataFrame([(i, float((i * 7) % 13)) for i in range(60)], "id long, score double").repartition(6) for _ in range(2)]
+    assert sorted(fuse(legs, ["id"]).collect()) == sorted(fuse(legs, ["id"], depth=100).collect())
+
+
+def test_hot_symbols_meet_all_others(spark, monkeypatch):
+    from lexloom.operators import changes, shared
+
+    claims = spark.createDataFrame([(i, i % 2, ["hot", f"s{i % 3}"]) for i in range(20)], "claim_id long, agent_id long, symbols array<string>")
+    want = sorted(changes.claim_overlaps(claims).collect())
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    assert sorted(changes.claim_overlaps(claims).collect()) == want
+
+
+def test_answers_go_by_use():
+    from lexloom.streaming.streams import Answers
+
+    a = Answers(2)
+    for key in ("x", "y", "x", "z", "x", "y"):
+        a.get(key, "f", lambda key=key: [key])
+    assert (a.hits, a.misses) == (2, 4)
+
+
+def test_many_queries_in_blocks(spark):
+    from lexloom.operators.ranking import dense_many
+
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding").filter("vec_id < 9")
+    assert sorted(dense_many(vectors, queries, 3, 4).collect()) == sorted(dense_many(vectors, queries, 3).collect())
