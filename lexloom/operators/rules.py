@@ -28,6 +28,9 @@ class Rule:
 
 
 # Patterns of the regular-expression rules for secrets, and calls that the packs name.
+# Patterns of assigned tokens and passwords.
+TOKEN_ASSIGNED = r"""\btoken\s*=\s*["'][^"']+["']"""
+PASSWORD_ASSIGNED = r"""\bpassword\s*=\s*["'][^"']+["']"""
 PROVIDER_TOKEN = r"\bsk_(?:live|test)_[A-Za-z0-9_=-]{8,}\b"
 NAMED_KEY = r"\b[A-Za-z_][A-Za-z0-9_]*(?:api_key|API_KEY|access_token|ACCESS_TOKEN)\s*=\s*['\"][^'\"\s]{8,}['\"]"
 DANGEROUS_CALLS = {
@@ -42,8 +45,8 @@ PACKS: dict[str, tuple[Rule, ...]] = {
     "secrets": (
         Rule("hardcoded-provider-token", (PROVIDER_TOKEN,), "high", "Avoid hardcoding provider tokens.", invalid=("key = 'sk_live_abcdefgh1'",), valid=("key = load()",)),
         Rule("hardcoded-named-api-key", (NAMED_KEY,), "high", "Avoid hardcoding named keys.", invalid=("my_api_key = 'abcdefgh1'",), valid=("my_api_key = env('K')",)),
-        Rule("hardcoded-token", (r"""\btoken\s*=\s*["'][^"']+["']""",), "medium", "Avoid hardcoding tokens.", invalid=('token = "x"',), valid=("token = x",)),
-        Rule("hardcoded-password", (r"""\bpassword\s*=\s*["'][^"']+["']""",), "medium", "Avoid hardcoding passwords.", invalid=("password = 'x'",), valid=("password = ask()",)),
+        Rule("hardcoded-token", (TOKEN_ASSIGNED,), "medium", "Avoid hardcoding tokens.", invalid=('token = "x"',), valid=("token = x",)),
+        Rule("hardcoded-password", (PASSWORD_ASSIGNED,), "medium", "Avoid hardcoding passwords.", invalid=("password = 'x'",), valid=("password = ask()",)),
     ),
 } | {
     pack: tuple(Rule(f"{pack}-{call.replace('.', '-').strip('_')}", (rf"(?:^|[^A-Za-z0-9_.]){call.replace('.', '[.]')}[(]",), "high", f"Don't call {call} with untrusted input.", "python", (f"my_{call.split('.')[-1]}(x)",), (f"{call}(x)",)) for call in calls)
@@ -131,3 +134,29 @@ def sarif(found: DataFrame, tool: str = "lexloom") -> str:
 def gate(found: DataFrame, worst: str = "high") -> DataFrame:
     """One row: whether no finding is of the severity that blocks."""
     return found.agg((F.count_if(F.col("severity") == worst) == 0).alias("passed"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"))
+
+
+def run_commands(commands: dict[str, str], folder: str, seconds: float = 300.0) -> list[tuple[str, int | None, str]]:
+    """(name, exit code or None if it ran too long, last lines) of lint and test commands, one after another in a folder of the driver."""
+    import shlex
+    import subprocess
+
+    out = []
+    for name, command in commands.items():
+        try:
+            done = subprocess.run(shlex.split(command), cwd=folder, capture_output=True, text=True, timeout=seconds, check=False)
+            out.append((name, done.returncode, "\n".join((done.stdout + done.stderr).splitlines()[-20:])))
+        except subprocess.TimeoutExpired:
+            out.append((name, None, f"stopped after {seconds} s"))
+        except OSError as error:
+            out.append((name, 127, str(error)))
+    return out
+
+
+def policy(found: DataFrame, commands: dict[str, str], folder: str, worst: str = "high", seconds: float = 300.0) -> tuple[bool, list[tuple[str, bool, str]]]:
+    """Whether a change may be applied, and each check (name, passed, why): the rules first, then lint and test commands. All are run, so that all reasons are told."""
+    scan = gate(found, worst).first()
+    checks = [("rules", scan["passed"], "" if scan["passed"] else f"findings of severity {worst}")]
+    for name, code, text in run_commands(commands, folder, seconds):
+        checks.append((name, code == 0, "" if code == 0 else text if code is None else f"exit code {code}: {text}"))
+    return all(ok for _, ok, _ in checks), checks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import changes, classify, graph, inventory, resolve, rules, structural
+from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural
 from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
@@ -148,6 +148,14 @@ def rul7(spark, sf_dir):
     return rules.gate(rules.findings(_hits(spark, sf_dir)))
 
 
+@query("q_rul7_policy", f"WITH {MATCHED} SELECT * FROM (SELECT 'lint' AS name, true AS passed UNION ALL SELECT 'rules', (SELECT count(*) FILTER (WHERE severity = 'high') = 0 FROM hits) UNION ALL SELECT 'test', false UNION ALL SELECT 'slow', false)")
+def rul7_policy(spark, sf_dir):
+    """The rules and three commands: one that passes, one that fails, one that is stopped."""
+    commands = {"lint": "true", "test": "false", "slow": "sleep 5"}
+    _, checks = rules.policy(rules.findings(_hits(spark, sf_dir)), commands, "/", seconds=0.3)
+    return spark.createDataFrame([(name, ok) for name, ok, _ in checks], "name string, passed boolean")
+
+
 # Graphs: orders stand for files, parts for modules, suppliers for directories.
 
 EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 97 + 1)::BIGINT AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 97 + 1)"
@@ -343,6 +351,34 @@ def str9(spark, sf_dir):
     return changes.chain_breaks(e.withColumn("prev", F.when(F.col("seq") % 11 == 0, "x").otherwise(before)))
 
 
+_KEY = bytes(range(32))
+
+
+@query("q_str9_signatures", "SELECT s_suppkey, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS valid FROM supplier")
+def str9_signatures(spark, sf_dir):
+    """Signed receipts, some changed since and some without their signature."""
+    made = receipts.signed(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_name", "s_acctbal"], _KEY)
+    changed = made.withColumn("s_name", F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    changed = changed.withColumn("signature", F.when(F.col("s_suppkey") % 7 != 0, F.col("signature")))
+    return receipts.checked(changed, ["s_suppkey", "s_name", "s_acctbal"], receipts.public_key(_KEY)).select("s_suppkey", "valid")
+
+
+@query("q_str10_manifest_diff", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 9 = 1 THEN 'removed' ELSE 'modified' END AS change FROM documents WHERE doc_id % 9 = 1 OR doc_id % 10 = 2")
+def str10_diff(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
+    after = d.filter("doc_id % 9 <> 1").withColumn("content", F.when(F.col("doc_id") % 10 == 2, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
+    return receipts.manifest_diff(receipts.manifest(d), receipts.manifest(after))
+
+
+@query("q_str10_bundle", f"WITH {LINES}, f AS (SELECT DISTINCT doc_id FROM lines WHERE contains(line, 'License')) SELECT d.doc_id::VARCHAR AS path, sha256(d.text) AS digest, strlen(d.text)::BIGINT AS size, CASE WHEN f.doc_id IS NULL THEN []::VARCHAR[] ELSE ['license'] END AS rules, coalesce(s_suppkey % 2 = 0, false) AS receipt_valid FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN supplier ON s_suppkey = d.doc_id")
+def str10_bundle(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    files = receipts.manifest(d.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content")))
+    found = search(d, SearchSpec(["License"], fixed=True)).select(F.col("doc_id").cast("string").alias("path"), F.lit("license").alias("rule_id"))
+    good = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), (F.col("s_suppkey") % 2 == 0).alias("valid"))
+    return receipts.bundle(files, found, good)
+
+
 @query("q_str10_verified_bodies", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def str10(spark, sf_dir):
     return changes.verified(docs(spark, sf_dir).select("doc_id", "text", F.sha2("text", 256).alias("digest")), "text", "digest").select("doc_id", "digest")

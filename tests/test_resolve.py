@@ -162,3 +162,27 @@ def test_many_queries_in_blocks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding").filter("vec_id < 9")
     assert sorted(dense_many(vectors, queries, 3, 4).collect()) == sorted(dense_many(vectors, queries, 3).collect())
+
+
+def test_signatures_of_the_standard():
+    """The first and third test vectors of RFC 8032, 7.1."""
+    from lexloom.operators import receipts
+
+    for key, public, message, signature in (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ):
+        key, public, message, signature = map(bytes.fromhex, (key, public, message, signature))
+        assert receipts.public_key(key) == public and receipts.sign(key, message) == signature
+        assert receipts.verify(public, message, signature)
+        assert not receipts.verify(public, message + b"x", signature) and not receipts.verify(public, message, signature[:-1] + b"\xff")
+        assert not receipts.verify(public, message, b"") and not receipts.verify(b"\xff" * 32, message, signature)
+
+
+def test_policy_tells_all_reasons(spark, tmp_path):
+    from lexloom.operators import rules
+
+    found = spark.createDataFrame([("a", "low", 1)], "rule_id string, severity string, matches long")
+    ok, checks = rules.policy(found, {"lint": "true", "gone": "no-such-command"}, str(tmp_path))
+    assert not ok and [(n, p) for n, p, _ in checks] == [("rules", True), ("lint", True), ("gone", False)]
+    assert rules.policy(found, {}, str(tmp_path))[0] and not rules.policy(found, {}, str(tmp_path), worst="low")[0]
