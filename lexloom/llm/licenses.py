@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,44 +38,48 @@ def bigrams(words: list[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+#: Words of any text, which are no use as markers.
+COMMON = frozenset("a all an and any are as at be but by do for from have if in is it its may no not of on or other so such that the this to use we with you your".split())
 #: Templates of more bigrams are looked for in texts that are long enough only.
 LONG = 500
 
 
-def marker_words(threshold: float, long: bool) -> list[str]:
-    """A few words, found greedily, so that of each template (short ones or long ones) more bigrams have one of them than a match may miss."""
-    missing = []
+@lru_cache(maxsize=None)
+def marker_words(threshold: float, long: bool) -> tuple[str, ...]:
+    """A few words, found greedily, so that of each template (short ones or long ones) more bigrams have one of them than a match may miss. Long words are rarer in other texts and come first."""
+    found: list[str] = []
+    left = []
     for _, _, text in TEMPLATES:
-        grams = [tuple(g.split()) for g in bigrams(normalised(text))]
+        grams = bigrams(normalised(text))
         if (len(grams) > LONG) == long:
-            missing.append((set(grams), len(grams) - threshold / (2 - threshold) * len(grams)))
-    found: list[str] = []
-    # The most common words of any language are no use.
-    dull = set("the of to in and or a any is for this that you by on under with as at be it not".split())
-    while True:
+            left.append(({tuple(g.split()) for g in grams}, int(len(grams) - threshold / (2 - threshold) * len(grams)) + 1))
+    while left:
         score: Counter[str] = Counter()
-        for grams, most in missing:
-            own = Counter(w for g in grams for w in set(g) if w not in dull)
-            covered = sum(any(w in g for w in found) for g in grams)
-            if covered <= most:
-                need = most - covered + 1
-                for w in own:
-                    if w not in found:
-                        score[w] += min(1.0, sum(w in g and not any(f in g for f in found) for g in grams) / need)
-        if not score:
-            return sorted(found)
+        for grams, need in left:
+            for w, n in Counter(w for g in grams for w in set(g)).items():
+                score[w] += min(1.0, n / need) * (0.01 if w.isdigit() or w in COMMON else min(len(w), 9) ** 2)
         found.append(max(sorted(score), key=score.__getitem__))
+        left = [(rest, need - (len(grams) - len(rest))) for grams, need in left for rest in [{g for g in grams if found[-1] not in g}]]
+        left = [(grams, need) for grams, need in left if need > 0]
+    return tuple(sorted(found))
 
 
-def _template_sql() -> str:
+def _template_sql(long: bool) -> str:
     """One array without columns or lambdas in it, which the optimizer folds to a literal."""
     rows = []
     for name, _, text in sorted(TEMPLATES):
-        grams = ", ".join(f"xxhash64('{x}')" for x in sorted(bigrams(normalised(text))))
-        rows.append(f"named_struct('license', '{name}', 'grams', array({grams}))")
+        grams = sorted(bigrams(normalised(text)))
+        if (len(grams) > LONG) == long:
+            rows.append(f"named_struct('license', '{name}', 'grams', array({', '.join(f"xxhash64('{x}')" for x in grams)}))")
     return f"array({', '.join(rows)})"
 
 
+def _any_template_sql() -> str:
+    """The bigrams of all short templates."""
+    grams = sorted({g for _, _, text in TEMPLATES for own in [bigrams(normalised(text))] if len(own) <= LONG for g in own})
+    return f"array({', '.join(f"xxhash64('{x}')" for x in grams)})"
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (from 0; -1 for the whole text), n_lines, license, dice, for each unit that reaches the threshold."""
     share = threshold / (2 - threshold)
@@ -82,10 +87,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # So many bigrams need so many words, each of a character and a blank at least.
     least = min((2 * share * len(g) for _, _, t in TEMPLATES if len(g := bigrams(normalised(t))) > LONG), default=0)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(has(False) | (F.length("text") >= least) & has(True))
-    d = d.withColumn("words", F.expr(WORDS.format("text"))).withColumn("grams", F.expr(GRAMS.format("words")))
-    d = d.withColumn("near", F.expr(f"filter(transform(filter({_template_sql()}, t -> size(t.grams) * {share}D <= size(grams) + 1e-9D), t -> named_struct('license', t.license, 'grams', t.grams, 'same', size(array_intersect(t.grams, grams)))), t -> t.same >= size(t.grams) * {share}D - 1e-9D)"))
-    # What follows a Generate is computed for rows that are left only.
-    d = d.select("doc_id", "text", F.size("grams").alias("a"), F.explode(F.expr("filter(array(near), x -> size(x) > 0)")).alias("near"))
+    # What follows a Generate is computed for rows that are left, and not computed again.
+    d = d.select("doc_id", "text", F.explode(F.expr(f"filter(array({WORDS.format('text')}), w -> size(w) > 1)")).alias("words"))
+    d = d.select("doc_id", "text", F.explode(F.expr(f"array({GRAMS.format('words')})")).alias("grams"))
+    # A document shares no more with a short template than with all of them together.
+    d = d.withColumn("common", F.expr(f"array_intersect(grams, {_any_template_sql()})"))
+    near = "filter(transform(filter({t}, t -> size(t.grams) * {s}D <= size({g}) + 1e-9D), t -> named_struct('license', t.license, 'grams', t.grams, 'same', size(array_intersect({g}, t.grams)))), t -> t.same >= size(t.grams) * {s}D - 1e-9D)"
+    both = f"concat({near.format(t=_template_sql(False), g='common', s=share)}, {near.format(t=_template_sql(True), g='grams', s=share)})"
+    d = d.select("doc_id", "text", F.size("grams").alias("a"), F.explode(F.expr(f"filter(array({both}), x -> size(x) > 0)")).alias("near"))
     d = d.withColumn("lines", F.expr(f"filter(transform(split(text, '\\n'), (x, i) -> named_struct('i', i, 'words', {WORDS.format('x')})), x -> x.words[0] != '')"))
     d = d.withColumn("held", F.expr(f"transform(lines, x -> {GRAMS.format('x.words')})")).withColumn("n", F.size("lines"))
     edge = "filter(transform(t.own, (x, j) -> if(x and not coalesce(get(t.own, j {} 1), false), j, -1)), j -> j >= 0)"

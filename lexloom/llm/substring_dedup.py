@@ -1,10 +1,10 @@
 """Substring dedup with compressed FM-indexes: words in a 13-word window that a smaller doc_id also has go.
 
 `lexloom.llm.repeats` brings strings of words that can share a window to one shard of the index. A shard is an
-FM-index: the Burrows-Wheeler transform of its strings, kept as a wavelet matrix of packed bits with counts per
-64 bits. The strings are streamed against it by backward search, all positions at a time, which gives for each
+FM-index: the Burrows-Wheeler transform of its strings, kept as a wavelet tree in the shape of a code by frequencies, so compressed to about
+the entropy of its words. The strings are streamed against it by backward search, all positions at a time, which gives for each
 position the interval of suffixes that begin with the same 13 words: the matching statistics, cut at the
-threshold. The least doc_id over the interval is what is reported. As no longer match is asked for, suffixes are ordered by
+threshold. The least doc_id over the interval is what is told back; a longer match is a run of such positions, and its interval in the document is reported whole. As no longer match is asked for, suffixes are ordered by
 their first 16 words only; intervals of shorter patterns are the same.
 
 Defined results: words are runs without white space (space and \\t to \\r), unchanged; a null text has none. Windows never
@@ -83,32 +83,78 @@ def bounded_suffixes(symbols: np.ndarray, upto: int) -> np.ndarray:
 
 
 class Wavelet:
-    """A wavelet matrix: for each bit of the symbols, from the highest, the packed bits of the sequence as it stands at that level."""
+    """A wavelet tree whose shape follows the frequencies: a symbol with a share p of the sequence has a code of ceil(log2(1 / p)) bits.
 
-    def __init__(self, symbols: np.ndarray, bits: int):
-        self.bits, self.levels = bits, []
+    So the bits that are kept are less than one for each symbol over the entropy of the sequence, and frequent symbols are
+    found in few steps. A level holds the packed bits of all its nodes, one after another, with counts per 64 bits.
+    """
+
+    def __init__(self, symbols: np.ndarray, sigma: int):
         n = len(symbols)
-        for bit in range(bits - 1, -1, -1):
-            one = (symbols >> bit & 1).astype(bool)
+        count = np.bincount(symbols, minlength=sigma + 1)
+        used = np.flatnonzero(count)
+        self.length = np.zeros(sigma + 1, np.int32)
+        self.length[used] = np.maximum(1, np.ceil(np.log2(n / count[used]) - 1e-9))
+        width = int(self.length.max())
+        order = used[np.argsort(self.length[used], kind="stable")]
+        size = np.int64(1) << (width - self.length[order]).astype(np.int64)
+        # Codes at the top of `width` bits, shorter ones first, so none begins another.
+        code = np.zeros(sigma + 1, np.int64)
+        code[order] = np.cumsum(size) - size
+        self.levels = []
+        rest, lengths = code[symbols], self.length[symbols]
+        for level in range(width):
+            stay = lengths > level
+            rest, lengths = rest[stay], lengths[stay]
+            bit = rest >> (width - 1 - level) & 1
+            n = len(rest)
             packed = np.zeros(n // 64 + 1, np.uint64)
-            packed.view(np.uint8)[: (n + 7) // 8] = np.packbits(one, bitorder="little")
+            packed.view(np.uint8)[: (n + 7) // 8] = np.packbits(bit.astype(np.uint8), bitorder="little")
             counts = np.zeros(len(packed), np.int32)
             np.cumsum(np.bitwise_count(packed[:-1]), out=counts[1:])
-            self.levels.append((packed, counts, n - int(one.sum())))
-            symbols = np.concatenate([symbols[~one], symbols[one]])
+            prefix = rest >> (width - level)
+            first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+            mine = np.flatnonzero(self.length > level)
+            start, before = np.zeros(sigma + 1, np.int32), np.zeros(sigma + 1, np.int32)
+            start[mine] = first[np.searchsorted(prefix[first], code[mine] >> (width - level))]
+            ones = np.concatenate(([0], np.cumsum(bit)))
+            before[mine] = ones[start[mine]]
+            self.levels.append((packed, counts, start, before, (code >> (width - 1 - level) & 1).astype(bool)))
+            # Within each node zeros go before ones.
+            node = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+            begin = first[node]
+            seen = ones[:-1] - ones[begin]
+            zeros = np.diff(np.append(first, n)) - (ones[np.append(first[1:], n)] - ones[first])
+            place = begin + np.where(bit == 1, zeros[node] + seen, np.arange(n) - begin - seen)
+            moved, sizes = np.empty_like(rest), np.empty_like(lengths)
+            moved[place], sizes[place] = rest, lengths
+            rest, lengths = moved, sizes
+
+    def bits(self) -> int:
+        return 64 * sum(len(x[0]) for x in self.levels)
 
     def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often symbol stands before low and before high."""
-        begin = np.zeros(len(symbol), np.int32)
-        both = np.concatenate([begin, low.astype(np.int32), high.astype(np.int32)])
-        n = len(symbol)
-        for level, (packed, counts, zeros) in enumerate(self.levels):
-            word = both >> 6
-            mask = (np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[word] + np.bitwise_count(packed[word] & mask).astype(np.int32)
-            bit = np.tile(symbol >> (self.bits - 1 - level) & 1, 3).astype(bool)
-            both = np.where(bit, zeros + ones, both - ones)
-        return both[n : 2 * n] - both[:n], both[2 * n :] - both[:n]
+        out = np.concatenate([low, high]).astype(np.int32)
+        n, length = len(symbol), self.length[symbol]
+        at, both, c = np.arange(2 * n), out, np.concatenate([symbol, symbol])
+        left = np.concatenate([length, length])
+        for level, (packed, counts, start, before, one) in enumerate(self.levels):
+            stay = left > level
+            if not stay.all():
+                out[at] = both
+                at, both, c, left = at[stay], both[stay], c[stay], left[stay]
+                if not len(at):
+                    break
+            where = start[c] + both
+            word = where >> 6
+            mask = (np.uint64(1) << (where & 63).astype(np.uint64)) - np.uint64(1)
+            ones = counts[word] + np.bitwise_count(packed[word] & mask).astype(np.int32) - before[c]
+            both = np.where(one[c], ones, both - ones)
+        out[at] = both
+        absent = np.concatenate([length, length]) == 0
+        out[absent] = 0
+        return out[:n], out[n:]
 
 
 class FMIndex:
@@ -116,8 +162,7 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, sigma: int, upto: int):
         self.suffixes = bounded_suffixes(symbols, upto)
-        self.bits = max(1, int(sigma).bit_length())
-        self.wavelet = Wavelet(symbols[self.suffixes - 1], self.bits)
+        self.wavelet = Wavelet(symbols[self.suffixes - 1], sigma)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma + 1)))).astype(np.int64)
 
     def intervals(self, symbols: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

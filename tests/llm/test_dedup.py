@@ -142,16 +142,26 @@ def test_backward_search_like_brute_force(texts, rng):
     assert found.tolist() == [best[tuple(t[i : i + 5])] for t in texts for i in range(len(t) - 4)]
 
 
-def test_wavelet_ranks():
+@pytest.mark.parametrize("kind", ["even", "skew", "one", "two"])
+def test_wavelet_ranks(kind):
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 37, 1000)
-    w = substring_dedup.Wavelet(x, 6)
-    c, low, high = rng.integers(0, 37, 200), rng.integers(0, 1001, 200), rng.integers(0, 1001, 200)
+    x = {"even": rng.integers(0, 37, 1000), "skew": np.minimum(rng.geometric(0.3, 1000), 36), "one": np.full(100, 5), "two": np.array([3] * 99 + [1])}[kind]
+    w = substring_dedup.Wavelet(x, 37)
+    c, low, high = rng.integers(0, 38, 200), rng.integers(0, len(x) + 1, 200), rng.integers(0, len(x) + 1, 200)
     a, b = w.ranks(c, low, high)
     assert a.tolist() == [int((x[:i] == s).sum()) for s, i in zip(c, low, strict=True)]
     assert b.tolist() == [int((x[:i] == s).sum()) for s, i in zip(c, high, strict=True)]
 
 
+def test_wavelet_is_compressed():
+    """Less than one bit for each symbol over the entropy, but for what fills up each level's last word."""
+    x = np.minimum(np.random.default_rng(2).zipf(1.5, 50_000), 3_000)
+    p = np.bincount(x) / len(x)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    w = substring_dedup.Wavelet(x, 3_000)
+    assert w.bits() <= len(x) * (entropy + 1) + 128 * len(w.levels) < 0.6 * len(x) * 12
+
+
 LINE = "This Line is long enough"
 LINES = [
     (1, None), (2, ""), (3, LINE), (4, f"  {LINE.upper()}\t\nown line of the fourth one"), (5, f"{LINE}\n{LINE}\nx"), (6, "short\nshort"), (7, "short"), (8, "short"),
