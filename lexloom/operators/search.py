@@ -69,8 +69,8 @@ def prefilter(spec: SearchSpec, text: Column) -> Column | None:
     if not literals or any(not x or "\n" in x or (spec.folds and not x.isascii()) for x in literals):
         return None
     if spec.folds:
-        # Two letters beyond ASCII fold to k and s; for literals with these only the lower case of the text is not enough.
-        if any(c in "kKsS" for x in literals for c in x):
+        # With Unicode folding two letters beyond ASCII match k and s, and one of them is its own lower case.
+        if spec.unicode and any(c in "kKsS" for x in literals for c in x):
             return None
         text, literals = F.lower(text), [x.lower() for x in literals]
     return functools.reduce(operator.or_, (text.contains(x) for x in literals))

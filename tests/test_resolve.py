@@ -110,8 +110,8 @@ def test_searches_refuse_bad_patterns(spark):
 @pytest.mark.parametrize("pattern", ["error", "k", "stop", "strasse", "kelvin"])
 def test_folded_prefilter_loses_nothing(spark, text, pattern):
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    for fixed in (True, False):
-        spec = SearchSpec([pattern], fixed=fixed, ignore_case=True)
+    for fixed, unicode in ((True, False), (False, False), (False, True)):
+        spec = SearchSpec([pattern], fixed=fixed, ignore_case=True, unicode=unicode)
         assert search.search(d, spec).count() == search.lines(d).filter(search.predicate(spec, F.col("line"))).count()
 
 
