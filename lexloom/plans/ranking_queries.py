@@ -159,6 +159,11 @@ def idx4(spark, sf_dir):
     return index.index_search(docs(spark, sf_dir), _saved_index(spark, sf_dir), SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"]))
 
 
+@query("q_flt12_indexed_literal", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'License')")
+def flt12(spark, sf_dir):
+    return index.index_search(docs(spark, sf_dir), _saved_index(spark, sf_dir), SearchSpec(["License"], fixed=True))
+
+
 @query("q_idx7_saved_index", f"WITH {POSTINGS} SELECT tri, count(*) AS n_lines FROM postings GROUP BY tri")
 def idx7(spark, sf_dir):
     return _saved_index(spark, sf_dir).groupBy("tri").agg(F.count("*").alias("n_lines"))
@@ -354,7 +359,7 @@ def agg10(spark, sf_dir):
     return _metrics(spark, sf_dir).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
 
 
-@query("q_rnk10_chunk_cap")
+@query("q_rnk10_chunk_cap", f"WITH {LINES}, c AS (SELECT doc_id, greatest(0, ceil((len(ls) - 30) / 25.0))::BIGINT + 1 AS n FROM doc_lines WHERE len(ls) > 0) SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id)::BIGINT AS running, sum(n) OVER (ORDER BY doc_id) > 100000 AS over_cap FROM c")
 def rnk10(spark, sf_dir):
     """Chunk counts with the running total by document, and whether the cap that a caller sets would be reached."""
     counts = context.chunks(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))

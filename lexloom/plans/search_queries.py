@@ -101,6 +101,16 @@ def flt14(spark, sf_dir):
 _BREAKS = "length({0}) - length(replace({0}, chr(10), ''))"
 
 
+@query("q_flt13_combined", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '(?i)\\b(the|of)\\b') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 2")
+def flt13(spark, sf_dir):
+    return search.search(docs(spark, sf_dir), SearchSpec(["the", "of"], ignore_case=True, word=True, max_count=2))
+
+
+@query("q_flt20_neutral_flags", _lines_sql("doc_id, line_no, line", "contains(line, 'License')"))
+def flt20(spark, sf_dir):
+    return search.search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True, ignored={"threads": 4, "mmap": True, "line_buffered": True, "color": "never"}))
+
+
 @query("q_flt15_multiline", rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?s)License.{{0,40}}\n[A-Z]') AS ms, string_split_regex(text, '(?s)License.{{0,40}}\n[A-Z]') AS ps FROM documents),
 e AS (SELECT doc_id, ms, ps, unnest(ms) AS match, generate_subscripts(ms, 1) AS i FROM m), b AS (SELECT doc_id, i, match, array_to_string(ps[1 : i], '') || array_to_string(ms[1 : i - 1], '') AS before FROM e)
 SELECT doc_id, (i - 1)::INTEGER AS nth, match, (1 + {_BREAKS.format('before')})::INTEGER AS start_line, ({_BREAKS.format('match')})::INTEGER AS breaks FROM b""")
@@ -355,6 +365,20 @@ def src15(spark, sf_dir):
     return found.groupBy(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg(F.count("*").alias("n_lines"))
 
 
+@query("q_src5_text_lines", "SELECT lang, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang")
+def src5(spark, sf_dir):
+    """The texts of each language written as plain files, and read again as lines; the breaks between lines are put back into the sum."""
+    from lexloom.operators.shared import new_path
+    from lexloom.sources.files import read_lines
+
+    path = new_path(spark, "plain")
+    docs(spark, sf_dir).select("lang", "text").write.partitionBy("lang").text(path)
+    found = read_lines(spark, f"{path}/*/*.txt")
+    n = docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+    lines_ = found.groupBy(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("bytes"))
+    return lines_.join(n, "lang").select("lang", "n_lines", (F.col("bytes") + F.col("n_lines") - F.col("n")).alias("n_bytes"))
+
+
 @query("q_src17_types", "SELECT page_id, regexp_matches(p, '(\\.html?|\\.tmpl)$') AS is_html, regexp_matches(p, '\\.(js|html?|tmpl)$') AS is_web FROM (SELECT page_id, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS p FROM pages)")
 def src17(spark, sf_dir):
     from lexloom.sources.files import TypeTable

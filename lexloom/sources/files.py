@@ -107,6 +107,43 @@ def outside_dirs(path: Column, names: Sequence[str] = GENERATED_DIRS) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
 
 
+#: Files with ignore rules; in one directory the later family wins.
+IGNORE_FILES = (".gitignore", ".ignore", ".rgignore")
+
+
+def ignore_rules(spark: SparkSession, root: str, families: Sequence[str] = IGNORE_FILES, max_depth: int = 64) -> list[tuple[str, str, bool]]:
+    """The rules of all ignore files under a root, for `ignored`.
+
+    Spark's readers pass over names that begin with a dot, so these few files are found level by level and read by the driver, through Hadoop's file system.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base, found = root.rstrip("/"), []
+    for depth in range(max_depth + 1):
+        level = f"{base}{'/*' * depth}"
+        names = jvm.org.apache.hadoop.fs.Path(f"{level}/{{{','.join(families)}}}")
+        system = names.getFileSystem(conf)
+        for status in system.globStatus(names) or ():
+            stream = system.open(status.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            parts = status.getPath().toString().split("/")
+            found.append((families.index(parts[-1]), "/".join(parts[len(parts) - 1 - depth : -1]), text))
+        if not any(x.isDirectory() for x in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*")) or ()):
+            break
+    rules = []
+    for _, directory, text in sorted(found):
+        for line in text.splitlines():
+            body = line.rstrip()
+            if not body or body.startswith("#"):
+                continue
+            negated = body.startswith("!")
+            body = body[1:] if negated or body.startswith(("\\#", "\\!")) else body
+            rules.append((directory, body, negated))
+    return rules
+
+
 def ignored(paths: DataFrame, rules: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """path and ignored, by rules (directory of the ignore file, pattern, negated) in file order: the deepest opinion wins, then the last.
 

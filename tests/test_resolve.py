@@ -80,6 +80,17 @@ def test_scans_say_what_they_left_out(spark, tmp_path):
         files.ordered(files.scan(spark, str(tmp_path)), "accessed")
 
 
+def test_ignore_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, text in ((".gitignore", "# note\n*.log\n\nbuild/\n"), (".ignore", "!keep.log\n"), ("a/.gitignore", "!x.log\n*.txt\n"), ("a/.rgignore", "!y.txt\n")):
+        (tmp_path / name).write_text(text)
+    rules = files.ignore_rules(spark, str(tmp_path))
+    assert rules == [("", "*.log", False), ("", "build/", False), ("a", "x.log", True), ("a", "*.txt", False), ("", "keep.log", True), ("a", "y.txt", True)]
+    paths = ["b.log", "keep.log", "a/x.log", "a/z.log", "a/y.txt", "a/q.txt", "q.txt", "build/o", "a/keep.log"]
+    found = {r.path: r.ignored for r in files.ignored(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()}
+    assert [p for p in paths if found[p]] == ["b.log", "a/z.log", "a/q.txt", "build/o"]
+
+
 def test_types():
     with pytest.raises(ValueError, match="name:glob"):
         files.TypeTable(add=["x"])
