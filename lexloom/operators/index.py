@@ -15,6 +15,8 @@ from lexloom.operators.changes import changeset
 from lexloom.operators.search import SearchSpec, lines, predicate, search
 
 FORMAT = 1
+#: Candidates that are broadcast: about 20 bytes each.
+FEW = 100_000
 
 
 def build(docs: DataFrame) -> DataFrame:
@@ -58,6 +60,12 @@ def index_search(docs: DataFrame, postings: DataFrame, spec: SearchSpec) -> Data
     if literals is None:
         return search(docs, spec)
     found = candidate_lines(postings, literals)
+    # A few candidates, as an index is asked for, go to all tasks, so no text is moved; of more, texts and candidates meet by document.
+    few = found.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        found = F.broadcast(docs.sparkSession.createDataFrame(few, found.schema))
+        near = docs.join(F.broadcast(docs.sparkSession.createDataFrame(sorted({(r["doc_id"],) for r in few}), found.select("doc_id").schema)), "doc_id", "left_semi")
+        return lines(near).join(found, ["doc_id", "line_no"], "left_semi").filter(predicate(spec, F.col("line")))
     near = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     return lines(near).join(found, ["doc_id", "line_no"], "left_semi").filter(predicate(spec, F.col("line")))
 

@@ -197,3 +197,13 @@ def test_policy_tells_all_reasons(spark, tmp_path):
     ok, checks = rules.policy(found, {"lint": "true", "gone": "no-such-command"}, str(tmp_path))
     assert not ok and [(n, p) for n, p, _ in checks] == [("rules", True), ("lint", True), ("gone", False)]
     assert rules.policy(found, {}, str(tmp_path))[0] and not rules.policy(found, {}, str(tmp_path), worst="low")[0]
+
+
+def test_many_candidates_give_the_same(spark, monkeypatch):
+    from lexloom.operators import index
+
+    d = spark.createDataFrame([(i, f"a needle {i}\nno\nneedle" if i % 3 else "needles and pins\nx") for i in range(30)], "doc_id long, text string")
+    found = [sorted(index.index_search(d, index.build(d), SearchSpec(["needle"], fixed=True, word=True)).collect())]
+    monkeypatch.setattr(index, "FEW", 5)
+    found.append(sorted(index.index_search(d, index.build(d), SearchSpec(["needle"], fixed=True, word=True)).collect()))
+    assert found[0] == found[1] == sorted(search.search(d, SearchSpec(["needle"], fixed=True, word=True)).collect())
