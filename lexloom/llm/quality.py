@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions. For each language and source, each language, and all rows, a minimum covariance
 determinant estimate is found by concentration steps: from a first estimate, keep the three quarters of rows that lie
-nearest, take their mean and covariance, and repeat until the determinant stays. Of two starts (medians and
-interquartile ranges; the moments of all rows) the one that ends with the least determinant counts. An estimate is put together with that of the
+nearest, take their mean and covariance, and repeat. Of two starts (medians and
+interquartile ranges; the moments of all rows) the one with the least determinant after two steps goes on until its determinant stays. An estimate is put together with that of the
 next larger group, which weighs as 60 rows, so that groups of any size are judged alike. A row is rejected if the Mahalanobis
 distance of its transformed statistics is beyond a chi-square quantile.
 
@@ -28,8 +28,11 @@ FEATURES = ("_x0", "_x1", "_x2", "_x3", "_x4")
 #: Least standard deviation of each feature: differences below it are never unusual, and it keeps covariances regular.
 LEAST_SD = (0.35, 0.08, 0.1, 0.15, 0.15)
 KEEP = 0.75
-#: Concentration steps at most; they settle in about ten.
+#: Steps from every start, after which only the one with the least determinant goes on.
+FIRST_STEPS = 2
+#: Steps in all, and the change of the logarithm of a determinant at which an estimate has settled.
 STEPS = 30
+SETTLED = 1e-3
 #: Rows that the estimate of the larger group counts as, in that of a smaller one.
 PRIOR = 60.0
 
@@ -145,12 +148,13 @@ COVARIANCES = [f"_v{i}{j}" for i, j in TRIANGLE]
 
 def _with_factor(found: DataFrame) -> DataFrame:
     """found with the Cholesky factor of its covariances and the logarithm of their determinant."""
-    kept = found.select("_group", "_start", *COVARIANCES)
+    for x in COVARIANCES:
+        found = found.withColumn(f"_kept{x}", F.col(x))
     factors = _cholesky(found)
     det = F.lit(0.0)
     for i in range(len(FEATURES)):
         det = det + F.log(f"_l{i}{i}")
-    return factors.withColumn("_det", 2 * det).join(kept.hint("broadcast"), ["_group", "_start"])
+    return factors.withColumn("_det", 2 * det).withColumnsRenamed({f"_kept{x}": x for x in COVARIANCES})
 
 
 def _moments() -> list:
@@ -168,7 +172,7 @@ def _starts(members: DataFrame) -> DataFrame:
 
 def mcd(members: DataFrame) -> DataFrame:
     """A row for each group: the means and covariances of the part of its rows with the least determinant, found by
-    concentration steps from each start until the determinant stays; sums are taken before anything is shuffled.
+    concentration steps from each start, then from the best of them until the determinant stays; sums are taken before anything is shuffled.
     """
     spark, p = members.sparkSession, len(FEATURES)
     # The covariance of the nearest part of a normal sample is too small by this factor.
@@ -177,15 +181,20 @@ def mcd(members: DataFrame) -> DataFrame:
     few = open_.count() <= 2 * BROADCAST_GROUPS
     settled = []
     for step in range(STEPS):
-        near = _with_distance(_beside(members, open_.select("_group", "_start", *MEANS, *[f"_l{i}{j}" for i, j in TRIANGLE]), few))
-        near = near.select("_group", "_start", "_d2", *FEATURES)
+        near = _with_distance(_beside(members, open_.select("_group", "_start", F.col("_det").alias("_before"), *MEANS, *[f"_l{i}{j}" for i, j in TRIANGLE]), few))
+        near = near.select("_group", "_start", "_before", "_d2", *FEATURES)
         limit = near.groupBy("_group", "_start").agg(F.percentile_approx("_d2", F.lit(KEEP), 2000).alias("_limit"))
         near = _beside(near, limit, few, on=("_group", "_start")).filter("_d2 <= _limit")
-        found = near.groupBy("_group", "_start").agg(F.count("*").alias("_n"), *_moments())
-        found = found.select("_group", "_start", "_n", *MEANS, *[(F.lit(factor) * F.col(x)).alias(x) for x in COVARIANCES])
-        before = open_.select("_group", "_start", F.col("_det").alias("_before")).hint("broadcast")
-        found = save(spark, _with_factor(found).join(before, ["_group", "_start"]), "mcd")
-        stays = (F.abs(F.col("_det") - F.col("_before")) <= 1e-9) | F.lit(step + 1 == STEPS)
+        found = near.groupBy("_group", "_start").agg(F.count("*").alias("_n"), F.max("_before").alias("_before"), *_moments())
+        found = found.select("_group", "_start", "_n", "_before", *MEANS, *[(F.lit(factor) * F.col(x)).alias(x) for x in COVARIANCES])
+        found = save(spark, _with_factor(found), "mcd")
+        if step + 1 < FIRST_STEPS:
+            open_ = found
+            continue
+        if step + 1 == FIRST_STEPS:
+            best = found.groupBy("_group").agg(F.min(F.struct(F.round("_det", 7), "_start")).alias("x")).select("_group", "x._start")
+            found = save(spark, found.join(best, ["_group", "_start"]), "mcd")
+        stays = (F.abs(F.col("_det") - F.col("_before")) <= SETTLED) | F.lit(step + 1 == STEPS)
         settled.append(found.filter(stays))
         open_ = found.filter(~stays)
         if open_.isEmpty():
@@ -193,8 +202,7 @@ def mcd(members: DataFrame) -> DataFrame:
     every = settled[0]
     for x in settled[1:]:
         every = every.unionByName(x)
-    least = every.groupBy("_group").agg(F.min(F.struct("_det", "_start", "_n", *MEANS, *COVARIANCES)).alias("x"))
-    return least.select("_group", *[F.col(f"x.{c}").alias(c) for c in ("_n", *MEANS, *COVARIANCES)])
+    return every.select("_group", "_n", *MEANS, *COVARIANCES)
 
 
 def _pooled(own: DataFrame, parent: DataFrame) -> DataFrame:

@@ -348,6 +348,15 @@ def test_words_are_encoded_as_texts_are():
         assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text_, add_special_tokens=False).ids
 
 
+def test_words_outlive_a_full_table(monkeypatch):
+    """Tables that are turned over again and again give the same ids."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    own, rng = packing.WordEncoder(queries.tokenizer_path()), random.Random(8)
+    texts = [" ".join(f"{rng.choice(['alpha', 'beta', 'gamma'])}{rng.choice(['', ',', '.', '!x'])} w{rng.randrange(200)}" for _ in range(rng.randrange(8))) for _ in range(900)]
+    for text_, raw in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text_, add_special_tokens=False).ids
+
+
 # LM scoring
 
 
@@ -469,6 +478,12 @@ def plain_verdicts(rows, beyond=1e-6):
         z = np.linalg.solve(factor(v), (x - m).T)
         return (z**2).sum(axis=0)
 
+    def step(x, m, v, before, c):
+        d = distances(x, m, v)
+        near = x[d <= np.sort(d)[max(math.ceil(quality.KEEP * len(d)) - 1, 0)]]
+        v = c * np.cov(near.T, bias=True).reshape(p, p)
+        return 2 * np.log(np.diag(factor(v))).sum(), before, len(near), near.mean(axis=0), v
+
     def least(x):
         if not len(x):
             return 0, np.zeros(p), np.zeros((p, p))
@@ -476,16 +491,16 @@ def plain_verdicts(rows, beyond=1e-6):
         c = quality.KEEP / quality.chi2_cdf(quality.chi2_quantile(quality.KEEP, p), p + 2)
         found = []
         for m, v in ((rank(x, 0.5), np.diag(((rank(x, 0.75) - rank(x, 0.25)) / 1.349) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
-            det = 2 * np.log(np.diag(factor(v))).sum()
-            for _ in range(quality.STEPS):
-                d = distances(x, m, v)
-                near = x[d <= rank(d, quality.KEEP)]
-                m, v, before = near.mean(axis=0), c * np.cov(near.T, bias=True).reshape(p, p), det
-                det = 2 * np.log(np.diag(factor(v))).sum()
-                if abs(det - before) <= 1e-9:
-                    break
-            found.append((det, len(near), m, v))
-        return min(found, key=lambda f: round(f[0], 7))[1:]
+            det = before = 2 * np.log(np.diag(factor(v))).sum()
+            for _ in range(quality.FIRST_STEPS):
+                det, before, n, m, v = step(x, m, v, det, c)
+            found.append((det, before, n, m, v))
+        det, before, n, m, v = min(found, key=lambda f: round(f[0], 7))
+        for _ in range(quality.STEPS - quality.FIRST_STEPS):
+            if abs(det - before) <= quality.SETTLED:
+                break
+            det, before, n, m, v = step(x, m, v, det, c)
+        return n, m, v
 
     def pooled(own, parent):
         (n, m, v), (pm, pv), k = own, parent, quality.PRIOR
