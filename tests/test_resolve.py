@@ -207,3 +207,14 @@ def test_many_candidates_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(index, "FEW", 5)
     found.append(sorted(index.index_search(d, index.build(d), SearchSpec(["needle"], fixed=True, word=True)).collect()))
     assert found[0] == found[1] == sorted(search.search(d, SearchSpec(["needle"], fixed=True, word=True)).collect())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lexloom.operators.shared import shared_dir
+
+    make = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: folder), getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(make("spark://host:7077", None))
+    assert shared_dir(make("spark://host:7077", "s3://b/c/")) == "s3://b/c"
