@@ -14,7 +14,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id: smaller than any other.
 NO_ID = -(1 << 63)
 #: Bytes of files that one group of documents holds at most, about: what a Python worker has in memory at once is a multiple of it.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of text that a task collects before it sends them to their shards.
 DEAL_BYTES = 16 << 20
 
