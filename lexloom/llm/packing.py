@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import few_rows, id_and_text, save
 
 CAPACITY = 2048
-#: Words kept encoded in a worker; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+#: Words encoded in a worker's table; when it is full it becomes the old one, from which words in use are taken over.
+CACHE_WORDS = 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -61,6 +61,29 @@ def _lean(tokenizer):
     return own
 
 
+class Words(dict):
+    """Encoded words in two generations. A word in neither counts as a miss, is noted, and encodes to nothing until it is learned."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.old: dict[str, bytes] = {}
+        self.late: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            self.misses += 1
+            self.late.add(word)
+            return b""
+        self[word] = found
+        return found
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class WordEncoder:
     """Encodes text word by word; right for vocabularies whose pre-tokenizer drops white space, as checked against the library in the tests."""
 
@@ -72,8 +95,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.words, self.cores = Words(), Words()
         self.marks: dict[str, bytes] = {"": b""}
         # Letters, then marks that can't join them in one token: lower-casing keeps the length of these letters.
         self.plain = re.compile(f"(?m)^(?:([{LETTERS}]+)([.,;:!?*%&#$]*)|(.+))$")
@@ -85,7 +107,7 @@ class WordEncoder:
         """Words are taken apart in one pass; lower-casing the whole list changes no line breaks, and plain letters keep their number."""
         found = self.plain.findall("\n".join(words).lower())
         cores = [core for core, _, _ in found]
-        new = [core for core in dict.fromkeys(cores) if core and core not in self.cores]
+        new = [core for core in dict.fromkeys(cores) if core and core not in self.cores and core not in self.cores.old]
         if new:
             ids = np.array(self.lean.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.closes[ids]) + 1) * 4
@@ -102,17 +124,26 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """A few texts at a time, so that what is split stays small."""
+        words = self.words
+        get = words.__getitem__
         for at in range(0, len(texts), 200):
             split = [text.split() for text in texts[at : at + 200]]
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-                self.cores.clear()
-            found = [list(map(self.words.get, ws)) for ws in split]
-            late = [i for i, x in enumerate(found) if None in x]
+            if len(words) > CACHE_WORDS:
+                words.turn()
+                self.cores.turn()
+            found, late = [], []
+            for i, ws in enumerate(split):
+                before = words.misses
+                found.append(b"".join(map(get, ws)))
+                if words.misses > before:
+                    late.append(i)
             if late:
-                self.learn(list({w for i in late for w, x in zip(split[i], found[i], strict=True) if x is None}))
-            for i, x in enumerate(found):
-                yield b"".join(map(self.words.__getitem__, split[i]) if None in x else x)
+                new = list(words.late)
+                words.late.clear()
+                self.learn(new)
+                for i in late:
+                    found[i] = b"".join(map(get, split[i]))
+            yield from found
 
 
 def encoder(path: str) -> WordEncoder:
