@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NO_ID, Blob, deal, documents, few_rows, id_and_text, planes, rows_of, save, shard_count, unplanes
+from lexloom.llm.common import NO_ID, Blob, deal, few_rows, id_and_text, planes, rows_of, save, shard_count, unplanes
 
 DEPTH = 3
 #: Divergence, in nats, that a context needs beyond the first occurrence of each next symbol.
@@ -126,26 +127,38 @@ def hot_contexts(docs: DataFrame, buckets: int) -> Hot:
 
 
 class Shard:
-    """A shard's tokens: words (each once), the sequence `at` of their places with BEGINs before each document, the tokens `own` in it."""
+    """A shard's tokens: words (each once, BEGIN and END first), the sequence `at` of their places with BEGINs before each document, the tokens `own` in it.
+
+    Arrow splits and numbers the words: its ASCII functions know the same blanks and letters as the rule.
+    """
 
     def __init__(self, blobs: list[bytes]):
-        self.ids, texts = documents(blobs)
-        words: list[bytes] = []
-        starts = []
-        for text in texts:
-            words += (BEGIN,) * DEPTH
-            starts.append(len(words))
-            words += words_of(text)
-            words.append(END)
-        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        self.at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        self.words = list(place)
-        starts = np.array(starts, np.int64)
-        self.sizes = np.append(starts[1:] - DEPTH, len(words)) - starts
-        mask = np.ones(len(words), bool)
+        parts = [Blob.unpack(blob, np.int64, np.int64, np.uint8) for blob in sorted(blobs)]
+        ids, lengths, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.ids = ids.tolist()
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        texts = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+        flat = split.flatten()
+        counts = np.diff(split.offsets.to_numpy())
+        empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        found = flat.dictionary_encode()
+        codes = found.indices.to_numpy()[~empty].astype(np.int64)
+        # A text without words is split into one empty word.
+        blank = np.flatnonzero(counts == 1)
+        counts[blank] -= empty[split.offsets.to_numpy()[blank]]
+        self.words = [BEGIN, END, *found.dictionary.cast(pa.large_binary()).to_pylist()]
+        self.sizes = counts.astype(np.int64) + 1
+        starts = np.cumsum(self.sizes + DEPTH) - self.sizes
+        self.at = np.zeros(int(self.sizes.sum()) + DEPTH * len(ids), np.int64)
+        token = np.ones(len(self.at), bool)
         for i in range(1, DEPTH + 1):
-            mask[starts - i] = False
-        self.own = np.flatnonzero(mask)
+            token[starts - i] = False
+        self.own = np.flatnonzero(token)
+        ends = starts + self.sizes - 1
+        token[ends] = False
+        self.at[ends] = 1
+        self.at[token] = codes + 2
         self.train = np.repeat([not held_out(i) for i in self.ids], self.sizes)
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,8 +378,10 @@ class Occurrences:
         below = model.root(self.count)[s.at[s.own]]
         below[behind] = known[which]
         depth = hot.depth[context]
+        self.all_below = below
         deep = depth == 2
-        flat = np.flatnonzero(~deep)
+        # A word that occurs once in training is no context; what follows it stays here.
+        flat = np.flatnonzero(~deep & ((depth > 0) | (self.count[s.at[s.own - 1]] >= 2) | (s.at[s.own - 1] == 0)))
         deep = np.flatnonzero(deep)
         # Behind a hot pair a passage that very many texts share would meet itself; a shard sends it once.
         same, first = np.zeros(0, np.int64), deep
@@ -377,7 +392,7 @@ class Occurrences:
             first = np.empty(len(kinds), np.int64)
             first[same[::-1]] = deep[::-1]
         first = np.concatenate([flat, first])
-        self.which = np.empty(len(s.own), np.int64)
+        self.which = np.full(len(s.own), -1)
         self.which[flat], self.which[deep] = np.arange(len(flat)), len(flat) + same
         at, self.depth, self.below = s.own[first], depth[first], below[first]
         self.next, self.path = number[s.at[at]], [number[s.at[at - i]] for i in range(1, DEPTH + 1)]
@@ -385,8 +400,9 @@ class Occurrences:
         order = np.argsort(bucket << U(40) | self.path[0].astype(U) & U(0xFFFFFFFFFF), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.which = place[self.which]
-        self.n = np.bincount(self.which, s.train, len(first)).astype(np.int64)
+        sent = self.which >= 0
+        self.which[sent] = place[self.which[sent]]
+        self.n = np.bincount(self.which[sent], s.train[sent], len(first)).astype(np.int64)
         self.next, self.depth, self.below, self.path = self.next[order], self.depth[order], self.below[order], [x[order] for x in self.path]
         self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(U))
 
@@ -489,7 +505,10 @@ def _score(hot, model, word_buckets: int, buckets: int):
             return rows_of(kinds, [])
         own = model.value
         o = Occurrences(rows.column("blob").to_pylist(), _split(told, 0), hot.value, own, word_buckets, buckets)
-        code = np.concatenate([unplanes(Blob.unpack(blob, np.uint8)[0]) for _, blob in _split(told, 1)])[o.which]
+        answers = [unplanes(Blob.unpack(blob, np.uint8)[0]) for _, blob in _split(told, 1)]
+        sent = np.flatnonzero(o.which >= 0)
+        code = o.all_below.copy()
+        code[sent] = np.concatenate([np.zeros(0, np.int64), *answers])[o.which[sent]]
         s = o.shard
         count = o.count[s.at[s.own]]
         base = np.log10((o.count + 0.1) / (own.n[0] + 0.1 * (own.kinds[0] + 1)))[s.at[s.own]]
