@@ -46,6 +46,23 @@ def save(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place (from 1) in an order over all rows. Rows are sorted over all tasks and written; a task's rows are counted on from a sum
+    over the tasks before it, a row a task, so none holds or ranks all rows."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id()  # the task's number above 33 bits of the row's
+    ordered = save(spark, ordered.withColumn("_part", F.shiftright(row, 33).cast("int")).withColumn("_row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a task
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.get(F.lit(before).cast("array<long>"), F.col("_part")) if before else F.lit(0).cast("long")
+    return ordered.withColumn(name, start + F.col("_row") + 1).drop("_part", "_row")
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches cut to so many rows, so that what Python holds of whole texts stays small whatever the session's setting."""
     for batch in batches:

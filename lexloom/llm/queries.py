@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, html_main, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, html_main, importance, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 OP8_SQL = r"""
@@ -124,9 +130,42 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, count(*) FILTER (WHERE gone = 1)::B
 FROM w LEFT JOIN c USING (doc_id) GROUP BY w.doc_id, ws
 """
 
+OP11_SQL = r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), src AS (
+  SELECT 0 AS side, doc_id AS nr, doc_id, text FROM documents UNION ALL SELECT 1, NULL, NULL, text FROM benchmark
+), ws AS (
+  SELECT side, nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM src
+), f AS (
+  SELECT side, nr, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM ws
+), c AS (SELECT side, nr, feature, count(*) AS n FROM f GROUP BY ALL
+), u AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM c)
+), b AS (
+  SELECT feature, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 10000 AS bucket FROM u, tab
+), k AS (
+  SELECT r.bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM range(10000) r(bucket) LEFT JOIN (SELECT * FROM c JOIN b USING (feature)) x ON x.bucket = r.bucket GROUP BY r.bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM k
+), d AS (
+  SELECT nr, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY nr
+), p AS (
+  SELECT ws.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, sha256('7:' || ws.doc_id)[1:8] AS h FROM ws LEFT JOIN d USING (nr) WHERE side = 0
+), q AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', h[i]) - 1), lambda a, x: 16 * a + x) + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM p
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE words >= 20) OVER () AS fit FROM q
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM o
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op2_suffix_array_dedup": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
