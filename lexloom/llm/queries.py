@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, html_main, importance, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, html_main, importance, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup, warc
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_warc_archives": op12_warc_archives,
 }
 
 OP8_SQL = r"""
@@ -162,10 +167,19 @@ WITH tab AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM o
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS g, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages
+)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to FROM d
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op2_suffix_array_dedup": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_warc_archives": OP12_SQL,
 }
