@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, html_main, importance, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup, warc
+from lexloom.llm import collocations, decontaminate, html_main, importance, licenses, line_dedup, lm_score, near_dup, packing, quality, substring_dedup, suffix_dedup, warc
 from lexloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_warc_archives": op12_warc_archives,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 OP8_SQL = r"""
@@ -175,6 +180,29 @@ SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to FROM d
 """
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, range(1, 5) r(size)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30
+), t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, size, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp FROM f, range(1, 4) r(k) WHERE k < size
+), s AS (
+  SELECT c.lang, c.size, c.phrase, a, k, l.n AS l, r.n AS r, (2000000::HUGEINT * a) // (l.n + r.n) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = b.lang AND x.size > b.size AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ') AND 100::HUGEINT * x.n >= 80::HUGEINT * b.a)
+)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN t ON t.lang = o.lang QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op2_suffix_array_dedup": OP2_SQL,
@@ -182,4 +210,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_substring_dedup": OP9_SQL,
     "op11_importance_resampling": OP11_SQL,
     "op12_warc_archives": OP12_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
