@@ -120,7 +120,7 @@ class Shard:
     def frequent(self, k: int, known: np.ndarray) -> np.ndarray:
         """Of each position, whether an n-gram of k words whose key is known begins there. known: sorted."""
         out = np.zeros(len(self.w.ids), bool)
-        runs = self.array.runs(k)
+        runs = self.array.runs(k, known=True)
         hit = _among(self.keys(runs.first, k), known)
         begin, size = runs.begin[hit], (runs.end - runs.begin)[hit]
         before = np.cumsum(size) - size
@@ -161,7 +161,8 @@ def _ask(sizes: tuple[int, ...], longest: int, buckets: int):
             shard = Shard(rows.column("blob").to_pylist(), longest)
             pairs = shard.frequent(2, _told(told)) if max(sizes) > 2 else None
             for k in sizes:
-                runs = shard.array.runs(k)
+                # What a piece has from the one before is asked for, too: longer n-grams begin there.
+                runs = shard.array.runs(k, known=k == 2)
                 keep = np.ones(len(runs.first), bool)
                 for j in range(k - 1 if k > 2 else 0):
                     keep &= pairs[runs.first + j]

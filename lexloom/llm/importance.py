@@ -61,8 +61,8 @@ def _moved(crc: np.ndarray, length: np.ndarray) -> np.ndarray:
     """crc32 of texts as if `length` zero bytes followed, without the final inversion's part."""
     out = np.empty(len(crc), np.uint32)
     order = np.argsort(length, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(length[order]) != 0))) if len(order) else []
-    for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
+    edges = np.flatnonzero(np.diff(length[order], prepend=-1))
+    for i, j in zip(edges, [*edges, len(order)][1:], strict=True):
         at = order[i:j]
         t, c = _shift(int(length[at[0]])), crc[at]
         out[at] = t[0][c & 255] ^ t[1][(c >> 8) & 255] ^ t[2][(c >> 16) & 255] ^ t[3][c >> 24]

@@ -5,11 +5,12 @@
     spark.read.format("warc").load(path)
 
 An archive of gzip members has no index, so a task is given a range of bytes only. It scans its range for the gzip magic; a candidate is taken for a member if it
-decodes to the head of a WARC record and if the members behind it follow one another without a gap up to the end of the range (the magic also occurs inside
-compressed data, and an archive may lie inside a payload: such a chain breaks where the outer member goes on). A task owns the records that
+decodes to the head of a WARC record and if the members behind it follow one another without a gap to the end of the range and MARGIN beyond (the magic also occurs inside
+compressed data, and an archive may lie inside a payload: such a chain breaks where the outer member goes on; only an archive within a payload that is longer than
+a range and the margin together is not told apart). A task owns the records that
 start inside its range and reads the last of them to its end. Ranges that begin a file need no search.
 
-Files are reached through pyarrow's file systems by the path's scheme. Tasks write under `_temporary` and the driver moves whole files at the commit, so that lost or
+Files are reached through pyarrow's file systems by the path's scheme. Tasks write to a folder beside and the driver moves whole files at the commit, so that lost or
 repeated tasks leave nothing in the archive.
 
 Defined results: a null payload of a response is an empty one; a revisit has none. A null record id becomes `<urn:page:none>`; line breaks and other characters that
@@ -39,6 +40,8 @@ from lexloom.llm.common import BROADCAST_ROWS, save, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 64 << 20
+#: How far beyond its range a task looks whether members go on as they should, before it takes the first it found for one.
+MARGIN = 4 << 20
 #: Bytes that are read and decoded at a time.
 WINDOW = 1 << 20
 #: An archive file is closed beyond this.
@@ -187,7 +190,7 @@ class Members:
             return False
 
     def chained(self, offset: int, end: int) -> bool:
-        """Whether members follow one another from here to the end of the range, and a record or the end of the file comes then."""
+        """Whether members follow one another from here to an end, and a record or the end of the file comes then."""
         try:
             while offset < end:
                 offset = self.end(offset)
@@ -212,7 +215,7 @@ class Members:
                     self.held = b""  # the magic may lie across two windows
                 continue
             offset += found
-            if offset < end and self.is_record(offset) and self.chained(offset, end):
+            if offset < end and self.is_record(offset) and self.chained(offset, min(end + MARGIN, self.size)):
                 return offset
             offset += 1
         return None
@@ -284,7 +287,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def _folder(self) -> tuple[fs.FileSystem, str, str]:
         system, root = file_system(self.path)
-        return system, root, f"{root}/_temporary/{self.job}"
+        return system, root, f"{root}/_temporary-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, _, folder = self._folder()

@@ -139,7 +139,8 @@ class SuffixArray:
         """Of each position, whether an n-gram of k words begins there and ends behind what was counted before."""
         return (self.w.room >= k) & (self.w.old < k)
 
-    def runs(self, k: int) -> Runs:
+    def runs(self, k: int, known: bool = False) -> Runs:
+        """LCP intervals of length k; with `known` also those that occur only where they were counted before."""
         n = len(self.order)
         none = np.zeros(0, np.int64)
         if not n:
@@ -147,7 +148,7 @@ class SuffixArray:
         begin = np.flatnonzero(self.lcp < k)
         end = np.append(begin[1:], n)
         count = np.add.reduceat(self.counts_here(k)[self.order].astype(np.int64), begin)
-        keep = count > 0
+        keep = (self.w.room >= k)[self.order[begin]] if known else count > 0
         begin, end = begin[keep], end[keep]
         return Runs(k, self.order[begin], begin, end, count[keep])
 
