@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,20 +95,17 @@ def _shard(blobs: list[bytes]) -> tuple[list[str], list[tuple[int, bytes]], np.n
 
 
 class Shard:
-    """Words of one shard. Words of different languages have different ids, so all counts are by language."""
+    """Words of one shard. Words of different languages have different ids (word times languages plus language), so all counts are by language."""
 
     def __init__(self, blobs: list[bytes], longest: int):
         self.langs, parts, of = _shard(blobs)
         w = words_of(parts, KINDS)
-        self.hash_of = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.words.to_pylist()), U, len(w.words))
-        seed = np.array([xxhash.xxh3_64_intdigest(b"lang " + x.encode()) for x in self.langs] or [0], U)
-        lang = of[w.piece] if len(of) else np.zeros(0, np.int64)
-        plain = w.ids
-        both, first, ids = np.unique(plain * max(len(self.langs), 1) + lang, return_index=True, return_inverse=True)
-        self.word, self.lang = plain[first], lang[first]
-        self.key1 = mixed(self.hash_of[self.word] ^ seed[self.lang])
         self.words = w.words
-        self.w = Words(ids.astype(np.int64), w.words, w.piece, w.room, w.old)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.words.to_pylist()), U, len(w.words))
+        seeds = np.fromiter((xxhash.xxh3_64_intdigest(b"lang " + x.encode()) for x in self.langs), U, len(self.langs))
+        self.key1 = mixed((hashes[:, None] ^ seeds[None, :]).ravel())
+        ids = w.ids * len(self.langs) + of[w.piece] if len(w.ids) else w.ids
+        self.w = Words(ids, w.words, w.piece, w.room, w.old)
         self.array = SuffixArray(self.w, longest)
 
     def keys(self, first: np.ndarray, k: int) -> np.ndarray:
@@ -140,13 +138,18 @@ def _told(table: pa.Table | None) -> np.ndarray:
     return np.sort(np.concatenate(found)) if found else np.zeros(0, U)
 
 
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where each bucket begins and ends in sorted keys: buckets are ranges of keys, so a sort by key is one by bucket."""
+    edges = np.array([-(-(i << 64) // buckets) for i in range(buckets)], dtype=object).astype(U)
+    return [*np.searchsorted(keys, edges).tolist(), len(keys)]
+
+
 def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """Keys and counts by bucket; a bucket is a range of keys, so that a sort by key is one by bucket."""
+    """Keys and counts by bucket."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    edges = np.array([-(-(i << 64) // buckets) for i in range(buckets)], dtype=object).astype(U)
-    cuts = np.append(np.searchsorted(keys, edges), len(keys))
-    rows = [(b, shard, Blob.pack(keys[i:j], planes(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+    cuts = _cuts(keys, buckets)
+    rows = [(b, shard, Blob.pack(keys[i:j], planes(counts[i:j]))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
     return rows_of({"bucket": pa.int32(), "shard": pa.int32(), "blob": pa.binary()}, rows)
 
 
@@ -158,7 +161,7 @@ def _ask(sizes: tuple[int, ...], longest: int, buckets: int):
         number = 0
         if rows.num_rows:
             number = rows.column("shard")[0].as_py()
-            shard = Shard(rows.column("blob").to_pylist(), longest)
+            shard = Shard(rows.column("blob").to_pylist(), max(sizes))
             pairs = shard.frequent(2, _told(told)) if max(sizes) > 2 else None
             for k in sizes:
                 # What a piece has from the one before is asked for, too: longer n-grams begin there.
@@ -194,29 +197,50 @@ def _merge(least: int):
     return run
 
 
-def _count(sizes: tuple[int, ...], longest: int):
-    """A shard's counts of the phrases it was told, by text, and of all its words (size 0)."""
+def _count(sizes: tuple[int, ...], longest: int, buckets: int):
+    """A shard's counts of the phrases it was told, with their text, and of all its words (size 0), by bucket."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        langs, phrases, lengths, counts = [], [], [], []
+        out = []
         if rows.num_rows:
             shard = Shard(rows.column("blob").to_pylist(), longest)
-            known, words = _told(told), shard.words.to_pylist()
-            here = shard.array.counts_here(1)
-            total = np.bincount(shard.lang[shard.w.ids[here]], minlength=len(shard.langs)) if len(shard.w.ids) else []
-            for lang, n in zip(shard.langs, total, strict=False):
-                langs.append(lang), phrases.append(b""), lengths.append(0), counts.append(int(n))
-            word, ids = shard.word, shard.w.ids
+            known, many, ids = _told(told), len(shard.langs), shard.w.ids
+            names = np.frombuffer(json.dumps(shard.langs).encode(), np.uint8)
+            total = np.bincount(ids[shard.array.counts_here(1)] % many, minlength=many)
+            out.append((0, Blob.pack(names, np.arange(many), np.zeros(many, np.int64), total, np.zeros(many, np.int64), np.zeros(0, np.uint8))))
             for k in sizes:
                 runs = shard.array.runs(k)
-                hit = _among(shard.keys(runs.first, k), known)
-                first = runs.first[hit]
-                columns = [[words[i] for i in word[ids[first + j]].tolist()] for j in range(k)]
-                phrases += [b" ".join(x) for x in zip(*columns, strict=True)]
-                langs += [shard.langs[i] for i in shard.lang[ids[first]].tolist()]
-                lengths += [k] * len(first)
-                counts += runs.count[hit].tolist()
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "size": pa.array(lengths, pa.int32()), "n": pa.array(counts, pa.int64())})
+                keys = shard.keys(runs.first, k)
+                hit = np.flatnonzero(_among(keys, known))
+                hit = hit[np.argsort(keys[hit])]
+                first, count = runs.first[hit], runs.count[hit]
+                columns = [shard.words.take(pa.array(ids[first + j] // many)) for j in range(k)]
+                text = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())) if len(first) else pa.array([], pa.large_binary())
+                ends = np.frombuffer(text.buffers()[1], np.int64)[: len(first) + 1] if len(first) else np.zeros(1, np.int64)
+                raw = np.frombuffer(text.buffers()[2], np.uint8) if len(first) else np.zeros(0, np.uint8)
+                cuts = _cuts(keys[hit], buckets)
+                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if j > i:
+                        out.append((b, Blob.pack(names, ids[first[i:j]] % many, np.full(j - i, k), count[i:j], np.diff(ends[i : j + 1]), raw[ends[i] : ends[j]])))
+        return rows_of({"bucket": pa.int32(), "blob": pa.binary()}, out)
+
+    return run
+
+
+def _sum_texts(least: int):
+    """Counts by language and text over all shards: exact, whatever keys are alike."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = []
+        for blob in rows.column("blob").to_pylist():
+            names, lang, size, count, length, raw = Blob.unpack(blob, np.uint8, np.int64, np.int64, np.int64, np.int64, np.uint8)
+            offsets = np.concatenate(([0], np.cumsum(length)))
+            text = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            langs = pa.array(json.loads(names.tobytes()), pa.string()).take(pa.array(lang))
+            parts.append(pa.table({"lang": langs, "phrase": text, "size": pa.array(size, pa.int32()), "n": pa.array(count)}))
+        found = pa.concat_tables(parts).group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "size", "n"])
+        found = found.filter(pc.or_(pc.equal(found["size"], 0), pc.greater_equal(found["n"], least)))
+        return found.set_column(1, "phrase", found["phrase"].cast(pa.large_string()).cast(pa.string()))
 
     return run
 
@@ -236,8 +260,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     if long:
         asked = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_ask(long, longest, buckets), by_bucket)
         told = told.unionByName(save(spark, asked.groupBy("bucket").applyInArrow(_merge(least), by_shard), "frequent"))
-    counted = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_count(short + long, longest), WORDS)
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("size") == 0) | (F.col("n") >= least))
+    counted = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_count(short + long, longest, buckets), "bucket int, blob binary")
+    return counted.groupBy("bucket").applyInArrow(_sum_texts(least), WORDS)
 
 
 # Scores
