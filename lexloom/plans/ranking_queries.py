@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import context, index, ranking
+from lexloom.functions import grams
+from lexloom.operators import context, index, ranking, segments
 from lexloom.operators.limits import within_budget
 from lexloom.operators.shared import new_path
 from lexloom.operators.search import SearchSpec, lines, search
@@ -117,13 +118,14 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _saved_index(spark, sf_dir):
-    """The postings of a table's documents, built and saved once in a session and loaded from then on."""
+    """The index of a table's documents: built and saved once in a session, opened from then on, and refreshed where the table's files have changed since."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    source = segments.source_digest(spark, f"{sf_dir}/documents.parquet")
     if key not in _INDEXES:
         path = new_path(spark, "index")
-        index.save_index(index.build(docs(spark, sf_dir)), path)
+        segments.build(docs(spark, sf_dir), path, source)
         _INDEXES[key] = path
-    return index.load_index(spark, _INDEXES[key])
+    return segments.opened(docs(spark, sf_dir), _INDEXES[key], source)
 
 
 def _candidates_sql(literal: str, name: str) -> str:
@@ -134,39 +136,50 @@ def _candidates_sql(literal: str, name: str) -> str:
 
 @query("q_idx1_build", f"WITH {POSTINGS} SELECT tri, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM postings GROUP BY tri")
 def idx1(spark, sf_dir):
-    per_doc = index.build(docs(spark, sf_dir)).groupBy("tri", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("tri").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs"))
+    blocks = segments.posting_blocks(docs(spark, sf_dir))
+    return blocks.groupBy("tri").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_docs").alias("n_docs"))
 
 
 @query("q_idx2_candidates", f"WITH {POSTINGS}, {_candidates_sql('license', 'c')} SELECT * FROM c")
 def idx2(spark, sf_dir):
-    return index.candidates(_saved_index(spark, sf_dir), "license")
+    return _saved_index(spark, sf_dir).candidate_lines(docs(spark, sf_dir), grams.of_literal("license"))
 
 
 @query("q_jn2_posting_intersection", f"WITH {POSTINGS}, {_candidates_sql('stupid', 'c')} SELECT * FROM c")
 def jn2(spark, sf_dir):
-    return index.candidates(_saved_index(spark, sf_dir), "stupid")
+    return _saved_index(spark, sf_dir).candidate_lines(docs(spark, sf_dir), grams.of_literal("stupid"))
+
+
+_EITHER = ["[Ll]icensed under [A-Z]", "worthless [a-z]+"]
 
 
 @query("q_idx3_regex_candidates", f"WITH {POSTINGS}, {_candidates_sql('icensed under', 'a')}, {_candidates_sql('worthless ', 'b')} SELECT * FROM a UNION SELECT * FROM b")
 def idx3(spark, sf_dir):
-    spec = SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"])
-    return index.candidate_lines(_saved_index(spark, sf_dir), index.usable(spec))
+    return _saved_index(spark, sf_dir).candidate_lines(docs(spark, sf_dir), segments.tree_of(SearchSpec(_EITHER)))
+
+
+_NESTED = ["(MIT|Apache|GP?L)[ -](Lic|lic)en[cs]e", "(worth|use)less (idi[oO]t|[a-z]+)s?"]
+
+
+@query("q_idx3_alternation", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '{_NESTED[0]}') OR regexp_matches(line, '{_NESTED[1]}')")
+def idx3_alternation(spark, sf_dir):
+    """Patterns of groups, alternations and classes through the index, as a scan finds them."""
+    return _saved_index(spark, sf_dir).search(docs(spark, sf_dir), SearchSpec(_NESTED))
 
 
 @query("q_idx4_search", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '[Ll]icensed under [A-Z]') OR regexp_matches(line, 'worthless [a-z]+')")
 def idx4(spark, sf_dir):
-    return index.index_search(docs(spark, sf_dir), _saved_index(spark, sf_dir), SearchSpec(["[Ll]icensed under [A-Z]", "worthless [a-z]+"]))
+    return _saved_index(spark, sf_dir).search(docs(spark, sf_dir), SearchSpec(_EITHER))
 
 
 @query("q_flt12_indexed_literal", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'License')")
 def flt12(spark, sf_dir):
-    return index.index_search(docs(spark, sf_dir), _saved_index(spark, sf_dir), SearchSpec(["License"], fixed=True))
+    return _saved_index(spark, sf_dir).search(docs(spark, sf_dir), SearchSpec(["License"], fixed=True))
 
 
 @query("q_idx7_saved_index", f"WITH {POSTINGS} SELECT tri, count(*) AS n_lines FROM postings GROUP BY tri")
 def idx7(spark, sf_dir):
-    return _saved_index(spark, sf_dir).groupBy("tri").agg(F.count("*").alias("n_lines"))
+    return _saved_index(spark, sf_dir).counts().select("tri", "n_lines")
 
 
 @query("q_idx9_saved_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_no, start_line, end_line, text FROM chunks")
@@ -179,12 +192,38 @@ def idx9(spark, sf_dir):
 _CHANGED = "CASE WHEN doc_id % 10 = 1 THEN text || 'x' ELSE text END"
 
 
-@query("q_idx5_refresh", f"WITH {POSTINGS.replace('FROM documents WHERE', f'FROM (SELECT doc_id, lang, source, {_CHANGED} AS text FROM documents WHERE doc_id % 10 <> 2) WHERE')} SELECT tri, count(*) AS n FROM postings GROUP BY tri")
-def idx5(spark, sf_dir):
+_LATER = POSTINGS.replace("FROM documents WHERE", f"FROM (SELECT doc_id, lang, source, {_CHANGED} AS text FROM documents WHERE doc_id % 10 <> 2) WHERE")
+
+
+def _later(before):
     """One version of the table against another: every tenth document edited, every tenth removed."""
+    return before.filter("doc_id % 10 <> 2").withColumn("text", F.when(F.expr("doc_id % 10 = 1"), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+
+
+def _refreshed(spark, sf_dir):
+    """An index of the table, and of its later version by a refresh."""
     before = docs(spark, sf_dir).select("doc_id", "text")
-    after = before.filter("doc_id % 10 <> 2").withColumn("text", F.when(F.expr("doc_id % 10 = 1"), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return index.refresh(index.build(before), before, after).groupBy("tri").agg(F.count("*").alias("n"))
+    return segments.build(before, new_path(spark, "index")).refresh(_later(before))
+
+
+@query("q_idx5_refresh", f"WITH {_LATER} SELECT tri, count(*) AS n FROM postings GROUP BY tri")
+def idx5(spark, sf_dir):
+    return _refreshed(spark, sf_dir).counts().select("tri", F.col("n_lines").alias("n"))
+
+
+@query("q_idx5_compacted", f"WITH {_LATER} SELECT tri, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM postings GROUP BY tri")
+def idx5_compacted(spark, sf_dir):
+    """Segments merged into one, without the documents that are no more."""
+    return _refreshed(spark, sf_dir).compact(most=1).counts()
+
+
+@query("q_idx5_reuse", """SELECT count(*) FILTER (WHERE doc_id % 10 NOT IN (1, 2)) AS reused, 0::BIGINT AS added, count(*) FILTER (WHERE doc_id % 10 = 1) AS modified, count(*) FILTER (WHERE doc_id % 10 = 2) AS removed,
+count(*) FILTER (WHERE doc_id % 10 = 1) AS indexed FROM documents WHERE text IS NOT NULL""")
+def idx5_reuse(spark, sf_dir):
+    """What a refresh kept and what it wrote: documents of the delta segment."""
+    found = _refreshed(spark, sf_dir)
+    delta = found.documents().filter(F.col("seg") == found.manifest.segments[-1].id)
+    return delta.agg(F.count("*").alias("indexed")).select(*[F.lit(found.manifest.did[k]).cast("long").alias(k) for k in ("reused", "added", "modified", "removed")], "indexed")
 
 
 @query("q_idx6_stale_reason", "SELECT 'removed: ' || min(doc_id::VARCHAR) AS reason, true AS stale FROM documents WHERE doc_id % 10 = 2")
