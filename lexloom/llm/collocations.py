@@ -248,7 +248,7 @@ def _sum_texts(least: int):
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, phrase, size, n): all phrases of 1 to `longest` words with n >= least, and for each language a row of size 0 with its number of words."""
     spark = docs.sparkSession
-    shards = shard_count(docs, 1)
+    shards = shard_count(docs, 2)
     buckets = max(8, shards // 4)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     dealt = own.mapInArrow(_deal(shards, longest), "shard int, blob binary")
