@@ -37,6 +37,8 @@ CHARS, PAIRS = 1 << 20, 4 << 20
 BUCKET_BYTES = 256 << 20
 #: Candidates whose ids go to all tasks.
 FEW = 100_000
+#: Candidates of the rarest trigrams that are looked at at once; of more, the other trigrams are met first.
+DIRECT = 1_000
 #: Ranges of ids that a scan of few candidates is told, so that pages of Parquet without them are not decoded.
 RANGES = 32
 #: A tree with more trigrams is asked for its rarest only.
@@ -58,19 +60,36 @@ def _pairs(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
         return none
     breaks = points == 10
     line = np.cumsum(breaks) - breaks  # a break ends its own line
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    p = points.astype(np.uint64)
-    key = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]
-    inside = np.flatnonzero(~(breaks[:-2] | breaks[1:-1] | breaks[2:]))
-    if not len(inside):
+    n_lines, n_docs = int(line[-1]) + 1, len(texts)
+    # Code points as numbers of the characters that occur, so that trigrams are small numbers.
+    known = np.unique(points)
+    size = len(known)
+    letter = np.zeros(int(known[-1]) + 1, np.int64)
+    letter[known] = np.arange(size)
+    letter = letter[points]
+    code = (letter[:-2] * size + letter[1:-1]) * size + letter[2:]
+    inside = ~(breaks[:-2] | breaks[1:-1] | breaks[2:])
+    code, at = code[inside], line[:-2][inside]
+    if not len(code):
         return none
+    trigrams = None
+    if size**3 * max(n_lines, n_docs) >= 1 << 62:
+        trigrams, code = np.unique(code, return_inverse=True)
+    most = len(trigrams) if trigrams is not None else size**3
     # Once for each line, then counted for each document.
-    trigrams, code = np.unique(key[inside], return_inverse=True)
-    by_line = np.unique(code * (int(line[-1]) + 1) + line[inside])
-    code, at = np.divmod(by_line, int(line[-1]) + 1)
-    first_doc_of_line = np.zeros(int(line[-1]) + 1, np.int64)
-    first_doc_of_line[line[::-1]] = doc[::-1]
-    return _summed(trigrams[code], ids[first_doc_of_line[at]], np.ones(len(at), np.int64))
+    at, code = np.divmod(_distinct(np.sort(at * most + code)), most)
+    doc_of_line = np.searchsorted(np.cumsum([t.count("\n") + 1 for t in texts]), np.arange(n_lines), side="right")
+    both = np.sort(code * n_docs + doc_of_line[at])
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    code, doc = np.divmod(both[first], n_docs)
+    code = trigrams[code] if trigrams is not None else code
+    part = lambda x: known[x].astype(np.uint64)
+    key = (part(code // (size * size)) << np.uint64(42)) | (part(code // size % size) << np.uint64(21)) | part(code % size)
+    return key, ids[doc], np.diff(np.append(first, len(both)))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def _summed(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +159,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def posting_blocks(docs: DataFrame) -> DataFrame:
     """Posting blocks of documents (doc_id, text); a trigram has as many as tasks and sizes ask for."""
-    own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.lower("text"), "ς", "σ").alias("text"))
+    own = spread(docs.select("doc_id", "text")).filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.lower("text"), "ς", "σ").alias("text"))
     return own.mapInArrow(_build, BLOCKS)
 
 
@@ -190,7 +209,7 @@ class Index:
         for s in self.manifest.segments if segments is None else segments:
             one = self.spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{self.path}/blocks/{s.id}").withColumn("seg", F.lit(s.id))
             if trigrams is not None:
-                one = one.filter(F.col("bucket").isin(sorted({bucket_of(t, s.buckets) for t in trigrams})) & F.col("tri").isin(trigrams))
+                one = one.filter(F.col("bucket").isin(sorted({bucket_of(t, s.buckets) for t in trigrams})) & F.col("tri").isin(list(trigrams)))
             out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], f"{BLOCKS}, bucket int, seg string")
 
@@ -224,10 +243,18 @@ class Index:
     # Queries
 
     def candidates(self, tree: G.Tree) -> DataFrame | None:
-        """doc_id of documents that hold what a tree asks for; None if it asks for nothing.
+        """doc_id of documents that hold what a tree asks for; None if it asks for nothing."""
+        found = self._candidates(tree)
+        return self._ids(found) if isinstance(found, list) else found
+
+    def _ids(self, ids: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(x,) for x in ids], "doc_id long")
 
-        The tree's rarest trigrams come first: documents with any of them are the candidates. If these are few, of the other trigrams only blocks are read
-        whose skip keys enclose candidates, and only candidates are kept of them.
+    def _candidates(self, tree: G.Tree) -> list[int] | DataFrame | None:
+        """Documents that hold what a tree asks for, as a list where they are few.
+
+        The tree's rarest trigrams come first: documents with any of them are the candidates. If these are not very few, the other trigrams are met, of which only blocks are read
+        whose skip keys enclose candidates, and only candidates are kept.
         """
         every = sorted(G.grams_in(tree))
         if not every:
@@ -236,20 +263,21 @@ class Index:
         cost = {r["tri"]: r["n"] for r in self.blocks(every).groupBy("tri").agg(F.sum("n_docs").alias("n")).collect()}
         least, rarest = G.cheapest(tree, cost)
         hits = self._hits(self.blocks(sorted(rarest)))
+        found = sorted({r["doc_id"] for r in hits.select("doc_id").collect()}) if least <= FEW else None  # no more than FEW
         rest = sorted(set(every) - rarest)
+        if least <= min(DIRECT, FEW):
+            return found
         if not rest or len(every) > MOST_GRAMS:
-            return hits.select("doc_id").distinct()
-        if least <= FEW:
-            found = [r["doc_id"] for r in hits.select("doc_id").distinct().collect()]  # no more than FEW
-            spans = ranges_of(found, RANGES)
-            inside = functools.reduce(operator.or_, ((F.col("last") >= a) & (F.col("first") <= b) for a, b in spans), F.lit(False))
-            few = F.broadcast(self.spark.createDataFrame([(x,) for x in found], "doc_id long"))
-            hits = hits.unionByName(self._hits(self.blocks(rest).filter(inside)).join(few, "doc_id", "left_semi"))
+            return found if found is not None else hits.select("doc_id").distinct()
+        if found is not None:
+            inside = functools.reduce(operator.or_, ((F.col("last") >= a) & (F.col("first") <= b) for a, b in ranges_of(found, RANGES)), F.lit(False))
+            hits = hits.unionByName(self._hits(self.blocks(rest).filter(inside)).join(F.broadcast(self._ids(found)), "doc_id", "left_semi"))
         else:
             hits = hits.unionByName(self._hits(self.blocks(rest)))
         has = [F.max(F.col("tri") == g).alias(f"_g{i}") for i, g in enumerate(every)]
         number = {g: i for i, g in enumerate(every)}
-        return hits.groupBy("doc_id").agg(*has).filter(_condition(tree, lambda g: F.col(f"_g{number[g]}"))).select("doc_id")
+        both = hits.groupBy("doc_id").agg(*has).filter(_condition(tree, lambda g: F.col(f"_g{number[g]}"))).select("doc_id")
+        return both if found is None else [r["doc_id"] for r in both.collect()]
 
     def _hits(self, blocks: DataFrame) -> DataFrame:
         return self._alive(blocks.select("seg", "tri", F.explode("docs").alias("doc_id"))).select("tri", "doc_id")
@@ -261,18 +289,15 @@ class Index:
 
     def near(self, docs: DataFrame, tree: G.Tree) -> DataFrame | None:
         """The documents that a tree leaves, and those without an id; None if it asks for nothing."""
-        found = self.candidates(tree)
-        if found is None:
+        ids = self._candidates(tree)
+        if ids is None:
             return None
-        few = found.limit(FEW + 1).collect()
-        if len(few) > FEW:
-            return docs.join(found, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-        ids = [r["doc_id"] for r in few]
-        inside = functools.reduce(operator.or_, (F.col("doc_id").between(a, b) for a, b in ranges_of(ids, RANGES)), F.col("doc_id").isNull())
-        if len(ids) <= 1000:
-            return docs.filter(inside & (F.col("doc_id").isNull() | F.col("doc_id").isin(ids)))
-        few = F.broadcast(self.spark.createDataFrame([(x,) for x in ids], "doc_id long"))
-        return docs.filter(inside).join(few, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+        if not isinstance(ids, list):
+            return docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+        inside = F.expr(" or ".join(["doc_id is null", *(f"doc_id between {a}L and {b}L" for a, b in ranges_of(ids, RANGES))]))
+        if len(ids) <= DIRECT:
+            return docs.filter(inside).filter(f"doc_id is null or doc_id in ({', '.join(f'{x}L' for x in ids) or 'null'})")
+        return docs.filter(inside).join(F.broadcast(self._ids(ids)), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
     def candidate_lines(self, docs: DataFrame, tree: G.Tree) -> DataFrame | None:
         """(doc_id, line_no) of lines that hold what a tree asks for."""
@@ -384,6 +409,12 @@ def _bucket(tri: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.encode(tri, "utf-8")), F.lit(buckets)).cast("int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions: files with few row groups are read by few tasks, and what follows is dearer than reading."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prints(docs: DataFrame) -> DataFrame:
     """(doc_id, print) of documents with an id and a text; rows with the same id are one."""
     own = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
@@ -440,7 +471,6 @@ def build(docs: DataFrame, path: str, source: str = "") -> Index:
     return Index(docs.sparkSession, path)
 
 
-def opened(docs: DataFrame, path: str, source: str) -> Index:
-    """The index in a folder, brought up to its source if the files of that have changed since, and merged if it has too many segments."""
-    index = Index(docs.sparkSession, path)
+def current(index: Index, docs: DataFrame, source: str) -> Index:
+    """An index, brought up to its source if the files of that have changed since, and merged if it has too many segments."""
     return index if index.manifest.source == source else index.refresh(docs, source).compact()

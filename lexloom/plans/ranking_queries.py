@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions import grams
-from lexloom.operators import context, index, ranking, segments
+from lexloom.operators import context, index, ranking, segments, term_index
 from lexloom.operators.limits import within_budget
 from lexloom.operators.shared import new_path
 from lexloom.operators.search import SearchSpec, lines, search
@@ -114,7 +114,7 @@ def fn17(spark, sf_dir):
     return found.select("doc_id", "line_no", symbol_score(F.col("line"), "the", F.col("source").startswith("src1")).alias("score"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], segments.Index] = {}
 
 
 def _saved_index(spark, sf_dir):
@@ -122,10 +122,9 @@ def _saved_index(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     source = segments.source_digest(spark, f"{sf_dir}/documents.parquet")
     if key not in _INDEXES:
-        path = new_path(spark, "index")
-        segments.build(docs(spark, sf_dir), path, source)
-        _INDEXES[key] = path
-    return segments.opened(docs(spark, sf_dir), _INDEXES[key], source)
+        _INDEXES[key] = segments.build(docs(spark, sf_dir), new_path(spark, "index"), source)
+    _INDEXES[key] = segments.current(_INDEXES[key], docs(spark, sf_dir), source)
+    return _INDEXES[key]
 
 
 def _candidates_sql(literal: str, name: str) -> str:
@@ -264,10 +263,37 @@ def top1(spark, sf_dir):
     return ranking.top(_chunk_scores(spark, sf_dir), 10, IDS)
 
 
+_TERM_INDEXES: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _term_index(spark, sf_dir, kind):
+    """Term postings of a table's chunks or documents: built and saved once in a session, anew where the table's files have changed since."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    source = segments.source_digest(spark, f"{sf_dir}/documents.parquet")
+    if _TERM_INDEXES.get(key, ("", ""))[1] != source:
+        path = new_path(spark, "terms")
+        units, ids = (context.chunks(docs(spark, sf_dir), 8, 2), IDS) if kind == "chunks" else (docs(spark, sf_dir), ["doc_id"])
+        term_index.build(units, ids, path)
+        _TERM_INDEXES[key] = (path, source)
+    return term_index.TermIndex(spark, _TERM_INDEXES[key][0])
+
+
+@query("q_rnk1_postings", f"WITH {BM25} SELECT doc_id, chunk_no, score FROM bm")
+def rnk1_postings(spark, sf_dir):
+    """The scores from term postings; no text is split."""
+    return _term_index(spark, sf_dir, "chunks").bm25(QUERY)
+
+
+@query("q_rnk1_block_max", f"WITH {BM25} SELECT doc_id, chunk_no, score FROM bm ORDER BY score DESC, doc_id, chunk_no LIMIT 10")
+def rnk1_block_max(spark, sf_dir):
+    """The best by way of block bounds, most blocks not read."""
+    return _term_index(spark, sf_dir, "chunks").top(QUERY, 10, context.chunks(docs(spark, sf_dir), 8, 2))[0]
+
+
 @query("q_jn3_term_postings", f"SELECT w AS term, count(*) AS n_docs, sum(n)::BIGINT AS n FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({TERMS}) AS w FROM documents) WHERE w IN ('the', 'license', 'stupid') GROUP BY ALL) GROUP BY w")
 def jn3(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", F.explode(T.split_terms(F.col("text"))).alias("term")).filter(F.col("term").isin("the", "license", "stupid"))
-    return found.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    found = _term_index(spark, sf_dir, "documents").blocks(["the", "license", "stupid"])
+    return found.groupBy("term").agg(F.sum("n").alias("n_docs"), F.sum("sum_tf").alias("n"))
 
 
 _RERANKED = f"""WITH {BM25}, m AS (SELECT doc_id, line_no FROM lines WHERE contains(line, 'License')), r AS (SELECT m.doc_id, m.line_no, coalesce(max(score), 0.0) AS score FROM m LEFT JOIN bm ON bm.doc_id = m.doc_id AND m.line_no BETWEEN start_line AND end_line GROUP BY ALL)"""

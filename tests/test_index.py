@@ -102,9 +102,10 @@ def base(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("spec", SPECS, ids=str)
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_index_gives_the_rows_of_a_scan(base, monkeypatch, spec, few):
+@pytest.mark.parametrize("few, direct", [(100_000, 1000), (100_000, 0), (0, 0)])
+def test_index_gives_the_rows_of_a_scan(base, monkeypatch, spec, few, direct):
     monkeypatch.setattr(segments, "FEW", few)
+    monkeypatch.setattr(segments, "DIRECT", direct)
     docs, index = base
     assert got(index.search(docs, spec)) == got(search.search(docs, spec))
 
@@ -205,6 +206,7 @@ def test_a_query_sees_what_was_added_to_the_files(spark, tmp_path):
 
 def test_blocks_outside_the_candidates_are_not_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(segments, "DIRECT", 0)
     index = segments.build(frame(spark, [f"common words {'needle' if i == 500 else i}" for i in range(600)]).coalesce(1), str(tmp_path))
     found = index.candidates(G.of_literal("common words needle"))
     assert got(found) == [(500,)]
