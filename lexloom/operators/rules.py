@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import canonical_json
+from lexloom.functions.text import canonical_json, required_literal
 from lexloom.operators.search import lines
 
 
@@ -68,6 +68,9 @@ def match_rules(docs: DataFrame, rules: tuple[Rule, ...], *keep: str) -> DataFra
     def hit(rule: Rule):
         return functools.reduce(operator.or_, (F.col("line").rlike(p) for p in rule.patterns))
 
+    literals = [required_literal(p) for r in rules for p in r.patterns]
+    if literals and all(literals):
+        docs = docs.filter(functools.reduce(operator.or_, (F.col("text").contains(x) for x in dict.fromkeys(literals))))
     found = F.array_compact(F.array(*[F.when(hit(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules]))
     own = lines(docs, *keep).select("doc_id", *keep, "line_no", "line", F.explode(found).alias("r"))
     return own.select("r.rule_id", "r.severity", "doc_id", *keep, "line_no", "line")

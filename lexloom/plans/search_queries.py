@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators import context, search
+from lexloom.operators import context, many, search
 from lexloom.operators.search import SearchSpec
 from lexloom.plans.base import LINES, query, table
 
@@ -93,6 +93,19 @@ def flt9(spark, sf_dir):
     return search.multi_pattern(docs(spark, sf_dir), PATTERNS)
 
 
+_PIECES_SQL = "SELECT DISTINCT substring(text, 1 + 37 * k, 6 + 2 * k) AS pattern_text FROM documents, range(5) r(k) WHERE length(text) >= 6 + 39 * k AND doc_id < 1000"
+
+
+@query("q_flt9_many_patterns", f"WITH {LINES}, p AS (SELECT pattern_text FROM ({_PIECES_SQL}) WHERE NOT contains(pattern_text, chr(10))) SELECT doc_id, line_no, pattern_text FROM lines JOIN p ON contains(line, pattern_text)")
+def flt9_many(spark, sf_dir):
+    """Up to 5,000 pieces of the first thousand documents, looked for in all lines of all documents."""
+    own = docs(spark, sf_dir)
+    pieces = own.filter("doc_id < 1000").select("text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).filter("length(text) >= 6 + 39 * k")
+    patterns = sorted({r[0] for r in pieces.select(F.expr("substring(text, 1 + 37 * k, 6 + 2 * k)")).collect()})  # 5,000 at most
+    known = spark.createDataFrame([*enumerate(patterns)], "pattern_id long, pattern_text string")
+    return many.match_many(own, patterns).join(F.broadcast(known), "pattern_id").select("doc_id", "line_no", "pattern_text")
+
+
 @query("q_flt14_lookaround")
 def flt14(spark, sf_dir):
     return search.search(docs(spark, sf_dir), SearchSpec([r"(?<=the )\b(\w+)\b(?= \1)"]))
