@@ -56,11 +56,27 @@ def top(ranked: DataFrame, k: int, ids: Sequence[str], score: str = "score") ->
     return ranked.orderBy(F.desc(score), *ids).limit(k)
 
 
+#: Lines of a bin of the interval join.
+BIN = 32
+
+
+def inside(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str, width: int = BIN) -> DataFrame:
+    """points with each interval of their key that holds them: the columns of points, and those of intervals besides the key.
+
+    An interval is told to the bins that it covers and a point to its own, so the join is one of equal keys (key and bin) and a long document spreads over its bins; no point meets
+    an interval of another bin. Null points are in no interval.
+    """
+    named = points.select("*", F.floor(F.col(point) / width).alias("_bin"))
+    covered = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+    spread = intervals.filter(F.col(start) <= F.col(end)).select("*", F.explode(covered).alias("_bin"))
+    return named.join(spread, [key, "_bin"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("_bin")
+
+
 def rerank_lines(matches: DataFrame, scored: DataFrame) -> DataFrame:
     """Matching lines with the best score of the chunks that contain them, 0 if none. scored: doc_id, start_line, end_line, score."""
-    joined = matches.join(scored, (matches.doc_id == scored.doc_id) & matches.line_no.between(scored.start_line, scored.end_line), "left")
-    best = joined.groupBy(matches.doc_id, matches.line_no).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
-    return best.select("doc_id", "line_no", "score")
+    own = matches.select("doc_id", "line_no")
+    best = inside(own, scored.select("doc_id", "start_line", "end_line", "score"), "doc_id", "line_no", "start_line", "end_line").groupBy("doc_id", "line_no").agg(F.max("score").alias("score"))
+    return own.distinct().join(best, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

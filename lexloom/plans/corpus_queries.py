@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural
+from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural, sweep
 from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
@@ -178,6 +178,21 @@ def grf10(spark, sf_dir):
     return graph.blast_radius(_edges(spark, sf_dir), seeds, 3)
 
 
+def _paths_sql(seed: int, max_depth: int, most: int) -> str:
+    parts = [EDGES_SQL, f"k0 AS (SELECT [{seed}]::BIGINT[] AS path)"]
+    for d in range(1, max_depth + 1):
+        parts.append(f"s{d} AS (SELECT list_append(path, src) AS path FROM k{d - 1} JOIN edges ON dst = path[-1] WHERE NOT list_contains(path, src))")
+        parts.append(f"k{d} AS (SELECT path, (SELECT count(*) FROM s{d}) AS found FROM s{d} ORDER BY path LIMIT {most})")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {d} AS depth, path, found FROM k{d}" for d in range(1, max_depth + 1))
+
+
+@query("q_grf10_caller_paths", _paths_sql(5, 3, 200))
+def grf10_paths(spark, sf_dir):
+    """A tree of callers with a budget a level, which tells what it leaves out."""
+    calls = _edges(spark, sf_dir).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    return graph.caller_paths(calls, 5, 3, 200)
+
+
 def _pagerank_sql(iterations: int = 12) -> str:
     steps = [f"{EDGES_SQL}, nodes AS (SELECT s_suppkey AS node FROM supplier), b AS (SELECT dst AS node, src AS importer FROM edges WHERE dst IN (SELECT node FROM nodes)), o AS (SELECT node, count(*) AS n FROM b GROUP BY node)"]
     steps.append("r0 AS (SELECT node, coalesce(n, 0) AS n, CASE WHEN node IN (1, 2) THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS p, CASE WHEN node IN (1, 2) THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS rank FROM nodes LEFT JOIN o USING (node))")
@@ -256,6 +271,18 @@ def grf4(spark, sf_dir):
     return graph.references(lines(docs(spark, sf_dir)), "token").select("doc_id", "line_no", "is_call")
 
 
+# Full stops stand for quotes and commas for raw quotes, so that strings end and begin on other lines.
+_CODE_SQL = "translate(text, '.,', '\"`')"
+_BLANK_SQL = """array_to_string(list_transform(regexp_extract_all({0}, '"[^"\\n]*"?|`[^`]*`?|//[^\\n]*|[^"`/]+|/'), lambda x: CASE WHEN x[1] IN ('"', '`') OR x[1:2] = '//' THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '')"""
+
+
+@query("q_grf4_code_references", f"WITH {LINES.replace('FROM documents', f'FROM (SELECT doc_id, lang, source, {_BLANK_SQL.format(_CODE_SQL)} AS text FROM documents)')} SELECT doc_id, line_no, regexp_matches(line, '(\\b|\\.|::)the\\s*\\(') AS is_call FROM lines WHERE regexp_matches(line, '\\bthe\\b')")
+def grf4_code(spark, sf_dir):
+    """Lines with a word outside of strings that go on over lines."""
+    code = docs(spark, sf_dir).select("doc_id", F.translate("text", ".,", '"`').alias("text"))
+    return graph.code_references(code, "the", "go")
+
+
 @query("q_grf9_callers", "WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_]+)\\([^)]*\\);', 1)) AS name FROM pages) SELECT name, count(*) AS n, count(DISTINCT page_id) AS files FROM s GROUP BY name")
 def grf9(spark, sf_dir):
     calls = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"([A-Za-z_]+)\([^)]*\);"), F.lit(1))).alias("name"))
@@ -329,6 +356,20 @@ def str6(spark, sf_dir):
     return changes.live_claims(events, F.lit(now))
 
 
+_ENDS_SQL = f"""WITH {_EVENTS}, d AS (SELECT DISTINCT claim_id, agent_id, kind, ts, expires_at FROM e),
+o AS (SELECT *, lead(ts) OVER w AS nxt, lag(kind) OVER w AS pk, lag(expires_at) OVER w AS px, (SELECT max(ts) FROM e) AS wm FROM d WINDOW w AS (PARTITION BY claim_id ORDER BY ts, kind))
+SELECT claim_id, agent_id, 'expired' AS change, expires_at AS "at" FROM o WHERE kind = 'submit' AND (nxt > expires_at OR nxt IS NULL AND epoch_ms(expires_at) < epoch_ms(wm))
+UNION ALL SELECT claim_id, agent_id, 'released', ts FROM o WHERE kind = 'release' AND pk = 'submit' AND px >= ts"""
+
+
+@query("q_str6_claim_ends", _ENDS_SQL)
+def str6_ends(spark, sf_dir):
+    """Claims that were released or that a timer ended, from a drained stream."""
+    kind = F.when(F.col("event_type") == "purchase", "release").otherwise("submit")
+    events = streams.read_table(spark, sf_dir, "events").select(F.col("user_id").alias("claim_id"), (F.col("user_id") % 7).alias("agent_id"), kind.alias("kind"), F.col("ts").alias("at"), F.expr("ts + interval 3 day").alias("expires_at"))
+    return _drained(spark, streams.claim_ends(events)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("q_jn8_claim_overlap", "WITH c AS (SELECT DISTINCT o_orderkey AS claim_id, o_custkey % 5 AS agent_id, l_partkey AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey ) SELECT a.claim_id AS a_id, b.claim_id AS b_id, count(*) AS n_shared, min(a.symbol) AS first_shared FROM c a JOIN c b ON a.symbol = b.symbol AND a.claim_id < b.claim_id AND a.agent_id <> b.agent_id GROUP BY ALL")
 def jn8(spark, sf_dir):
     held = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -739,6 +780,19 @@ def agg12(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("worst"))
 
 
+_AT_ONCE_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), s AS (SELECT min(ts) AS a, max(ts) + INTERVAL 2 HOUR AS b FROM k GROUP BY user_id, k),
+d AS (SELECT DISTINCT unnest(generate_series(date_trunc('day', a), date_trunc('day', b - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS t FROM s),
+p AS (SELECT a AS t, 1 AS n FROM s UNION ALL SELECT b, -1 FROM s UNION ALL SELECT t, 0 FROM d), r AS (SELECT t, sum(n) OVER (ORDER BY t, n ROWS UNBOUNDED PRECEDING) AS o FROM p)
+SELECT date_trunc('day', t)::TIMESTAMP AS day, max(o)::BIGINT AS most FROM r WHERE date_trunc('day', t) IN (SELECT t FROM d) GROUP BY ALL"""
+
+
+@query("q_agg12_at_once", _AT_ONCE_SQL)
+def agg12_at_once(spark, sf_dir):
+    """The greatest number of different clients at once, a day."""
+    return sweep.most_at_once(sweep.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 hours"))
+
+
 # Sinks
 
 

@@ -69,6 +69,46 @@ def changes(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("path").applyInPandasWithState(run, "path string, change string", "mtime long, size long", "append", GroupStateTimeout.NoTimeout)
 
 
+CLAIM_ENDS = "claim_id long, agent_id long, change string, at timestamp"
+
+
+def claim_ends(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(claim_id, agent_id, change, at) of claims that end, from a stream of claim_id, agent_id, kind (submit or release), at, expires_at.
+
+    State holds each live claim's last submission and a timer at its expiry. A release ends it, a submission renews it, and when the watermark has passed the timer it has expired, with no event of its own; so does a
+    claim whose next event comes after its expiry. Events of a claim are taken in the order of time and kind within a batch; what is late beyond the watermark is dropped by it.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = state.get if state.exists else None  # agent, expiry in microseconds
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            out.append((key[0], live[0], "expired", live[1]))
+            live = None
+        else:
+            whole = pd.concat(list(frames))
+            micros = lambda c: whole[c].astype("datetime64[us]").astype("int64")
+            for at, kind, agent, expires in sorted(zip(micros("at"), whole["kind"], whole["agent_id"], micros("expires_at"), strict=True)):
+                if live is not None and live[1] < at:
+                    out.append((key[0], live[0], "expired", live[1]))
+                    live = None
+                if kind == "release":
+                    out += [(key[0], int(agent), "released", at)] if live is not None else []
+                    live = None
+                else:
+                    live = (int(agent), int(expires))
+        if live is None:
+            state.remove()
+        else:
+            state.update(live)
+            # A timer must lie behind the watermark; one that the watermark has passed already fires with the next.
+            state.setTimeoutTimestamp(max(live[1] // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"claim_id": pd.Series([x[0] for x in out], dtype="int64"), "agent_id": pd.Series([x[1] for x in out], dtype="int64"), "change": [x[2] for x in out], "at": pd.to_datetime([x[3] for x in out], unit="us")})
+
+    timed = events.withColumn("at", F.col("at").cast("timestamp")).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    return timed.withWatermark("at", late).groupBy("claim_id").applyInPandasWithState(run, CLAIM_ENDS, "agent_id long, expires long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Answers:
     """Answers by request and state of the corpus, the least recently used one first to go. A change of the corpus changes its fingerprint, so old answers are never given again."""
 
