@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural, sweep
+from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural, sweep, vendored
 from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
@@ -241,6 +241,36 @@ def grf14(spark, sf_dir):
     return graph.vendored_trees(files, _edges(spark, sf_dir))
 
 
+# A tree of files by part: brands as packages, some with a vendored library, a collection of skills or a manifest of their own.
+_TREE = """CASE p_partkey % 9 WHEN 0 THEN 'src/b' || p_size || '/m' || p_partkey || '.py' WHEN 1 THEN 'src/b' || p_size || '/vendor/lib/f' || p_partkey || '.py' WHEN 2 THEN 'src/b' || p_size || '/vendor/lib/package.json'
+WHEN 3 THEN 'tools/' || p_size || '/skills/s' || p_partkey || '/SKILL.md' WHEN 4 THEN 'tools/' || p_size || '/skills/s' || (p_partkey - 1) || '/run.py' WHEN 5 THEN 'apps/a' || p_size || '/x/third_party/z' || p_partkey || '.py'
+WHEN 6 THEN 'apps/a' || p_size || '/Cargo.toml' WHEN 7 THEN 'apps/a' || p_size || '/src/l' || p_partkey || '.rs' ELSE 'apps/a' || p_size || '/src/k' || p_partkey || '.rs' END"""
+_VENDORED_SQL = f"""WITH f AS (SELECT p_partkey AS k, {_TREE} AS path FROM part), files AS (SELECT DISTINCT path FROM f),
+edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM lineitem l JOIN f a ON a.k = l.l_partkey JOIN f b ON b.k = l.l_partkey - 1 WHERE a.path <> b.path),
+ups AS (SELECT path, string_split(path, '/') AS ps FROM files), d AS (SELECT path, ps, n, array_to_string(ps[1:n], '/') AS dir FROM ups, range(1, 12) r(n) WHERE n < len(ps)),
+per AS (SELECT dir, count(*) AS files, min(CASE WHEN n = len(ps) - 1 AND ps[-1] IN {vendored.MANIFESTS} THEN ps[-1] END) AS manifest,
+  coalesce(bool_or(n = len(ps) - 1 AND ps[-1] = '__init__.py'), false) AS package, coalesce(bool_or(n = len(ps) - 1 AND lower(ps[-1]) = 'skill.md'), false) AS skill FROM d GROUP BY dir),
+x AS (SELECT e.*, per.dir, starts_with(src, dir || '/') AS s, starts_with(dst, dir || '/') AS t FROM edges e JOIN (SELECT dir FROM per) per ON starts_with(dst, dir || '/')),
+im AS (SELECT dir, count(*) FILTER (WHERE NOT s) AS imported, count(*) FILTER (WHERE s) AS internal FROM x GROUP BY dir),
+ch AS (SELECT regexp_replace(dir, '/[^/]*$', '') AS dir, count(*) AS children, count(*) FILTER (WHERE skill) AS skills, count(*) FILTER (WHERE package) AS packages FROM per WHERE contains(dir, '/') GROUP BY 1),
+s AS (SELECT per.dir, files, manifest, coalesce(imported, 0) = 0 AND coalesce(internal, 0) > 0 AS island, list_sort(list_filter(['vendor', 'third_party', 'skills', 'external_repos', '_vendored', 'node_modules'], lambda v: list_contains(string_split(lower(per.dir), '/'), v))) AS named,
+  string_split(lower(per.dir), '/')[-1] IN ('.claude') AS tool, string_split(lower(per.dir), '/')[-1] IN ('third_party', '_vendored') AS vendor,
+  string_split(lower(per.dir), '/')[-1] = 'skills' AND coalesce(imported, 0) = 0 AND NOT package AND coalesce(children, 0) > 0 AND coalesce(packages, 0) = 0 AND coalesce(skills, 0) >= 0.6 * coalesce(children, 0) AS skills
+  FROM per LEFT JOIN im USING (dir) LEFT JOIN ch USING (dir)),
+g AS (SELECT * FROM s WHERE manifest IS NOT NULL OR tool OR vendor OR skills), o AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g u WHERE starts_with(g.dir, u.dir || '/')))
+SELECT dir, files, list_filter([CASE WHEN manifest IS NOT NULL THEN 'manifest:' || manifest END, CASE WHEN island THEN 'island' END, CASE WHEN len(named) > 0 THEN 'name:' || named[1] END, CASE WHEN tool THEN 'tool-config' END, CASE WHEN vendor THEN 'vendor-name' END, CASE WHEN skills THEN 'skills' END], lambda v: v IS NOT NULL) AS reasons
+FROM o WHERE island OR len(named) > 0 OR tool OR vendor OR skills"""
+
+
+@query("q_grf14_subtrees", _VENDORED_SQL)
+def grf14_subtrees(spark, sf_dir):
+    """Vendored subtrees of any depth, the outermost of each chain once."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_TREE).alias("path"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_partkey") - 1).alias("k2")).distinct()
+    edges = pairs.join(part.withColumnRenamed("path", "src"), "k").join(part.select(F.col("k").alias("k2"), F.col("path").alias("dst")), "k2").select("src", "dst").filter("src <> dst").distinct()
+    return vendored.vendored_subtrees(part.select("path").distinct(), edges)
+
+
 @query("q_grf15_entry_points", f"SELECT page_id, {PATH_SQL} AS path FROM pages WHERE list_extract(string_split({PATH_SQL}, '/'), -1) IN ('25', '474.html', '519')")
 def grf15(spark, sf_dir):
     return graph.entry_points(table(spark, sf_dir, "pages").select("page_id", _path().alias("path")), names=("25", "474.html", "519"))

@@ -143,3 +143,23 @@ def test_renewals_releases_and_gaps(spark, tmp_path):
 
 def test_nothing_has_expired_before_the_watermark(spark, tmp_path):
     assert drained(spark, tmp_path, [[claim(1, "submit", 0), claim(2, "submit", 6, ttl=100)]], late="2 hours") == []
+
+
+FILES = [
+    "main.py", "src/a.py", "src/vendor/lib/package.json", "src/vendor/lib/x.py", "src/vendor/lib/y.py", "src/vendor/lib/deep/third_party/z.py", "src/vendor/loose.py", "deep/er/third_party/q.py", "deep/er/third_party/more/third_party/r.py",
+    "pkg/pyproject.toml", "pkg/p.py", "pkg/q.py", "used/pyproject.toml", "used/u.py", "used/v.py",
+    "tools/skills/one/SKILL.md", "tools/skills/one/run.py", "tools/skills/two/skill.md", "tools/skills/three/run.py", "lib/skills/one/SKILL.md", "lib/skills/one/__init__.py", "own/skills/one/SKILL.md", "own/skills/one/run.py", "bare/skills/a.py", ".claude/hooks/h.py", "lonely/go.mod",
+]
+IMPORTS = [("pkg/p.py", "pkg/q.py"), ("pkg/p.py", "src/a.py"), ("used/u.py", "used/v.py"), ("main.py", "used/v.py"), ("src/a.py", "src/vendor/lib/x.py"), ("main.py", "own/skills/one/run.py"), ("tools/skills/one/run.py", "tools/skills/three/run.py")]
+
+
+def test_vendored_subtrees_at_any_depth(spark):
+    from lexloom.operators import vendored
+
+    files = spark.createDataFrame([(f, 1) for f in FILES], "path string, dir int")
+    found = {r["dir"]: (r.files, r.reasons) for r in vendored.vendored_subtrees(files, spark.createDataFrame(IMPORTS, "src string, dst string")).collect()}
+    assert found == {
+        "src/vendor/lib": (4, ["manifest:package.json", "name:vendor"]), "deep/er/third_party": (2, ["name:third_party", "vendor-name"]), "pkg": (3, ["manifest:pyproject.toml", "island"]),
+        "tools/skills": (4, ["island", "name:skills", "skills"]), ".claude": (1, ["tool-config"]),
+    }
+    assert vendored.vendored_subtrees(files.limit(0), spark.createDataFrame([], "src string, dst string")).collect() == []
