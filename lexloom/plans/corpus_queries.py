@@ -8,7 +8,7 @@ from lexloom.operators import changes, classify, graph, inventory, receipts, res
 from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
-from lexloom.plans.base import LINES, query, table
+from lexloom.plans.base import LINES, ORACLE_SQL, query, table
 from lexloom.plans.search_queries import docs
 from lexloom.sources import sinks
 from lexloom.streaming import streams
@@ -805,6 +805,20 @@ def str11_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"), "2 hours")
 
 
+# What a drained stream has told: windows and sessions that the watermark, an hour behind the last event, has passed.
+_MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("q_str11_tumbling_stream", f"SELECT * FROM ({_COUNTS.format('1 HOUR')}) WHERE window_start + INTERVAL 1 HOUR <= {_MARK}")
+def str11_stream(spark, sf_dir):
+    return _drained(spark, streams.counts(streams.read_table(spark, sf_dir, "events"), "1 hour"))
+
+
+@query("q_str11_sessions_stream", f"SELECT * FROM ({{0}}) WHERE session_end <= {_MARK}".replace("{0}", ORACLE_SQL["q_str11_sessions"]))
+def str11_sessions_stream(spark, sf_dir):
+    return _drained(spark, streams.sessions(streams.read_table(spark, sf_dir, "events"), "2 hours"))
+
+
 @query("q_agg12_demand", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS worst FROM events GROUP BY event_type")
 def agg12(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("worst"))
