@@ -374,7 +374,7 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         _urn(F.col("page_id")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
         F.when(~again, F.col("payload")).alias("payload"),
         "payload_bytes",
         "payload_digest",
