@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.search import lines as split_into_lines
@@ -101,6 +101,25 @@ def codemap(files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame
     return every.select("file", zero("imports"), "first_import", zero("importers"), zero("symbols"))
 
 
+def edit_plan(edges: DataFrame, files: DataFrame, scores: DataFrame, primary: str | int, max_depth: int = 3, most: int = 20) -> DataFrame:
+    """(role, rank, file, depth, score, found): what a change of a file asks for. The file itself; the files that reach it through imports, nearest first, then by score; and the tests among them, which are to be run.
+
+    edges: src, dst; files: file, is_test; scores: file, score. A role shows its first `most` files, by a top-k; `found` is how many it has, so that what is left out is told. A file that isn't there has no plan.
+    """
+    reached = blast_radius(edges, files.filter(F.col("file") == primary).select("file"), max_depth)
+    known = reached.join(files, "file").join(scores, "file", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    role = F.when(F.col("depth") == 0, "primary").when(F.coalesce("is_test", F.lit(False)), "test").otherwise("dependent")
+    known = checkpointed(known.select(role.alias("role"), "file", "depth", "score"))
+    order = [F.col("depth"), F.desc("score"), F.col("file")]
+    out: DataFrame | None = None
+    for name in ("primary", "dependent", "test"):
+        own = known.filter(F.col("role") == name)
+        shown = own.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(*order)))  # of `most` rows
+        shown = shown.crossJoin(F.broadcast(own.agg(F.count("*").alias("found"))))  # one row
+        out = shown if out is None else out.unionByName(shown)
+    return out.select("role", "rank", "file", "depth", "score", "found")
+
+
 def suggested_scope(scores: DataFrame, least: float = 1.5) -> DataFrame:
     """The directory with the highest sum, if it has `least` times that of the next: zero or one row. scores: dir, score."""
     two = scores.groupBy("dir").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "dir").limit(2)

@@ -228,6 +228,18 @@ def grf12(spark, sf_dir):
     return _central(spark, sf_dir).select("file", "score").orderBy(F.desc("score"), "file").limit(20)
 
 
+_PLAN_SQL = _CENTRAL_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, rec(file, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT src, depth + 1 FROM rec JOIN edges ON dst = file WHERE depth < 2),
+m AS (SELECT file, min(depth)::INTEGER AS depth FROM rec GROUP BY file), w AS (SELECT m.file, depth, score, CASE WHEN depth = 0 THEN 'primary' WHEN dir % 5 = 0 THEN 'test' ELSE 'dependent' END AS role FROM m JOIN central USING (file))
+SELECT role, rank::INTEGER AS rank, file, depth, score, found FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY depth, score DESC, file) AS rank, count(*) OVER (PARTITION BY role) AS found FROM w) WHERE rank <= 15"""
+
+
+@query("q_grf16_edit_plan", _PLAN_SQL)
+def grf16_edit_plan(spark, sf_dir):
+    """Suppliers stand for files; those of every fifth nation are tests."""
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_nationkey") % 5 == 0).alias("is_test"))
+    return graph.edit_plan(_edges(spark, sf_dir), files, _central(spark, sf_dir).select("file", "score"), 5, 2, 15)
+
+
 @query("q_grf13_scope", f"{_CENTRAL_SQL}, d AS (SELECT dir, sum(score) AS score, row_number() OVER (ORDER BY sum(score) DESC, dir) AS r FROM central GROUP BY dir) SELECT x.dir, x.score FROM d x LEFT JOIN d y ON y.r = 2 WHERE x.r = 1 AND (y.score IS NULL OR x.score >= 1.01 * y.score)")
 def grf13(spark, sf_dir):
     return graph.suggested_scope(_central(spark, sf_dir), 1.01)

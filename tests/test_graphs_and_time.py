@@ -163,3 +163,12 @@ def test_vendored_subtrees_at_any_depth(spark):
         "tools/skills": (4, ["island", "name:skills", "skills"]), ".claude": (1, ["tool-config"]),
     }
     assert vendored.vendored_subtrees(files.limit(0), spark.createDataFrame([], "src string, dst string")).collect() == []
+
+
+def test_edit_plans(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("t", "a"), ("t2", "c"), ("d", "a"), ("x", "y"), ("z", "t2")], "src string, dst string")
+    files = spark.createDataFrame([(f, f.startswith("t")) for f in "a b c d t t2 x y".split()], "file string, is_test boolean")
+    scores = spark.createDataFrame([("d", 9.0), ("b", 1.0)], "file string, score double")
+    want = [("dependent", 1, "d", 1, 9.0, 3), ("dependent", 2, "b", 1, 1.0, 3), ("primary", 1, "a", 0, 0.0, 1), ("test", 1, "t", 1, 0.0, 2), ("test", 2, "t2", 3, 0.0, 2)]
+    assert got(graph.edit_plan(edges, files, scores, "a", 3, 2)) == want
+    assert graph.edit_plan(edges, files, scores, "nowhere").collect() == []
