@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import required_literal
 from lexloom.operators import rules as R
 from lexloom.operators.search import lines
+from lexloom.operators.shared import checkpointed
 
 GRAM = 6
 #: Bytes of patterns that a pass takes to all tasks.
@@ -182,7 +183,8 @@ def match_rules(docs: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
     if asked:
         spark = docs.sparkSession
         table = spark.createDataFrame([(i, r.id, r.severity, p) for i, (r, p, _) in enumerate(asked)], "pattern_id long, rule_id string, severity string, pattern string")
-        found = match_many(docs, [x for _, _, x in asked]).join(F.broadcast(table), "pattern_id")
+        # Met twice: once for the documents that are split again, once for their lines.
+        found = checkpointed(match_many(docs, [x for _, _, x in asked])).join(F.broadcast(table), "pattern_id")
         near = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
         hits = lines(near).join(found, ["doc_id", "line_no"]).filter(F.expr("line rlike pattern"))
         out.append(hits.select("rule_id", "severity", "doc_id", "line_no", "line").distinct())

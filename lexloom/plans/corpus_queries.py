@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import changes, classify, graph, inventory, receipts, resolve, rules, structural, sweep, vendored
+from lexloom.operators import changes, classify, graph, inventory, many, receipts, resolve, rules, structural, sweep, vendored
 from lexloom.operators.limits import within_budget
 from lexloom.operators.search import SearchSpec, lines, search
 from lexloom.operators.shared import new_path
@@ -83,6 +83,18 @@ def rul2(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
+_WORD_RULES = "SELECT DISTINCT regexp_extract(text, '[a-z]{7,}') AS w FROM documents WHERE doc_id < 400 AND regexp_extract(text, '[a-z]{7,}') <> ''"
+
+
+@query("q_rul2_many_rules", f"WITH {LINES}, r AS ({_WORD_RULES}) SELECT 'word-' || w AS rule_id, doc_id, line_no, line FROM lines JOIN r ON contains(line, w) WHERE regexp_matches(line, '[^a-z]' || w || '[a-z]?[^a-z]')")
+def rul2_many(spark, sf_dir):
+    """Up to 400 rules, each for a long word of the first documents, over all lines of all documents."""
+    own = docs(spark, sf_dir)
+    words = own.filter("doc_id < 400").select(F.regexp_extract("text", "[a-z]{7,}", 0).alias("w")).filter("w <> ''").distinct()
+    made = tuple(rules.Rule(f"word-{r['w']}", (f"[^a-z]{r['w']}[a-z]?[^a-z]",), "low") for r in words.collect())  # 400 at most
+    return many.match_rules(own, made).select("rule_id", "doc_id", "line_no", "line")
+
+
 @query("q_agg11_findings", f"WITH {MATCHED}, t AS (SELECT rule_id, severity, count(*) AS matches, count(DISTINCT doc_id) AS files FROM hits GROUP BY ALL), e AS (SELECT rule_id, doc_id FROM (SELECT DISTINCT rule_id, doc_id FROM hits) QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY doc_id) <= 3) SELECT t.*, list(doc_id ORDER BY doc_id) AS evidence FROM t JOIN e USING (rule_id) GROUP BY ALL")
 def agg11(spark, sf_dir):
     return rules.findings(_hits(spark, sf_dir))
