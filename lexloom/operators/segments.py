@@ -34,7 +34,7 @@ BLOCK_DOCS = 1024
 #: Code points of texts that a task looks at together, and pairs of document and trigram that it gathers before it writes blocks.
 CHARS, PAIRS = 1 << 20, 4 << 20
 #: Bytes of source files for each bucket of trigrams.
-BUCKET_BYTES = 256 << 20
+BUCKET_BYTES = 16 << 20
 #: Candidates whose ids go to all tasks.
 FEW = 100_000
 #: Candidates of the rarest trigrams that are looked at at once; of more, the other trigrams are met first.
@@ -443,7 +443,7 @@ def _write_blocks(blocks: DataFrame, path: str, buckets: int) -> None:
 def _write_segment(path: str, docs: DataFrame) -> Segment:
     seg = uuid.uuid4().hex
     spark = docs.sparkSession
-    buckets = max(4, min(4096, -(-_input_bytes(docs) // BUCKET_BYTES)))
+    buckets = max(8, min(1 << 16, -(-_input_bytes(docs) // BUCKET_BYTES)))
     _write_blocks(posting_blocks(docs), f"{path}/blocks/{seg}", buckets)
     write(prints(docs), f"{path}/docs/{seg}")
     return Segment(seg, spark.read.parquet(f"{path}/docs/{seg}").count(), buckets)
