@@ -43,6 +43,8 @@ DIRECT = 1_000
 RANGES = 32
 #: A tree with more trigrams is asked for its rarest only.
 MOST_GRAMS = 128
+#: Documents of a range of ids whose postings of one trigram are put in order by one task when segments are merged.
+RANGE_DOCS = 1 << 20
 #: Segments beyond which the small ones are merged, and the share of dead documents from which a segment is.
 MOST_SEGMENTS, DEAD_SHARE = 8, 0.25
 BLOCKS = "tri string, first long, last long, n_docs int, n_lines long, docs array<long>, lines array<int>"
@@ -349,12 +351,15 @@ class Index:
         seg = uuid.uuid4().hex
         docs = self._alive(self._table("docs", "doc_id long, print long", chosen)).select("doc_id", "print")
         write(docs, f"{self.path}/docs/{seg}")
-        n, buckets = self.spark.read.parquet(f"{self.path}/docs/{seg}").count(), max(s.buckets for s in chosen)
+        n, low, high = self.spark.read.parquet(f"{self.path}/docs/{seg}").agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+        buckets = max(s.buckets for s in chosen)
         rows = self.blocks(segments=chosen).select("seg", "tri", F.explode(F.arrays_zip("docs", "lines")).alias("_x")).select("seg", "tri", F.col("_x.docs").alias("doc_id"), F.col("_x.lines").alias("line"))
         rows = self._alive(rows).withColumn("bucket", _bucket(F.col("tri"), buckets))
-        # Lists are cut anew by number of the document's place in its trigram's, sorted within the bucket's task: a trigram's lists of some segments, not a group of all rows.
-        place = F.row_number().over(Window.partitionBy("bucket", "tri").orderBy("doc_id")) - 1
-        cut = rows.withColumn("_cut", F.floor(place / BLOCK_DOCS)).groupBy("bucket", "tri", "_cut").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("_p"))
+        # Lists are cut anew by the document's place in its trigram's list of a range of ids, so that a trigram that all documents have is dealt to as many tasks as there are ranges.
+        width = max(1.0, ((high or 0) - (low or 0) + 1) / max(1, -(-n // RANGE_DOCS)))
+        rows = rows.withColumn("_range", F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)))
+        place = F.row_number().over(Window.partitionBy("bucket", "tri", "_range").orderBy("doc_id")) - 1
+        cut = rows.withColumn("_cut", F.floor(place / BLOCK_DOCS)).groupBy("bucket", "tri", "_range", "_cut").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("_p"))
         merged = cut.select(
             "bucket", "tri", F.col("_p")[0]["doc_id"].alias("first"), F.element_at("_p", -1)["doc_id"].alias("last"), F.size("_p").alias("n_docs"),
             F.aggregate("_p", F.lit(0).cast("long"), lambda s, x: s + x["line"]).alias("n_lines"), F.col("_p.doc_id").alias("docs"), F.col("_p.line").alias("lines"),
