@@ -16,8 +16,6 @@ import functools
 import json
 import math
 import operator
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,67 +29,76 @@ from lexloom.operators.ranking import K1, B, _is, terms_of, top
 from lexloom.operators.segments import ranges_of, spread
 
 BLOCK = 128
-#: Postings that a task gathers before it writes blocks.
-POSTINGS = 2_000_000
+#: Bytes of text whose blocks a task makes together.
+TEXT_BYTES = 8 << 20
 #: Units that are looked up by a broadcast of their ids.
 FEW = 100_000
-_CAMEL, _TERM = re.compile("([a-z0-9])([A-Z])"), re.compile("[a-z0-9]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ_-", "abcdefghijklmnopqrstuvwxyz  ")
+def _schema(ids: Sequence[str]) -> str:
+    return f"term string, n int, max_tf int, min_len int, sum_tf long, units array<struct<{', '.join(f'{i}: bigint' for i in ids)}>>, tfs array<int>, lens array<int>"
 
 
-def split_terms(text: str) -> list[str]:
-    """The same terms as the column function of this name."""
-    return _TERM.findall(_CAMEL.sub(r"\1 \2", text).translate(_LOWER))
+_BYTE = np.arange(256)
+_UPPER = (_BYTE >= 65) & (_BYTE <= 90)
+_SMALL = ((_BYTE >= 97) & (_BYTE <= 122)) | ((_BYTE >= 48) & (_BYTE <= 57))
 
 
-def _schema(ids: Sequence[str]) -> str:
-    return f"term string, n int, max_tf int, min_len int, sum_tf long, units array<struct<{', '.join(f'{i}: bigint' for i in ids)}>>, tfs array<int>, lens array<int>"
+def counted_terms(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of some texts; then, by term and text in order, numbers of the term and the text and how often it occurs there; last how many terms each text has.
+
+    On bytes: letters and digits are ASCII, and a term begins at one that stands behind none or, if it is a capital, behind a small letter or digit.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    upper, small = _UPPER[raw], _SMALL[raw]
+    inside = upper | small
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | (upper[1:] & small[:-1])
+    starts = np.flatnonzero(begin)
+    text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    text = np.searchsorted(text_ends, starts, side="right")
+    letters = np.where(upper, raw + np.uint8(32), raw)[inside]
+    offsets = np.append(np.cumsum(inside)[starts] - 1, len(letters)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    both = np.sort(coded.indices.to_numpy().astype(np.int64) * len(texts) + text)
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    term, unit = np.divmod(both[first], max(len(texts), 1))
+    return [x.decode() for x in coded.dictionary.to_pylist()], term, unit, np.diff(np.append(first, len(both))), np.bincount(text, minlength=len(texts))
 
 
 def _blocks(ids: Sequence[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, int] = {}
-        term, unit, tf, units, lens = [], [], [], [], []
-        nulls = 0
-
-        def flush() -> pa.RecordBatch:
-            t, u, f = (np.array(x, np.int64) for x in (term, unit, tf))
-            size = np.array(lens, np.int64)
-            order = np.lexsort((u, size[u], -f, t))
-            t, u, f = t[order], u[order], f[order]
-            new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-            runs = np.diff(np.append(new, len(t)))
-            pieces = -(-runs // BLOCK)
-            begin = np.repeat(new, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * BLOCK
-            known = list(words)
-            names = [known[i] for i in t[begin].tolist()]
-            ends = np.append(begin, len(t))
-            lists = pa.array(np.append(ends, len(t)).astype(np.int32))  # the last row, of the statistics, has none
-            columns = [pa.array([units[i][k] for i in u.tolist()], pa.int64()) for k in range(len(ids))]
-            at = len(begin)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*names, ""]), pa.array([*np.diff(ends).tolist(), len(units)], pa.int32()), pa.array([*f[begin].tolist(), len(units) - nulls], pa.int32()),
-                    pa.array([*(np.minimum.reduceat(size[u], begin).tolist() if at else []), 0], pa.int32()), pa.array([*(np.add.reduceat(f, begin).tolist() if at else []), int(size.sum())], pa.int64()),
-                    pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(columns, list(ids))), pa.ListArray.from_arrays(lists, pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(size[u].astype(np.int32))),
-                ],
-                ["term", "n", "max_tf", "min_len", "sum_tf", "units", "tfs", "lens"],
-            )
-            words.clear(), term.clear(), unit.clear(), tf.clear(), units.clear(), lens.clear()
-            return out
+    def made(units: list[list[int | None]], texts: list[bytes], nulls: int) -> pa.RecordBatch:
+        words, t, u, f, size = counted_terms(texts)
+        order = np.lexsort((u, size[u], -f, t))
+        t, u, f = t[order], u[order], f[order]
+        new = np.flatnonzero(np.diff(t, prepend=-1))
+        runs = np.diff(np.append(new, len(t)))
+        pieces = -(-runs // BLOCK)
+        begin = np.repeat(new, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * BLOCK
+        ends = np.append(begin, len(t))
+        lists = pa.array(np.append(ends, len(t)).astype(np.int32))  # the last row, of the statistics, has none
+        at = pa.array(u)
+        columns = [pa.array([x[k] for x in units], pa.int64()).take(at) for k in range(len(ids))]
+        least, total = (np.minimum.reduceat(size[u], begin), np.add.reduceat(f, begin)) if len(begin) else (begin, begin)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*(words[i] for i in t[begin].tolist()), ""]), pa.array(np.append(np.diff(ends), len(units)).astype(np.int32)), pa.array(np.append(f[begin], len(units) - nulls).astype(np.int32)),
+                pa.array(np.append(least, 0).astype(np.int32)), pa.array(np.append(total, size.sum()).astype(np.int64)),
+                pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(columns, list(ids))), pa.ListArray.from_arrays(lists, pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(size[u].astype(np.int32))),
+            ],
+            ["term", "n", "max_tf", "min_len", "sum_tf", "units", "tfs", "lens"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, texts, nulls, held = [], [], 0, 0
         for batch in batches:
-            for *own, text in zip(*batch.columns, strict=True):
-                nulls += not text.is_valid
-                found = split_terms(text.as_py() or "")
-                for w, n in Counter(found).items():
-                    term.append(words.setdefault(w, len(words))), unit.append(len(units)), tf.append(n)
-                units.append([x.as_py() for x in own]), lens.append(len(found))
-                if len(term) >= POSTINGS:
-                    yield flush()
-                    nulls = 0
+            for *own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                units.append(own), texts.append(text or b"")
+                nulls += text is None
+                held += len(texts[-1])
+                if held >= TEXT_BYTES:
+                    yield made(units, texts, nulls)
+                    units, texts, nulls, held = [], [], 0, 0
         if units:
-            yield flush()
+            yield made(units, texts, nulls)
 
     return run
 
@@ -111,7 +118,7 @@ def build(units: DataFrame, ids: Sequence[str], path: str, text: str = "text", b
     """Indexes units (ids, text) into an empty folder."""
     spark = units.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = spread(units).select(*[F.col(i).cast("long").alias(i) for i in ids], F.col(text).cast("string").alias("text")).mapInArrow(_blocks(ids), _schema(ids))
+    blocks = spread(units).select(*[F.col(i).cast("long").alias(i) for i in ids], F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(_blocks(ids), _schema(ids))
     blocks = blocks.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(buckets)).cast("int"))
     ordered = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", F.desc("max_tf"), "min_len")
     ordered.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")

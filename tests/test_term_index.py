@@ -25,7 +25,7 @@ def units(spark, n=400, seed=1):
 def built(request, spark, tmp_path_factory):
     patch = pytest.MonkeyPatch()
     patch.setattr(term_index, "BLOCK", request.param[0])
-    patch.setattr(term_index, "POSTINGS", request.param[1])
+    patch.setattr(term_index, "TEXT_BYTES", request.param[1])
     own = units(spark).cache()
     yield own, term_index.build(own, ["doc_id", "chunk_no"], str(tmp_path_factory.mktemp("terms")))
     patch.undo()
@@ -62,9 +62,12 @@ def test_terms_are_split_alike(spark):
 
     from lexloom.functions.text import split_terms
 
-    texts = ["aBcD eF", "HTTPServer2Go", "snake_case-x", "Ünï ZÜrich", "", "a1B2", "x" * 50 + "Y"]
+    texts = ["aBcD eF", "HTTPServer2Go 2x 2X a_B-c aB aB", "snake_case-x", "Ünï ZÜrich", "", "a1B2", "x" * 50 + "Y"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_terms(F.col("t")).alias("s")).collect()
-    assert {r.t: r.s for r in rows} == {t: term_index.split_terms(t) for t in texts}
+    words, term, unit, n, size = term_index.counted_terms([t.encode() for t in texts])
+    found = {(texts[u], words[t]): int(k) for t, u, k in zip(term, unit, n)}
+    assert found == {(r.t, w): r.s.count(w) for r in rows for w in r.s}
+    assert size.tolist() == [len(next(r.s for r in rows if r.t == t)) for t in texts]
 
 
 def test_no_units(spark, tmp_path):
