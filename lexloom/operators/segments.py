@@ -32,7 +32,7 @@ from lexloom.operators.search import SearchSpec, lines, predicate, search
 FORMAT = 2
 BLOCK_DOCS = 1024
 #: Code points of texts that a task looks at together, and pairs of document and trigram that it gathers before it writes blocks.
-CHARS, PAIRS = 1 << 20, 1 << 20
+CHARS, PAIRS = 1 << 19, 1 << 20
 #: Bytes of source files for each bucket of trigrams.
 BUCKET_BYTES = 16 << 20
 #: Candidates whose ids go to all tasks.
