@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import split_terms
-from lexloom.operators.shared import checkpointed, running
+from lexloom.operators import nearest
+from lexloom.operators.shared import running
 
 K1, B = 1.5, 0.75
 
@@ -93,26 +94,24 @@ def dense(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id", co
     return vectors.select(id_col, F.round(cosine(F.col(column), q), 6).alias("score"))
 
 
-def dense_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """The k nearest of every query (query_id, embedding), in blocks of queries: each block is an array of literals and one pass, and its top k are kept per task."""
-    out: DataFrame | None = None
-    rows: list = []
+#: Rows of a block of vectors and of one of queries.
+VECTORS, QUERIES = 1 << 17, 1 << 15
 
-    def flush(part: list) -> DataFrame:
-        qs = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("q")) for r in part])
-        hits = vectors.select("vec_id", "embedding", F.explode(qs).alias("x"))
-        hits = hits.select("vec_id", F.col("x.query_id"), F.round(cosine(F.col("embedding"), F.col("x.q")), 6).alias("score"))
-        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        if len(rows) == block:
-            # More than one block: each is worked off and written, so that the driver and the plan hold one at a time.
-            done = checkpointed(flush(rows))
-            out, rows = done if out is None else out.unionByName(done), []
-        rows.append(row)
-    if rows:
-        out = flush(rows) if out is None else out.unionByName(flush(rows))
-    return out
+def dense_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 128) -> DataFrame:
+    """The k nearest of every query (query_id, embedding): blocks of vectors meet blocks of queries, `block` queries at a time, each gives its k best, and those are ranked."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n, asked = vectors.count(), queries.count()
+    v_blocks = max(1, -(-n // VECTORS), min(cores, -(-n // (VECTORS >> 6))))
+    q_blocks = max(1, -(-asked // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = F.lit(-(1 << 63) + 1).cast("long")  # null ids come first
+    left = vectors.select(F.coalesce(F.col("vec_id").cast("long"), none).alias("vec_id"), "embedding", dealt("vec_id", v_blocks).alias("_v"), every(q_blocks).alias("_q"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", dealt("query_id", q_blocks).alias("_q"), every(v_blocks).alias("_v"))
+    hits = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(nearest.matched(k, block), "query_id long, vec_id long, score double")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    return ranked.select(F.nullif("vec_id", none).alias("vec_id"), "query_id", "score", "rank")
 
 
 def fuse(legs: Sequence[DataFrame], ids: Sequence[str], k: int = 60, weights: Sequence[float] | None = None, combine: str = "max", depth: int | None = None) -> DataFrame:
@@ -153,9 +152,20 @@ def max_sim(head: DataFrame, query_tokens: Sequence[Sequence[float]], id_col: st
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: recall, precision, reciprocal rank and nDCG at k. ranked: query_id, item, rank; relevant: query_id, item. Queries come from ranked; without relevant items recall and nDCG are 1."""
     hits = ranked.filter(F.col("rank") <= k).join(relevant.withColumn("_rel", F.lit(1)), ["query_id", "item"], "left")
+    return _measures(hits, relevant.groupBy("query_id").agg(F.count("*").alias("wanted")), k)
+
+
+def metrics_by_label(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """`metrics` where the items of a query's label are relevant to it: they are counted by label, and only ranked ones meet their queries. queries: query_id, label; items: item, label."""
+    own = ranked.filter(F.col("rank") <= k).join(items.select("item", F.col("label").alias("_has")), "item", "left").join(queries.select("query_id", F.col("label").alias("_asks")), "query_id")
+    hits = own.withColumn("_rel", F.when(F.col("_has") == F.col("_asks"), 1))
+    return _measures(hits, queries.join(items.groupBy("label").agg(F.count("*").alias("wanted")), "label").select("query_id", "wanted"), k)
+
+
+def _measures(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """hits: query_id, rank, _rel (1 or null); wanted: query_id, wanted."""
     gain = F.when(F.col("_rel") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     per = hits.groupBy("query_id").agg(F.count("_rel").alias("hits"), F.min(F.when(F.col("_rel") == 1, F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
-    wanted = relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))
     joined = per.join(wanted, "query_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("wanted", F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     recall = F.when(F.col("wanted") == 0, 1.0).otherwise(F.col("hits") / F.col("wanted"))
