@@ -20,3 +20,21 @@ def test_a_small_file_is_scanned_by_all_cores(spark):
     found = structural.scan_structural(one, structural.structural_rules("auth", "python"), "python")
     assert found.rdd.getNumPartitions() >= 4
     assert found.filter("rule_id = 'python-auth-eval'").count() == 120
+
+
+def test_edits_of_very_many_files_take_no_group_each(spark):
+    """Accepted edits across batches, as a loop finds them; no file is a group of its own in Python."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(900), s := rng.randrange(50), s + rng.randrange(12), str(i)) for i in range(6000)] + [(7, i, i + 2, "y") for i in range(25_000)]
+    want = []
+    for doc in {r[0] for r in rows}:
+        last = -1
+        for r in sorted((r for r in rows if r[0] == doc), key=lambda r: r[1:]):
+            if r[1] >= last:
+                want.append(r)
+                last = r[2]
+    found = structural.accepted_edits(spark.createDataFrame(rows, "doc_id long, start long, end long, replacement string"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
