@@ -132,9 +132,9 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return len(found[0])
 
     def flush() -> pa.RecordBatch:
-        out = _blocks(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        return out
+        return _blocks(*_summed(*parts))
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -149,10 +149,11 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = end if end == len(whole) or whole[end - 1] == "\n" else end - 2
                 if chars >= CHARS:
                     pairs, chars = pairs + look(), 0
-        if pairs >= PAIRS:
-            pairs += look() if ids else 0
-            yield flush()
-            pairs, chars = 0, 0
+            if pairs >= PAIRS:  # between two documents of a batch, which may hold many times as many
+                if ids:
+                    look()
+                yield flush()
+                pairs, chars = 0, 0
     if ids:
         look()
     if any(len(x[0]) for x in held):

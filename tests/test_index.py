@@ -213,3 +213,27 @@ def test_blocks_outside_the_candidates_are_not_read(spark, tmp_path, monkeypatch
     found = index.candidates(G.of_literal("common words needle"))
     assert got(found) == [(500,)]
     assert segments.ranges_of([5, 1, 9, 9, 100], 2) == [(1, 9), (100, 100)] and segments.ranges_of([], 4) == []
+
+
+def test_pairs_are_gathered_within_a_batch(monkeypatch):
+    """A batch with many times the pairs gives blocks on its way; the parts of a long document are counted as one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(segments, "PAIRS", 200)
+    monkeypatch.setattr(segments, "CHARS", 100)
+    texts = [f"some text {i} of no use\nabc {i * 7}" for i in range(60)] + ["the same words again and again\n" * 40] + ["abcd"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = list(segments._build(iter([batch])))
+    assert len(made) > 5 and all(sum(len(x) for x in b["docs"].to_pylist()) < 200 + 600 for b in map(pa.Table.from_batches, [[m] for m in made]))
+    found = {}
+    for b in made:
+        for r in b.to_pylist():
+            for doc, n in zip(r["docs"], r["lines"], strict=True):
+                assert (r["tri"], doc) not in found
+                found[r["tri"], doc] = n
+    want = {}
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            for g in {line[j : j + 3] for j in range(len(line) - 2)}:
+                want[g, i] = want.get((g, i), 0) + 1
+    assert found == want
