@@ -370,17 +370,29 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(spark, edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of edges (a, b): label is the least node that can be reached."""
-    both = save(spark, edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = save(spark, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    """(node, label) for all nodes of edges (a, b): label is the least node that can be reached.
+
+    Each node points to its least neighbour, if that is less than itself, and then to where such pointers end. Nodes with one end are put together, and of the edges only
+    those between ends go on, once each; so a round works on what the one before has left, not on all edges again.
+    """
+    found = None
+    edges = save(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("target"), F.col("label").alias("beyond"))
-        step = save(spark, step.join(jump, F.col("next") == F.col("target"), "left").select("node", "old", F.least("next", F.coalesce("beyond", "next")).alias("label")), "labels")
-        if step.filter("old != label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        labels = save(spark, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+        while True:
+            jump = labels.select(F.col("node").alias("target"), F.col("label").alias("beyond"))
+            step = save(spark, labels.join(jump, F.col("label") == F.col("target")).select("node", F.col("label").alias("old"), F.col("beyond").alias("label")), "labels")
+            labels = step.select("node", "label")
+            if step.filter("old != label").isEmpty():
+                break
+        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        found = labels if found is None else save(spark, found.join(ends, "label", "left").select("node", F.coalesce("end", "label").alias("label")), "labels")
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))  # noqa: B023, E731
+        ahead = edges.join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        edges = save(spark, ahead.distinct(), "edges")
+        if edges.isEmpty():
+            return found
 
 
 def classes(docs: DataFrame, k: int = K, orders: int = ORDERS, sample: int = SAMPLE, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:

@@ -346,3 +346,31 @@ def test_generated_texts(spark, texts):
     docs = list(enumerate(texts))
     assert suffix_rows(spark, docs) == sorted(brute.suffix(docs), key=repr)
     assert word_rows(spark, docs) == sorted(brute.windows(docs), key=repr)
+
+
+def joined_rows(spark, run):
+    """How many rows all joins made that run starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    found = run()
+    total, every = 0, store.executionsList()
+    for i in range(before, every.size()):
+        at = every.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(j) for j in range(node.metrics().size() if "Join" in node.name() else 0)):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return found, total
+
+
+def test_components_do_not_go_over_all_edges_in_each_round(spark):
+    """Layers of nodes in a row, each node linked to all of the next layer: many edges and a long way from end to end."""
+    names = list(range(600))
+    random.Random(3).shuffle(names)
+    edges = [(names[20 * i + j], names[20 * i + 20 + k]) for i in range(29) for j in range(20) for k in range(20)]
+    frame_of = spark.createDataFrame([(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in [*edges, (700, 701), (703, 702), (702, 701), (800, 801)]], "a binary, b binary")
+    found, rows_made = joined_rows(spark, lambda: near_dup.components(spark, frame_of).collect())
+    found = {int.from_bytes(r.node, "big"): int.from_bytes(r.label, "big") for r in found}
+    assert found == dict.fromkeys(names, 0) | dict.fromkeys((700, 701, 702, 703), 700) | {800: 800, 801: 800}
+    assert rows_made <= 4 * len(edges)
