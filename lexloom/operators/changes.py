@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.operators.shared import joined_hot
+from lexloom.operators.shared import met
 
 
 def changeset(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -29,12 +29,15 @@ def live_claims(events: DataFrame, now: Column) -> DataFrame:
 
 
 def claim_overlaps(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of different agents with what both hold: claim_id, agent_id, symbols. Symbols are joined, so only pairs that share one meet; the rows of a symbol that very many hold are dealt to several tasks."""
+    """Pairs of claims of different agents with what both hold: claim_id, agent_id, symbols. Symbols are joined, so only pairs that share one meet. There are many more pairs than claims: they are dealt
+    to as many tasks as they ask for, before they are joined and before they are counted, and are not counted in the tasks that make them, where hardly two are alike.
+    """
     own = claims.select("claim_id", "agent_id", F.explode(F.array_distinct("symbols")).alias("symbol"))
-    a = own.select(F.col("claim_id").alias("a_id"), F.col("agent_id").alias("a_agent"), "symbol")
-    b = own.select(F.col("claim_id").alias("b_id"), F.col("agent_id").alias("b_agent"), "symbol")
-    pairs = joined_hot(a, b, "symbol", "a_id").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent")))
-    return pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared"), F.min("symbol").alias("first_shared"))
+    a, b, tasks = met(own, "symbol", "claim_id")
+    a = a.select(F.col("claim_id").alias("a_id"), F.col("agent_id").alias("a_agent"), "symbol", "_cell")
+    b = b.select(F.col("claim_id").alias("b_id"), F.col("agent_id").alias("b_agent"), "symbol", "_cell")
+    pairs = a.join(b, ["symbol", "_cell"]).filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent"))).select("a_id", "b_id", "symbol")
+    return pairs.repartition(tasks, "a_id", "b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared"), F.min("symbol").alias("first_shared"))
 
 
 def fresh_findings(findings: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -46,15 +46,23 @@ def running(df: DataFrame, order: list[Column], amount: Column, name: str) -> Da
     return ordered.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + inside).drop("_amount", "_part", "_row", "_before")
 
 
-#: Keys with more rows than this are dealt to several tasks where both sides of a join may have many.
+#: Rows of a key with more than this are dealt to blocks of about so many, and each block meets each.
 HOT_ROWS = 1_000
-SALTS = 16
+#: Pairs that a task makes of rows with the same key, about.
+PAIRS = 2_000_000
 
 
-def joined_hot(a: DataFrame, b: DataFrame, key: str, deal: str) -> DataFrame:
-    """a joined with b by key; rows of a with a hot key are dealt by another column to several tasks, each with a copy of b's."""
-    hot = a.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(key, F.lit(True).alias("_hot"))
-    is_hot = F.coalesce("_hot", F.lit(False))
-    a = a.join(hot, key, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    b = b.join(hot, key, "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return a.join(b, [key, "_salt"]).drop("_salt")
+def met(rows: DataFrame, key: str, deal: str) -> tuple[DataFrame, DataFrame, int]:
+    """rows twice with a column _cell, and a number of tasks: two rows with the same key meet in one cell, if both sides are joined by key and _cell. Rows of a
+    hot key are dealt by another column to blocks, and a cell is a pair of blocks; so no cell has more than about HOT_ROWS squared pairs, and there are as many tasks as pairs ask for.
+    """
+    rows = checkpointed(rows.filter(F.col(key).isNotNull()))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    pairs = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2)).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS) + 1)
+    hot = counts.filter(F.col("_n") > HOT_ROWS).select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_blocks"))
+    marked = rows.join(hot, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(deal), F.col("_blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    sides = [marked.withColumn("_cell", F.explode(F.transform(every, cell))).drop("_blocks").repartition(tasks, key, "_cell") for cell in (lambda x: own * F.col("_blocks") + x, lambda x: x * F.col("_blocks") + own)]
+    return sides[0], sides[1], tasks

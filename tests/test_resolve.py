@@ -158,6 +158,17 @@ def test_hot_symbols_meet_all_others(spark, monkeypatch):
     assert sorted(changes.claim_overlaps(claims).collect()) == want
 
 
+def test_pairs_of_claims_get_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from lexloom.operators import changes, shared
+
+    claims = spark.createDataFrame([(i, i % 2, ["hot", f"s{i % 3}"]) for i in range(60)], "claim_id long, agent_id long, symbols array<string>")
+    want = sorted(changes.claim_overlaps(claims).collect())
+    monkeypatch.setattr(shared, "PAIRS", 100, raising=False)
+    found = changes.claim_overlaps(claims)
+    assert sorted(found.collect()) == want and len(want) == 900
+    assert found.rdd.getNumPartitions() >= 60 * 60 / 2 / 100
+
+
 def test_answers_go_by_use():
     from lexloom.streaming.streams import Answers
 
