@@ -5,14 +5,17 @@ from __future__ import annotations
 import functools
 import json
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import required_literal, trigrams
 from lexloom.operators.changes import changeset
 from lexloom.operators.search import SearchSpec, lines, predicate, search
+from lexloom.operators.segments import spread
 
 FORMAT = 1
 #: Candidates that are broadcast: about 20 bytes each.
@@ -118,3 +121,74 @@ def _load(spark: SparkSession, path: str, about: dict) -> DataFrame:
     if {k: v for k, v in meta.items() if k != "format"} != about:
         raise ValueError(f"index is of {meta}, not {about}")
     return spark.read.parquet(f"{path}/postings")
+
+
+#: Bytes of text whose trigrams a task counts together.
+COUNT_BYTES = 1 << 20
+
+
+def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(lines before, piece): a text cut at line ends into pieces of about COUNT_BYTES; a longer line is a piece of its own."""
+    at = before = 0
+    while len(text) - at > COUNT_BYTES:
+        end = text.rfind(b"\n", at, at + COUNT_BYTES)
+        end = text.find(b"\n", at + COUNT_BYTES) if end < 0 else end
+        if end < 0:
+            break
+        yield before, text[at:end]
+        before += text.count(b"\n", at, end) + 1
+        at = end + 1
+    yield before, text[at:]
+
+
+def _distinct(pieces: list[bytes]) -> np.ndarray:
+    """Distinct trigrams of each line of all pieces."""
+    points = np.frombuffer((b"\n".join(pieces) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    ends = points == 10
+    line = np.cumsum(ends)
+    n_lines = int(line[-1])
+    whole = np.flatnonzero(~(ends[:-2] | ends[1:-1] | ends[2:]))
+    if not len(whole):
+        return np.zeros(n_lines, np.int64)
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    code = (np.cumsum(seen) - 1)[points]
+    k = int(np.count_nonzero(seen))
+    tri = (code[whole] * k + code[whole + 1]) * k + code[whole + 2]  # less than 2 to the 61st
+    if n_lines * k**3 < 1 << 63:
+        both = np.sort(line[whole] * k**3 + tri)
+        first = both[np.diff(both, prepend=-1) != 0] // k**3
+    else:
+        order = np.lexsort((tri, line[whole]))
+        tri, own = tri[order], line[whole][order]
+        first = own[(np.diff(tri, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0)]
+    return np.bincount(first, minlength=n_lines)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(ids: pa.Array, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        n = _distinct([p for _, _, p in held])
+        sizes = np.array([p.count(b"\n") + 1 for _, _, p in held])
+        start = np.cumsum(sizes) - sizes
+        line_no = np.arange(len(n)) + np.repeat(np.array([b + 1 for _, b, _ in held]) - start, sizes)
+        row = np.repeat(np.array([r for r, _, _ in held]), sizes)
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row[some])), pa.array(line_no[some].astype(np.int32)), pa.array(n[some].astype(np.int64))], ["doc_id", "line_no", "n"])
+
+    for batch in batches:
+        held, size = [], 0
+        for row, text in enumerate(batch.column(1)):
+            for before, piece in _pieces(text.as_py()):
+                held.append((row, before, piece))
+                size += len(piece) + 1
+                if size >= COUNT_BYTES:
+                    yield made(batch.column(0), held)
+                    held, size = [], 0
+        if held:
+            yield made(batch.column(0), held)
+
+
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n): distinct lower-case trigrams of each line that has any. They are told apart as numbers, many lines at a time; none is made as a string."""
+    texts = spread(docs.filter("text is not null").select("doc_id", "text")).select("doc_id", F.lower("text").cast("binary").alias("text"))
+    return texts.mapInArrow(_counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, n long")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.functions import grams as G
-from lexloom.operators import search, segments
+from lexloom.operators import index, search, segments
 from lexloom.operators.search import SearchSpec
 from lexloom.plans import ranking_queries
 
@@ -237,3 +237,18 @@ def test_pairs_are_gathered_within_a_batch(monkeypatch):
             for g in {line[j : j + 3] for j in range(len(line) - 2)}:
                 want[g, i] = want.get((g, i), 0) + 1
     assert found == want
+
+
+@pytest.mark.parametrize("size", [8, 1 << 20])
+def test_trigram_counts_are_those_of_the_strings(spark, monkeypatch, size):
+    """A table of one partition is dealt to all cores."""
+    from lexloom.functions.text import trigrams
+    from lexloom.operators.search import lines
+
+    monkeypatch.setattr(index, "COUNT_BYTES", size)
+    texts = ["", None, "ab", "abc", "abcabcABC\n\nxyz\n", "\n\nab\nÉÈé é\U0001f600\U0001f601\U0001f600\U0001f601\U0001f600", "a" * 50 + "\r\n" + "".join(map(chr, range(0x4E00, 0x5600))), "ΑΣ\nΑΣΑ ΟΔΥΣΣΕΥΣ İİİ", "tail\n\n"]
+    d = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string").coalesce(1)
+    want = lines(d).select("doc_id", "line_no", F.size(trigrams(F.col("line"))).cast("long").alias("n")).filter("n > 0")
+    found = index.trigram_counts(d)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert found.rdd.getNumPartitions() == 4 and found.dtypes == want.dtypes
