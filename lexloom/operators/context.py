@@ -50,8 +50,11 @@ def chunks(docs: DataFrame, size: int = 30, overlap: int = 5) -> DataFrame:
     own = docs.filter(F.coalesce(F.col("text"), F.lit("")) != "").select("doc_id", split_lines(F.col("text")).alias("_lines"))
     own = own.filter(F.size("_lines") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("_lines") - size) / F.lit(step))).cast("int")
-    own = own.select("doc_id", "_lines", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    start = F.col("chunk_no") * step + 1
-    return own.select(
-        "doc_id", "chunk_no", start.cast("int").alias("start_line"), F.least(start + size - 1, F.size("_lines")).cast("int").alias("end_line"), F.concat_ws("\n", F.slice("_lines", start, F.lit(size))).alias("text")
-    )
+
+    def made(n):
+        start = n * step + 1
+        end = F.least(start + size - 1, F.size("_lines")).cast("int")
+        return F.struct(n.alias("chunk_no"), start.cast("int").alias("start_line"), end.alias("end_line"), F.concat_ws("\n", F.slice("_lines", start, F.lit(size))).alias("text"))
+
+    # Chunks are made before rows are: a row for each chunk with all lines of its document would grow with the square of these.
+    return own.select("doc_id", F.transform(F.sequence(F.lit(0), last), made).alias("_chunks")).select("doc_id", F.inline("_chunks"))

@@ -116,6 +116,14 @@ def test_chunks_follow_the_loop(spark, n):
     assert [(r.start_line, r.end_line) for r in context.chunks(d).orderBy("chunk_no").collect()] == want
 
 
+def test_rows_of_chunks_do_not_carry_all_lines(spark):
+    """What goes beside the rows that are made is the id alone."""
+    plan = context.chunks(docs(spark, "a\nb\n"))._jdf.queryExecution().executedPlan().toString()
+    made = [x for x in plan.split("\n") if "Generate" in x]
+    assert len(made) == 1 and re.search(r", \[doc_id#\d+L?\], false, \[", made[0])
+    assert context.chunks(docs(spark, None, "")).count() == 0
+
+
 def test_byte_columns_count_bytes(spark):
     found = search.occurrences(docs(spark, "éxaxa"), "xa").orderBy("byte_column").collect()
     assert [r.byte_column for r in found] == [3, 5]
