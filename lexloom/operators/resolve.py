@@ -104,7 +104,8 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | N
     packages = files.filter(F.col("file").endswith(".go") & ~F.col("file").endswith("_test.go")).groupBy(F.concat(parent(F.col("file")), F.lit("/")).alias("_path")).agg(F.min("file").alias("dst"))
     known = files.select(F.col("file").alias("_path"), F.col("file").alias("dst")).unionByName(packages)
     first = Window.partitionBy("src", "language", "module", "name").orderBy("_at")
-    found = asked.join(known, "_path").filter("dst <> src").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    # Candidates are many times the files and mostly mean none: they stream past the files of their task and are not sorted.
+    found = asked.join(known.hint("shuffle_hash"), "_path").filter("dst <> src").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
     return found.select("src", "module", "name", "dst")
 
 

@@ -755,7 +755,7 @@ def grf7(spark, sf_dir):
     files = part.select(F.col("p_partkey").alias("k"), F.expr(_FILE.replace("p_size", "p_size")).alias("file"))
     own = part.select("p_partkey", "p_size")
     pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(own.select(F.col("p_partkey").alias("a")), F.col("l_partkey") == F.col("a"))
-    pairs = pairs.join(own.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("b_size")), F.col("l_suppkey") == F.col("b")).filter("a % 5 = b % 5").select("a", "b", "b_size").distinct()
+    pairs = pairs.join(own.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("b_size")), F.col("l_suppkey") == F.col("b")).filter("a % 5 = b % 5").select("a", "b", "b_size")
     asked = pairs.join(files, F.col("k") == F.col("a")).select(F.col("file").alias("src"), F.expr(_LANGUAGE.format("a")).alias("language"), F.expr(_MODULE.format("b", "if(b % 7 = 0, 999, b_size)", "b")).alias("module"), F.lit(None).cast("string").alias("name"))
     found = resolve.resolve(asked, files.select("file"), aliases={"@/": "web/"}, go_modules={"example.org/x": "go"}, includes=("inc",))
     return found.select("src", "module", "dst").distinct()

@@ -34,6 +34,20 @@ def test_resolution(spark):
         assert got.get((src, module, name)) == want, (src, module, name)
 
 
+def test_candidates_are_not_sorted(spark):
+    """They are many times the files; a task holds its files and lets candidates pass."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        imports = spark.createDataFrame([c[:4] for c in CASES], "src string, language string, module string, name string")
+        found = resolve.resolve(imports, spark.createDataFrame([(f,) for f in FILES], "file string"), {"@s/": "web/shared/"}, "", {"example.org/m": "go"}, ("c/include",))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [_path" in plan and "SortMergeJoin [_path" not in plan
+        assert found.count() == sum(c[4] is not None for c in CASES)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_names_and_their_surroundings(spark):
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "use foo", "b", "food", "foo()"], 1)], "doc_id long, line_no int, line string")
     found = {r.line_no: r.context for r in resolve.references_with_context(lines, "foo", 1).collect()}
