@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,51 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes a query's shuffle files at its end; otherwise they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables saved inside the innermost passing().
+SCOPE: ContextVar[list[str] | None] = ContextVar("SCOPE", default=None)
+
+
 def save(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that lost executors don't repeat what led to it."""
+    """Write df to the shared folder and read it back, so that lost executors don't repeat what led to it. Shuffle files of the way there go at once."""
     import uuid
 
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (scope := SCOPE.get()) is not None:
+        scope.append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._saved = path
+    return found
+
+
+@contextmanager
+def passing(spark: SparkSession, *tables: DataFrame) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that save() writes inside are removed at the end, with those given (if save() wrote them), but not those that the function
+    it yields is called with: they belong to the passing() around it, if there is one. Nothing that is read later may come from the others."""
+    own = [path for t in tables if (path := t.__dict__.get("_saved"))]
+    around = SCOPE.get()
+    token = SCOPE.set(own)
+
+    def keep(found: DataFrame) -> DataFrame:
+        own.remove(found._saved)
+        if around is not None:
+            around.append(found._saved)
+        return found
+
+    try:
+        yield keep
+    finally:
+        SCOPE.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

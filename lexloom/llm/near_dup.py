@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import BROADCAST_ROWS, beside, few_rows, rows_of, save
+from lexloom.llm.common import BROADCAST_ROWS, beside, few_rows, passing, rows_of, save
 from lexloom.llm.edit import banded
 
 K = 5
@@ -395,13 +395,18 @@ def components(spark, edges: DataFrame) -> DataFrame:
             return found
 
 
-def classes(docs: DataFrame, k: int = K, orders: int = ORDERS, sample: int = SAMPLE, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, node (the words' hash), class_id, class_size (documents) and n_links."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = save(spark, source.mapInArrow(_sketches(k, orders, sample, picks), "doc_id long, node binary, n_words long, sketch array<long>"), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
-    nodes = save(spark, nodes.withColumn("nid", F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as long)")), "nodes")
+def _nodes(spark, source: DataFrame, k: int, orders: int, sample: int, picks: int) -> tuple[DataFrame, DataFrame]:
+    """(node, least, n_docs, n_words, sketch, nid) for each node, and (doc_id, node) for each row. A row's sketch, most of what is written of it, stays until nodes have theirs."""
+    with passing(spark) as keep:
+        rows = save(spark, source.mapInArrow(_sketches(k, orders, sample, picks), "doc_id long, node binary, n_words long, sketch array<long>"), "sketches")
+        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+        nodes = keep(save(spark, nodes.withColumn("nid", F.expr("cast(conv(hex(substring(node, 1, 8)), 16, -10) as long)")), "nodes"))
+        ids = keep(save(spark, rows.select("doc_id", "node"), "ids"))
+    return nodes, ids
+
+
+def _labelled(spark, source: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, n_docs, class_id, class_size, n_links) for each node."""
     pairs = save(spark, _pairs(nodes), "pairs")
     asked = pairs.select("node").union(pairs.select("leader")).distinct().join(nodes.select("node", "least"), "node")
     texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "node").mapInArrow(_with_node, "node binary, text string")
@@ -417,16 +422,27 @@ def classes(docs: DataFrame, k: int = K, orders: int = ORDERS, sample: int = SAM
     labels = save(spark, labels.join(links, "node", "left"), "labelled")
     found = save(spark, labels.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count("*").alias("n_nodes")), "classes")
     labels = beside(labels, found, ["label"], found.filter(F.col("n_nodes") > HOT_ROWS), F.xxhash64("node"))
-    labels = save(spark, labels.select("node", "n_docs", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "node_classes")
-    return beside(rows.select("doc_id", "node"), labels.drop("n_docs"), ["node"], labels.filter(F.col("n_docs") > HOT_ROWS), F.xxhash64("doc_id")).select("doc_id", "node", "class_id", "class_size", "n_links")
+    return save(spark, labels.select("node", "n_docs", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "node_classes")
+
+
+def classes(docs: DataFrame, k: int = K, orders: int = ORDERS, sample: int = SAMPLE, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, node (the words' hash), class_id, class_size (documents) and n_links."""
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with passing(spark) as keep:
+        nodes, ids = _nodes(spark, source, k, orders, sample, picks)
+        labels = keep(_labelled(spark, source, nodes, similarity))
+        keep(ids)
+    return beside(ids, labels.drop("n_docs"), ["node"], labels.filter(F.col("n_docs") > HOT_ROWS), F.xxhash64("doc_id")).select("doc_id", "node", "class_id", "class_size", "n_links")
 
 
 def drop_near(docs: DataFrame, **how) -> DataFrame:
     """The documents with one row of each class left, of the least doc_id."""
-    found = classes(docs, **how)
-    one = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "node").agg(F.count("*").alias("n"))
-    one = one.groupBy("class_id").agg(F.min(F.struct("node", "n")).alias("x"))
-    one = save(docs.sparkSession, one.select(F.col("class_id").alias("_nd_id"), F.col("x.node").alias("_nd_node"), F.col("x.n").alias("_nd_n")), "kept")
+    with passing(docs.sparkSession) as keep:
+        found = classes(docs, **how)
+        one = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "node").agg(F.count("*").alias("n"))
+        one = one.groupBy("class_id").agg(F.min(F.struct("node", "n")).alias("x"))
+        one = keep(save(docs.sparkSession, one.select(F.col("class_id").alias("_nd_id"), F.col("x.node").alias("_nd_node"), F.col("x.n").alias("_nd_n")), "kept"))
 
     def same(names: list[str]):
         at, text = names.index("_nd_node"), names.index("text")

@@ -1,12 +1,13 @@
 """What the operators share."""
 
+import os
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexloom.llm import common
+from lexloom.llm import common, near_dup
 
 
 def session(master, folder=None):
@@ -57,3 +58,42 @@ def test_hot_keys_join_alike(spark, how):
     want = sorted(rows.join(found, "k", how).collect(), key=repr)
     assert sorted(common.beside(rows, found, ["k"], hot, F.xxhash64("v"), how).collect(), key=repr) == want
     assert sorted(common.beside(rows, found, ["k"], hot.limit(0), F.xxhash64("v"), how).collect(), key=repr) == want
+
+
+def test_shuffle_files_go_when_a_table_is_saved(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    conf, before = spark.conf.get(common.CLEANUP, None), shuffled()
+    saved = common.save(spark, spark.range(1000).repartition(3, "id"), "dealt")
+    assert not shuffled() - before
+    assert saved.count() == 1000 and spark.conf.get(common.CLEANUP, None) == conf
+
+
+def test_tables_on_the_way_go(spark):
+    held = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    before, rows = held(), spark.range(5)
+    with common.passing(spark) as outer:
+        first = common.save(spark, rows, "first")
+        with common.passing(spark, first) as keep:
+            common.save(spark, first, "gone")
+            inner = keep(common.save(spark, first, "inner"))
+        assert {x.split("-")[0] for x in held() - before} == {"inner"}
+        last = outer(common.save(spark, inner, "last"))
+    assert {x.split("-")[0] for x in held() - before} == {"last"} and last.count() == 5
+    with pytest.raises(ValueError), common.passing(spark):
+        common.save(spark, rows, "lost")
+        raise ValueError
+    assert {x.split("-")[0] for x in held() - before} == {"last"}
+
+
+def test_near_dedup_leaves_what_its_result_reads(spark):
+    held = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    docs = spark.createDataFrame([(i, f"word{i // 2} " * 9) for i in range(10)], "doc_id long, text string")
+    before = held()
+    kept = near_dup.drop_near(docs)
+    assert {x.split("-")[0] for x in held() - before} == {"kept"} and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8]
+    before = held()
+    found = near_dup.classes(docs)
+    assert {x.split("-")[0] for x in held() - before} == {"ids", "node_classes", "hot"} and found.count() == 10
