@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.operators.shared import met
+from lexloom.operators.shared import met, written
 
 
 def changeset(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -28,16 +28,36 @@ def live_claims(events: DataFrame, now: Column) -> DataFrame:
     return last.select("claim_id", "e.*").filter((F.col("kind") != "release") & (F.col("expires_at") > now))
 
 
+#: A claim of no more symbols than this takes them along to each of them.
+FEW_SYMBOLS = 64
+
+
 def claim_overlaps(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of different agents with what both hold: claim_id, agent_id, symbols. Symbols are joined, so only pairs that share one meet. There are many more pairs than claims: they are dealt
-    to as many tasks as they ask for, before they are joined and before they are counted, and are not counted in the tasks that make them, where hardly two are alike.
+    """Pairs of claims of different agents with what both hold: a_id, b_id, n_shared, first_shared. Symbols are joined, so only pairs that share one meet. There are many more pairs than
+    claims, so pairs are not moved: a claim takes all its symbols along, and a pair is told, and counted, where its least shared symbol is. Only pairs with a claim of very many symbols,
+    or of several rows, are brought together.
     """
-    own = claims.select("claim_id", "agent_id", F.explode(F.array_distinct("symbols")).alias("symbol"))
-    a, b, tasks = met(own, "symbol", "claim_id")
-    a = a.select(F.col("claim_id").alias("a_id"), F.col("agent_id").alias("a_agent"), "symbol", "_cell")
-    b = b.select(F.col("claim_id").alias("b_id"), F.col("agent_id").alias("b_agent"), "symbol", "_cell")
-    pairs = a.join(b, ["symbol", "_cell"]).filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent"))).select("a_id", "b_id", "symbol")
-    return pairs.repartition(tasks, "a_id", "b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared"), F.min("symbol").alias("first_shared"))
+    symbols = F.array_sort(F.array_distinct(F.filter("symbols", lambda x: x.isNotNull())))
+    claims = written(claims.filter("claim_id is not null and agent_id is not null").select("claim_id", "agent_id", symbols.alias("symbols")), "claims")
+    several = written(claims.groupBy("claim_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("claim_id", F.lit(True).alias("_several")), "several")
+    claims = claims.withColumn("_several", F.lit(False)) if several.isEmpty() else claims.join(several, "claim_id", "left")
+    claims = claims.withColumn("apart", F.coalesce("_several", F.lit(False)) | (F.size("symbols") > FEW_SYMBOLS)).drop("_several")
+    pairs, _ = _held_by_both(claims.filter("not apart").select("claim_id", "agent_id", "symbols", F.explode("symbols").alias("symbol")), "symbols")
+    pairs = pairs.select("a_id", "b_id", "symbol", F.array_intersect("a_symbols", "b_symbols").alias("both")).filter(F.get("both", F.lit(0)) == F.col("symbol"))
+    told = pairs.select("a_id", "b_id", F.size("both").cast("long").alias("n_shared"), F.col("symbol").alias("first_shared"))
+    if claims.filter("apart").isEmpty():
+        return told
+    pairs, tasks = _held_by_both(claims.select("claim_id", "agent_id", "apart", F.explode("symbols").alias("symbol")), "apart")
+    moved = pairs.filter("a_apart or b_apart").select("a_id", "b_id", "symbol").repartition(tasks, "a_id", "b_id")
+    return told.union(moved.groupBy("a_id", "b_id").agg(F.count("*").alias("n_shared"), F.min("symbol").alias("first_shared")))
+
+
+def _held_by_both(own: DataFrame, more: str) -> tuple[DataFrame, int]:
+    """Pairs of rows (claim_id, agent_id, symbol, more) of a symbol, with the lesser claim's columns as a_ and the other's as b_, and a number of tasks for them."""
+    a, b, keys, tasks = met(own, "symbol", "claim_id")
+    a = a.select(*keys, F.col("claim_id").alias("a_id"), F.col("agent_id").alias("a_agent"), F.col(more).alias(f"a_{more}"))
+    b = b.select(*keys, F.col("claim_id").alias("b_id"), F.col("agent_id").alias("b_agent"), F.col(more).alias(f"b_{more}"))
+    return a.join(b, keys).filter((F.col("a_id") < F.col("b_id")) & (F.col("a_agent") != F.col("b_agent"))), tasks
 
 
 def fresh_findings(findings: DataFrame, revisions: DataFrame) -> DataFrame:

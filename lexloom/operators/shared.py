@@ -33,6 +33,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark removes a query's shuffle files at its end; otherwise they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as compressed files in the shared folder, without its lineage. Shuffle files of the way there go at once."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def running(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
     """df with the running sum of an amount in an order over all rows, this row included. Rows are sorted over all tasks; what stands
     before each task's rows is a sum per task, so no task holds or ranks all rows.
@@ -52,17 +68,22 @@ HOT_ROWS = 1_000
 PAIRS = 2_000_000
 
 
-def met(rows: DataFrame, key: str, deal: str) -> tuple[DataFrame, DataFrame, int]:
-    """rows twice with a column _cell, and a number of tasks: two rows with the same key meet in one cell, if both sides are joined by key and _cell. Rows of a
-    hot key are dealt by another column to blocks, and a cell is a pair of blocks; so no cell has more than about HOT_ROWS squared pairs, and there are as many tasks as pairs ask for.
+def met(rows: DataFrame, key: str, deal: str) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """rows twice, the columns to join the two by, and a number of tasks: as many as pairs of rows with the same key ask for. rows are read several times: they should come from files.
+
+    Without a hot key both sides are one and the same shuffle. Otherwise a column _cell is one of the join's: rows of a hot key are dealt by another column to blocks, and a cell is a
+    pair of blocks; so no cell has more than about HOT_ROWS squared pairs.
     """
-    rows = checkpointed(rows.filter(F.col(key).isNotNull()))
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    pairs = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2)).first()[0] or 0
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS) + 1)
+    rows = rows.filter(F.col(key).isNotNull())
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("_n")), "counts")
+    pairs, most = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2), F.max("_n")).first()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((pairs or 0) // PAIRS) + 1)
+    if (most or 0) <= HOT_ROWS:
+        dealt = rows.repartition(tasks, key)
+        return dealt, dealt, [key], tasks
     hot = counts.filter(F.col("_n") > HOT_ROWS).select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_blocks"))
     marked = rows.join(hot, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(deal), F.col("_blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("_blocks") - 1)
     sides = [marked.withColumn("_cell", F.explode(F.transform(every, cell))).drop("_blocks").repartition(tasks, key, "_cell") for cell in (lambda x: own * F.col("_blocks") + x, lambda x: x * F.col("_blocks") + own)]
-    return sides[0], sides[1], tasks
+    return sides[0], sides[1], [key, "_cell"], tasks

@@ -243,3 +243,32 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(make("spark://host:7077", None))
     assert shared_dir(make("spark://host:7077", "s3://b/c/")) == "s3://b/c"
+
+
+def test_claims_of_many_symbols_or_rows_overlap_alike(spark, monkeypatch):
+    from itertools import product
+
+    from lexloom.operators import changes, shared
+
+    rows = [(i, i % 3, [f"s{(i * j) % 7}" for j in range(i % 5)] + ["s1", None]) for i in range(24)]
+    rows += [(3, 1, ["s1", "s2"]), (3, 1, ["s2"]), (4, 9, ["s0"]), (40, 0, [f"s{j}" for j in range(90)]), (41, 1, [f"s{j}" for j in range(3, 80)]), (42, None, ["s1"]), (None, 2, ["s1"]), (43, 2, None), (44, 2, [])]
+    want = {}
+    for (i, x, xs), (j, y, ys) in product(rows, rows):
+        if None not in (i, j, x, y) and i < j and x != y:
+            want.setdefault((i, j), []).extend({s for s in xs or [] if s} & {s for s in ys or [] if s})
+    want = sorted((i, j, len(both), min(both)) for (i, j), both in want.items() if both)
+    claims = spark.createDataFrame(rows, "claim_id long, agent_id long, symbols array<string>")
+    assert sorted(map(tuple, changes.claim_overlaps(claims).collect())) == want
+    monkeypatch.setattr(changes, "FEW_SYMBOLS", 2)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    assert sorted(map(tuple, changes.claim_overlaps(claims).collect())) == want
+
+
+def test_pairs_of_claims_are_not_moved(spark):
+    from lexloom.operators import changes
+
+    claims = spark.createDataFrame([(i, i % 2, ["hot", f"s{i % 3}"]) for i in range(60)], "claim_id long, agent_id long, symbols array<string>")
+    found = changes.claim_overlaps(claims)
+    assert found.count() == 900
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
